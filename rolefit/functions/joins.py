@@ -12,5 +12,9 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when a count proves it small; else leave it to
     a shuffle join (sort-merge, AQE skew splitting)."""
+    if getattr(df, "_size_checked", False):
+        return df
     n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    out = F.broadcast(df) if n <= max_rows else df
+    out._size_checked = True
+    return out

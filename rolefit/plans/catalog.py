@@ -43,3 +43,16 @@ def q_skill_gap_arrays(spark, sf):
     rs = sk.skill_sets(resumes, db, "resume_id", "resume_skills", forms=forms)
     js = sk.skill_sets(jds, db, "jd_id", "jd_skills", forms=forms)
     return sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js)
+
+
+# ----------------------------------------------------------------- report
+def _report(spark, sf, **kw):
+    from rolefit.plans.report import build_report
+    resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
+    return build_report(fx.pairs_fx(spark, sf, resumes, jds), resumes, jds, fx.skill_fx(spark, sf),
+                        fx.layout_chars_fx(spark, sf), fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf), **kw)
+
+
+@query("ats_report")
+def q_ats_report(spark, sf):
+    return _report(spark, sf)

@@ -139,3 +139,56 @@ def duck_ctes(*names: str) -> str:
     """``WITH a AS (...), b AS (...)`` head for a DuckDB oracle."""
     parts = [f"{n} AS ({FIXTURE_SQL[n].format(**_DUCK)})" for n in names]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+# --------------------------------------------------------------------------
+# Layout and file facts (FIXTURES.md §1)
+# --------------------------------------------------------------------------
+def layout_chars_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem")
+    font = (F.when(F.col("l_returnflag") == "A", "arial").when(F.col("l_returnflag") == "N", "arialmt")
+            .when(F.col("l_returnflag") == "R", "courier"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"),
+                     font.alias("fontname"), (8 + F.col("l_quantity") / 10).alias("size"))
+
+
+def layout_pages_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem")
+    g = li.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no")).agg(
+        F.max((F.col("l_discount") > 0.08).cast("int")).alias("n_tables"),
+        F.max((F.col("l_tax") > 0.06).cast("int")).alias("n_images"),
+        F.bool_and(F.col("l_returnflag") == "R").alias("all_r"))
+    return g.select("doc_id", "page_no",
+                    F.when(F.col("doc_id") % 3 == 0, 612.0).otherwise(72.0).alias("width"),
+                    "n_tables", "n_images",
+                    F.when(F.col("all_r"), "").otherwise(F.concat(F.lit("page "), F.col("page_no").cast("string")))
+                    .alias("text"))
+
+
+def files_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    ext = F.element_at(F.array(*[F.lit(e) for e in (".pdf", ".docx", ".txt", ".PDF")]), (k % 4 + 1).cast("int"))
+    ver = F.element_at(F.array(F.lit("1.3"), F.lit(None).cast("string"), F.lit("1.7"), F.lit("2.0"), F.lit("x")),
+                       (k % 5 + 1).cast("int"))
+    enc = F.element_at(F.array(F.lit("UTF-8"), F.lit(None).cast("string"), F.lit("LATIN1")), (k % 3 + 1).cast("int"))
+    return o.select(k.alias("doc_id"), F.concat(F.lit("resume_"), k.cast("string"), ext).alias("path"),
+                    ver.alias("pdf_version"), enc.alias("encoding"))
+
+
+LAYOUT_CHARS_SQL = """SELECT l_orderkey AS doc_id, l_linenumber AS page_no,
+  CASE l_returnflag WHEN 'A' THEN 'arial' WHEN 'N' THEN 'arialmt' WHEN 'R' THEN 'courier' END AS fontname,
+  8 + l_quantity / 10 AS size FROM lineitem"""
+
+LAYOUT_PAGES_SQL = """SELECT doc_id, page_no, CASE WHEN doc_id % 3 = 0 THEN 612.0 ELSE 72.0 END AS width,
+  n_tables, n_images, CASE WHEN all_r THEN '' ELSE concat('page ', CAST(page_no AS {str})) END AS text
+FROM (SELECT l_orderkey AS doc_id, l_linenumber AS page_no, max(CAST(l_discount > 0.08 AS INT)) AS n_tables,
+        max(CAST(l_tax > 0.06 AS INT)) AS n_images, bool_and(l_returnflag = 'R') AS all_r
+      FROM lineitem GROUP BY l_orderkey, l_linenumber) AS g"""
+
+FILES_SQL = """SELECT o_orderkey AS doc_id,
+  concat('resume_', CAST(o_orderkey AS {str}), CASE o_orderkey % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.txt' ELSE '.PDF' END) AS path,
+  CASE o_orderkey % 5 WHEN 0 THEN '1.3' WHEN 2 THEN '1.7' WHEN 3 THEN '2.0' WHEN 4 THEN 'x' END AS pdf_version,
+  CASE o_orderkey % 3 WHEN 0 THEN 'UTF-8' WHEN 2 THEN 'LATIN1' END AS encoding FROM orders"""
+
+FIXTURE_SQL.update({"layout_chars": LAYOUT_CHARS_SQL, "layout_pages": LAYOUT_PAGES_SQL, "files": FILES_SQL})
