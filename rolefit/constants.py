@@ -53,3 +53,54 @@ LETTER_STYLES = ("Minimal", "Formal", "Modern")
 # --- fixed values: chat template markers ---
 CHAT_ROLES = ("user", "system", "assistant")
 EOS_TOKEN = "</s>"
+
+# --- fixed values: generation prompts (text around the form fields) ---
+SUMMARY_PROMPT_HEAD = "### Instruction:\nGenerate a concise professional resume summary (100-150 characters) for a "
+SUMMARY_PROMPT_MID1 = " with "
+SUMMARY_PROMPT_MID2 = " years of experience and expertise in "
+SUMMARY_PROMPT_TAIL = (". Focus on their skills, achievements, and commitment to excellence, without including "
+                       "section headers or prefixes.\n\n### Response:\n")
+LETTER_PROMPT_LABELS = ("Job Title: ", "Hiring Company: ", "Applicant Name: ", "Working Experience: ",
+                        "Skillsets: ", "Cover Letter:\n")
+LETTER_MARKER = "Cover Letter:"
+RESPONSE_MARKER_RE = r"###\s*Response:?\s*"
+
+# --- fixed values: letter layouts ---
+FORMAL_NAME_GAP = 40
+FORMAL_CONTACT_INDENT = 45
+FORMAL_RULE = "-" * 60
+MODERN_RULE = "_" * 54
+DEFAULT_GREETING_NAME = "Hiring Manager"
+
+# --- fixed values: validation messages ---
+MSG_PROFILE_REQUIRED = "All required fields must be filled"
+MSG_PROFILE_EXPERIENCE_PARTS = "Each experience entry must include at least Job Title, Company, and Dates"
+MSG_PROFILE_ACHIEVEMENTS = "Achievements in experience entries cannot be empty if provided"
+MSG_LETTER_REQUIRED = "Please fill in all required fields: Name, Job Title, Company, and Work Experience"
+MSG_LETTER_STYLE = "Invalid template style selected."
+MSG_UPLOAD_BOTH = "Please upload both resume and job description"
+MSG_UPLOAD_FORMAT = "Invalid file format. Resume must be PDF/DOCX, JD must be PDF/DOCX/TXT"
+MSG_EMAIL_TAKEN = "Email already registered"
+
+# --- fixed values: record rendering ---
+NO_LINK = "No Link"
+NO_LINK_HREF = "#"
+DEFAULT_SUMMARY_HEAD = "Adaptive and versatile Frontend Developer with "
+DEFAULT_SUMMARY_TAIL = " years of experience in HTML, CSS, JavaScript, Python"
+
+# --- fixed values: section summaries and résumé suggestions ---
+SUM_SKILLS = ("Proficient in ", " with expertise aligned to job requirements.")
+SUM_NO_SKILLS = "No specific skills identified."
+SUM_EXPERIENCE = ("+ years of professional experience ", ".")
+SUM_FOCUS = "focusing on "
+SUM_RELEVANT = "in relevant roles"
+SUM_EDUCATION = ("Education: ", ".")
+SUM_NO_EDUCATION = "No education details provided."
+SUM_CERTS = ("Certified in ", ".")
+SUM_NO_CERTS = "No certifications listed."
+SUM_PROFESSIONAL = ("Skilled professional with expertise in ", ".")
+SUGGEST_SKILLS = ("[SUGGESTED: Add skills - ", "]")
+SUGGEST_SKILLS_NOTE = ("Added suggested skills (", ") to Skills section.")
+SUGGEST_KEYWORDS = ("[SUGGESTED: Add keywords - ", "]")
+SUGGEST_KEYWORDS_NOTE = ("Added suggested keywords (", ") to ", " section.")
+SUGGESTION_SPAN = ("<span class='suggestion'>", "</span>")

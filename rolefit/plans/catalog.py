@@ -56,3 +56,6 @@ def _report(spark, sf, **kw):
 @query("ats_report")
 def q_ats_report(spark, sf):
     return _report(spark, sf)
+
+
+from rolefit.plans import catalog_ops  # noqa: E402,F401  (registers the operator queries)

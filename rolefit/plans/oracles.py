@@ -39,3 +39,231 @@ SELECT resume_id, jd_id,
   list_filter(r, lambda x: list_contains(j, x)) AS matched_skills,
   r AS all_resume_skills, j AS all_jd_skills
 FROM pj""")
+
+# ===================================================================== helpers
+from rolefit import constants as K  # noqa: E402
+
+WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
+
+
+def STRIP(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def NORMX(x: str) -> str:
+    return NORM.format(x=x)
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def CSV_LIST(x: str) -> str:
+    return f"list_filter(list_transform(string_split({x}, ','), lambda s: {STRIP('s')}), lambda s: s <> '')"
+
+
+PROFILES_X = f"profiles_x AS (SELECT *, {CSV_LIST('skills_csv')} AS skills FROM profiles)"
+
+
+def with_(*ctes: str, fixtures=()) -> str:
+    head = duck_ctes(*fixtures) if fixtures else "WITH "
+    sep = ", " if fixtures else ""
+    return head + sep + ",\n".join(ctes) + "\n"
+
+
+# ===================================================================== P1–P7
+ORACLES["blank_line_collapse"] = (
+    f"SELECT doc_id, {STRIP(chr(32) + 'regexp_replace(text, ' + lit(chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n+') + ', chr(10), ' + lit('g') + ')')} AS text FROM documents")
+ORACLES["ws_normalise"] = f"SELECT doc_id, {NORMX('text')} AS norm FROM documents"
+ORACLES["text_preview"] = ("SELECT doc_id, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' "
+                           "ELSE text END AS preview FROM documents")
+_JT = r"(?i)job title:\s*([^\n]+)"
+ORACLES["jd_title"] = (duck_ctes("jd_fx") + f"SELECT jd_id, CASE WHEN regexp_matches(text, {lit(_JT)}) THEN "
+                       f"{STRIP('regexp_extract(text, ' + lit(_JT) + ', 1)')} ELSE {lit(K.DEFAULT_JD_TITLE)} END "
+                       "AS jd_title FROM jd_fx")
+ORACLES["head_lines"] = (duck_ctes("resume_fx") + "SELECT resume_id, array_to_string(string_split(text, chr(10))[1:5], ' ') "
+                         "AS head FROM resume_fx")
+ORACLES["entity_extract"] = duck_ctes("resume_fx") + f"""SELECT resume_id,
+  {STRIP("regexp_extract(text, '(?m)^([A-Za-z\\s]+)\\n', 1)")} AS name,
+  regexp_extract(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}') AS email,
+  regexp_extract(text, '\\b\\d{{3}}[-.]?\\d{{3}}[-.]?\\d{{4}}\\b') AS phone,
+  {STRIP("regexp_extract(text, '(?:Professional Experience|Work Experience)[\\s\\S]*?(\\w+\\s+\\w+)', 1)")} AS job_title,
+  CASE WHEN regexp_extract(text, '(\\d+)\\s*(?:year|yrs|years)', 1) = '' THEN 0
+       ELSE TRY_CAST(regexp_extract(text, '(\\d+)\\s*(?:year|yrs|years)', 1) AS BIGINT) END AS experience_years,
+  CASE WHEN regexp_extract(text, '(?:Skills|Technical Skills)[\\s\\S]*?((?:[A-Za-z\\s,]+))', 1) = '' THEN []::VARCHAR[]
+       ELSE list_transform(string_split(regexp_extract(text, '(?:Skills|Technical Skills)[\\s\\S]*?((?:[A-Za-z\\s,]+))', 1), ','),
+                           lambda s: {STRIP('s')}) END AS skills
+FROM resume_fx"""
+
+# ===================================================================== P8–P16
+_ADJ = "(?i)\\b(" + "|".join(K.TITLE_ADJECTIVES) + ")\\b\\s*"
+
+
+def CLEAN_TITLE(x):
+    return STRIP(f"regexp_replace({x}, {lit(_ADJ)}, '', 'g')")
+
+
+def SUMMARY_PROMPT(title, years, skills):
+    return (f"concat({lit(K.SUMMARY_PROMPT_HEAD)}, {CLEAN_TITLE(title)}, {lit(K.SUMMARY_PROMPT_MID1)}, "
+            f"CAST({years} AS VARCHAR), {lit(K.SUMMARY_PROMPT_MID2)}, array_to_string({skills}, ', '), "
+            f"{lit(K.SUMMARY_PROMPT_TAIL)})")
+
+
+LETTER_PROMPT = ("concat(" + ", ".join(
+    f"{lit(lab)}, {v}, chr(10)" for lab, v in zip(K.LETTER_PROMPT_LABELS[:-1],
+                                                  ["job_title", "company", "applicant_name", "experience", "skills"]))
+    + f", {lit(K.LETTER_PROMPT_LABELS[-1])})")
+
+GEN_LETTERS = f"""gen AS (SELECT *, CASE request_id % 3
+    WHEN 0 THEN concat({LETTER_PROMPT}, 'Dear team, I apply.')
+    WHEN 1 THEN concat({LETTER_PROMPT}, 'Draft', chr(10), 'Cover Letter: Final letter for ', company, '.  ')
+    ELSE concat('Dear team,', chr(10), 'I apply for ', job_title, '.') END AS generated FROM letter_requests)"""
+
+LETTER_BODY = STRIP("string_split(generated, " + lit(K.LETTER_MARKER) + ")[-1]")
+
+ORACLES["title_cleanup"] = duck_ctes("profiles") + f"SELECT profile_id, {CLEAN_TITLE('job_title')} AS clean_title FROM profiles"
+ORACLES["prompt_build"] = (with_(PROFILES_X, fixtures=("profiles",))
+                           + f"SELECT profile_id, {SUMMARY_PROMPT('job_title', 'experience_years', 'skills')} AS prompt FROM profiles_x")
+ORACLES["letter_prompt_build"] = duck_ctes("letter_requests") + f"SELECT request_id, {LETTER_PROMPT} AS prompt FROM letter_requests"
+ORACLES["generated_cleanup"] = with_(
+    PROFILES_X,
+    f"""g AS (SELECT profile_id, skills, {SUMMARY_PROMPT('job_title', 'experience_years', 'skills')} AS prompt FROM profiles_x)""",
+    f"""g2 AS (SELECT profile_id, skills, prompt, concat(prompt, ' ### Response: Experienced ', lower(array_to_string(skills, ', ')),
+        ' specialist.', chr(10), chr(10), 'Second paragraph.') AS generated FROM g)""",
+    f"""g3 AS (SELECT profile_id, skills, {STRIP("substring(generated, length(prompt) + 1)")} AS s1 FROM g2)""",
+    f"""g4 AS (SELECT profile_id, skills, {STRIP("regexp_replace(s1, '(?i)###\\s*Response:?\\s*', '', 'g')")} AS s2 FROM g3)""",
+    f"""g5 AS (SELECT profile_id, skills, {STRIP("string_split(s2, chr(10) || chr(10))[1]")} AS s3 FROM g4)""",
+    fixtures=("profiles",)) + "SELECT profile_id, list_reduce(skills, lambda acc, k: replace(acc, lower(k), k), s3) AS summary FROM g5"
+ORACLES["letter_body"] = with_(GEN_LETTERS, fixtures=("letter_requests",)) + f"SELECT request_id, {LETTER_BODY} AS letter_body FROM gen"
+
+_TODAY = "strftime(DATE '2025-01-15', '%d %B %Y')"
+_TAIL = f"chr(10), chr(10), {_TODAY}, chr(10), chr(10), recruiter, chr(10), company, chr(10), company_address, chr(10), chr(10)"
+_PARTS = "string_split(address, ',')"
+ORACLES["mail_merge"] = with_(GEN_LETTERS, f"b AS (SELECT *, {LETTER_BODY} AS body FROM gen)",
+                              fixtures=("letter_requests",)) + f"""SELECT request_id, CASE template_choice
+  WHEN 'Minimal' THEN concat(upper(applicant_name), chr(10), address, ' | ', phone, ' | ', email, {_TAIL}, body)
+  WHEN 'Formal' THEN concat(upper(applicant_name), {lit(' ' * K.FORMAL_NAME_GAP)},
+       CASE WHEN len({_PARTS}) > 1 THEN {STRIP(_PARTS + '[2]')} ELSE '' END, ', ',
+       CASE WHEN len({_PARTS}) > 2 THEN {STRIP(_PARTS + '[3]')} ELSE '' END, chr(10),
+       {lit(' ' * K.FORMAL_CONTACT_INDENT)}, phone, ' | ', email, chr(10), {lit(K.FORMAL_RULE)}, {_TAIL}, body)
+  WHEN 'Modern' THEN concat(upper(applicant_name), chr(10), upper(job_title), chr(10), chr(10), address, ' | ', phone, ' | ',
+       email, chr(10), {lit(K.MODERN_RULE)}, {_TAIL}, 'Dear ',
+       CASE WHEN {STRIP('recruiter')} = '' THEN {lit(K.DEFAULT_GREETING_NAME)}
+            ELSE regexp_split_to_array({STRIP('recruiter')}, '\\s+')[1] END, ',', chr(10), chr(10), body)
+  ELSE body END AS letter FROM b"""
+
+_SPLIT = "string_split(x, ' - ')"
+ORACLES["profile_validation"] = with_(PROFILES_X, f"""v AS (SELECT profile_id,
+  (name <> '' AND email <> '' AND phone <> '' AND job_title <> '' AND coalesce(experience_years, 0) <> 0 AND len(skills) > 0) AS req,
+  list_filter(list_transform(list_filter(string_split(experience, chr(10)), lambda x: {STRIP('x')} <> ''),
+     lambda x: CASE WHEN len({_SPLIT}) < 3 THEN 1 WHEN len({_SPLIT}) >= 4 AND {STRIP(_SPLIT + '[4]')} = '' THEN 2 ELSE 0 END),
+     lambda c: c > 0)[1] AS first FROM profiles_x)""",
+    f"""w AS (SELECT profile_id, CASE WHEN NOT req THEN {lit(K.MSG_PROFILE_REQUIRED)}
+       WHEN first = 1 THEN {lit(K.MSG_PROFILE_EXPERIENCE_PARTS)} WHEN first = 2 THEN {lit(K.MSG_PROFILE_ACHIEVEMENTS)} END AS reject_reason FROM v)""",
+    fixtures=("profiles",)) + "SELECT profile_id, reject_reason IS NULL AS valid, reject_reason FROM w"
+ORACLES["letter_validation"] = duck_ctes("letter_requests") + f"""SELECT request_id, reject_reason IS NULL AS valid, reject_reason FROM (
+  SELECT request_id, CASE WHEN NOT (applicant_name <> '' AND job_title <> '' AND company <> '' AND experience <> '')
+    THEN {lit(K.MSG_LETTER_REQUIRED)} WHEN template_choice NOT IN ('Minimal', 'Formal', 'Modern')
+    THEN {lit(K.MSG_LETTER_STYLE)} END AS reject_reason FROM letter_requests) AS t"""
+ORACLES["csv_skills"] = with_(PROFILES_X, fixtures=("profiles",)) + "SELECT profile_id, skills FROM profiles_x"
+ORACLES["letter_defaults"] = with_(PROFILES_X, fixtures=("letter_requests", "profiles")) + """SELECT l.request_id,
+  CASE WHEN l.applicant_name = '' THEN coalesce(p.name, '') ELSE l.applicant_name END AS applicant_name,
+  CASE WHEN l.address = '' THEN coalesce(p.location, '') ELSE l.address END AS address,
+  CASE WHEN l.phone = '' THEN coalesce(p.phone, '') ELSE l.phone END AS phone,
+  CASE WHEN l.email = '' THEN coalesce(p.email, '') ELSE l.email END AS email,
+  CASE WHEN l.job_title = '' THEN coalesce(p.job_title, '') ELSE l.job_title END AS job_title,
+  l.company, l.recruiter, l.company_address, l.experience,
+  CASE WHEN l.skills = '' THEN coalesce(array_to_string(p.skills, ', '), '') ELSE l.skills END AS skills,
+  CASE WHEN l.template_choice = '' THEN 'Minimal' ELSE l.template_choice END AS template_choice
+FROM letter_requests l LEFT JOIN profiles_x p ON p.profile_id = l.request_id"""
+
+
+# ===================================================================== X1–X6
+def ENTRIES(field, sep="chr(10)"):
+    return f"""e AS (SELECT profile_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS entry
+  FROM (SELECT profile_id, string_split({field}, {sep}) AS l FROM profiles_x) AS s),
+ep AS (SELECT profile_id, pos, string_split(entry, ' - ') AS p FROM e WHERE {STRIP('entry')} <> '')"""
+
+
+def PART(i, default="''"):
+    return f"CASE WHEN len(p) > {i} THEN p[{i + 1}] ELSE {default} END"
+
+
+def POINTS(x):
+    return f"list_filter(list_transform(string_split({x}, ';'), lambda a: {STRIP('a')}), lambda a: a <> '')"
+
+
+def OUTER(arr, val, pos):
+    return (f"unnest(CASE WHEN len({arr}) = 0 THEN [NULL::INTEGER] ELSE list_transform(range(len({arr})), "
+            f"lambda i: CAST(i AS INTEGER)) END) AS {pos}, "
+            f"unnest(CASE WHEN len({arr}) = 0 THEN [NULL::VARCHAR] ELSE {arr} END) AS {val}")
+
+
+ORACLES["explode_education"] = with_(PROFILES_X, ENTRIES("education"), fixtures=("profiles",)) + (
+    f"SELECT profile_id, pos, p[1] AS name, {PART(1)} AS dates, {PART(2)} AS degree, {PART(3)} AS detail FROM ep")
+ORACLES["explode_experience"] = with_(PROFILES_X, ENTRIES("experience"), f"""x AS (SELECT *, CASE WHEN len(p) > 3
+  THEN {POINTS('p[4]')} ELSE []::VARCHAR[] END AS ach FROM ep)""", fixtures=("profiles",)) + (
+    f"SELECT profile_id, pos, p[1] AS title, {PART(1)} AS company, {PART(2)} AS dates, "
+    f"{OUTER('ach', 'achievement', 'ach_pos')} FROM x")
+ORACLES["explode_projects"] = with_(PROFILES_X, ENTRIES("projects", "chr(10) || chr(10)"), fixtures=("profiles",)) + (
+    f"SELECT profile_id, pos, p[1] AS name, {PART(1)} AS language, {PART(2)} AS description, "
+    f"{PART(3, lit(K.NO_LINK))} AS link, {PART(3, lit(K.NO_LINK_HREF))} AS href FROM ep")
+ORACLES["explode_certs"] = with_(PROFILES_X, ENTRIES("certifications"), f"""x AS (SELECT *, CASE WHEN len(p) > 1
+  THEN {POINTS('p[2]')} ELSE []::VARCHAR[] END AS pts FROM ep)""", fixtures=("profiles",)) + (
+    f"SELECT profile_id, pos, p[1] AS name, {OUTER('pts', 'point', 'point_pos')} FROM x")
+ORACLES["default_summary"] = duck_ctes("profiles") + (
+    f"SELECT profile_id, CASE WHEN coalesce(summary, '') = '' THEN concat({lit(K.DEFAULT_SUMMARY_HEAD)}, "
+    f"CAST(coalesce(experience_years, 0) AS VARCHAR), {lit(K.DEFAULT_SUMMARY_TAIL)}) ELSE summary END AS summary FROM profiles")
+ORACLES["chat_render"] = (
+    "SELECT conv_id, string_agg(CASE WHEN role IN ('user', 'system', 'assistant') THEN concat('<|', role, '|>', chr(10), "
+    f"coalesce(text, ''), {lit(K.EOS_TOKEN)}, chr(10)) ELSE '' END, '' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id")
+
+
+# ===================================================================== T1–T4, T6
+def SECTIONS(src, idc, vocab):
+    words = "|".join(w.lower() for w in vocab)
+    return f"""raw AS (SELECT id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS line
+  FROM (SELECT {idc} AS id, string_split(text, chr(10)) AS l FROM {src}) AS s),
+ln AS (SELECT id, pos, {STRIP('line')} AS line FROM raw WHERE {STRIP('line')} <> ''),
+hd AS (SELECT id, pos, line, CASE WHEN regexp_full_match(line, '(?i)({words})') THEN lower(line) END AS hkey FROM ln),
+inst AS (SELECT *, sum(CASE WHEN hkey IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS k,
+  coalesce(last_value(hkey IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'header') AS section
+  FROM hd),
+keys AS (SELECT {idc} AS id, 'header' AS section, -1 AS first_pos, 0 AS last_k FROM {src}
+  UNION ALL SELECT id, hkey, min(pos), max(k) FROM inst WHERE hkey IS NOT NULL GROUP BY id, hkey),
+content AS (SELECT i.id, i.section, list(i.line ORDER BY i.pos) AS lines FROM inst i
+  JOIN keys k ON k.id = i.id AND k.section = i.section AND i.k = k.last_k WHERE i.hkey IS NULL GROUP BY i.id, i.section),
+secs AS (SELECT k.id, CAST(row_number() OVER (PARTITION BY k.id ORDER BY k.first_pos) - 1 AS INTEGER) AS section_pos,
+  k.section, coalesce(c.lines, []::VARCHAR[]) AS lines FROM keys k LEFT JOIN content c ON c.id = k.id AND c.section = k.section)"""
+
+
+ORACLES["resume_sections"] = with_(SECTIONS("resume_fx", "resume_id", K.RESUME_HEADERS), fixtures=("resume_fx",)) + (
+    "SELECT id AS resume_id, section_pos, section, lines FROM secs")
+ORACLES["jd_sections"] = with_(SECTIONS("jd_fx", "jd_id", K.JD_HEADERS), fixtures=("jd_fx",)) + (
+    "SELECT id AS jd_id, section_pos, section, lines FROM secs")
+_TITLE = "array_to_string(list_transform(string_split(section, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+ORACLES["format_sections"] = with_(SECTIONS("resume_fx", "resume_id", K.RESUME_HEADERS), fixtures=("resume_fx",)) + f"""
+SELECT r.resume_id, coalesce({STRIP("string_agg(concat(" + _TITLE + ", chr(10), repeat('-', length(section)), chr(10), chr(10), array_to_string(lines, chr(10)), chr(10), chr(10)), chr(10) ORDER BY section_pos)")}, '') AS formatted
+FROM resume_fx r LEFT JOIN secs s ON s.id = r.resume_id AND len(s.lines) > 0 GROUP BY r.resume_id"""
+
+_HIT = "contains(line, '{s}') OR regexp_full_match(line, '-{{3,}}')"
+ORACLES["section_presence"] = duck_ctes("resume_fx") + ", " + f"""raw AS (SELECT id, unnest(range(len(l))) AS pos, unnest(l) AS line
+  FROM (SELECT resume_id AS id, string_split(text, chr(10)) AS l FROM resume_fx) AS s),
+nl AS (SELECT id, pos, {NORMX('line')} AS line FROM raw),
+h AS (SELECT id, """ + ", ".join(
+    f"CAST(coalesce(min(CASE WHEN {_HIT.format(s=s)} THEN pos + 1 END), 0) AS INTEGER) AS {s}_line"
+    for s, _ in K.SECTION_WEIGHTS) + """ FROM nl GROUP BY id),
+sc AS (SELECT *, (CASE WHEN skills_line > 0 THEN 40 ELSE 0 END + CASE WHEN experience_line > 0 THEN 30 ELSE 0 END
+    + CASE WHEN education_line > 0 THEN 20 ELSE 0 END + CASE WHEN certifications_line > 0 THEN 10 ELSE 0 END) AS ws,
+  CASE WHEN skills_line = 0 THEN 0 WHEN experience_line = 0 OR experience_line < skills_line THEN 1
+       WHEN education_line = 0 OR education_line < experience_line THEN 2
+       WHEN certifications_line = 0 OR certifications_line < education_line THEN 3 ELSE 4 END AS prefix FROM h)
+SELECT id AS resume_id, CAST(least(ws + least(prefix * 10, 30), 100) AS DOUBLE) AS section_score,
+  list_filter([CASE WHEN skills_line = 0 THEN 'skills' END, CASE WHEN experience_line = 0 THEN 'experience' END,
+               CASE WHEN education_line = 0 THEN 'education' END], lambda x: x IS NOT NULL) AS missing_sections,
+  skills_line, experience_line, education_line, certifications_line FROM sc"""
+
+ORACLES["total_years"] = with_(SECTIONS("resume_fx", "resume_id", K.RESUME_HEADERS), fixtures=("resume_fx",)) + """
+SELECT id AS resume_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(lower(array_to_string(lines, chr(10))), '\\d{4}[-–]\\d{4}'),
+  lambda m: CAST(m[-4:] AS INTEGER) - CAST(m[1:4] AS INTEGER))), 0) AS INTEGER) AS total_years
+FROM secs WHERE section = 'experience'"""

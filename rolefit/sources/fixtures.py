@@ -137,7 +137,8 @@ FIXTURE_SQL = {"skill_fx": SKILL_FX_SQL, "resume_fx": RESUME_FX_SQL, "jd_fx": JD
 
 def duck_ctes(*names: str) -> str:
     """``WITH a AS (...), b AS (...)`` head for a DuckDB oracle."""
-    parts = [f"{n} AS ({FIXTURE_SQL[n].format(**_DUCK)})" for n in names]
+    from rolefit.sources.forms import VIEWS, duck_view
+    parts = [f"{n} AS ({duck_view(n) if n in VIEWS else FIXTURE_SQL[n].format(**_DUCK)})" for n in names]
     return "WITH " + ",\n".join(parts) + "\n"
 
 
