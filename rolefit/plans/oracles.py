@@ -267,3 +267,142 @@ ORACLES["total_years"] = with_(SECTIONS("resume_fx", "resume_id", K.RESUME_HEADE
 SELECT id AS resume_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(lower(array_to_string(lines, chr(10))), '\\d{4}[-–]\\d{4}'),
   lambda m: CAST(m[-4:] AS INTEGER) - CAST(m[1:4] AS INTEGER))), 0) AS INTEGER) AS total_years
 FROM secs WHERE section = 'experience'"""
+
+
+# ===================================================================== W1–W6, E1–E3, V1–V5
+PHRASE_RX = "\\b(?:\\w+\\s+\\w+|\\w{4,})\\b"
+TOKEN_RX = "\\w+|[^\\w\\s]"
+DATE_RX = "(?:" + "|".join(K.MONTHS) + ")?\\s*\\d{1,2}[-/]\\d{2,4}|\\d{4}[-–]\\d{4}"
+
+
+def TF(src_expr: str, idc: str, src: str, name: str) -> str:
+    """Long term-frequency table of the first 512 tokens."""
+    return f"""{name} AS (SELECT id, t AS term, count(*) AS tf FROM (
+  SELECT {idc} AS id, unnest(regexp_extract_all(lower({src_expr}), {lit(TOKEN_RX)})[1:512]) AS t FROM {src}) AS x GROUP BY id, t)"""
+
+
+def COS(a: str, b: str, pairs: str, out: str) -> str:
+    """Exact integer dot product and norms; cosine = dot / sqrt(|a|²·|b|²)."""
+    return f"""{out} AS (SELECT p.resume_id, p.jd_id,
+  CASE WHEN coalesce(na.n, 0) = 0 OR coalesce(nb.n, 0) = 0 THEN 0.0
+       ELSE CAST(coalesce(d.dot, 0) AS DOUBLE) / sqrt(CAST(na.n * nb.n AS DOUBLE)) END AS cos
+  FROM {pairs} p
+  LEFT JOIN (SELECT id, sum(tf * tf) AS n FROM {a} GROUP BY id) na ON na.id = p.resume_id
+  LEFT JOIN (SELECT id, sum(tf * tf) AS n FROM {b} GROUP BY id) nb ON nb.id = p.jd_id
+  LEFT JOIN (SELECT pp.resume_id, pp.jd_id, sum(x.tf * y.tf) AS dot FROM {pairs} pp
+             JOIN {a} x ON x.id = pp.resume_id JOIN {b} y ON y.id = pp.jd_id AND y.term = x.term
+             GROUP BY pp.resume_id, pp.jd_id) d ON d.resume_id = p.resume_id AND d.jd_id = p.jd_id)"""
+
+
+def HEAD(x: str) -> str:
+    return f"array_to_string(string_split({x}, chr(10))[1:5], ' ')"
+
+
+JD_TITLE_X = (f"CASE WHEN regexp_matches(text, {lit(_JT)}) THEN {STRIP('regexp_extract(text, ' + lit(_JT) + ', 1)')} "
+              f"ELSE {lit(K.DEFAULT_JD_TITLE)} END")
+
+ORACLES["phrase_extract"] = duck_ctes("resume_fx") + f"""SELECT resume_id, CAST(unnest(range(len(ps))) AS INTEGER) AS pos, unnest(ps) AS phrase
+FROM (SELECT resume_id, regexp_extract_all({NORMX('text')}, {lit(PHRASE_RX)}) AS ps FROM resume_fx) AS x"""
+
+JD_PHRASES = f"""jp AS (SELECT jd_id, phrase, count(*) AS cnt, CAST(min(pos) AS INTEGER) AS first_pos FROM (
+  SELECT jd_id, unnest(range(len(ps))) AS pos, unnest(ps) AS phrase
+  FROM (SELECT jd_id, regexp_extract_all({NORMX('text')}, {lit(PHRASE_RX)}) AS ps FROM jd_fx) AS a) AS b GROUP BY jd_id, phrase)"""
+RES_PHRASES = f"""rp AS (SELECT DISTINCT resume_id, unnest(regexp_extract_all({NORMX('text')}, {lit(PHRASE_RX)})) AS phrase FROM resume_fx)"""
+RES_WORDS = f"""rw AS (SELECT resume_id, CASE WHEN {NORMX('text')} = '' THEN 0 ELSE len(string_split({NORMX('text')}, ' ')) END AS words FROM resume_fx)"""
+
+ORACLES["phrase_counts"] = with_(JD_PHRASES, fixtures=("jd_fx",)) + "SELECT jd_id, phrase, cnt, first_pos FROM jp"
+ORACLES["keyword_density"] = with_(JD_PHRASES, RES_PHRASES, RES_WORDS, """num AS (SELECT p.resume_id, p.jd_id, sum(jp.cnt) AS n
+  FROM pairs_fx p JOIN jp ON jp.jd_id = p.jd_id JOIN rp ON rp.resume_id = p.resume_id AND rp.phrase = jp.phrase
+  GROUP BY p.resume_id, p.jd_id)""", """d AS (SELECT p.resume_id, p.jd_id, CASE WHEN rw.words > 0
+  THEN CAST(coalesce(num.n, 0) AS DOUBLE) / rw.words * 100.0 ELSE 0.0 END AS keyword_density
+  FROM pairs_fx p JOIN rw ON rw.resume_id = p.resume_id
+  LEFT JOIN num ON num.resume_id = p.resume_id AND num.jd_id = p.jd_id)""",
+    fixtures=("resume_fx", "jd_fx", "pairs_fx")) + """SELECT resume_id, jd_id, keyword_density,
+  CASE WHEN keyword_density >= 0.5 AND keyword_density <= 1.5 THEN 100.0 WHEN keyword_density < 0.5 THEN 60.0 ELSE 30.0 END
+  AS keyword_density_score FROM d"""
+ORACLES["missing_keywords"] = with_(JD_PHRASES, RES_PHRASES, """m AS (SELECT p.resume_id, p.jd_id,
+  list(jp.phrase ORDER BY jp.first_pos)[1:5] AS mk FROM pairs_fx p JOIN jp ON jp.jd_id = p.jd_id AND jp.cnt > 1
+  WHERE NOT EXISTS (SELECT 1 FROM rp WHERE rp.resume_id = p.resume_id AND rp.phrase = jp.phrase)
+  GROUP BY p.resume_id, p.jd_id)""", fixtures=("resume_fx", "jd_fx", "pairs_fx")) + """SELECT p.resume_id, p.jd_id,
+  coalesce(m.mk, []::VARCHAR[]) AS missing_keywords FROM pairs_fx p LEFT JOIN m ON m.resume_id = p.resume_id AND m.jd_id = p.jd_id"""
+ORACLES["matched_keywords"] = with_(
+    f"r6 AS (SELECT DISTINCT resume_id, unnest(regexp_extract_all(lower(text), {lit(PHRASE_RX)})) AS phrase FROM resume_fx)",
+    f"j6 AS (SELECT DISTINCT jd_id, unnest(regexp_extract_all(lower(text), {lit(PHRASE_RX)})) AS phrase FROM jd_fx)",
+    """m AS (SELECT p.resume_id, p.jd_id, list_sort(list(j6.phrase))[1:10] AS mk FROM pairs_fx p
+  JOIN j6 ON j6.jd_id = p.jd_id JOIN r6 ON r6.resume_id = p.resume_id AND r6.phrase = j6.phrase GROUP BY p.resume_id, p.jd_id)""",
+    fixtures=("resume_fx", "jd_fx", "pairs_fx")) + """SELECT p.resume_id, p.jd_id, coalesce(m.mk, []::VARCHAR[]) AS matched_keywords
+FROM pairs_fx p LEFT JOIN m ON m.resume_id = p.resume_id AND m.jd_id = p.jd_id"""
+
+RANGES = f"""mt AS (SELECT side, doc_id, unnest(range(len(ms))) AS mpos, unnest(ms) AS m FROM (
+  SELECT 'resume' AS side, resume_id AS doc_id, regexp_extract_all(lower(text), {lit(DATE_RX)}) AS ms FROM resume_fx
+  UNION ALL SELECT 'jd', jd_id, regexp_extract_all(lower(text), {lit(DATE_RX)}) FROM jd_fx) AS a),
+pt AS (SELECT side, doc_id, mpos, regexp_split_to_array(replace(m, '–', '-'), '[-/]') AS parts FROM mt),
+yr AS (SELECT side, doc_id, mpos, len(parts) AS n, TRY_CAST({STRIP("parts[1][-4:]")} AS INTEGER) AS start_year,
+  TRY_CAST({STRIP("parts[2][-4:]")} AS INTEGER) AS end_year FROM pt),
+rg AS (SELECT side, doc_id, CAST(row_number() OVER (PARTITION BY side, doc_id ORDER BY mpos) - 1 AS INTEGER) AS pos,
+  start_year, end_year FROM yr WHERE n = 2 AND start_year <= end_year AND end_year <= {K.CURRENT_YEAR})"""
+OVERLAP = """ov AS (SELECT p.resume_id, p.jd_id, EXISTS (SELECT 1 FROM rg r JOIN rg j ON j.side = 'jd' AND j.doc_id = p.jd_id
+  AND r.end_year >= j.start_year AND r.start_year <= j.end_year WHERE r.side = 'resume' AND r.doc_id = p.resume_id) AS overlap
+  FROM pairs_fx p)"""
+ORACLES["year_ranges"] = with_(RANGES, fixtures=("resume_fx", "jd_fx")) + "SELECT side, doc_id, pos, start_year, end_year FROM rg"
+ORACLES["experience_overlap"] = with_(RANGES, OVERLAP, fixtures=("resume_fx", "jd_fx", "pairs_fx")) + \
+    "SELECT resume_id, jd_id, overlap FROM ov"
+HEAD_TFS = [TF(HEAD("text"), "resume_id", "resume_fx", "rt"), TF(HEAD("text"), "jd_id", "jd_fx", "jt"),
+            COS("rt", "jt", "pairs_fx", "rs")]
+ORACLES["experience_score"] = with_(RANGES, OVERLAP, *HEAD_TFS, fixtures=("resume_fx", "jd_fx", "pairs_fx")) + """
+SELECT ov.resume_id, ov.jd_id, ov.overlap, rs.cos AS role_similarity,
+  CASE WHEN ov.overlap AND rs.cos > 0.7 THEN 100.0 WHEN ov.overlap OR rs.cos > 0.7 THEN 70.0 ELSE 40.0 END AS experience_score
+FROM ov JOIN rs ON rs.resume_id = ov.resume_id AND rs.jd_id = ov.jd_id"""
+ORACLES["role_similarity"] = with_(*HEAD_TFS, fixtures=("resume_fx", "jd_fx", "pairs_fx")) + \
+    "SELECT resume_id, jd_id, cos AS role_similarity FROM rs"
+ORACLES["job_title_score"] = with_(TF(HEAD("text"), "resume_id", "resume_fx", "rt"),
+                                   TF("lower(" + JD_TITLE_X + ")", "jd_id", "jd_fx", "tt"),
+                                   COS("rt", "tt", "pairs_fx", "ts"), fixtures=("resume_fx", "jd_fx", "pairs_fx")) + \
+    "SELECT resume_id, jd_id, least(cos * 100.0, 100.0) AS job_title_score FROM ts"
+ORACLES["tf_vectors"] = with_(TF("text", "resume_id", "resume_fx", "rt"), fixtures=("resume_fx",)) + \
+    "SELECT id AS resume_id, term, tf FROM rt"
+CENTROID = """ce AS (SELECT label, list(x ORDER BY pos) AS centroid FROM (
+  SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM (
+    SELECT label, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings) a
+  GROUP BY label, pos) b GROUP BY label)"""
+ORACLES["centroid"] = with_(CENTROID) + "SELECT label, centroid FROM ce"
+ORACLES["cosine_pairs"] = with_(CENTROID) + """SELECT e.vec_id, CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE dot / (sqrt(na) * sqrt(nb)) END AS cosine
+FROM (SELECT e.vec_id,
+  list_reduce(list_transform(list_zip(e.embedding, c.centroid), lambda z: CAST(z[1] AS DOUBLE) * z[2]), lambda a, b: a + b, 0.0) AS dot,
+  list_reduce(list_transform(e.embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda a, b: a + b, 0.0) AS na,
+  list_reduce(list_transform(c.centroid, lambda v: v * v), lambda a, b: a + b, 0.0) AS nb
+  FROM embeddings e JOIN ce c ON c.label = e.label) e"""
+
+
+# ===================================================================== C1, C2
+_FONTS = ", ".join(lit(f) for f in K.ATS_FONTS)
+ORACLES["formatting_score"] = duck_ctes("layout_chars", "layout_pages", "files") + f""",
+c AS (SELECT doc_id, bool_or(list_bool_or(list_transform([{_FONTS}], lambda a: contains(a, lower(fontname))))) AS friendly,
+  avg(CAST(size AS DOUBLE)) AS avg_size FROM layout_chars GROUP BY doc_id),
+p AS (SELECT doc_id, bool_or(n_tables > 0) AS tables, bool_or(n_images > 0) AS images, arg_min(width, page_no) AS first_width,
+  bool_and(coalesce(text, '') = '') AS all_empty FROM layout_pages GROUP BY doc_id),
+d AS (SELECT coalesce(c.doc_id, p.doc_id) AS doc_id, coalesce(friendly, false) AS friendly, coalesce(avg_size, 11.0) AS size,
+  coalesce(tables, false) AS tables, coalesce(images, false) AS images, coalesce(first_width / 72.0, 1.0) AS margin,
+  coalesce(all_empty, true) AS scanned FROM c FULL OUTER JOIN p ON p.doc_id = c.doc_id),
+s AS (SELECT doc_id, least(100.0 - CASE WHEN NOT friendly THEN 30 ELSE 0 END - CASE WHEN NOT (size >= 10 AND size <= 12) THEN 20 ELSE 0 END
+    - CASE WHEN tables THEN 20 ELSE 0 END - CASE WHEN images THEN 20 ELSE 0 END
+    - CASE WHEN NOT (margin >= 0.8 AND margin <= 1.2) THEN 10 ELSE 0 END - CASE WHEN scanned THEN 30 ELSE 0 END, 100.0) AS sc,
+  list_filter([CASE WHEN NOT friendly THEN {lit(K.MSG_FONT)} END, CASE WHEN NOT (size >= 10 AND size <= 12) THEN {lit(K.MSG_FONT_SIZE)} END,
+    CASE WHEN tables THEN {lit(K.MSG_TABLES)} END, CASE WHEN images THEN {lit(K.MSG_IMAGES)} END,
+    CASE WHEN NOT (margin >= 0.8 AND margin <= 1.2) THEN {lit(K.MSG_MARGINS)} END, CASE WHEN scanned THEN {lit(K.MSG_SCANNED)} END],
+    lambda x: x IS NOT NULL) AS iss FROM d)
+SELECT f.doc_id, CASE WHEN s.doc_id IS NULL OR ends_with(f.path, '.docx') THEN 0.0 ELSE CAST(s.sc AS DOUBLE) END AS formatting_score,
+  CASE WHEN s.doc_id IS NULL OR ends_with(f.path, '.docx') THEN [{lit(K.MSG_FORMAT_ERROR)}] ELSE s.iss END AS formatting_issues
+FROM files f LEFT JOIN s ON s.doc_id = f.doc_id"""
+ORACLES["file_format_score"] = duck_ctes("files") + f""", v AS (SELECT doc_id, path,
+  TRY_CAST(coalesce(pdf_version, '1.4') AS DOUBLE) AS ver, coalesce(encoding, 'UTF-8') AS enc FROM files)
+SELECT doc_id,
+  CASE WHEN ends_with(path, '.pdf') AND ver IS NULL THEN 0.0
+       WHEN ends_with(path, '.pdf') THEN 100.0 - CASE WHEN NOT (ver >= 1.4 AND ver <= 1.7) THEN 20 ELSE 0 END
+            - CASE WHEN enc NOT IN ('UTF-8', 'ASCII') THEN 20 ELSE 0 END
+       WHEN ends_with(path, '.docx') THEN 80.0 ELSE 20.0 END AS file_format_score,
+  CASE WHEN ends_with(path, '.pdf') AND ver IS NULL THEN [{lit(K.MSG_FILE_ERROR)}]
+       WHEN ends_with(path, '.pdf') THEN list_filter([CASE WHEN NOT (ver >= 1.4 AND ver <= 1.7) THEN {lit(K.MSG_PDF_VERSION)} END,
+            CASE WHEN enc NOT IN ('UTF-8', 'ASCII') THEN {lit(K.MSG_ENCODING)} END], lambda x: x IS NOT NULL)
+       WHEN ends_with(path, '.docx') THEN [{lit(K.MSG_DOCX)}] ELSE [{lit(K.MSG_OTHER_FORMAT)}] END AS file_format_issues
+FROM v"""
