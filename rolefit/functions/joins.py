@@ -18,3 +18,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     out = F.broadcast(df) if n <= max_rows else df
     out._size_checked = True
     return out
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint into the shared folder named by
+    ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""
+    from rolefit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

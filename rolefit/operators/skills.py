@@ -11,7 +11,7 @@ dictionary.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolefit.functions.joins import broadcast_if_small
@@ -85,3 +85,73 @@ def skill_gap_arrays(pairs: DataFrame, resume_sets: DataFrame, jd_sets: DataFram
                     F.array_except(j, r).alias("missing_skills"),
                     F.array_intersect(r, j).alias("matched_skills"),
                     r.alias("all_resume_skills"), j.alias("all_jd_skills"))
+
+
+# --------------------------------------------------------------------------
+# Fuzzy links over the dictionary vocabulary
+# --------------------------------------------------------------------------
+def _kmax(total: Column, sim: float) -> Column:
+    """Largest indel distance compatible with ratio > sim for total length ``total``:
+    ratio = 2M/T > sim needs T - 2·LCS < (1 - sim)·T."""
+    return (F.ceil(total * (1.0 - sim)) - 1).cast("int")
+
+
+def near_key_pairs(keys: DataFrame, threshold: int = 90, q: int = 2) -> DataFrame:
+    """Ordered pairs (a, b), a ≠ b, of token-sort keys with ``ratio(a, b) > threshold``.
+
+    Exact blocking: ratio > s implies indel distance k < (1-s)(|a|+|b|) and the
+    length bound; strings within edit distance k share at least
+    max(|a|,|b|) - q + 1 - k·q q-grams (occurrence-numbered), so with grams in
+    one global rarity order their prefixes of |G| - τ + 1 grams intersect.
+    Only candidates from the prefix join reach the exact ratio (pandas UDF)."""
+    from rolefit.functions.fuzzy import ratio_udf
+    sim = (threshold + 0.5) / 100.0
+    lo_f, hi_f = sim / (2 - sim), (2 - sim) / sim
+    k = keys.select(F.col("k").alias("s")).filter(F.length("s") >= 5).distinct()
+    n = F.length("s")
+    grams = k.select("s", F.posexplode(F.transform(F.sequence(F.lit(1), n - q + 1),
+                                                   lambda i: F.substring("s", i, q))).alias("pos", "g"))
+    occ = F.row_number().over(Window.partitionBy("s", "g").orderBy("pos"))
+    grams = grams.select("s", F.concat(F.col("g"), F.lit("#"), occ.cast("string")).alias("gid"))
+    freq = grams.groupBy("gid").agg(F.count(F.lit(1)).alias("df"))
+    ranked = grams.join(freq, "gid").withColumn(
+        "rk", F.row_number().over(Window.partitionBy("s").orderBy("df", "gid")))
+    lens = F.sequence(F.ceil(n * lo_f).cast("int"), F.floor(n * hi_f).cast("int"))
+    tau = F.aggregate(lens, F.lit(1 << 30), lambda acc, L: F.least(
+        acc, F.greatest(n, L) - q + 1 - q * _kmax(n + L, sim)))
+    pref = ranked.withColumn("p", F.when(tau <= 0, n).otherwise(n - q + 1 - tau + 1)).filter(F.col("rk") <= F.col("p"))
+    a = pref.select(F.col("s").alias("a"), "gid")
+    b = pref.select(F.col("s").alias("b"), "gid")
+    cand = a.join(b, "gid").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    la, lb = F.length("a"), F.length("b")
+    cand = cand.filter(F.abs(la - lb) <= _kmax(la + lb, sim))
+    hit = cand.filter(ratio_udf(F.col("a"), F.col("b")) > threshold)
+    return hit.unionByName(hit.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def cosine_string_pairs(strings: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """Ordered pairs (x, y), x ≠ y, whose term-frequency cosine exceeds ``threshold``.
+
+    Exact prefix filter: with tokens in ascending document frequency, a vector
+    whose suffix norm is at most ``threshold`` shares a prefix token with every
+    partner above the threshold; prefix tokens are joined to all tokens."""
+    from rolefit.operators.vectors import sparse_cosine_col, tf_vector_col
+    v = strings.select("s", tf_vector_col(F.col("s")).alias("v")).filter(F.size("v") > 0)
+    toks = v.select("s", F.explode("v").alias("e")).select("s", F.col("e.term").alias("term"), F.col("e.tf").alias("tf"))
+    dfreq = toks.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    t = toks.join(dfreq, "term")
+    w = Window.partitionBy("s").orderBy("df", "term")
+    tail = Window.partitionBy("s").orderBy("df", "term").rowsBetween(1, Window.unboundedFollowing)
+    t = (t.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("s")))
+         .withColumn("suffix2", F.coalesce(F.sum(F.col("tf") * F.col("tf")).over(tail), F.lit(0)))
+         .withColumn("rk", F.row_number().over(w)))
+    # keep token i while the norm of the tokens after the previous one exceeds threshold
+    prev_suffix = F.col("suffix2") + F.col("tf") * F.col("tf")
+    pref = t.filter(prev_suffix > threshold * threshold * F.col("norm2")).select(F.col("s").alias("x"), "term")
+    allt = toks.select(F.col("s").alias("y"), "term")
+    cand = pref.join(allt, "term").filter(F.col("x") != F.col("y")).select("x", "y").distinct()
+    vx = v.select(F.col("s").alias("x"), F.col("v").alias("vx"))
+    vy = v.select(F.col("s").alias("y"), F.col("v").alias("vy"))
+    c = cand.join(vx, "x").join(vy, "y")
+    hit = c.filter(sparse_cosine_col(F.col("vx"), F.col("vy")) > threshold).select("x", "y")
+    return hit.unionByName(hit.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()

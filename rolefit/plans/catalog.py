@@ -59,3 +59,52 @@ def q_ats_report(spark, sf):
 
 
 from rolefit.plans import catalog_ops  # noqa: E402,F401  (registers the operator queries)
+
+
+# ----------------------------------------------------------------- G3, G5–G8
+def _skill_pairs(spark, sf, fuzzy: bool):
+    from rolefit.functions.joins import broadcast_if_small, materialize
+    from rolefit.plans import report as rp
+    db = fx.skill_fx(spark, sf)
+    forms = broadcast_if_small(sk.surface_forms(db))
+    syn = broadcast_if_small(materialize(rp.synonym_table(db, fuzzy=fuzzy)))
+    resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
+    rf = rp.doc_skill_features(resumes, "resume_id", "text", db, forms, syn)
+    jf = rp.doc_skill_features(jds, "jd_id", "text", db, forms, syn)
+    x = fx.pairs_fx(spark, sf, resumes, jds).join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left")
+    matched, missing, score = rp.skill_match_cols()
+    return x.select("resume_id", "jd_id", matched.alias("matched_skills"), missing.alias("missing_skills"),
+                    score.alias("skill_match_score"))
+
+
+@query("skill_gap_long")
+def q_skill_gap_long(spark, sf):
+    g = q_skill_gap_arrays(spark, sf)
+    m = g.select("resume_id", "jd_id", F.explode("missing_skills").alias("skill_name"), F.lit("missing").alias("status"))
+    t = g.select("resume_id", "jd_id", F.explode("matched_skills").alias("skill_name"), F.lit("matched").alias("status"))
+    return m.unionByName(t)
+
+
+@query("skill_expand")
+def q_skill_expand(spark, sf):
+    from rolefit.functions.joins import broadcast_if_small
+    from rolefit.plans import report as rp
+    db = fx.skill_fx(spark, sf)
+    syn = broadcast_if_small(rp.synonym_table(db, fuzzy=False))
+    f = rp.doc_skill_features(fx.resume_fx(spark, sf), "resume_id", "text", db, sk.surface_forms(db), syn)
+    return f.select("resume_id", F.transform("exp", lambda x: x["s"]).alias("expanded"))
+
+
+@query("skill_score")
+def q_skill_score(spark, sf):
+    return _skill_pairs(spark, sf, fuzzy=False)
+
+
+@query("skill_fuzzy_match")
+def q_skill_fuzzy_match(spark, sf):
+    return _skill_pairs(spark, sf, fuzzy=True).select("resume_id", "jd_id", "matched_skills")
+
+
+@query("skill_missing_fuzzy")
+def q_skill_missing_fuzzy(spark, sf):
+    return _skill_pairs(spark, sf, fuzzy=True).select("resume_id", "jd_id", "missing_skills", "skill_match_score")

@@ -406,3 +406,44 @@ SELECT doc_id,
             CASE WHEN enc NOT IN ('UTF-8', 'ASCII') THEN {lit(K.MSG_ENCODING)} END], lambda x: x IS NOT NULL)
        WHEN ends_with(path, '.docx') THEN [{lit(K.MSG_DOCX)}] ELSE [{lit(K.MSG_OTHER_FORMAT)}] END AS file_format_issues
 FROM v"""
+
+
+# ===================================================================== G3, G5, G8 (exact rule)
+def TSKEY(x: str) -> str:
+    return ("array_to_string(list_sort(list_filter(string_split(lower(regexp_replace(regexp_replace("
+            f"{x}, '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9_]', ' ', 'g')), ' '), lambda w: w <> '')), ' ')")
+
+
+DICT_ROWS = f"""drows AS (SELECT lower({STRIP('skill_name')}) AS name_l,
+  list_transform(coalesce(low_surface_forms, []::VARCHAR[]), lambda f: lower({STRIP('f')})) AS forms_l FROM skill_fx)"""
+EXPANDED = """ex AS (SELECT DISTINCT d.side, d.doc_id, unnest(list_prepend(r.name_l, r.forms_l)) AS s
+  FROM (SELECT 'resume' AS side, doc_id, lower(""" + STRIP("skill_name") + """) AS key FROM rsk
+        UNION ALL SELECT 'jd', doc_id, lower(""" + STRIP("skill_name") + """) FROM jsk) d
+  JOIN drows r ON d.key = r.name_l OR list_contains(r.forms_l, d.key)),
+exn AS (SELECT ex.*, """ + TSKEY("s") + """ AS k, s IN (SELECT name_l FROM drows) AS n FROM ex)"""
+
+SKILL_HEAD = (duck_ctes("skill_fx", "resume_fx", "jd_fx", "pairs_fx") + ", " + FORMS + ",\n"
+              + DOC_SKILLS.format(name="rsk", id="resume_id", src="resume_fx") + ",\n"
+              + DOC_SKILLS.format(name="jsk", id="jd_id", src="jd_fx") + ",\n" + DICT_ROWS + ",\n" + EXPANDED)
+
+ORACLES["skill_gap_long"] = ORACLES["skill_gap_arrays"].replace(
+    "SELECT resume_id, jd_id,\n  list_filter(j", "g AS (SELECT resume_id, jd_id,\n  list_filter(j", 1).replace(
+    "r AS all_resume_skills, j AS all_jd_skills\nFROM pj",
+    "r AS all_resume_skills, j AS all_jd_skills\nFROM pj)\n"
+    "SELECT resume_id, jd_id, unnest(missing_skills) AS skill_name, 'missing' AS status FROM g\n"
+    "UNION ALL SELECT resume_id, jd_id, unnest(matched_skills), 'matched' FROM g").replace(
+    "pj AS (SELECT", "pj AS (SELECT", 1)
+ORACLES["skill_gap_long"] = ORACLES["skill_gap_long"].replace("FROM pairs_fx p LEFT JOIN rs USING (resume_id) LEFT JOIN js USING (jd_id))",
+                                                              "FROM pairs_fx p LEFT JOIN rs USING (resume_id) LEFT JOIN js USING (jd_id)),", 1)
+ORACLES["skill_expand"] = SKILL_HEAD + """
+SELECT doc_id AS resume_id, list_sort(list(s)) AS expanded FROM exn WHERE side = 'resume' GROUP BY doc_id"""
+ORACLES["skill_score"] = SKILL_HEAD + """,
+m AS (SELECT p.resume_id, p.jd_id, r.s FROM pairs_fx p JOIN exn r ON r.side = 'resume' AND r.doc_id = p.resume_id
+  WHERE EXISTS (SELECT 1 FROM exn j WHERE j.side = 'jd' AND j.doc_id = p.jd_id AND j.k = r.k AND (r.n OR j.n))),
+ms AS (SELECT resume_id, jd_id, list_sort(list(s)) AS matched FROM m GROUP BY resume_id, jd_id),
+js AS (SELECT doc_id AS jd_id, list_sort(list(s)) AS jall FROM exn WHERE side = 'jd' GROUP BY doc_id),
+x AS (SELECT p.resume_id, p.jd_id, coalesce(ms.matched, []::VARCHAR[]) AS matched, coalesce(js.jall, []::VARCHAR[]) AS jall
+  FROM pairs_fx p LEFT JOIN ms ON ms.resume_id = p.resume_id AND ms.jd_id = p.jd_id LEFT JOIN js ON js.jd_id = p.jd_id)
+SELECT resume_id, jd_id, matched AS matched_skills, list_filter(jall, lambda z: NOT list_contains(matched, z)) AS missing_skills,
+  CASE WHEN len(jall) = 0 THEN 0.0 ELSE least(CAST(len(matched) AS DOUBLE) / len(jall) * 100.0, 100.0) END AS skill_match_score
+FROM x"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rolefit import constants as K
 from rolefit.functions.fuzzy import partial_ratio_udf, token_sort_key_col
-from rolefit.functions.joins import broadcast_if_small
+from rolefit.functions.joins import broadcast_if_small, materialize
 from rolefit.functions.text import WORD_OR_SYMBOL, blank_line_collapse, py_strip
 from rolefit.operators import experience as ex
 from rolefit.operators import keywords as kw
@@ -29,22 +29,45 @@ SCORE_COLS = ("total_score", "skill_match_score", "experience_score", "section_s
 
 
 # ------------------------------------------------------------- dictionary side
-def synonym_table(skill_db: DataFrame) -> DataFrame:
-    """G5 lookup: key (lowered name or form) → expansion structs (s, k, n):
-    every lowered form and name of every row the key belongs to, with the
-    token-sort key ``k`` and whether ``s`` is a lowered dictionary name."""
+def synonym_table(skill_db: DataFrame, fuzzy: bool = True, tsr_threshold: int = 90,
+                  cos_threshold: float = 0.80) -> DataFrame:
+    """G5 lookup: key (lowered name or form) → expansion structs
+    (s, k, n, near, cosp): every lowered form and name of every row the key
+    belongs to; ``k`` its token-sort key, ``n`` whether it is a lowered
+    dictionary name, ``near`` the other keys within the token-sort threshold,
+    ``cosp`` the strings within the cosine threshold when either side is a
+    name of a row without ``match_on_tokens``.  All of it is computed once on
+    the dictionary vocabulary, never per pair."""
     db = sk.normalise_skill_db(skill_db)
     rows = db.select(F.lower(py_strip("skill_name")).alias("name_l"),
-                     F.transform("low_surface_forms", lambda f: F.lower(py_strip(f))).alias("forms_l"))
+                     F.transform("low_surface_forms", lambda f: F.lower(py_strip(f))).alias("forms_l"),
+                     "match_on_tokens")
     grp = rows.select(F.array_distinct(F.concat(F.array("name_l"), "forms_l")).alias("g"))
-    names = rows.select(F.col("name_l").alias("s")).distinct().withColumn("n", F.lit(True))
+    names = rows.groupBy(F.col("name_l").alias("s")).agg(F.bool_or(~F.col("match_on_tokens")).alias("nonmot"))
     members = grp.select(F.explode("g").alias("key"), "g")
     per_key = members.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("g"))).alias("vals"))
+    strings = (per_key.select(F.explode("vals").alias("s")).distinct()
+               .join(names, "s", "left")
+               .select("s", token_sort_key_col(F.col("s")).alias("k"), F.col("nonmot").isNotNull().alias("n"),
+                       F.coalesce("nonmot", F.lit(False)).alias("nonmot")))
+    empty = F.array().cast("array<string>")
+    if fuzzy:
+        near = (sk.near_key_pairs(strings.select("k"), tsr_threshold)
+                .groupBy(F.col("a").alias("k")).agg(F.collect_set("b").alias("near")))
+        cos = sk.cosine_string_pairs(strings.select("s"), cos_threshold)
+        flags = strings.select("s", "nonmot")
+        cos = (cos.join(flags.select(F.col("s").alias("x"), F.col("nonmot").alias("nx")), "x")
+               .join(flags.select(F.col("s").alias("y"), F.col("nonmot").alias("ny")), "y")
+               .filter(F.col("nx") | F.col("ny"))
+               .groupBy(F.col("x").alias("s")).agg(F.collect_set("y").alias("cosp")))
+        strings = strings.join(near, "k", "left").join(cos, "s", "left")
+    else:
+        strings = strings.withColumn("near", F.lit(None).cast("array<string>")).withColumn(
+            "cosp", F.lit(None).cast("array<string>"))
+    st = strings.select("s", F.struct("s", "k", "n", F.coalesce("near", empty).alias("near"),
+                                      F.coalesce("cosp", empty).alias("cosp")).alias("e"))
     vals = per_key.select("key", F.explode("vals").alias("s"))
-    flagged = vals.join(F.broadcast(names), "s", "left").select(
-        "key", F.struct("s", token_sort_key_col(F.col("s")).alias("k"),
-                        F.coalesce("n", F.lit(False)).alias("n")).alias("e"))
-    return flagged.groupBy("key").agg(F.collect_list("e").alias("expansions"))
+    return vals.join(st, "s").groupBy("key").agg(F.collect_list("e").alias("expansions"))
 
 
 # ------------------------------------------------------------- document side
@@ -62,8 +85,10 @@ def doc_skill_features(docs: DataFrame, id_col: str, text_col: str, skill_db: Da
     hits = sk.extract_skills(docs, skill_db, id_col, text_col, forms)
     h = hits.withColumn("key", F.lower(py_strip("skill_name")))
     j = h.join(broadcast_if_small(syn), "key", "left")
+    empty = F.array().cast("array<string>")
     exp = F.coalesce("expansions", F.array(F.struct(F.col("key").alias("s"), token_sort_key_col(F.col("key")).alias("k"),
-                                                     F.lit(False).alias("n"))))
+                                                     F.lit(False).alias("n"), empty.alias("near"),
+                                                     empty.alias("cosp"))))
     g = j.groupBy(id_col).agg(F.sort_array(F.collect_set("skill_name")).alias("skills"),
                               F.array_sort(F.array_distinct(F.flatten(F.collect_list(exp)))).alias("exp"))
     return g.select(id_col, "skills", "exp",
@@ -172,23 +197,35 @@ def _empty(t: str) -> Column:
     return F.array().cast(f"array<{t}>")
 
 
-EXP_T = "struct<s:string,k:string,n:boolean>"
+EXP_T = "struct<s:string,k:string,n:boolean,near:array<string>,cosp:array<string>>"
 
 
 def skill_match_cols(r: str = "r", j: str = "j"):
-    """G6 (exact token-sort rule) / G7 / G8 per pair.
+    """G6 / G7 / G8 per pair, row-wise on the two expanded sets.
 
-    A résumé string matches when some JD string has the same token-sort key
-    (token-sort ratio 100) and either of the two is a dictionary name."""
+    A résumé string r matches when some JD string j has (a) the same
+    token-sort key, or (b) a key in r's ``near`` list, and r or j is a
+    dictionary name; or (c) j is in r's cosine partner list (already
+    restricted to rows without ``match_on_tokens``).  Hash-set intersections
+    only; (b) and (c) are skipped for strings with no fuzzy partner."""
     R = F.coalesce(F.col(f"{r}.exp"), _empty(EXP_T))
     J = F.coalesce(F.col(f"{j}.exp"), _empty(EXP_T))
     k1 = F.array_intersect(F.coalesce(F.col(f"{r}.exp_keys"), _empty("string")),
                            F.coalesce(F.col(f"{j}.exp_name_keys"), _empty("string")))
     k2 = F.array_intersect(F.coalesce(F.col(f"{r}.exp_name_keys"), _empty("string")),
                            F.coalesce(F.col(f"{j}.exp_keys"), _empty("string")))
-    matched = F.transform(F.filter(R, lambda x: F.array_contains(k1, x["k"]) | (x["n"] & F.array_contains(k2, x["k"]))),
-                          lambda x: x["s"])
     jd_strings = F.transform(J, lambda x: x["s"])
+    j_keys = F.coalesce(F.col(f"{j}.exp_keys"), _empty("string"))
+    j_name_keys = F.coalesce(F.col(f"{j}.exp_name_keys"), _empty("string"))
+
+    def is_match(x):
+        near = (F.size(x["near"]) > 0) & ((x["n"] & F.arrays_overlap(x["near"], j_keys))
+                                          | F.arrays_overlap(x["near"], j_name_keys))
+        cos = (F.size(x["cosp"]) > 0) & F.arrays_overlap(x["cosp"], jd_strings)
+        return (F.array_contains(k1, x["k"]) | (x["n"] & F.array_contains(k2, x["k"]))
+                | F.coalesce(near, F.lit(False)) | F.coalesce(cos, F.lit(False)))
+
+    matched = F.transform(F.filter(R, is_match), lambda x: x["s"])
     missing = F.array_except(jd_strings, matched)
     score = F.when(F.size(J) == 0, F.lit(0.0)).otherwise(
         F.least(F.size(matched).cast("double") / F.size(J) * 100.0, F.lit(100.0)))
@@ -251,9 +288,9 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
 
 
 def build_report(pairs, resumes, jds, skill_db, layout_chars, layout_pages, files, text_mode="formatted",
-                 fuzzy_sections=True, compat_sections=False) -> DataFrame:
+                 fuzzy_sections=True, compat_sections=False, fuzzy_skills=True) -> DataFrame:
     forms = broadcast_if_small(sk.surface_forms(skill_db))
-    syn = broadcast_if_small(synonym_table(skill_db))
+    syn = broadcast_if_small(materialize(synonym_table(skill_db, fuzzy=fuzzy_skills)))
     rf = resume_features(resumes, skill_db, layout_chars, layout_pages, files, forms, syn, text_mode,
                          compat_sections, fuzzy_sections)
     jf = jd_features(jds, skill_db, forms, syn, text_mode)
