@@ -49,11 +49,13 @@ def matched_count_col(kw: Column, phrase_set: Column) -> Column:
     ``array_intersect`` (hash based) keeps the phrase order of ``kw``, so one
     pointer walk over ``kw`` picks up the counts in linear time."""
     common = F.array_intersect(F.transform(kw, lambda x: x["phrase"]), phrase_set)
-    acc0 = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("s"))
+    # `common` rides in the accumulator: evaluated once, not once per element
+    acc0 = F.struct(common.alias("c"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("s"))
 
     def step(acc, x):
-        hit = (acc["i"] < F.size(common)) & (F.get(common, acc["i"]) == x["phrase"])
-        return F.when(hit, F.struct((acc["i"] + 1).alias("i"), (acc["s"] + x["cnt"]).alias("s"))).otherwise(acc)
+        hit = (acc["i"] < F.size(acc["c"])) & (F.get(acc["c"], acc["i"]) == x["phrase"])
+        return F.when(hit, F.struct(acc["c"].alias("c"), (acc["i"] + 1).alias("i"),
+                                    (acc["s"] + x["cnt"]).alias("s"))).otherwise(acc)
 
     return F.aggregate(kw, acc0, step)["s"]
 

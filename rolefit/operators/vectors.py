@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolefit.functions.arrays import run_lengths
 from rolefit.functions.text import WORD_OR_SYMBOL, col
 
 MAX_TOKENS = 512
@@ -28,13 +29,7 @@ def tokens_col(text, max_tokens: int = MAX_TOKENS) -> Column:
 
 def tf_vector_col(text, max_tokens: int = MAX_TOKENS) -> Column:
     """V1 (default encoder): sorted (term, tf) of the first ``max_tokens`` tokens."""
-    toks = tokens_col(text, max_tokens)
-    sorted_toks = F.array_sort(toks)
-    terms = F.array_distinct(sorted_toks)
-    # counts from positions in the sorted token list: first index of the next term
-    return F.transform(terms, lambda t: F.struct(
-        t.alias("term"),
-        F.size(F.filter(sorted_toks, lambda x: x == t)).cast("long").alias("tf")))
+    return run_lengths(F.array_sort(tokens_col(text, max_tokens)))
 
 
 def _norm2(v: Column) -> Column:

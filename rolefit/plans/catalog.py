@@ -72,9 +72,7 @@ def _skill_pairs(spark, sf, fuzzy: bool):
     rf = rp.doc_skill_features(resumes, "resume_id", "text", db, forms, syn)
     jf = rp.doc_skill_features(jds, "jd_id", "text", db, forms, syn)
     x = fx.pairs_fx(spark, sf, resumes, jds).join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left")
-    matched, missing, score = rp.skill_match_cols()
-    return x.select("resume_id", "jd_id", matched.alias("matched_skills"), missing.alias("missing_skills"),
-                    score.alias("skill_match_score"))
+    return rp.add_skill_match(x).select("resume_id", "jd_id", "matched_skills", "missing_skills", "skill_match_score")
 
 
 @query("skill_gap_long")

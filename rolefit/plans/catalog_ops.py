@@ -363,3 +363,48 @@ def q_formatting_score(spark, sf):
 @query("file_format_score")
 def q_file_format_score(spark, sf):
     return sc.file_format_scores(fx.files_fx(spark, sf))
+
+
+# ------------------------------------------------------------------ T5, T8, T9
+def _pair_section_inputs(spark, sf):
+    from rolefit.operators import skills as sk
+    db = fx.skill_fx(spark, sf)
+    forms = sk.surface_forms(db)
+    resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
+    rs = sk.skill_sets(resumes, db, "resume_id", "resume_skills", forms=forms)
+    js = sk.skill_sets(jds, db, "jd_id", "jd_skills", forms=forms)
+    gaps = sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js)
+    from rolefit.operators.suggestions import with_page_lines
+    r = resumes.select("resume_id", se.sections_col("text", K.RESUME_HEADERS).alias("sections"),
+                       F.array_distinct(kw.phrases_col("text")).alias("phrase_set"))
+    r = with_page_lines(r.withColumn("formatted", se.format_sections_col("sections")), "formatted")
+    j = jds.select("jd_id", kw.phrases_col("text", normalise=False).alias("jd_phrases"))
+    jk = kw.jd_keyword_profile(jds)
+    return gaps.join(r, "resume_id").join(j, "jd_id").join(jk, "jd_id", "left")
+
+
+@query("section_summaries")
+def q_section_summaries(spark, sf):
+    from rolefit.operators.suggestions import section_summaries_col
+    from rolefit.operators.suggestions import experience_text_col
+    x = _pair_section_inputs(spark, sf).withColumn("exp_text", experience_text_col("sections"))
+    s = section_summaries_col("sections", F.col("matched_skills"), F.col("all_jd_skills"), F.col("jd_phrases"),
+                              F.col("exp_text"))
+    return x.select("resume_id", "jd_id", F.inline(s))
+
+
+@query("resume_optimise")
+def q_resume_optimise(spark, sf):
+    from rolefit.operators.suggestions import optimise
+    x = _pair_section_inputs(spark, sf).withColumn("mk", kw.missing_keywords_col(F.col("kw_rep"), F.col("phrase_set")))
+    return optimise(x, "sections", "missing_skills", "mk").select("resume_id", "jd_id", "optimized_text", "suggestions")
+
+
+@query("line_gaps")
+def q_line_gaps(spark, sf):
+    from rolefit.operators.suggestions import line_gap_col, with_page_lines
+    x = _pair_section_inputs(spark, sf)
+    mk = kw.missing_keywords_col(F.col("kw_rep"), F.col("phrase_set"))
+    e = x.select("resume_id", "jd_id", "missing_skills", mk.alias("mk"), F.explode("page_lines").alias("r"))
+    return e.select("resume_id", "jd_id", F.col("r.line_pos").alias("line_pos"), F.col("r.line").alias("line"),
+                    line_gap_col(F.col("r"), F.col("missing_skills"), F.col("mk")).alias("missing_terms"))

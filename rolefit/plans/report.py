@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit import constants as K
+from rolefit.functions.arrays import pin
 from rolefit.functions.fuzzy import partial_ratio_udf, token_sort_key_col
 from rolefit.functions.joins import broadcast_if_small, materialize
 from rolefit.functions.text import WORD_OR_SYMBOL, blank_line_collapse, py_strip
@@ -200,42 +201,45 @@ def _empty(t: str) -> Column:
 EXP_T = "struct<s:string,k:string,n:boolean,near:array<string>,cosp:array<string>>"
 
 
-def skill_match_cols(r: str = "r", j: str = "j"):
-    """G6 / G7 / G8 per pair, row-wise on the two expanded sets.
+def add_skill_match(x: DataFrame, r: str = "r", j: str = "j") -> DataFrame:
+    """G6 / G7 / G8 per pair, row-wise on the two expanded sets; adds
+    ``matched_skills``, ``missing_skills`` and ``skill_match_score``.
 
     A résumé string r matches when some JD string j has (a) the same
     token-sort key, or (b) a key in r's ``near`` list, and r or j is a
     dictionary name; or (c) j is in r's cosine partner list (already
-    restricted to rows without ``match_on_tokens``).  Hash-set intersections
-    only; (b) and (c) are skipped for strings with no fuzzy partner."""
+    restricted to rows without ``match_on_tokens``).  The per-pair key sets
+    are staged once per row, so the filter lambda does hash lookups only."""
     R = F.coalesce(F.col(f"{r}.exp"), _empty(EXP_T))
     J = F.coalesce(F.col(f"{j}.exp"), _empty(EXP_T))
-    k1 = F.array_intersect(F.coalesce(F.col(f"{r}.exp_keys"), _empty("string")),
-                           F.coalesce(F.col(f"{j}.exp_name_keys"), _empty("string")))
-    k2 = F.array_intersect(F.coalesce(F.col(f"{r}.exp_name_keys"), _empty("string")),
-                           F.coalesce(F.col(f"{j}.exp_keys"), _empty("string")))
-    jd_strings = F.transform(J, lambda x: x["s"])
-    j_keys = F.coalesce(F.col(f"{j}.exp_keys"), _empty("string"))
-    j_name_keys = F.coalesce(F.col(f"{j}.exp_name_keys"), _empty("string"))
-
-    def is_match(x):
-        near = (F.size(x["near"]) > 0) & ((x["n"] & F.arrays_overlap(x["near"], j_keys))
-                                          | F.arrays_overlap(x["near"], j_name_keys))
-        cos = (F.size(x["cosp"]) > 0) & F.arrays_overlap(x["cosp"], jd_strings)
-        return (F.array_contains(k1, x["k"]) | (x["n"] & F.array_contains(k2, x["k"]))
+    staged = x.select(
+        "*", R.alias("_R"), F.transform(J, lambda e: e["s"]).alias("_js"),
+        F.coalesce(F.col(f"{j}.exp_keys"), _empty("string")).alias("_jk"),
+        F.coalesce(F.col(f"{j}.exp_name_keys"), _empty("string")).alias("_jnk"),
+        F.array_intersect(F.coalesce(F.col(f"{r}.exp_keys"), _empty("string")),
+                          F.coalesce(F.col(f"{j}.exp_name_keys"), _empty("string"))).alias("_k1"),
+        F.array_intersect(F.coalesce(F.col(f"{r}.exp_name_keys"), _empty("string")),
+                          F.coalesce(F.col(f"{j}.exp_keys"), _empty("string"))).alias("_k2"))
+    k1, k2, jk, jnk, js = (F.col(c) for c in ("_k1", "_k2", "_jk", "_jnk", "_js"))
+
+    def is_match(e):
+        near = (F.size(e["near"]) > 0) & ((e["n"] & F.arrays_overlap(e["near"], jk)) | F.arrays_overlap(e["near"], jnk))
+        cos = (F.size(e["cosp"]) > 0) & F.arrays_overlap(e["cosp"], js)
+        return (F.array_contains(k1, e["k"]) | (e["n"] & F.array_contains(k2, e["k"]))
                 | F.coalesce(near, F.lit(False)) | F.coalesce(cos, F.lit(False)))
 
-    matched = F.transform(F.filter(R, is_match), lambda x: x["s"])
-    missing = F.array_except(jd_strings, matched)
-    score = F.when(F.size(J) == 0, F.lit(0.0)).otherwise(
-        F.least(F.size(matched).cast("double") / F.size(J) * 100.0, F.lit(100.0)))
-    return matched, missing, score
+    matched = pin(F.transform(F.filter("_R", is_match), lambda e: e["s"]), k1, k2, jk, jnk, js)
+    m = staged.withColumn("matched_skills", matched)
+    score = F.when(F.size("_js") == 0, F.lit(0.0)).otherwise(
+        F.least(F.size("matched_skills").cast("double") / F.size("_js") * 100.0, F.lit(100.0)))
+    return (m.withColumn("missing_skills", F.array_except("_js", "matched_skills"))
+            .withColumn("skill_match_score", score)
+            .drop("_R", "_js", "_jk", "_jnk", "_k1", "_k2"))
 
 
 def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: float = 0.7) -> DataFrame:
     p = pairs.select("resume_id", "jd_id")
-    x = (p.join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left"))
-    matched, missing, skill_score = skill_match_cols()
+    x = add_skill_match(p.join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left"))
     overlap = ex.overlap_col(F.col("r.ranges"), F.col("j.ranges"))
     role_sim = ve.sparse_cosine_col(F.coalesce("r.head_tf", _empty("struct<term:string,tf:bigint>")),
                                     F.coalesce("j.head_tf", _empty("struct<term:string,tf:bigint>")))
@@ -255,7 +259,7 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
         "resume_id", "jd_id",
         (F.coalesce("r.blank", F.lit(True)) | F.coalesce("j.blank", F.lit(True))).alias("blank"),
         F.coalesce("j.jd_title", F.lit(K.DEFAULT_JD_TITLE)).alias("jd_title"),
-        skill_score.alias("skill_match_score"), exp_score.alias("experience_score"),
+        "skill_match_score", exp_score.alias("experience_score"),
         sec_score.alias("section_score"),
         F.coalesce("r.formatting_score", fmt_default).alias("formatting_score"),
         F.coalesce("r.formatting_issues", fmt_issue_default).alias("formatting_issues"),
@@ -263,8 +267,7 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
         F.coalesce("r.file_format_score", ff_default).alias("file_format_score"),
         F.coalesce("r.file_format_issues", ff_issue_default).alias("file_format_issues"),
         matched_kw.alias("matched_keywords"), missing_kw.alias("missing_keywords"),
-        matched.alias("matched_skills"), missing.alias("missing_skills"),
-        missing_sections.alias("missing_sections"))
+        "matched_skills", "missing_skills", missing_sections.alias("missing_sections"))
     total = sc.total_score_col({n: n for n in SCORE_COLS if n != "total_score"})
     recs = sc.recommendations_col(
         F.col("skill_match_score"), F.col("experience_score"), F.col("section_score"), F.col("job_title_score"),
