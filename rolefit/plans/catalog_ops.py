@@ -408,3 +408,81 @@ def q_line_gaps(spark, sf):
     e = x.select("resume_id", "jd_id", "missing_skills", mk.alias("mk"), F.explode("page_lines").alias("r"))
     return e.select("resume_id", "jd_id", F.col("r.line_pos").alias("line_pos"), F.col("r.line").alias("line"),
                     line_gap_col(F.col("r"), F.col("missing_skills"), F.col("mk")).alias("missing_terms"))
+
+
+# ------------------------------------------------------------------ S1–S5
+@query("intake_routing")
+def q_intake_routing(spark, sf):
+    from rolefit.sources.intake import intake_routing
+    return intake_routing(spark_view(spark, sf, "uploads"))
+
+
+@query("page_assembly")
+def q_page_assembly(spark, sf):
+    from rolefit.sources.intake import doc_pages, page_assembly
+    return page_assembly(doc_pages(_docs(spark, sf)))
+
+
+@query("page_assembly_ocr_flag")
+def q_page_assembly_ocr_flag(spark, sf):
+    from rolefit.sources.intake import doc_pages, page_assembly_ocr_flag
+    return page_assembly_ocr_flag(doc_pages(_docs(spark, sf)))
+
+
+@query("page_concat")
+def q_page_concat(spark, sf):
+    from rolefit.sources.intake import doc_pages, page_assembly
+    return page_assembly(doc_pages(_docs(spark, sf)), sep="", skip_empty=False)
+
+
+@query("unique_key_append")
+def q_unique_key_append(spark, sf):
+    from rolefit.sources.intake import unique_key_append
+    batch = spark_view(spark, sf, "users")
+    s = read_table(spark, sf, "supplier")
+    existing = s.select(F.concat(F.lit("c"), (F.col("s_suppkey") % 1000).cast("string"), F.lit("@example.com"))
+                        .alias("email"))
+    return unique_key_append(batch, existing)
+
+
+def _scratch(spark, name):
+    from rolefit.session import ensure_checkpoint_dir
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/rolefit-{name}-{uuid.uuid4().hex[:8]}"
+
+
+@query("jd_text_scan")
+def q_jd_text_scan(spark, sf):
+    """Write each JD as a text file (one folder per jd_id), scan them back."""
+    from rolefit.sources.intake import text_scan
+    path = _scratch(spark, "jd-text")
+    fx.jd_fx(spark, sf).select("jd_id", "text").write.partitionBy("jd_id").text(path)
+    s = text_scan(spark, path)
+    return s.select(F.regexp_extract("path", "jd_id=(\\d+)", 1).cast("long").alias("jd_id"), "text")
+
+
+@query("skill_dict_load")
+def q_skill_dict_load(spark, sf):
+    """Write the dictionary as JSON objects keyed by id, load it back."""
+    from rolefit.sources.intake import skill_dict_load, write_skill_dict
+    path = _scratch(spark, "skill-db")
+    write_skill_dict(fx.skill_fx(spark, sf), path, files=4)
+    return skill_dict_load(spark, path)
+
+
+# ------------------------------------------------------------------ S6
+@query("stream_intake")
+def q_stream_intake(spark, sf):
+    """Land every résumé as a file, run the intake stream once
+    (availableNow), return what it wrote."""
+    from rolefit.plans import report as rp
+    from rolefit.streaming.intake import start_intake
+    base = _scratch(spark, "stream")
+    resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
+    resumes.select("resume_id", "text").write.partitionBy("resume_id").text(f"{base}/inbox")
+    ctx = rp.prepare_context(fx.skill_fx(spark, sf), jds)
+    q = start_intake(spark, f"{base}/inbox", f"{base}/sink", f"{base}/checkpoint", ctx,
+                     fx.pairs_fx(spark, sf, resumes, jds), fx.layout_chars_fx(spark, sf),
+                     fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf))
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/sink").drop("batch_id")

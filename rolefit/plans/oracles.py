@@ -447,3 +447,34 @@ x AS (SELECT p.resume_id, p.jd_id, coalesce(ms.matched, []::VARCHAR[]) AS matche
 SELECT resume_id, jd_id, matched AS matched_skills, list_filter(jall, lambda z: NOT list_contains(matched, z)) AS missing_skills,
   CASE WHEN len(jall) = 0 THEN 0.0 ELSE least(CAST(len(matched) AS DOUBLE) / len(jall) * 100.0, 100.0) END AS skill_match_score
 FROM x"""
+
+
+# ===================================================================== S1, S3, S5
+ORACLES["intake_routing"] = duck_ctes("uploads") + f""", x AS (SELECT coalesce(r.request_id, j.request_id) AS request_id,
+  r.filename AS resume_file, j.filename AS jd_file
+  FROM (SELECT * FROM uploads WHERE role = 'resume') r FULL OUTER JOIN (SELECT * FROM uploads WHERE role = 'jd') j
+  ON j.request_id = r.request_id),
+y AS (SELECT *, CASE WHEN resume_file IS NULL OR jd_file IS NULL THEN {lit(K.MSG_UPLOAD_BOTH)}
+  WHEN NOT ((ends_with(resume_file, '.pdf') OR ends_with(resume_file, '.docx'))
+        AND (ends_with(jd_file, '.pdf') OR ends_with(jd_file, '.docx') OR ends_with(jd_file, '.txt')))
+  THEN {lit(K.MSG_UPLOAD_FORMAT)} END AS reject_reason FROM x)
+SELECT request_id, resume_file, jd_file, reject_reason IS NULL AS accepted, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN ends_with(resume_file, '.docx') THEN 'docx' WHEN ends_with(resume_file, '.pdf') THEN 'pdf'
+       WHEN ends_with(resume_file, '.txt') THEN 'txt' END END AS resume_parser,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN ends_with(jd_file, '.docx') THEN 'docx' WHEN ends_with(jd_file, '.pdf') THEN 'pdf'
+       WHEN ends_with(jd_file, '.txt') THEN 'txt' END END AS jd_parser
+FROM y"""
+
+DOC_PAGES = """pg AS (SELECT doc_id, page_no, CASE WHEN page_no % 5 = 4 THEN '' ELSE page_text END AS page_text FROM (
+  SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS page_no, unnest(l) AS page_text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b)"""
+ORACLES["page_assembly"] = with_(DOC_PAGES) + """SELECT d.doc_id, coalesce(string_agg(pg.page_text, chr(10) ORDER BY pg.page_no)
+  FILTER (WHERE pg.page_text <> ''), '') AS text FROM (SELECT DISTINCT doc_id FROM pg) d JOIN pg ON pg.doc_id = d.doc_id GROUP BY d.doc_id"""
+ORACLES["page_concat"] = with_(DOC_PAGES) + "SELECT doc_id, string_agg(page_text, '' ORDER BY page_no) AS text FROM pg GROUP BY doc_id"
+ORACLES["page_assembly_ocr_flag"] = with_(DOC_PAGES, f"""t AS (SELECT doc_id, {STRIP("regexp_replace(string_agg(page_text || chr(10), '' ORDER BY page_no), '" + chr(92) + "n" + chr(92) + "s*" + chr(92) + "n+', chr(10), 'g')")} AS text
+  FROM pg GROUP BY doc_id)""") + "SELECT doc_id, text, text = '' AS needs_ocr FROM t"
+ORACLES["unique_key_append"] = duck_ctes("users") + f""", f AS (SELECT email, min(id) AS first_id FROM users GROUP BY email),
+ex AS (SELECT DISTINCT concat('c', CAST(s_suppkey % 1000 AS VARCHAR), '@example.com') AS email FROM supplier)
+SELECT u.id, u.name, u.email, (u.id = f.first_id AND ex.email IS NULL) AS accepted,
+  CASE WHEN u.id = f.first_id AND ex.email IS NULL THEN NULL ELSE {lit(K.MSG_EMAIL_TAKEN)} END AS reject_reason
+FROM users u JOIN f ON f.email = u.email LEFT JOIN ex ON ex.email = u.email"""

@@ -290,11 +290,34 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
     return sc.round_scores(out, SCORE_COLS)
 
 
-def build_report(pairs, resumes, jds, skill_db, layout_chars, layout_pages, files, text_mode="formatted",
-                 fuzzy_sections=True, compat_sections=False, fuzzy_skills=True) -> DataFrame:
+def prepare_context(skill_db: DataFrame, jds: DataFrame, text_mode: str = "formatted",
+                    fuzzy_skills: bool = True) -> dict:
+    """Dictionary- and JD-side tables, computed once and checkpointed: the
+    surface-form anchors, the synonym/fuzzy link table and the JD features.
+    A stream of résumés is scored against this context batch after batch."""
     forms = broadcast_if_small(sk.surface_forms(skill_db))
     syn = broadcast_if_small(materialize(synonym_table(skill_db, fuzzy=fuzzy_skills)))
-    rf = resume_features(resumes, skill_db, layout_chars, layout_pages, files, forms, syn, text_mode,
-                         compat_sections, fuzzy_sections)
     jf = jd_features(jds, skill_db, forms, syn, text_mode)
-    return ats_report(pairs, rf, jf)
+    return {"skill_db": skill_db, "forms": forms, "syn": syn, "jf": jf, "text_mode": text_mode}
+
+
+def score_pairs(ctx: dict, pairs: DataFrame, resumes: DataFrame, layout_chars: DataFrame,
+                layout_pages: DataFrame, files: DataFrame, fuzzy_sections: bool = True,
+                compat_sections: bool = False) -> DataFrame:
+    rf = resume_features(resumes, ctx["skill_db"], layout_chars, layout_pages, files, ctx["forms"], ctx["syn"],
+                         ctx["text_mode"], compat_sections, fuzzy_sections)
+    return ats_report(pairs, rf, ctx["jf"])
+
+
+def build_report(pairs, resumes, jds, skill_db, layout_chars, layout_pages, files, text_mode="formatted",
+                 fuzzy_sections=True, compat_sections=False, fuzzy_skills=True) -> DataFrame:
+    ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills)
+    return score_pairs(ctx, pairs, resumes, layout_chars, layout_pages, files, fuzzy_sections, compat_sections)
+
+
+def write_report(report: DataFrame, path: str, partition_by: tuple = (), mode: str = "overwrite") -> None:
+    """K1: the report table as parquet, optionally partitioned by caller columns."""
+    w = report.write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
