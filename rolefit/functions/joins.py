@@ -26,3 +26,17 @@ def materialize(df: DataFrame) -> DataFrame:
     from rolefit.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
+    """Give CPU-heavy per-document work enough tasks.
+
+    Text features cost far more CPU per byte than a scan, but AQE sizes
+    partitions by bytes and may leave a small document table in one
+    partition.  When ``df`` has fewer partitions than ``factor`` × the
+    cluster's default parallelism, it is hash-partitioned by ``key`` into
+    that many (a fixed count, which AQE keeps); large scans are left alone."""
+    target = factor * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)

@@ -77,3 +77,19 @@ def missing_keywords_col(kw_rep: Column, phrase_set: Column, k: int = 5) -> Colu
 def matched_keywords_col(jd_set_sorted: Column, resume_set: Column, k: int = 10) -> Column:
     """Phrases of both lower-cased texts, first k in code-point order."""
     return F.slice(F.array_intersect(jd_set_sorted, resume_set), 1, k)
+
+
+def split_profile_cols(kw: Column) -> list[Column]:
+    """Per JD: phrases (sorted) and aligned counts, for :func:`split_density_cols`."""
+    return [F.transform(kw, lambda x: x["phrase"]).alias("kw_phrases"),
+            F.transform(kw, lambda x: x["cnt"]).alias("kw_cnts")]
+
+
+def split_density_cols(phrases: Column, cnts: Column, phrase_set: Column, words: Column):
+    """W3/W4 on the split JD profile: counts are looked up for shared phrases only."""
+    common = F.array_intersect(F.coalesce(phrases, F.array().cast("array<string>")), phrase_set)
+    num = F.aggregate(common, F.lit(0).cast("long"),
+                      lambda s, p: s + F.get(cnts, F.array_position(phrases, p) - 1))
+    d = F.when(words > 0, num.cast("double") / words * 100.0).otherwise(F.lit(0.0))
+    score = F.when((d >= 0.5) & (d <= 1.5), 100.0).when(d < 0.5, 60.0).otherwise(30.0)
+    return d, score

@@ -76,3 +76,27 @@ def centroids(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame
     m = e.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return (m.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_c"))
             .select(key, F.transform("_c", lambda s: s["x"]).alias("centroid")))
+
+
+# ---------------------------------------------------------------------------
+# Split layout for pair work: per document, sorted terms, aligned counts and
+# the squared norm are stored once; per pair only a hash intersection runs,
+# and counts are looked up for the shared terms alone.
+# ---------------------------------------------------------------------------
+def split_vector_cols(vec: Column, prefix: str) -> list[Column]:
+    return [F.transform(vec, lambda x: x["term"]).alias(prefix + "_terms"),
+            F.transform(vec, lambda x: x["tf"]).alias(prefix + "_tfs"),
+            _norm2(vec).alias(prefix + "_n2")]
+
+
+def split_cosine_col(a: str, b: str) -> Column:
+    """Cosine of two split vectors (columns ``{a,b}_terms/_tfs/_n2``); equal to
+    :func:`sparse_cosine_col` on the same vectors."""
+    at, af, an = F.col(a + "_terms"), F.col(a + "_tfs"), F.col(a + "_n2")
+    bt, bf, bn = F.col(b + "_terms"), F.col(b + "_tfs"), F.col(b + "_n2")
+    common = F.array_intersect(at, bt)
+    dot = F.aggregate(common, F.lit(0).cast("long"), lambda s, t: s + F.get(af, F.array_position(at, t) - 1)
+                      * F.get(bf, F.array_position(bt, t) - 1))
+    zero = F.coalesce(an, F.lit(0)) * F.coalesce(bn, F.lit(0)) == 0
+    return (F.when(zero, F.lit(0.0)).when(~F.arrays_overlap(at, bt), F.lit(0.0))
+            .otherwise(dot.cast("double") / F.sqrt((an * bn).cast("double"))))

@@ -47,10 +47,13 @@ def q_skill_gap_arrays(spark, sf):
 
 # ----------------------------------------------------------------- report
 def _report(spark, sf, **kw):
+    from rolefit.functions.joins import materialize
     from rolefit.plans.report import build_report
-    resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
+    # the fixture views are inputs: written once, read by every branch
+    resumes, jds = materialize(fx.resume_fx(spark, sf)), materialize(fx.jd_fx(spark, sf))
     return build_report(fx.pairs_fx(spark, sf, resumes, jds), resumes, jds, fx.skill_fx(spark, sf),
-                        fx.layout_chars_fx(spark, sf), fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf), **kw)
+                        fx.layout_chars_fx(spark, sf), fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf),
+                        dict_key=("skill_fx", sf), **kw)
 
 
 @query("ats_report")
@@ -66,8 +69,7 @@ def _skill_pairs(spark, sf, fuzzy: bool):
     from rolefit.functions.joins import broadcast_if_small, materialize
     from rolefit.plans import report as rp
     db = fx.skill_fx(spark, sf)
-    forms = broadcast_if_small(sk.surface_forms(db))
-    syn = broadcast_if_small(materialize(rp.synonym_table(db, fuzzy=fuzzy)))
+    forms, syn = rp.dictionary_tables(db, fuzzy, ("skill_fx", sf))
     resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
     rf = rp.doc_skill_features(resumes, "resume_id", "text", db, forms, syn)
     jf = rp.doc_skill_features(jds, "jd_id", "text", db, forms, syn)

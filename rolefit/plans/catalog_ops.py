@@ -473,14 +473,15 @@ def q_skill_dict_load(spark, sf):
 # ------------------------------------------------------------------ S6
 @query("stream_intake")
 def q_stream_intake(spark, sf):
-    """Land every résumé as a file, run the intake stream once
-    (availableNow), return what it wrote."""
+    """Land the résumés as JSON-lines upload batches, run the intake stream
+    once (availableNow), return what it wrote."""
     from rolefit.plans import report as rp
     from rolefit.streaming.intake import start_intake
+    from rolefit.functions.joins import materialize
     base = _scratch(spark, "stream")
-    resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
-    resumes.select("resume_id", "text").write.partitionBy("resume_id").text(f"{base}/inbox")
-    ctx = rp.prepare_context(fx.skill_fx(spark, sf), jds)
+    resumes, jds = fx.resume_fx(spark, sf), materialize(fx.jd_fx(spark, sf))
+    resumes.select("resume_id", "text").write.json(f"{base}/inbox")
+    ctx = rp.prepare_context(fx.skill_fx(spark, sf), jds, dict_key=("skill_fx", sf))
     q = start_intake(spark, f"{base}/inbox", f"{base}/sink", f"{base}/checkpoint", ctx,
                      fx.pairs_fx(spark, sf, resumes, jds), fx.layout_chars_fx(spark, sf),
                      fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rolefit import constants as K
 from rolefit.functions.arrays import pin
 from rolefit.functions.fuzzy import partial_ratio_udf, token_sort_key_col
-from rolefit.functions.joins import broadcast_if_small, materialize
+from rolefit.functions.joins import broadcast_if_small, materialize, spread
 from rolefit.functions.text import WORD_OR_SYMBOL, blank_line_collapse, py_strip
 from rolefit.operators import experience as ex
 from rolefit.operators import keywords as kw
@@ -25,6 +25,9 @@ from rolefit.operators import skills as sk
 from rolefit.operators import text as tx
 from rolefit.operators import vectors as ve
 
+# Upper bound on JD feature rows shipped to every executor (a few KB each).
+JD_BROADCAST_ROWS = 50_000
+
 SCORE_COLS = ("total_score", "skill_match_score", "experience_score", "section_score", "formatting_score",
               "job_title_score", "keyword_density_score", "file_format_score")
 
@@ -93,6 +96,9 @@ def doc_skill_features(docs: DataFrame, id_col: str, text_col: str, skill_db: Da
     g = j.groupBy(id_col).agg(F.sort_array(F.collect_set("skill_name")).alias("skills"),
                               F.array_sort(F.array_distinct(F.flatten(F.collect_list(exp)))).alias("exp"))
     return g.select(id_col, "skills", "exp",
+                    F.transform("exp", lambda x: x["s"]).alias("exp_strings"),
+                    F.array_distinct(F.flatten(F.transform("exp", lambda x: x["near"]))).alias("exp_near_all"),
+                    F.array_distinct(F.flatten(F.transform("exp", lambda x: x["cosp"]))).alias("exp_cosp_all"),
                     F.array_distinct(F.transform("exp", lambda x: x["k"])).alias("exp_keys"),
                     F.array_distinct(F.transform(F.filter("exp", lambda x: x["n"]), lambda x: x["k"]))
                     .alias("exp_name_keys"))
@@ -145,7 +151,7 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
                     compat_sections: bool = False, fuzzy_sections: bool = True) -> DataFrame:
     raw = F.col("text")
     used = formatted_resume_text(raw) if text_mode == "formatted" else raw
-    base = resumes.select("resume_id", raw.alias("raw"), used.alias("t"))
+    base = spread(resumes, "resume_id").select("resume_id", raw.alias("raw"), used.alias("t"))
     pres_src = "t" if compat_sections else "raw"
     f = base.select(
         "resume_id", "t",
@@ -171,6 +177,7 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
         f = f.withColumn("hits", F.struct(*[comb(s) for s in names]))
     else:
         f = f.withColumn("hits", F.col("hits0"))
+    f = f.select("*", *ve.split_vector_cols(F.col("head_tf"), "rh"))
     fmt = sc.formatting_scores(layout_chars, layout_pages, files).withColumnRenamed("doc_id", "resume_id")
     ff = sc.file_format_scores(files).withColumnRenamed("doc_id", "resume_id")
     return f.join(fmt, "resume_id", "left").join(ff, "resume_id", "left")
@@ -180,7 +187,7 @@ def jd_features(jds: DataFrame, skill_db: DataFrame, forms: DataFrame, syn: Data
                 text_mode: str = "formatted") -> DataFrame:
     raw = F.col("text")
     used = formatted_jd_text(raw) if text_mode == "formatted" else raw
-    base = jds.select("jd_id", used.alias("t"))
+    base = spread(jds, "jd_id").select("jd_id", used.alias("t"))
     f = base.select(
         "jd_id", (py_strip("t") == "").alias("blank"),
         tx.jd_title_col("t").alias("jd_title"),
@@ -188,7 +195,9 @@ def jd_features(jds: DataFrame, skill_db: DataFrame, forms: DataFrame, syn: Data
         ex.year_ranges_col("t").alias("ranges"),
         ve.tf_vector_col(tx.head_lines_col("t")).alias("head_tf"))
     f = f.withColumn("title_tf", ve.tf_vector_col(F.lower("jd_title")))
+    f = f.select("*", *ve.split_vector_cols(F.col("head_tf"), "jh"), *ve.split_vector_cols(F.col("title_tf"), "jt"))
     kwp = kw.jd_keyword_profile(base, "jd_id", "t")
+    kwp = kwp.select("*", *kw.split_profile_cols(F.col("kw")))
     skills = doc_skill_features(base, "jd_id", "t", skill_db, forms, syn)
     return f.join(kwp, "jd_id", "left").join(skills, "jd_id", "left")
 
@@ -213,7 +222,10 @@ def add_skill_match(x: DataFrame, r: str = "r", j: str = "j") -> DataFrame:
     R = F.coalesce(F.col(f"{r}.exp"), _empty(EXP_T))
     J = F.coalesce(F.col(f"{j}.exp"), _empty(EXP_T))
     staged = x.select(
-        "*", R.alias("_R"), F.transform(J, lambda e: e["s"]).alias("_js"),
+        "*", R.alias("_R"), F.coalesce(F.col(f"{j}.exp_strings"), _empty("string")).alias("_js"),
+        # one hash test per pair decides whether any fuzzy partner can match at all
+        F.coalesce(F.arrays_overlap(F.col(f"{r}.exp_near_all"), F.col(f"{j}.exp_keys")), F.lit(False)).alias("_np"),
+        F.coalesce(F.arrays_overlap(F.col(f"{r}.exp_cosp_all"), F.col(f"{j}.exp_strings")), F.lit(False)).alias("_cp"),
         F.coalesce(F.col(f"{j}.exp_keys"), _empty("string")).alias("_jk"),
         F.coalesce(F.col(f"{j}.exp_name_keys"), _empty("string")).alias("_jnk"),
         F.array_intersect(F.coalesce(F.col(f"{r}.exp_keys"), _empty("string")),
@@ -222,52 +234,59 @@ def add_skill_match(x: DataFrame, r: str = "r", j: str = "j") -> DataFrame:
                           F.coalesce(F.col(f"{j}.exp_keys"), _empty("string"))).alias("_k2"))
     k1, k2, jk, jnk, js = (F.col(c) for c in ("_k1", "_k2", "_jk", "_jnk", "_js"))
 
+    np_, cp_ = F.col("_np"), F.col("_cp")
+
     def is_match(e):
-        near = (F.size(e["near"]) > 0) & ((e["n"] & F.arrays_overlap(e["near"], jk)) | F.arrays_overlap(e["near"], jnk))
-        cos = (F.size(e["cosp"]) > 0) & F.arrays_overlap(e["cosp"], js)
+        near = np_ & (F.size(e["near"]) > 0) & ((e["n"] & F.arrays_overlap(e["near"], jk))
+                                                 | F.arrays_overlap(e["near"], jnk))
+        cos = cp_ & (F.size(e["cosp"]) > 0) & F.arrays_overlap(e["cosp"], js)
         return (F.array_contains(k1, e["k"]) | (e["n"] & F.array_contains(k2, e["k"]))
                 | F.coalesce(near, F.lit(False)) | F.coalesce(cos, F.lit(False)))
 
-    matched = pin(F.transform(F.filter("_R", is_match), lambda e: e["s"]), k1, k2, jk, jnk, js)
+    none = (F.size(k1) == 0) & (F.size(k2) == 0) & ~np_ & ~cp_
+    matched = F.when(none, _empty("string")).otherwise(
+        pin(F.transform(F.filter("_R", is_match), lambda e: e["s"]), k1, k2, jk, jnk, js))
     m = staged.withColumn("matched_skills", matched)
     score = F.when(F.size("_js") == 0, F.lit(0.0)).otherwise(
         F.least(F.size("matched_skills").cast("double") / F.size("_js") * 100.0, F.lit(100.0)))
     return (m.withColumn("missing_skills", F.array_except("_js", "matched_skills"))
             .withColumn("skill_match_score", score)
-            .drop("_R", "_js", "_jk", "_jnk", "_k1", "_k2"))
+            .drop("_R", "_js", "_np", "_cp", "_jk", "_jnk", "_k1", "_k2"))
 
 
 def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: float = 0.7) -> DataFrame:
+    """Per pair, in stages so that every metric is computed once: raw metrics
+    (set algebra, cosines, density, overlap) → component scores → total and
+    recommendations."""
     p = pairs.select("resume_id", "jd_id")
     x = add_skill_match(p.join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left"))
-    overlap = ex.overlap_col(F.col("r.ranges"), F.col("j.ranges"))
-    role_sim = ve.sparse_cosine_col(F.coalesce("r.head_tf", _empty("struct<term:string,tf:bigint>")),
-                                    F.coalesce("j.head_tf", _empty("struct<term:string,tf:bigint>")))
-    exp_score = ex.experience_score_col(overlap, role_sim, role_threshold)
+    es = _empty("string")
     sec_score, missing_sections = se.section_score_cols(F.col("r.hits"))
-    title_score = F.least(ve.sparse_cosine_col(
-        F.coalesce("r.head_tf", _empty("struct<term:string,tf:bigint>")),
-        F.coalesce("j.title_tf", _empty("struct<term:string,tf:bigint>"))) * 100.0, F.lit(100.0))
-    density, dens_score = kw.density_cols(F.col("j.kw"), F.coalesce("r.phrase_set", _empty("string")),
-                                          F.coalesce("r.words", F.lit(0)))
-    missing_kw = kw.missing_keywords_col(F.col("j.kw_rep"), F.coalesce("r.phrase_set", _empty("string")))
-    matched_kw = kw.matched_keywords_col(F.coalesce("j.w6_sorted", _empty("string")),
-                                         F.coalesce("r.w6_set", _empty("string")))
+    density, _ = kw.split_density_cols(F.col("j.kw_phrases"), F.col("j.kw_cnts"),
+                                       F.coalesce("r.phrase_set", es), F.coalesce("r.words", F.lit(0)))
     fmt_default, fmt_issue_default = sc.formatting_default()
     ff_default, ff_issue_default = sc.file_format_default()
-    y = x.select(
-        "resume_id", "jd_id",
+    m = x.select(
+        "resume_id", "jd_id", "skill_match_score", "matched_skills", "missing_skills",
         (F.coalesce("r.blank", F.lit(True)) | F.coalesce("j.blank", F.lit(True))).alias("blank"),
         F.coalesce("j.jd_title", F.lit(K.DEFAULT_JD_TITLE)).alias("jd_title"),
-        "skill_match_score", exp_score.alias("experience_score"),
-        sec_score.alias("section_score"),
+        ex.overlap_col(F.col("r.ranges"), F.col("j.ranges")).alias("overlap"),
+        ve.split_cosine_col("r.rh", "j.jh").alias("role_sim"),
+        ve.split_cosine_col("r.rh", "j.jt").alias("title_cos"),
+        density.alias("density"),
+        sec_score.alias("section_score"), missing_sections.alias("missing_sections"),
         F.coalesce("r.formatting_score", fmt_default).alias("formatting_score"),
         F.coalesce("r.formatting_issues", fmt_issue_default).alias("formatting_issues"),
-        title_score.alias("job_title_score"), dens_score.alias("keyword_density_score"),
         F.coalesce("r.file_format_score", ff_default).alias("file_format_score"),
         F.coalesce("r.file_format_issues", ff_issue_default).alias("file_format_issues"),
-        matched_kw.alias("matched_keywords"), missing_kw.alias("missing_keywords"),
-        "matched_skills", "missing_skills", missing_sections.alias("missing_sections"))
+        kw.missing_keywords_col(F.col("j.kw_rep"), F.coalesce("r.phrase_set", es)).alias("missing_keywords"),
+        kw.matched_keywords_col(F.coalesce("j.w6_sorted", es), F.coalesce("r.w6_set", es)).alias("matched_keywords"))
+    d = F.col("density")
+    y = m.select(
+        "*",
+        ex.experience_score_col(F.col("overlap"), F.col("role_sim"), role_threshold).alias("experience_score"),
+        F.least(F.col("title_cos") * 100.0, F.lit(100.0)).alias("job_title_score"),
+        F.when((d >= 0.5) & (d <= 1.5), 100.0).when(d < 0.5, 60.0).otherwise(30.0).alias("keyword_density_score"))
     total = sc.total_score_col({n: n for n in SCORE_COLS if n != "total_score"})
     recs = sc.recommendations_col(
         F.col("skill_match_score"), F.col("experience_score"), F.col("section_score"), F.col("job_title_score"),
@@ -282,22 +301,41 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
         "resume_id", "jd_id",
         z(F.least(total, F.lit(100.0))).alias("total_score"),
         *[z(F.col(n)).alias(n) for n in SCORE_COLS if n != "total_score"],
-        z(F.col("matched_keywords"), _empty("string")).alias("matched_keywords"),
-        z(F.col("missing_keywords"), _empty("string")).alias("missing_keywords"),
-        z(F.col("matched_skills"), _empty("string")).alias("matched_skills"),
-        z(F.col("missing_skills"), _empty("string")).alias("missing_skills"),
+        z(F.col("matched_keywords"), es).alias("matched_keywords"),
+        z(F.col("missing_keywords"), es).alias("missing_keywords"),
+        z(F.col("matched_skills"), es).alias("matched_skills"),
+        z(F.col("missing_skills"), es).alias("missing_skills"),
         z(recs, F.array(F.lit(K.MSG_EMPTY_INPUT))).alias("recommendations"))
     return sc.round_scores(out, SCORE_COLS)
 
 
+_DICT_CACHE: dict = {}
+
+
+def dictionary_tables(skill_db: DataFrame, fuzzy_skills: bool = True, cache_key=None):
+    """(forms, syn): the surface-form anchors and the synonym/fuzzy link
+    table.  Both depend on the dictionary alone; with a ``cache_key`` (e.g.
+    the dictionary's source path) the checkpointed tables are reused by every
+    report in the session instead of being rebuilt."""
+    key = None if cache_key is None else (skill_db.sparkSession.sparkContext.applicationId, cache_key, fuzzy_skills)
+    if key is not None and key in _DICT_CACHE:
+        return _DICT_CACHE[key]
+    forms = broadcast_if_small(materialize(sk.surface_forms(skill_db)))
+    syn = broadcast_if_small(materialize(synonym_table(skill_db, fuzzy=fuzzy_skills)))
+    if key is not None:
+        _DICT_CACHE[key] = (forms, syn)
+    return forms, syn
+
+
 def prepare_context(skill_db: DataFrame, jds: DataFrame, text_mode: str = "formatted",
-                    fuzzy_skills: bool = True) -> dict:
+                    fuzzy_skills: bool = True, dict_key=None) -> dict:
     """Dictionary- and JD-side tables, computed once and checkpointed: the
     surface-form anchors, the synonym/fuzzy link table and the JD features.
     A stream of résumés is scored against this context batch after batch."""
-    forms = broadcast_if_small(sk.surface_forms(skill_db))
-    syn = broadcast_if_small(materialize(synonym_table(skill_db, fuzzy=fuzzy_skills)))
-    jf = jd_features(jds, skill_db, forms, syn, text_mode)
+    forms, syn = dictionary_tables(skill_db, fuzzy_skills, dict_key)
+    # One row per JD: broadcast to the pair join when a count proves it small,
+    # so the wide (pair + résumé feature) rows are never shuffled a second time.
+    jf = broadcast_if_small(materialize(jd_features(jds, skill_db, forms, syn, text_mode)), JD_BROADCAST_ROWS)
     return {"skill_db": skill_db, "forms": forms, "syn": syn, "jf": jf, "text_mode": text_mode}
 
 
@@ -310,8 +348,8 @@ def score_pairs(ctx: dict, pairs: DataFrame, resumes: DataFrame, layout_chars: D
 
 
 def build_report(pairs, resumes, jds, skill_db, layout_chars, layout_pages, files, text_mode="formatted",
-                 fuzzy_sections=True, compat_sections=False, fuzzy_skills=True) -> DataFrame:
-    ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills)
+                 fuzzy_sections=True, compat_sections=False, fuzzy_skills=True, dict_key=None) -> DataFrame:
+    ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills, dict_key)
     return score_pairs(ctx, pairs, resumes, layout_chars, layout_pages, files, fuzzy_sections, compat_sections)
 
 

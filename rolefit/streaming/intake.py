@@ -17,16 +17,28 @@ from pyspark.sql.streaming import StreamingQuery
 from rolefit.plans import report as rp
 
 
-def resume_stream(spark: SparkSession, inbox: str, clean_source: str | None = None,
+INBOX_SCHEMA = "resume_id BIGINT, text STRING"
+
+
+def resume_stream(spark: SparkSession, inbox: str, layout: str = "jsonl", clean_source: str | None = None,
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """One row per landed file: (resume_id, text); the id is read from a
-    ``resume_id=N`` folder in the file's path.  ``clean_source='delete'``
-    removes processed files (Spark does it after a later batch commits)."""
-    r = spark.readStream.format("text").option("wholetext", True)
+    """Stream of (resume_id, text).
+
+    ``layout='jsonl'``: landed files hold JSON lines ``{resume_id, text}``
+    (one upload batch per file).  ``layout='text'``: one document per file,
+    the id read from a ``resume_id=N`` folder in its path.
+    ``clean_source='delete'`` removes processed files (Spark does it after a
+    later batch commits)."""
+    if layout == "jsonl":
+        r = spark.readStream.format("json").schema(INBOX_SCHEMA)
+    else:
+        r = spark.readStream.format("text").option("wholetext", True)
     if clean_source:
         r = r.option("cleanSource", clean_source)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    if layout == "jsonl":
+        return r.load(inbox)
     src = r.load(inbox.rstrip("/") + "/*/")
     return src.select(F.regexp_extract(F.col("_metadata.file_path"), r"resume_id=(\d+)", 1).cast("long")
                       .alias("resume_id"), F.col("value").alias("text"))
@@ -34,7 +46,8 @@ def resume_stream(spark: SparkSession, inbox: str, clean_source: str | None = No
 
 def start_intake(spark: SparkSession, inbox: str, sink: str, checkpoint: str, ctx: dict, pairs: DataFrame,
                  layout_chars: DataFrame, layout_pages: DataFrame, files: DataFrame,
-                 available_now: bool = True, clean_source: str | None = None) -> StreamingQuery:
+                 available_now: bool = True, clean_source: str | None = None,
+                 layout: str = "jsonl") -> StreamingQuery:
     """Start the intake stream; with ``available_now`` it processes what is
     in the inbox and stops."""
 
@@ -43,7 +56,7 @@ def start_intake(spark: SparkSession, inbox: str, sink: str, checkpoint: str, ct
         rep = rp.score_pairs(ctx, b_pairs, batch, layout_chars, layout_pages, files)
         rep.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
 
-    w = (resume_stream(spark, inbox, clean_source).writeStream.foreachBatch(score_batch)
+    w = (resume_stream(spark, inbox, layout, clean_source).writeStream.foreachBatch(score_batch)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
