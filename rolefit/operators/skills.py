@@ -46,8 +46,11 @@ def surface_forms(skill_db: DataFrame) -> DataFrame:
     symbol = F.regexp_extract("form", U + r"[^\w\s]", 0)
     anchor = (F.when(F.size(words) > 0, longest).when(symbol != "", symbol)
               .otherwise(F.lit(ANY_TEXT)))
+    # a form that is one whole word run is proven by the anchor-token equality
+    # itself; only the other forms need the word-bounded regex
+    single = F.col("form") == anchor
     return forms.select("skill_name", "form", anchor.alias("anchor"),
-                        word_bounded("form").alias("pattern"))
+                        F.when(single, F.lit(None)).otherwise(word_bounded("form")).alias("pattern"))
 
 
 def doc_anchor_tokens(norm: Column) -> Column:
@@ -61,7 +64,7 @@ def extract_skills(docs: DataFrame, skill_db: DataFrame, id_col: str, text_col:
     d = docs.select(F.col(id_col).alias("_doc"), ws_normalise(text_col).alias("_norm"))
     t = d.select("_doc", "_norm", F.explode(doc_anchor_tokens(F.col("_norm"))).alias("anchor"))
     hits = (t.join(broadcast_if_small(forms), "anchor")
-            .filter(F.regexp_like(F.col("_norm"), F.col("pattern"))))
+            .filter(F.col("pattern").isNull() | F.regexp_like(F.col("_norm"), F.col("pattern"))))
     return hits.select(F.col("_doc").alias(id_col), "skill_name").distinct()
 
 

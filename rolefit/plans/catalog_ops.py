@@ -260,19 +260,28 @@ def _pair_text_features(spark, sf):
                         F.array_distinct(kw.phrases_col("text", normalise=False)).alias("w6_set"),
                         ex.year_ranges_col("text").alias("ranges"),
                         ve.tf_vector_col(tx.head_lines_col("text")).alias("head_tf"))
+    rf = rf.select("*", *ve.split_vector_cols(F.col("head_tf"), "rh"))
     jf = jds.select("jd_id", F.array_sort(F.array_distinct(kw.phrases_col("text", normalise=False))).alias("w6_sorted"),
                     ex.year_ranges_col("text").alias("j_ranges"),
                     ve.tf_vector_col(tx.head_lines_col("text")).alias("j_head_tf"),
                     ve.tf_vector_col(F.lower(tx.jd_title_col("text"))).alias("title_tf"))
+    jf = jf.select("*", *ve.split_vector_cols(F.col("j_head_tf"), "jh"), *ve.split_vector_cols(F.col("title_tf"), "jt"))
     jk = kw.jd_keyword_profile(jds)
-    return pairs.join(rf, "resume_id").join(jf, "jd_id").join(jk, "jd_id", "left")
+    jk = jk.select("*", *kw.split_profile_cols(F.col("kw")))
+    # JD-side rows are one per JD: broadcast them after a size check so the
+    # pair rows (already carrying résumé features) are not shuffled again
+    from rolefit.functions.joins import broadcast_if_small
+    return pairs.join(rf, "resume_id").join(broadcast_if_small(jf.join(jk, "jd_id", "left"), 50_000), "jd_id")
 
 
 @query("keyword_density")
 def q_keyword_density(spark, sf):
     x = _pair_text_features(spark, sf)
-    d, s = kw.density_cols(F.col("kw"), F.col("phrase_set"), F.col("words"))
-    return x.select("resume_id", "jd_id", d.alias("keyword_density"), s.alias("keyword_density_score"))
+    d, _ = kw.split_density_cols(F.col("kw_phrases"), F.col("kw_cnts"), F.col("phrase_set"), F.col("words"))
+    x = x.select("resume_id", "jd_id", d.alias("keyword_density"))
+    dd = F.col("keyword_density")
+    return x.select("*", F.when((dd >= 0.5) & (dd <= 1.5), 100.0).when(dd < 0.5, 60.0).otherwise(30.0)
+                    .alias("keyword_density_score"))
 
 
 @query("missing_keywords")
@@ -309,10 +318,9 @@ def q_experience_overlap(spark, sf):
 @query("experience_score")
 def q_experience_score(spark, sf):
     x = _pair_text_features(spark, sf)
-    ov = ex.overlap_col(F.col("ranges"), F.col("j_ranges"))
-    sim = ve.sparse_cosine_col(F.col("head_tf"), F.col("j_head_tf"))
-    return x.select("resume_id", "jd_id", ov.alias("overlap"), sim.alias("role_similarity"),
-                    ex.experience_score_col(ov, sim).alias("experience_score"))
+    x = x.select("resume_id", "jd_id", ex.overlap_col(F.col("ranges"), F.col("j_ranges")).alias("overlap"),
+                 ve.split_cosine_col("rh", "jh").alias("role_similarity"))
+    return x.select("*", ex.experience_score_col(F.col("overlap"), F.col("role_similarity")).alias("experience_score"))
 
 
 # ------------------------------------------------------------------ V1–V5
@@ -338,14 +346,13 @@ def q_cosine_pairs(spark, sf):
 @query("role_similarity")
 def q_role_similarity(spark, sf):
     x = _pair_text_features(spark, sf)
-    return x.select("resume_id", "jd_id", ve.sparse_cosine_col(F.col("head_tf"), F.col("j_head_tf"))
-                    .alias("role_similarity"))
+    return x.select("resume_id", "jd_id", ve.split_cosine_col("rh", "jh").alias("role_similarity"))
 
 
 @query("job_title_score")
 def q_job_title_score(spark, sf):
     x = _pair_text_features(spark, sf)
-    s = F.least(ve.sparse_cosine_col(F.col("head_tf"), F.col("title_tf")) * 100.0, F.lit(100.0))
+    s = F.least(ve.split_cosine_col("rh", "jt") * 100.0, F.lit(100.0))
     return x.select("resume_id", "jd_id", s.alias("job_title_score"))
 
 
@@ -477,9 +484,8 @@ def q_stream_intake(spark, sf):
     once (availableNow), return what it wrote."""
     from rolefit.plans import report as rp
     from rolefit.streaming.intake import start_intake
-    from rolefit.functions.joins import materialize
     base = _scratch(spark, "stream")
-    resumes, jds = fx.resume_fx(spark, sf), materialize(fx.jd_fx(spark, sf))
+    resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
     resumes.select("resume_id", "text").write.json(f"{base}/inbox")
     ctx = rp.prepare_context(fx.skill_fx(spark, sf), jds, dict_key=("skill_fx", sf))
     q = start_intake(spark, f"{base}/inbox", f"{base}/sink", f"{base}/checkpoint", ctx,
