@@ -29,7 +29,7 @@ def test_skill_extraction_broadcasts_dictionary(spark):
 
 
 def test_scan_pushdown_and_pruning(spark):
-    p = _plan(fx.jd_fx(spark, SF_SMALL))
+    p = _plan(fx._jd_fx(spark, SF_SMALL))
     scan = [blk for blk in p.split("\n\n") if "Scan parquet" in blk and "lineitem" in blk][0]
     assert "PushedFilters" in scan and "l_linenumber" in scan and "l_quantity" in scan
     read_schema = [l for l in scan.splitlines() if l.startswith("ReadSchema")][0]
