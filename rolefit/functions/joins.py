@@ -40,3 +40,15 @@ def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key)
+
+
+def broadcast_by_bound(df: DataFrame, bound: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` when ``bound`` — a table with at least as many rows
+    as ``df`` has (e.g. the JD table for a one-row-per-JD feature table) —
+    counts at most ``max_rows``.  Counting the cheap input instead of the
+    derived table avoids computing the derived table twice."""
+    if getattr(df, "_size_checked", False):
+        return df
+    out = F.broadcast(df) if bound.count() <= max_rows else df
+    out._size_checked = True
+    return out

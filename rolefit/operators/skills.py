@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.functions.joins import broadcast_if_small
+from rolefit.functions.joins import broadcast_by_bound, broadcast_if_small
 from rolefit.functions.text import WORD_OR_SYMBOL, WORD_RUN, U, word_bounded, ws_normalise
 
 # Anchor of forms without any non-space character; every non-empty text has it.
@@ -75,13 +75,18 @@ def skill_sets(docs: DataFrame, skill_db: DataFrame, id_col: str, out_col: str,
     return found.groupBy(id_col).agg(F.sort_array(F.collect_set("skill_name")).alias(out_col))
 
 
-def skill_gap_arrays(pairs: DataFrame, resume_sets: DataFrame, jd_sets: DataFrame) -> DataFrame:
+def skill_gap_arrays(pairs: DataFrame, resume_sets: DataFrame, jd_sets: DataFrame,
+                     jd_bound: DataFrame | None = None) -> DataFrame:
     """G3/G4 per pair: missing = JD − résumé, matched = résumé ∩ JD, all sorted.
 
     One row per document on each side, so the two joins are key lookups; the
     set algebra runs row-wise on hash sets (``array_except``/``array_intersect``
     keep the sorted order of their first argument)."""
-    p = pairs.join(resume_sets, "resume_id", "left").join(jd_sets, "jd_id", "left")
+    # one row per JD: broadcast when the JD table (``jd_bound``) proves it
+    # small, so pair rows that already carry the résumé arrays are not
+    # shuffled a second time; otherwise a shuffle join
+    js = broadcast_by_bound(jd_sets, jd_bound, 200_000) if jd_bound is not None else jd_sets
+    p = pairs.join(resume_sets, "resume_id", "left").join(js, "jd_id", "left")
     r = F.coalesce("resume_skills", empty_str_array())
     j = F.coalesce("jd_skills", empty_str_array())
     return p.select("resume_id", "jd_id",

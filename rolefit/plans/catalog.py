@@ -44,7 +44,7 @@ def q_skill_gap_arrays(spark, sf):
     resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
     rs = sk.skill_sets(resumes, db, "resume_id", "resume_skills", forms=forms)
     js = sk.skill_sets(jds, db, "jd_id", "jd_skills", forms=forms)
-    return sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js)
+    return sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js, jd_bound=jds)
 
 
 # ----------------------------------------------------------------- report

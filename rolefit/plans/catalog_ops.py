@@ -208,7 +208,8 @@ def q_format_sections(spark, sf):
 
 @query("section_presence")
 def q_section_presence(spark, sf):
-    r = fx.resume_fx(spark, sf).select("resume_id", se.first_hits_exact(se.presence_lines("text")).alias("h"))
+    r = fx.resume_fx(spark, sf).select("resume_id", se.presence_lines("text").alias("pl"))
+    r = r.select("resume_id", se.first_hits_exact(F.col("pl")).alias("h"))
     score, missing = se.section_score_cols(F.col("h"))
     return r.select("resume_id", score.alias("section_score"), missing.alias("missing_sections"),
                     *[F.col("h")[s].alias(s + "_line") for s, _ in K.SECTION_WEIGHTS])
@@ -218,7 +219,8 @@ def q_section_presence(spark, sf):
 def q_section_presence_fuzzy(spark, sf):
     from rolefit.plans.report import fuzzy_section_hits
     r = fx.resume_fx(spark, sf)
-    base = r.select("resume_id", "text", se.first_hits_exact(se.presence_lines("text")).alias("h0"))
+    base = r.select("resume_id", "text", se.presence_lines("text").alias("pl"))
+    base = base.select("resume_id", "text", se.first_hits_exact(F.col("pl")).alias("h0"))
     fz = fuzzy_section_hits(r, "resume_id")
     j = base.join(fz, "resume_id", "left")
     names = [s for s, _ in K.SECTION_WEIGHTS]
@@ -270,8 +272,8 @@ def _pair_text_features(spark, sf):
     jk = jk.select("*", *kw.split_profile_cols(F.col("kw")))
     # JD-side rows are one per JD: broadcast them after a size check so the
     # pair rows (already carrying résumé features) are not shuffled again
-    from rolefit.functions.joins import broadcast_if_small
-    return pairs.join(rf, "resume_id").join(broadcast_if_small(jf.join(jk, "jd_id", "left"), 50_000), "jd_id")
+    from rolefit.functions.joins import broadcast_by_bound
+    return pairs.join(rf, "resume_id").join(broadcast_by_bound(jf.join(jk, "jd_id", "left"), jds, 50_000), "jd_id")
 
 
 @query("keyword_density")
@@ -380,14 +382,15 @@ def _pair_section_inputs(spark, sf):
     resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
     rs = sk.skill_sets(resumes, db, "resume_id", "resume_skills", forms=forms)
     js = sk.skill_sets(jds, db, "jd_id", "jd_skills", forms=forms)
-    gaps = sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js)
+    gaps = sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js, jd_bound=jds)
     from rolefit.operators.suggestions import with_page_lines
     r = resumes.select("resume_id", se.sections_col("text", K.RESUME_HEADERS).alias("sections"),
                        F.array_distinct(kw.phrases_col("text")).alias("phrase_set"))
     r = with_page_lines(r.withColumn("formatted", se.format_sections_col("sections")), "formatted")
     j = jds.select("jd_id", kw.phrases_col("text", normalise=False).alias("jd_phrases"))
     jk = kw.jd_keyword_profile(jds)
-    return gaps.join(r, "resume_id").join(j, "jd_id").join(jk, "jd_id", "left")
+    from rolefit.functions.joins import broadcast_by_bound
+    return gaps.join(r, "resume_id").join(broadcast_by_bound(j.join(jk, "jd_id", "left"), jds, 50_000), "jd_id")
 
 
 @query("section_summaries")

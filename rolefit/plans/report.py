@@ -153,6 +153,8 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
     used = formatted_resume_text(raw) if text_mode == "formatted" else raw
     base = spread(resumes, "resume_id").select("resume_id", raw.alias("raw"), used.alias("t"))
     pres_src = "t" if compat_sections else "raw"
+    # presence lines are read once per section check: stage them as a column
+    base = base.withColumn("_plines", se.presence_lines(pres_src))
     f = base.select(
         "resume_id", "t",
         (py_strip("t") == "").alias("blank"),
@@ -161,7 +163,7 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
         F.array_distinct(kw.phrases_col("t", normalise=False)).alias("w6_set"),
         ex.year_ranges_col("t").alias("ranges"),
         ve.tf_vector_col(tx.head_lines_col("t")).alias("head_tf"),
-        se.first_hits_exact(se.presence_lines(pres_src)).alias("hits0"),
+        se.first_hits_exact(F.col("_plines")).alias("hits0"),
         F.col(pres_src).alias("pres_text"))
     skills = doc_skill_features(base.select("resume_id", "t"), "resume_id", "t", skill_db, forms, syn)
     f = f.join(skills, "resume_id", "left")
@@ -178,8 +180,14 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
     else:
         f = f.withColumn("hits", F.col("hits0"))
     f = f.select("*", *ve.split_vector_cols(F.col("head_tf"), "rh"))
-    fmt = sc.formatting_scores(layout_chars, layout_pages, files).withColumnRenamed("doc_id", "resume_id")
-    ff = sc.file_format_scores(files).withColumnRenamed("doc_id", "resume_id")
+    # layout and file facts only for the résumés being scored (a stream batch
+    # must not re-aggregate the whole layout history)
+    ids = broadcast_if_small(resumes.select(F.col("resume_id").alias("doc_id")), 5_000_000)
+    lc = layout_chars.join(ids, "doc_id", "left_semi")
+    lp = layout_pages.join(ids, "doc_id", "left_semi")
+    fl = files.join(ids, "doc_id", "left_semi")
+    fmt = sc.formatting_scores(lc, lp, fl).withColumnRenamed("doc_id", "resume_id")
+    ff = sc.file_format_scores(fl).withColumnRenamed("doc_id", "resume_id")
     return f.join(fmt, "resume_id", "left").join(ff, "resume_id", "left")
 
 
