@@ -340,8 +340,9 @@ def q_centroid(spark, sf):
 @query("cosine_pairs")
 def q_cosine_pairs(spark, sf):
     e = read_table(spark, sf, "embeddings")
+    from rolefit.functions.joins import broadcast_if_small
     c = ve.centroids(e, "label")
-    j = e.join(F.broadcast(c), "label")
+    j = e.join(broadcast_if_small(c, 100_000), "label")
     return j.select("vec_id", ve.dense_cosine_col(F.col("embedding"), F.col("centroid")).alias("cosine"))
 
 

@@ -109,7 +109,7 @@ def pairs_fx(spark: SparkSession, sf_dir: str, resumes: DataFrame | None = None,
                                                                            jd_fx(spark, sf_dir)))
 
 
-def pair_join(resumes: DataFrame, jds: DataFrame) -> DataFrame:
+def pair_join(resumes: DataFrame, jds: DataFrame, broadcast_rows: int = 2_000_000, buckets: int = 64) -> DataFrame:
     """``resume_fx JOIN jd_fx USING (nationkey)``.
 
     Few keys (25 nations) carry all rows, so a plain shuffle join would put a
@@ -122,9 +122,8 @@ def pair_join(resumes: DataFrame, jds: DataFrame) -> DataFrame:
     r = resumes.select("resume_id", "nationkey")
     j = jds.select("jd_id", "nationkey")
     n_jd = j.count()
-    if n_jd <= 2_000_000:
+    if n_jd <= broadcast_rows:
         return r.join(F.broadcast(j), "nationkey").select("resume_id", "jd_id")
-    buckets = 64
     js = j.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     rs = r.withColumn("salt", (F.xxhash64("resume_id") % buckets + buckets) % buckets)
     return rs.join(js, ["nationkey", "salt"]).select("resume_id", "jd_id")
