@@ -24,6 +24,16 @@ def jd_title_col(text, default: str = K.DEFAULT_JD_TITLE) -> Column:
     return F.when(t.rlike(rx), py_strip(F.regexp_extract(t, rx, 1))).otherwise(F.lit(default))
 
 
+def jd_title_fallback_col(text, sections, default: str = K.DEFAULT_JD_TITLE) -> Column:
+    """P5 with ``section_fallback``: an inline ``job title:`` line wins; else
+    the first line of a ``job title`` section; else the default."""
+    from rolefit.operators.sections import section_lines
+    t = col(text)
+    rx = U + JD_TITLE_RE
+    first = F.get(section_lines(sections, "job title"), 0)
+    return F.when(t.rlike(rx), py_strip(F.regexp_extract(t, rx, 1))).otherwise(F.coalesce(first, F.lit(default)))
+
+
 def head_lines_col(text, n: int = 5) -> Column:
     """The first ``n`` physical lines joined by a space."""
     return F.array_join(F.slice(F.split(col(text), "\n", -1), 1, n), " ")

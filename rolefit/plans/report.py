@@ -192,13 +192,15 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
 
 
 def jd_features(jds: DataFrame, skill_db: DataFrame, forms: DataFrame, syn: DataFrame,
-                text_mode: str = "formatted") -> DataFrame:
+                text_mode: str = "formatted", section_fallback: bool = False) -> DataFrame:
     raw = F.col("text")
     used = formatted_jd_text(raw) if text_mode == "formatted" else raw
-    base = spread(jds, "jd_id").select("jd_id", used.alias("t"))
+    base = spread(jds, "jd_id").select("jd_id", used.alias("t"), raw.alias("_raw"))
+    title = (tx.jd_title_fallback_col("t", se.sections_col("_raw", K.JD_HEADERS)) if section_fallback
+             else tx.jd_title_col("t"))
     f = base.select(
         "jd_id", (py_strip("t") == "").alias("blank"),
-        tx.jd_title_col("t").alias("jd_title"),
+        title.alias("jd_title"),
         F.array_sort(F.array_distinct(kw.phrases_col("t", normalise=False))).alias("w6_sorted"),
         ex.year_ranges_col("t").alias("ranges"),
         ve.tf_vector_col(tx.head_lines_col("t")).alias("head_tf"))
@@ -336,14 +338,15 @@ def dictionary_tables(skill_db: DataFrame, fuzzy_skills: bool = True, cache_key=
 
 
 def prepare_context(skill_db: DataFrame, jds: DataFrame, text_mode: str = "formatted",
-                    fuzzy_skills: bool = True, dict_key=None) -> dict:
+                    fuzzy_skills: bool = True, dict_key=None, section_fallback: bool = False) -> dict:
     """Dictionary- and JD-side tables, computed once and checkpointed: the
     surface-form anchors, the synonym/fuzzy link table and the JD features.
     A stream of résumés is scored against this context batch after batch."""
     forms, syn = dictionary_tables(skill_db, fuzzy_skills, dict_key)
     # One row per JD: broadcast to the pair join when a count proves it small,
     # so the wide (pair + résumé feature) rows are never shuffled a second time.
-    jf = broadcast_if_small(materialize(jd_features(jds, skill_db, forms, syn, text_mode)), JD_BROADCAST_ROWS)
+    jf = broadcast_if_small(materialize(jd_features(jds, skill_db, forms, syn, text_mode, section_fallback)),
+                            JD_BROADCAST_ROWS)
     return {"skill_db": skill_db, "forms": forms, "syn": syn, "jf": jf, "text_mode": text_mode}
 
 
@@ -356,8 +359,9 @@ def score_pairs(ctx: dict, pairs: DataFrame, resumes: DataFrame, layout_chars: D
 
 
 def build_report(pairs, resumes, jds, skill_db, layout_chars, layout_pages, files, text_mode="formatted",
-                 fuzzy_sections=True, compat_sections=False, fuzzy_skills=True, dict_key=None) -> DataFrame:
-    ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills, dict_key)
+                 fuzzy_sections=True, compat_sections=False, fuzzy_skills=True, dict_key=None,
+                 section_fallback=False) -> DataFrame:
+    ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills, dict_key, section_fallback)
     return score_pairs(ctx, pairs, resumes, layout_chars, layout_pages, files, fuzzy_sections, compat_sections)
 
 

@@ -186,3 +186,20 @@ def test_profile_validation(spark):
     got = [x.r for x in df.select(r.alias("r")).collect()]
     assert got == [K.MSG_PROFILE_REQUIRED, K.MSG_PROFILE_EXPERIENCE_PARTS, K.MSG_PROFILE_ACHIEVEMENTS, None,
                    K.MSG_PROFILE_REQUIRED]
+
+
+def test_jd_title_inline_and_section_fallback(spark):
+    rows = [(1, "Job title: Data Engineer\nRequirements\nsql"), (2, "Job Title\nML Engineer\nSkills\npy"),
+            (3, "Requirements\nsql"), (4, "JOB TITLE:   \nNext line")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    formatted = se.format_sections_col(se.sections_col("text", K.JD_HEADERS))
+    x = df.select("id", "text", formatted.alias("t"))
+    out = {r.id: (r.a, r.b) for r in x.select(
+        "id", tx.jd_title_col("t").alias("a"),
+        tx.jd_title_fallback_col("t", se.sections_col("text", K.JD_HEADERS)).alias("b")).collect()}
+    assert out[1] == ("Data Engineer", "Data Engineer")
+    # a title in its own section loses its colon after formatting: default, unless fallback
+    assert out[2] == (K.DEFAULT_JD_TITLE, "ML Engineer")
+    assert out[3] == (K.DEFAULT_JD_TITLE, K.DEFAULT_JD_TITLE)
+    # `\s*` crosses the line end, as in the original
+    assert out[4][0] == "Next line"
