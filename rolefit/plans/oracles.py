@@ -460,9 +460,9 @@ y AS (SELECT *, CASE WHEN resume_file IS NULL OR jd_file IS NULL THEN {lit(K.MSG
   THEN {lit(K.MSG_UPLOAD_FORMAT)} END AS reject_reason FROM x)
 SELECT request_id, resume_file, jd_file, reject_reason IS NULL AS accepted, reject_reason,
   CASE WHEN reject_reason IS NULL THEN CASE WHEN ends_with(resume_file, '.docx') THEN 'docx' WHEN ends_with(resume_file, '.pdf') THEN 'pdf'
-       WHEN ends_with(resume_file, '.txt') THEN 'txt' END END AS resume_parser,
+       WHEN ends_with(resume_file, '.txt') THEN 'txt' END END AS resume_format,
   CASE WHEN reject_reason IS NULL THEN CASE WHEN ends_with(jd_file, '.docx') THEN 'docx' WHEN ends_with(jd_file, '.pdf') THEN 'pdf'
-       WHEN ends_with(jd_file, '.txt') THEN 'txt' END END AS jd_parser
+       WHEN ends_with(jd_file, '.txt') THEN 'txt' END END AS jd_format
 FROM y"""
 
 DOC_PAGES = """pg AS (SELECT doc_id, page_no, CASE WHEN page_no % 5 = 4 THEN '' ELSE page_text END AS page_text FROM (

@@ -37,8 +37,8 @@ def intake_routing(uploads: DataFrame) -> DataFrame:
               .when(c.endswith(".txt"), "txt"))
     return x.select("request_id", "resume_file", "jd_file", reason.isNull().alias("accepted"),
                     reason.alias("reject_reason"),
-                    F.when(reason.isNull(), parser(rf)).alias("resume_parser"),
-                    F.when(reason.isNull(), parser(jf)).alias("jd_parser"))
+                    F.when(reason.isNull(), parser(rf)).alias("resume_format"),
+                    F.when(reason.isNull(), parser(jf)).alias("jd_format"))
 
 
 def text_scan(spark: SparkSession, path: str) -> DataFrame:
