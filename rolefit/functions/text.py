@@ -51,8 +51,3 @@ def word_bounded(c) -> Column:
 def py_round2(c) -> Column:
     """Python ``round(x, 2)`` (half-even on the exact binary value)."""
     return F.regexp_replace(F.format_number(col(c), 2), ",", "").cast("double")
-
-
-def lines_of(c) -> Column:
-    """``text.split('\\n')``."""
-    return F.split(col(c), "\n", -1)

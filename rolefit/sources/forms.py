@@ -65,10 +65,6 @@ SELECT o_orderkey AS request_id, 'jd' AS role,
   concat('jd_', CAST(o_orderkey AS {str}), CASE o_orderkey % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.docx' WHEN 2 THEN '.pdf'
          ELSE '.rtf' END) AS filename FROM {t_orders} WHERE o_orderkey % 7 <> 0"""
 
-DOC_PAGES_SQL = """SELECT doc_id, CAST(pos AS INT) AS page_no,
-  CASE WHEN pos % 5 = 4 THEN '' ELSE page_text END AS page_text
-FROM (SELECT doc_id, pos, page_text FROM {t_documents_lines}) AS x"""
-
 VIEWS = {"profiles": (PROFILES_SQL, ("customer",)),
          "letter_requests": (LETTERS_SQL, ("customer", "nation")),
          "users": (USERS_SQL, ("customer",)),

@@ -54,7 +54,7 @@ def start_intake(spark: SparkSession, inbox: str, sink: str, checkpoint: str, ct
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         b_pairs = pairs.join(batch.select("resume_id"), "resume_id", "left_semi")
         rep = rp.score_pairs(ctx, b_pairs, batch, layout_chars, layout_pages, files)
-        rep.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+        rp.write_report(rep, f"{sink.rstrip('/')}/batch_id={batch_id}")
 
     w = (resume_stream(spark, inbox, layout, clean_source).writeStream.foreachBatch(score_batch)
          .option("checkpointLocation", checkpoint))
