@@ -179,6 +179,9 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
         f = f.withColumn("hits", F.struct(*[comb(s) for s in names]))
     else:
         f = f.withColumn("hits", F.col("hits0"))
+    # section presence depends on the résumé alone: score it once per document
+    sec_score, missing_sections = se.section_score_cols(F.col("hits"))
+    f = f.withColumn("section_score", sec_score).withColumn("missing_sections", missing_sections)
     f = f.select("*", *ve.split_vector_cols(F.col("head_tf"), "rh"))
     # layout and file facts only for the résumés being scored (a stream batch
     # must not re-aggregate the whole layout history)
@@ -271,7 +274,6 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
     p = pairs.select("resume_id", "jd_id")
     x = add_skill_match(p.join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left"))
     es = _empty("string")
-    sec_score, missing_sections = se.section_score_cols(F.col("r.hits"))
     density, _ = kw.split_density_cols(F.col("j.kw_phrases"), F.col("j.kw_cnts"),
                                        F.coalesce("r.phrase_set", es), F.coalesce("r.words", F.lit(0)))
     fmt_default, fmt_issue_default = sc.formatting_default()
@@ -284,7 +286,9 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
         ve.split_cosine_col("r.rh", "j.jh").alias("role_sim"),
         ve.split_cosine_col("r.rh", "j.jt").alias("title_cos"),
         density.alias("density"),
-        sec_score.alias("section_score"), missing_sections.alias("missing_sections"),
+        F.coalesce("r.section_score", se.section_score_cols(F.struct(*[F.lit(0).alias(n) for n, _ in K.SECTION_WEIGHTS]))[0])
+        .alias("section_score"),
+        F.coalesce("r.missing_sections", F.array(*[F.lit(n) for n, _ in K.SECTION_WEIGHTS[:3]])).alias("missing_sections"),
         F.coalesce("r.formatting_score", fmt_default).alias("formatting_score"),
         F.coalesce("r.formatting_issues", fmt_issue_default).alias("formatting_issues"),
         F.coalesce("r.file_format_score", ff_default).alias("file_format_score"),
