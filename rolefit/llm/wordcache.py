@@ -1,23 +1,49 @@
-"""Whole-text tokenising with a cache of space-separated chunks.
+"""Whole-text tokenising with remembered chunks.
 
-A byte-level BPE of this family splits a text before it merges, and a single
-space followed by a non-space always begins a new part, so the chunks between
-such spaces can be encoded one by one and remembered.  Texts in which a space
-meets other white space, or begins or ends the text, are encoded as a whole.
+A byte-level BPE of this family splits a text into words before it merges, and a
+single space followed by a non-space always begins a new word.  So the chunks
+between such spaces are encoded one by one and remembered; a new chunk is split
+into words, and only new words reach the tokenizer's merges.  Chunks other than
+letters and marks are split by the tokenizer's own pre-tokenizer.
+Texts in which a space meets other white space, or begins or ends the text, are
+split by it as a whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
-
-#: Chunks that a Python worker remembers; the memory is emptied when it is full.
-CHUNKS = 600_000
-LONGEST = 64
+#: Entries of a generation of a worker's memory, and the longest text that is remembered.
+CHUNKS, WORDS, LONGEST = 200_000, 300_000, 64
 _MEETS = re.compile(r" \s")
+#: A space, letters (Latin ones only) and ASCII marks: always one word of letters and one of marks.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+class TwoGenerations(dict):
+    """A bounded memory: when it is full it becomes the old generation, and what is used again is carried over."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int) -> None:
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key) or self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 @lru_cache(maxsize=4)
@@ -25,28 +51,33 @@ def encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids (little-endian unsigned 32-bit, as bytes).  No special tokens are parsed or added."""
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
+    if tokenizer.normalizer is not None:
+        raise ValueError("a tokenizer with a normalizer can't be used word by word")
+    split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+    shown = byte_characters()
+
+    def word(w: str) -> bytes:
+        return array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(shown))]).tobytes()
+
+    words = TwoGenerations(word, WORDS)
+
+    def whole(text: str) -> bytes:
+        return b"".join([array("I", [t.id for t in merge(w)]).tobytes() for w, _ in split(text)])
+
+    def chunk(text: str) -> bytes:
+        plain = _PLAIN(text)
+        if plain is None:
+            return whole(text)
+        letters, marks = plain.groups()
+        return words[letters] + words[marks] if marks else words[letters]
 
-    def pack(encodings) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encodings]
+    chunks = TwoGenerations(chunk, CHUNKS)
 
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        if text[0] == " " or text[-1] == " " or _MEETS.search(text):
-            return pack([tokenizer.encode(text, add_special_tokens=False)])[0]
-        first, _, rest = text.partition(" ")
-        chunks = [first, *(" " + c for c in rest.split(" "))] if rest else [first]
-        new = {c for c in chunks if c not in known}
-        if new:
-            new = list(new)
-            made = dict(zip(new, pack(tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-            if len(known) + len(made) > CHUNKS:
-                known.clear()
-            out = b"".join([known[c] if c in known else made[c] for c in chunks])
-            known.update((c, ids) for c, ids in made.items() if len(c) <= LONGEST)
-            return out
-        return b"".join([known[c] for c in chunks])
+        if text[0] == " " or text[-1] == " " or "\0" in text or _MEETS.search(text):
+            return whole(text)
+        return b"".join(map(chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
     return encode
