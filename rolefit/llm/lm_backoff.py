@@ -41,7 +41,7 @@ from rolefit.llm.textbytes import mix, word_hashes, words
 
 START = np.uint64(0x5374617274000001)
 END = np.uint64(0x456E640000000001)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 # ---- n-grams of a block ----------------------------------------------------
@@ -62,7 +62,7 @@ def grams(texts: pa.Array, order: int) -> Grams:
     sizes = np.diff(w.bounds) + 2
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
     total = int(sizes.sum())
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     token = np.empty(total, np.uint64)
     is_word = np.ones(total, dtype=bool)
     is_word[first] = is_word[first + sizes - 1] = False
@@ -76,9 +76,9 @@ def grams(texts: pa.Array, order: int) -> Grams:
             gram = np.concatenate([gram[:1], mix(gram[:-1] * np.uint64(2 * n + 1) + token[1:])])
         fits = np.flatnonzero(place >= n - 1)
         found, back = np.unique(gram[fits], return_inverse=True)
-        idx = np.full(total, -1, np.int64)
+        idx = np.full(total, -1, np.int32)
         idx[fits] = back
-        last = np.zeros(len(found), np.int64)
+        last = np.zeros(len(found), np.int32)
         last[back] = fits
         keys.append(found)
         index.append(idx)
