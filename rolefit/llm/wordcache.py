@@ -17,7 +17,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 #: Entries of a generation of a worker's memory, and the longest text that is remembered.
-CHUNKS, WORDS, LONGEST = 350_000, 400_000, 64
+CHUNKS, WORDS, LONGEST = 250_000, 250_000, 64
 _MEETS = re.compile(r" \s")
 #: A space, letters (Latin ones only) and ASCII marks: always one word of letters and one of marks.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
