@@ -15,10 +15,12 @@ TOTAL_WEIGHTS = (("skill_match_score", 0.35), ("experience_score", 0.25), ("sect
                  ("keyword_density_score", 0.05), ("file_format_score", 0.05))
 
 DEFAULT_JD_TITLE = "data scientist"
-CURRENT_YEAR = 2025
 
 # --- fixed values: month prefixes of the experience date pattern ---
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: The digits of the scripts that Python's int() reads begin at these code points.
+DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xE50, 0xED0, 0xF20, 0x1040,
+               0x17E0, 0x1810, 0xFF10)
 
 # --- fixed values: fonts accepted by the formatting check ---
 ATS_FONTS = ("timesnewroman", "arial", "helvetica", "calibri")
@@ -81,6 +83,7 @@ MSG_LETTER_STYLE = "Invalid template style selected."
 MSG_UPLOAD_BOTH = "Please upload both resume and job description"
 MSG_UPLOAD_FORMAT = "Invalid file format. Resume must be PDF/DOCX, JD must be PDF/DOCX/TXT"
 MSG_EMAIL_TAKEN = "Email already registered"
+MSG_EMAIL_MISSING = "An email address is required."
 
 # --- fixed values: record rendering ---
 NO_LINK = "No Link"

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolefit.constants import DIGIT_ZEROS
+
 U = "(?U)"
 WORD_RUN = U + r"\w+"
 # One token per word run or per single non-space, non-word character.
@@ -33,6 +35,11 @@ def ws_normalise(c, lower: bool = True) -> Column:
     return py_strip(F.regexp_replace(x, U + r"\s+", " "))
 
 
+def ascii_digits(c) -> Column:
+    """Decimal digits of other scripts as ASCII digits."""
+    return F.translate(col(c), "".join(chr(z + i) for z in DIGIT_ZEROS for i in range(10)), "0123456789" * len(DIGIT_ZEROS))
+
+
 def blank_line_collapse(c) -> Column:
     """``re.sub(r'\\n\\s*\\n+', '\\n', text).strip()``."""
     return py_strip(F.regexp_replace(col(c), U + r"\n\s*\n+", "\n"))

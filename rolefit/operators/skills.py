@@ -100,12 +100,15 @@ def skill_gap_arrays(pairs: DataFrame, resume_sets: DataFrame, jd_sets: DataFram
 # --------------------------------------------------------------------------
 def _kmax(total: Column, sim: float) -> Column:
     """Largest indel distance compatible with ratio > sim for total length ``total``:
-    ratio = 2M/T > sim needs T - 2·LCS < (1 - sim)·T."""
-    return (F.ceil(total * (1.0 - sim)) - 1).cast("int")
+    ratio = 2M/T > sim needs T - 2·LCS < (1 - sim)·T, and T - 2·LCS is even just if T is."""
+    most = (F.ceil(total * (1.0 - sim)) - 1).cast("int")
+    return most - F.pmod(total - most, F.lit(2)).cast("int")
 
 
 def near_key_pairs(keys: DataFrame, threshold: int = 90, q: int = 2) -> DataFrame:
-    """Ordered pairs (a, b), a ≠ b, of token-sort keys with ``ratio(a, b) > threshold``.
+    """Ordered pairs (a, b), a ≠ b, of token-sort keys with ``ratio(a, b) > threshold``
+    (80 or more: below, strings may share no q-gram).  The ratio depends on the
+    order of its arguments, so both orders of a candidate are scored.
 
     Exact blocking: ratio > s implies indel distance k < (1-s)(|a|+|b|) and the
     length bound; strings within edit distance k share at least
@@ -113,10 +116,13 @@ def near_key_pairs(keys: DataFrame, threshold: int = 90, q: int = 2) -> DataFram
     one global rarity order their prefixes of |G| - τ + 1 grams intersect.
     Only candidates from the prefix join reach the exact ratio (pandas UDF)."""
     from rolefit.functions.fuzzy import ratio_udf
+    if threshold < 80:
+        raise ValueError("the blocking is complete for thresholds of 80 and more")
     sim = (threshold + 0.5) / 100.0
     lo_f, hi_f = sim / (2 - sim), (2 - sim) / sim
-    k = keys.select(F.col("k").alias("s")).filter(F.length("s") >= 5).distinct()
     n = F.length("s")
+    # two different strings of T characters together reach (T - 1) / T at most
+    k = keys.select(F.col("k").alias("s")).filter(n + F.floor(n * hi_f) >= 1.0 / (1.0 - sim)).distinct()
     grams = k.select("s", F.posexplode(F.transform(F.sequence(F.lit(1), n - q + 1),
                                                    lambda i: F.substring("s", i, q))).alias("pos", "g"))
     occ = F.row_number().over(Window.partitionBy("s", "g").orderBy("pos"))
@@ -133,8 +139,8 @@ def near_key_pairs(keys: DataFrame, threshold: int = 90, q: int = 2) -> DataFram
     cand = a.join(b, "gid").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
     la, lb = F.length("a"), F.length("b")
     cand = cand.filter(F.abs(la - lb) <= _kmax(la + lb, sim))
-    hit = cand.filter(ratio_udf(F.col("a"), F.col("b")) > threshold)
-    return hit.unionByName(hit.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cand.unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.filter(ratio_udf(F.col("a"), F.col("b")) > threshold)
 
 
 def cosine_string_pairs(strings: DataFrame, threshold: float = 0.80) -> DataFrame:

@@ -20,15 +20,14 @@ from pyspark.sql import functions as F
 from rolefit.functions.arrays import run_lengths
 from rolefit.functions.text import WORD_OR_SYMBOL, col
 
-MAX_TOKENS = 512
+def tokens_col(text, max_tokens: int | None = None) -> Column:
+    """Tokens of the whole text, or its first ``max_tokens`` if a caller's encoder has such a limit."""
+    tokens = F.regexp_extract_all(F.lower(col(text)), F.lit(WORD_OR_SYMBOL), 0)
+    return tokens if max_tokens is None else F.slice(tokens, 1, max_tokens)
 
 
-def tokens_col(text, max_tokens: int = MAX_TOKENS) -> Column:
-    return F.slice(F.regexp_extract_all(F.lower(col(text)), F.lit(WORD_OR_SYMBOL), 0), 1, max_tokens)
-
-
-def tf_vector_col(text, max_tokens: int = MAX_TOKENS) -> Column:
-    """V1 (default encoder): sorted (term, tf) of the first ``max_tokens`` tokens."""
+def tf_vector_col(text, max_tokens: int | None = None) -> Column:
+    """V1 (default encoder): sorted (term, tf) of the text's tokens."""
     return run_lengths(F.array_sort(tokens_col(text, max_tokens)))
 
 

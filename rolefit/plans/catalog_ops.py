@@ -11,6 +11,7 @@ from rolefit.operators import keywords as kw
 from rolefit.operators import records as rc
 from rolefit.operators import scoring as sc
 from rolefit.operators import sections as se
+from rolefit.operators import suggestions as sg
 from rolefit.operators import text as tx
 from rolefit.operators import vectors as ve
 from rolefit.plans.catalog import query
@@ -236,10 +237,7 @@ def q_section_presence_fuzzy(spark, sf):
 def q_total_years(spark, sf):
     p = se.parse_sections(fx.resume_fx(spark, sf), "resume_id")
     p = p.filter(se.has_section("sections", "experience"))
-    exp_text = F.lower(F.array_join(se.section_lines("sections", "experience"), "\n"))
-    m = F.regexp_extract_all(exp_text, F.lit("(?U)\\d{4}[-–]\\d{4}"), 0)
-    yrs = F.aggregate(m, F.lit(0), lambda a, s: a + F.substring(s, -4, 4).cast("int") - F.substring(s, 1, 4).cast("int"))
-    return p.select("resume_id", yrs.alias("total_years"))
+    return p.select("resume_id", sg.total_years_col("sections").alias("total_years"))
 
 
 # ------------------------------------------------------------------ W1–W6
@@ -464,12 +462,13 @@ def _scratch(spark, name):
 
 @query("jd_text_scan")
 def q_jd_text_scan(spark, sf):
-    """Write each JD as a text file (one folder per jd_id), scan them back."""
+    """Write the JDs as text records (the id in the first line), many to a file, and scan them back."""
     from rolefit.sources.intake import text_scan
-    path = _scratch(spark, "jd-text")
-    fx.jd_fx(spark, sf).select("jd_id", "text").write.partitionBy("jd_id").text(path)
-    s = text_scan(spark, path)
-    return s.select(F.regexp_extract("path", "jd_id=(\\d+)", 1).cast("long").alias("jd_id"), "text")
+    path, sep = _scratch(spark, "jd-text"), "\u001e"
+    records = fx.jd_fx(spark, sf).select(F.concat_ws("\n", F.col("jd_id").cast("string"), "text").alias("value"))
+    records.write.option("lineSep", sep).text(path)
+    s = text_scan(spark, path, sep)
+    return s.select(F.substring_index("text", "\n", 1).cast("long").alias("jd_id"), F.substr("text", F.instr("text", "\n") + 1).alias("text"))
 
 
 @query("skill_dict_load")

@@ -246,7 +246,7 @@ ORACLES["format_sections"] = with_(SECTIONS("resume_fx", "resume_id", K.RESUME_H
 SELECT r.resume_id, coalesce({STRIP("string_agg(concat(" + _TITLE + ", chr(10), repeat('-', length(section)), chr(10), chr(10), array_to_string(lines, chr(10)), chr(10), chr(10)), chr(10) ORDER BY section_pos)")}, '') AS formatted
 FROM resume_fx r LEFT JOIN secs s ON s.id = r.resume_id AND len(s.lines) > 0 GROUP BY r.resume_id"""
 
-_HIT = "contains(line, '{s}') OR regexp_full_match(line, '-{{3,}}')"
+_HIT = "contains(line, '{s}')"
 ORACLES["section_presence"] = duck_ctes("resume_fx") + ", " + f"""raw AS (SELECT id, unnest(range(len(l))) AS pos, unnest(l) AS line
   FROM (SELECT resume_id AS id, string_split(text, chr(10)) AS l FROM resume_fx) AS s),
 nl AS (SELECT id, pos, {NORMX('line')} AS line FROM raw),
@@ -276,9 +276,9 @@ DATE_RX = "(?:" + "|".join(K.MONTHS) + ")?\\s*\\d{1,2}[-/]\\d{2,4}|\\d{4}[-–]\
 
 
 def TF(src_expr: str, idc: str, src: str, name: str) -> str:
-    """Long term-frequency table of the first 512 tokens."""
+    """Long term-frequency table ."""
     return f"""{name} AS (SELECT id, t AS term, count(*) AS tf FROM (
-  SELECT {idc} AS id, unnest(regexp_extract_all(lower({src_expr}), {lit(TOKEN_RX)})[1:512]) AS t FROM {src}) AS x GROUP BY id, t)"""
+  SELECT {idc} AS id, unnest(regexp_extract_all(lower({src_expr}), {lit(TOKEN_RX)})) AS t FROM {src}) AS x GROUP BY id, t)"""
 
 
 def COS(a: str, b: str, pairs: str, out: str) -> str:
@@ -340,7 +340,7 @@ pt AS (SELECT side, doc_id, mpos, regexp_split_to_array(replace(m, '–', '-'),
 yr AS (SELECT side, doc_id, mpos, len(parts) AS n, TRY_CAST({STRIP("parts[1][-4:]")} AS INTEGER) AS start_year,
   TRY_CAST({STRIP("parts[2][-4:]")} AS INTEGER) AS end_year FROM pt),
 rg AS (SELECT side, doc_id, CAST(row_number() OVER (PARTITION BY side, doc_id ORDER BY mpos) - 1 AS INTEGER) AS pos,
-  start_year, end_year FROM yr WHERE n = 2 AND start_year <= end_year AND end_year <= {K.CURRENT_YEAR})"""
+  start_year, end_year FROM yr WHERE n = 2 AND start_year <= end_year AND end_year <= 2025)"""
 OVERLAP = """ov AS (SELECT p.resume_id, p.jd_id, EXISTS (SELECT 1 FROM rg r JOIN rg j ON j.side = 'jd' AND j.doc_id = p.jd_id
   AND r.end_year >= j.start_year AND r.start_year <= j.end_year WHERE r.side = 'resume' AND r.doc_id = p.resume_id) AS overlap
   FROM pairs_fx p)"""
@@ -465,9 +465,10 @@ SELECT request_id, resume_file, jd_file, reject_reason IS NULL AS accepted, reje
        WHEN ends_with(jd_file, '.txt') THEN 'txt' END END AS jd_format
 FROM y"""
 
-DOC_PAGES = """pg AS (SELECT doc_id, page_no, CASE WHEN page_no % 5 = 4 THEN '' ELSE page_text END AS page_text FROM (
-  SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS page_no, unnest(l) AS page_text
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b)"""
+DOC_PAGES = """pg AS (SELECT doc_id, pos + pos // 4 AS page_no, page_text FROM (
+  SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS page_text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b
+  UNION ALL SELECT doc_id, 5 * CAST(unnest(range(len(string_split(text, chr(10))) // 4)) AS INTEGER) + 4, '' FROM documents)"""
 ORACLES["page_assembly"] = with_(DOC_PAGES) + """SELECT d.doc_id, coalesce(string_agg(pg.page_text, chr(10) ORDER BY pg.page_no)
   FILTER (WHERE pg.page_text <> ''), '') AS text FROM (SELECT DISTINCT doc_id FROM pg) d JOIN pg ON pg.doc_id = d.doc_id GROUP BY d.doc_id"""
 ORACLES["page_concat"] = with_(DOC_PAGES) + "SELECT doc_id, string_agg(page_text, '' ORDER BY page_no) AS text FROM pg GROUP BY doc_id"
@@ -478,3 +479,5 @@ ex AS (SELECT DISTINCT concat('c', CAST(s_suppkey % 1000 AS VARCHAR), '@example.
 SELECT u.id, u.name, u.email, (u.id = f.first_id AND ex.email IS NULL) AS accepted,
   CASE WHEN u.id = f.first_id AND ex.email IS NULL THEN NULL ELSE {lit(K.MSG_EMAIL_TAKEN)} END AS reject_reason
 FROM users u JOIN f ON f.email = u.email LEFT JOIN ex ON ex.email = u.email"""
+ORACLES["jd_text_scan"] = duck_ctes("jd_fx") + "SELECT jd_id, text FROM jd_fx"
+ORACLES["skill_dict_load"] = duck_ctes("skill_fx") + "SELECT skill_id, skill_name, low_surface_forms, match_on_tokens FROM skill_fx"

@@ -110,13 +110,17 @@ def _chars_in(a: Column, b: Column) -> Column:
 
 
 def may_exceed_partial(tok: Column, name: str, threshold: int) -> Column:
-    """Necessary condition for ``partial_ratio(name, tok) > threshold``: the
-    matched characters are at most the positions of the shorter string whose
-    character occurs in the longer, and the ratio divides by the shorter length."""
+    """Necessary condition for ``partial_ratio(name, tok) > threshold``.
+
+    At most M characters match, the positions of the shorter string whose
+    character occurs in the longer.  The window of the longer string may be cut
+    at its end, but holds the matched characters, so the ratio is at most
+    2M / (shorter + M)."""
     s = F.lit(name)
     need = (threshold + 0.5) / 100.0
-    return F.when(F.length(tok) <= len(name), _chars_in(tok, s) >= F.length(tok) * need)\
-        .otherwise(_chars_in(s, tok) >= len(name) * need)
+    short = F.least(F.length(tok), F.lit(len(name)))
+    m = F.when(F.length(tok) <= len(name), _chars_in(tok, s)).otherwise(_chars_in(s, tok))
+    return 2 * m >= (short + m) * need
 
 
 def fuzzy_section_hits(docs: DataFrame, id_col: str, text_col: str = "text", threshold: int = 85) -> DataFrame:
@@ -148,7 +152,8 @@ def fuzzy_section_hits(docs: DataFrame, id_col: str, text_col: str = "text", thr
 
 def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataFrame, layout_pages: DataFrame,
                     files: DataFrame, forms: DataFrame, syn: DataFrame, text_mode: str = "formatted",
-                    compat_sections: bool = False, fuzzy_sections: bool = True) -> DataFrame:
+                    compat_sections: bool = False, fuzzy_sections: bool = True,
+                    current_year: int | None = None) -> DataFrame:
     raw = F.col("text")
     used = formatted_resume_text(raw) if text_mode == "formatted" else raw
     base = spread(resumes, "resume_id").select("resume_id", raw.alias("raw"), used.alias("t"))
@@ -161,9 +166,9 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
         F.array_distinct(kw.phrases_col("t")).alias("phrase_set"),
         kw.word_count_col("t").alias("words"),
         F.array_distinct(kw.phrases_col("t", normalise=False)).alias("w6_set"),
-        ex.year_ranges_col("t").alias("ranges"),
+        ex.year_ranges_col("t", current_year).alias("ranges"),
         ve.tf_vector_col(tx.head_lines_col("t")).alias("head_tf"),
-        se.first_hits_exact(F.col("_plines")).alias("hits0"),
+        se.first_hits_exact(F.col("_plines"), rules=compat_sections).alias("hits0"),
         F.col(pres_src).alias("pres_text"))
     skills = doc_skill_features(base.select("resume_id", "t"), "resume_id", "t", skill_db, forms, syn)
     f = f.join(skills, "resume_id", "left")
@@ -195,7 +200,8 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
 
 
 def jd_features(jds: DataFrame, skill_db: DataFrame, forms: DataFrame, syn: DataFrame,
-                text_mode: str = "formatted", section_fallback: bool = False) -> DataFrame:
+                text_mode: str = "formatted", section_fallback: bool = False,
+                current_year: int | None = None) -> DataFrame:
     raw = F.col("text")
     used = formatted_jd_text(raw) if text_mode == "formatted" else raw
     base = spread(jds, "jd_id").select("jd_id", used.alias("t"), raw.alias("_raw"))
@@ -205,7 +211,7 @@ def jd_features(jds: DataFrame, skill_db: DataFrame, forms: DataFrame, syn: Data
         "jd_id", (py_strip("t") == "").alias("blank"),
         title.alias("jd_title"),
         F.array_sort(F.array_distinct(kw.phrases_col("t", normalise=False))).alias("w6_sorted"),
-        ex.year_ranges_col("t").alias("ranges"),
+        ex.year_ranges_col("t", current_year).alias("ranges"),
         ve.tf_vector_col(tx.head_lines_col("t")).alias("head_tf"))
     f = f.withColumn("title_tf", ve.tf_vector_col(F.lower("jd_title")))
     f = f.select("*", *ve.split_vector_cols(F.col("head_tf"), "jh"), *ve.split_vector_cols(F.col("title_tf"), "jt"))
@@ -342,30 +348,32 @@ def dictionary_tables(skill_db: DataFrame, fuzzy_skills: bool = True, cache_key=
 
 
 def prepare_context(skill_db: DataFrame, jds: DataFrame, text_mode: str = "formatted",
-                    fuzzy_skills: bool = True, dict_key=None, section_fallback: bool = False) -> dict:
+                    fuzzy_skills: bool = True, dict_key=None, section_fallback: bool = False,
+                    current_year: int | None = None) -> dict:
     """Dictionary- and JD-side tables, computed once and checkpointed: the
     surface-form anchors, the synonym/fuzzy link table and the JD features.
     A stream of résumés is scored against this context batch after batch."""
     forms, syn = dictionary_tables(skill_db, fuzzy_skills, dict_key)
     # One row per JD: broadcast to the pair join when a count proves it small,
     # so the wide (pair + résumé feature) rows are never shuffled a second time.
-    jf = broadcast_if_small(materialize(jd_features(jds, skill_db, forms, syn, text_mode, section_fallback)),
+    jf = broadcast_if_small(materialize(jd_features(jds, skill_db, forms, syn, text_mode, section_fallback, current_year)),
                             JD_BROADCAST_ROWS)
-    return {"skill_db": skill_db, "forms": forms, "syn": syn, "jf": jf, "text_mode": text_mode}
+    return {"skill_db": skill_db, "forms": forms, "syn": syn, "jf": jf, "text_mode": text_mode, "current_year": current_year}
 
 
 def score_pairs(ctx: dict, pairs: DataFrame, resumes: DataFrame, layout_chars: DataFrame,
                 layout_pages: DataFrame, files: DataFrame, fuzzy_sections: bool = True,
                 compat_sections: bool = False) -> DataFrame:
     rf = resume_features(resumes, ctx["skill_db"], layout_chars, layout_pages, files, ctx["forms"], ctx["syn"],
-                         ctx["text_mode"], compat_sections, fuzzy_sections)
+                         ctx["text_mode"], compat_sections, fuzzy_sections, ctx["current_year"])
     return ats_report(pairs, rf, ctx["jf"])
 
 
 def build_report(pairs, resumes, jds, skill_db, layout_chars, layout_pages, files, text_mode="formatted",
                  fuzzy_sections=True, compat_sections=False, fuzzy_skills=True, dict_key=None,
-                 section_fallback=False) -> DataFrame:
-    ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills, dict_key, section_fallback)
+                 section_fallback=False, current_year=None) -> DataFrame:
+    """``current_year``: date ranges that end later are ignored; the year of the run unless given."""
+    ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills, dict_key, section_fallback, current_year)
     return score_pairs(ctx, pairs, resumes, layout_chars, layout_pages, files, fuzzy_sections, compat_sections)
 
 

@@ -24,7 +24,7 @@ _VIEWS: dict = {}
 def _view(spark: SparkSession, sf_dir: str, name: str, key: str, build) -> DataFrame:
     k = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if k not in _VIEWS:
-        n = 2 * spark.sparkContext.defaultParallelism
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         _VIEWS[k] = materialize(build().repartition(n, key))
     return _VIEWS[k]
 
@@ -55,8 +55,7 @@ def resume_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resume_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = (read_table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1)
-          .select("l_orderkey", "l_partkey"))
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     j = (c.join(o, o.o_custkey == c.c_custkey).join(li, li.l_orderkey == o.o_orderkey)
          .join(p, p.p_partkey == li.l_partkey))
@@ -80,18 +79,24 @@ def _resume_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("resume_id", "nationkey", text.alias("text"))
 
 
+def _jd_key(supplier: str):
+    """One JD per supplier and quarter of the order date."""
+    d = F.col("o_orderdate")
+    return F.col(supplier).cast("long") * 1000 + (F.year(d) - 1990) * 4 + F.quarter(d)
+
+
 def jd_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "jd_fx", "jd_id", lambda: _jd_fx(spark, sf_dir))
 
 
 def _jd_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    li = (read_table(spark, sf_dir, "lineitem")
-          .filter((F.col("l_linenumber") == 1) & (F.col("l_quantity") >= 48))
-          .select("l_suppkey", "l_partkey"))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    j = s.join(li, li.l_suppkey == s.s_suppkey).join(p, p.p_partkey == li.l_partkey)
-    g = (j.groupBy(F.col("s_suppkey").alias("jd_id"), F.col("s_nationkey").alias("nationkey"))
+    j = (s.join(li, li.l_suppkey == s.s_suppkey).join(o, o.o_orderkey == li.l_orderkey)
+         .join(p, p.p_partkey == li.l_partkey))
+    g = (j.groupBy(_jd_key("s_suppkey").alias("jd_id"), F.col("s_nationkey").alias("nationkey"))
          .agg(F.min(F.lower("p_type")).alias("title"), _skills_agg().alias("skills")))
     jid = F.col("jd_id")
     text = F.concat(
@@ -104,29 +109,19 @@ def _jd_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs_fx(spark: SparkSession, sf_dir: str, resumes: DataFrame | None = None,
              jds: DataFrame | None = None) -> DataFrame:
-    """The pair view over the fixture résumés and JDs (built once per session)."""
-    return _view(spark, sf_dir, "pairs_fx", "resume_id", lambda: pair_join(resume_fx(spark, sf_dir),
-                                                                           jd_fx(spark, sf_dir)))
-
-
-def pair_join(resumes: DataFrame, jds: DataFrame, broadcast_rows: int = 2_000_000, buckets: int = 64) -> DataFrame:
-    """``resume_fx JOIN jd_fx USING (nationkey)``.
-
-    Few keys (25 nations) carry all rows, so a plain shuffle join would put a
-    whole nation's pairs in one task.  The JD key list is broadcast when a
-    count proves it small; the résumé side then streams without a shuffle and
-    the pair output is spread over the résumé partitions.  Beyond the bound,
-    the JD side is replicated over salt buckets and each résumé goes to one
-    bucket by ``resume_id``, which splits every nation over many tasks.
-    """
-    r = resumes.select("resume_id", "nationkey")
-    j = jds.select("jd_id", "nationkey")
-    n_jd = j.count()
-    if n_jd <= broadcast_rows:
-        return r.join(F.broadcast(j), "nationkey").select("resume_id", "jd_id")
-    js = j.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    rs = r.withColumn("salt", (F.xxhash64("resume_id") % buckets + buckets) % buckets)
-    return rs.join(js, ["nationkey", "salt"]).select("resume_id", "jd_id")
+    """The pairs to score (built once per session): a customer's résumé and each JD that its order lines name."""
+    return _view(spark, sf_dir, "pairs_fx", "resume_id", lambda: _pairs(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "customer").select("c_custkey")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey")
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    j = (c.join(o, o.o_custkey == c.c_custkey).join(li, li.l_orderkey == o.o_orderkey)
+         .join(s, s.s_suppkey == li.l_suppkey).join(p, p.p_partkey == li.l_partkey))
+    return j.select(F.col("c_custkey").alias("resume_id"), _jd_key("s_suppkey").alias("jd_id")).distinct()
 
 
 # --------------------------------------------------------------------------
@@ -151,16 +146,20 @@ FROM (SELECT c_custkey AS resume_id, c_nationkey AS nationkey, c_name, c_mktsegm
         {agg_sk} AS skills, min(year(o_orderdate)) AS y0, max(year(o_orderdate)) AS y1,
         min(year(o_orderdate)) + c_custkey % 4 AS s
       FROM customer JOIN orders ON o_custkey = c_custkey
-      JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1
+      JOIN lineitem ON l_orderkey = o_orderkey
       JOIN part ON p_partkey = l_partkey GROUP BY c_custkey, c_nationkey, c_name, c_mktsegment) AS r"""
 
+JD_KEY_SQL = "CAST({s} AS BIGINT) * 1000 + (year(o_orderdate) - 1990) * 4 + quarter(o_orderdate)"
+
 JD_FX_SQL = """SELECT jd_id, nationkey, concat('Job title: ', title, ' operator', chr(10), 'Requirements', chr(10), skills, chr(10),
   'Benefits', chr(10), 'Period ', CAST(1990 + jd_id % 8 AS {str}), '-', CAST(1991 + jd_id % 8 AS {str})) AS text
-FROM (SELECT s_suppkey AS jd_id, s_nationkey AS nationkey, min(lower(p_type)) AS title, {agg_sk} AS skills
-      FROM supplier JOIN lineitem ON l_suppkey = s_suppkey AND l_linenumber = 1 AND l_quantity >= 48
-      JOIN part ON p_partkey = l_partkey GROUP BY s_suppkey, s_nationkey) AS j"""
+FROM (SELECT """ + JD_KEY_SQL.format(s="s_suppkey") + """ AS jd_id, s_nationkey AS nationkey, min(lower(p_type)) AS title, {agg_sk} AS skills
+      FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey
+      JOIN part ON p_partkey = l_partkey GROUP BY 1, s_nationkey) AS j"""
 
-PAIRS_FX_SQL = "SELECT resume_id, jd_id FROM resume_fx JOIN jd_fx USING (nationkey)"
+PAIRS_FX_SQL = "SELECT DISTINCT c_custkey AS resume_id, " + JD_KEY_SQL.format(s="s_suppkey") + """ AS jd_id
+FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey"""
 
 FIXTURE_SQL = {"skill_fx": SKILL_FX_SQL, "resume_fx": RESUME_FX_SQL, "jd_fx": JD_FX_SQL,
                "pairs_fx": PAIRS_FX_SQL}

