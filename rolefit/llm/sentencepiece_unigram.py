@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolefit.llm.wordcache import TwoGenerations
+
 MARK = "▁"
 #: A character of no piece scores this much less than the lowest piece.
 UNKNOWN_PENALTY = 10.0
-#: Parts that a Python worker remembers; the memory is emptied when it is full.
+#: Parts in each of the two generations that a Python worker remembers.
 PARTS = 400_000
-LONGEST = 64
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -84,7 +87,10 @@ def read_pieces(raw: bytes) -> list[Piece]:
 
 # ---- the double-array trie -------------------------------------------------------
 class Trie(NamedTuple):
-    """From node s the code c leads to t = base[s] + c if check[t] == s; value[t] is the id of the piece that ends there, or -1."""
+    """From node s the code c leads to t = base[s] + c if check[t] == s; value[t] is the id of the piece that ends there, or -1.
+
+    Code 0 stands for a character of no piece and leads nowhere.  The arrays reach
+    beyond the last node by the largest code, so a step needs no bounds check."""
 
     base: list[int]
     check: list[int]
@@ -104,7 +110,7 @@ def build_trie(pieces: list[tuple[str, int]]) -> Trie:
         node[0] = i
     reach = len(code) + 2
     used = bytearray(3 * reach)
-    base, check, value = {}, {0: 0}, {}
+    base, check, value = {}, {0: -1}, {}  # nothing leads back to the root
     used[0] = 1
     todo = [(0, nested)]
     for s, node in todo:
@@ -122,7 +128,7 @@ def build_trie(pieces: list[tuple[str, int]]) -> Trie:
             used[b + c] = 1
         used.extend(bytes(max(0, max(b + steps[-1], at) + 2 * reach - len(used))))
         todo.extend((b + c, node[c]) for c in steps)
-    size = max(check) + 1
+    size = max([*check, *base.values()]) + reach
     return Trie([base.get(t, 0) for t in range(size)], [check.get(t, -1) for t in range(size)],
                 [value.get(t, -1) for t in range(size)], code)
 
@@ -144,41 +150,43 @@ class Unigram:
         self.joins = {t[k: k + 2] for t, _ in normal for k in range(len(t) - 1)}
         spaced = any(MARK in t.lstrip(MARK) for t, _ in normal)
         self.part = re.compile(r".+" if spaced else f"{MARK}*[^{MARK}]+|{MARK}+", re.DOTALL)
-        self.known: dict[str, bytes] = {}
+        self.gain = [self.score[i] if i >= 0 else float("-inf") for i in self.trie.value]
+        self.longest = max((len(t) for t, _ in normal), default=0)
+        self.single = {t for t, _ in normal if len(t) == 1}
+        self.known = TwoGenerations(self._ids, PARTS)
         self.plain = [p.text.encode() for p in pieces]
         for i, b in self.byte_of.items():
             self.plain[i] = bytes([b])
 
-    def _split(self, part: str) -> list[str]:
-        """``part`` cut wherever no piece joins two neighbours."""
+    def _ids(self, part: str) -> bytes:
+        """Ids of a part, which is first cut wherever no piece joins two neighbours."""
         joins = self.joins
-        cuts = [k for k in range(1, len(part)) if part[k - 1: k + 1] not in joins]
-        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])] if cuts else [part]
+        cuts = [k for k, pair in enumerate(map(add, part, part[1:]), 1) if pair not in joins]
+        if not cuts:
+            return array("I", self.segment(part)).tobytes()
+        return b"".join([self.known[part[a:b]] for a, b in zip([0, *cuts], [*cuts, len(part)])])
 
     def segment(self, text: str) -> list[int]:
         """Ids of the best path through ``text`` (escaped); of equal paths the one whose pieces are found first."""
         base, check, value, code = self.trie
-        n, size = len(text), len(check)
-        codes = [code.get(c, -1) for c in text]
+        gain, single, root = self.gain, self.single, base[0]
+        n = len(text)
+        codes = [code.get(c, 0) for c in text]
         best = [0.0] + [float("-inf")] * n
         back = [(0, -1)] * (n + 1)
         for i in range(n):
-            here, node, single = best[i], 0, False
-            for j in range(i, n):
-                c = codes[j]
-                if c < 0:
-                    break
-                t = base[node] + c
-                if t >= size or check[t] != node or not t:
+            here, step, j = best[i], root, i
+            node = 0
+            for c in codes[i: i + self.longest]:
+                t = step + c
+                if check[t] != node:
                     break
-                node = t
-                piece = value[node]
-                if piece >= 0:
-                    single |= j == i
-                    score = here + self.score[piece]
-                    if score > best[j + 1]:
-                        best[j + 1], back[j + 1] = score, (i, piece)
-            if not single and here + self.unknown > best[i + 1]:
+                j += 1
+                score = here + gain[t]
+                if score > best[j]:
+                    best[j], back[j] = score, (i, value[t])
+                node, step = t, base[t]
+            if text[i] not in single and here + self.unknown > best[i + 1]:
                 best[i + 1], back[i + 1] = here + self.unknown, (i, -1)
         out: list[int] = []
         at = n
@@ -195,30 +203,7 @@ class Unigram:
         if not text:
             return np.zeros(0, "<u4")
         escaped = MARK + text.replace(" ", MARK)
-        known = self.known
-        out = []
-        for part in self.part.findall(escaped):
-            ids = known.get(part)
-            if ids is None:
-                ids = self._remembered(part)
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def _remembered(self, part: str) -> bytes:
-        known, out = self.known, []
-        for p in self._split(part):
-            ids = known.get(p)
-            if ids is None:
-                ids = np.array(self.segment(p), "<u4").tobytes()
-                if len(p) <= LONGEST:
-                    known[p] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(known) >= PARTS:
-            known.clear()
-        if len(part) <= LONGEST:
-            known[part] = ids
-        return ids
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.part.findall(escaped))), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.plain.__getitem__, ids.tolist())).decode("utf-8", errors="replace").replace(MARK, " ")
