@@ -52,8 +52,7 @@ def _report(spark, sf, **kw):
     from rolefit.plans.report import build_report
     resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
     return build_report(fx.pairs_fx(spark, sf, resumes, jds), resumes, jds, fx.skill_fx(spark, sf),
-                        fx.layout_chars_fx(spark, sf), fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf),
-                        dict_key=("skill_fx", sf), **kw)
+                        fx.layout_chars_fx(spark, sf), fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf), **kw)
 
 
 @query("ats_report")
@@ -69,7 +68,7 @@ def _skill_pairs(spark, sf, fuzzy: bool):
     from rolefit.functions.joins import broadcast_if_small, materialize
     from rolefit.plans import report as rp
     db = fx.skill_fx(spark, sf)
-    forms, syn = rp.dictionary_tables(db, fuzzy, ("skill_fx", sf))
+    forms, syn = rp.dictionary_tables(db, fuzzy)
     resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
     rf = rp.doc_skill_features(resumes, "resume_id", "text", db, forms, syn)
     jf = rp.doc_skill_features(jds, "jd_id", "text", db, forms, syn)

@@ -329,36 +329,32 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
     return sc.round_scores(out, SCORE_COLS)
 
 
-_DICT_CACHE: dict = {}
-
-
-def dictionary_tables(skill_db: DataFrame, fuzzy_skills: bool = True, cache_key=None):
+def dictionary_tables(skill_db: DataFrame, fuzzy_skills: bool = True, tsr_threshold: int = 90,
+                      cos_threshold: float = 0.80) -> tuple[DataFrame, DataFrame]:
     """(forms, syn): the surface-form anchors and the synonym/fuzzy link
-    table.  Both depend on the dictionary alone; with a ``cache_key`` (e.g.
-    the dictionary's source path) the checkpointed tables are reused by every
-    report in the session instead of being rebuilt."""
-    key = None if cache_key is None else (skill_db.sparkSession.sparkContext.applicationId, cache_key, fuzzy_skills)
-    if key is not None and key in _DICT_CACHE:
-        return _DICT_CACHE[key]
+    table.  Both depend on the dictionary and the thresholds alone; a caller
+    with several reports over one dictionary builds them once and passes them on."""
     forms = broadcast_if_small(materialize(sk.surface_forms(skill_db)))
-    syn = broadcast_if_small(materialize(synonym_table(skill_db, fuzzy=fuzzy_skills)))
-    if key is not None:
-        _DICT_CACHE[key] = (forms, syn)
+    syn = broadcast_if_small(materialize(synonym_table(skill_db, fuzzy_skills, tsr_threshold, cos_threshold)))
     return forms, syn
 
 
 def prepare_context(skill_db: DataFrame, jds: DataFrame, text_mode: str = "formatted",
-                    fuzzy_skills: bool = True, dict_key=None, section_fallback: bool = False,
-                    current_year: int | None = None) -> dict:
+                    fuzzy_skills: bool = True, dictionary: tuple[DataFrame, DataFrame] | None = None,
+                    section_fallback: bool = False, current_year: int | None = None, tsr_threshold: int = 90,
+                    cos_threshold: float = 0.80, role_threshold: float = 0.7) -> dict:
     """Dictionary- and JD-side tables, computed once and checkpointed: the
     surface-form anchors, the synonym/fuzzy link table and the JD features.
-    A stream of résumés is scored against this context batch after batch."""
-    forms, syn = dictionary_tables(skill_db, fuzzy_skills, dict_key)
+    A stream of résumés is scored against this context batch after batch.
+    ``dictionary``: tables of :func:`dictionary_tables`, which then fix the two
+    skill thresholds."""
+    forms, syn = dictionary or dictionary_tables(skill_db, fuzzy_skills, tsr_threshold, cos_threshold)
     # One row per JD: broadcast to the pair join when a count proves it small,
     # so the wide (pair + résumé feature) rows are never shuffled a second time.
     jf = broadcast_if_small(materialize(jd_features(jds, skill_db, forms, syn, text_mode, section_fallback, current_year)),
                             JD_BROADCAST_ROWS)
-    return {"skill_db": skill_db, "forms": forms, "syn": syn, "jf": jf, "text_mode": text_mode, "current_year": current_year}
+    return {"skill_db": skill_db, "forms": forms, "syn": syn, "jf": jf, "text_mode": text_mode,
+            "current_year": current_year, "role_threshold": role_threshold}
 
 
 def score_pairs(ctx: dict, pairs: DataFrame, resumes: DataFrame, layout_chars: DataFrame,
@@ -366,14 +362,15 @@ def score_pairs(ctx: dict, pairs: DataFrame, resumes: DataFrame, layout_chars: D
                 compat_sections: bool = False) -> DataFrame:
     rf = resume_features(resumes, ctx["skill_db"], layout_chars, layout_pages, files, ctx["forms"], ctx["syn"],
                          ctx["text_mode"], compat_sections, fuzzy_sections, ctx["current_year"])
-    return ats_report(pairs, rf, ctx["jf"])
+    return ats_report(pairs, rf, ctx["jf"], ctx["role_threshold"])
 
 
 def build_report(pairs, resumes, jds, skill_db, layout_chars, layout_pages, files, text_mode="formatted",
-                 fuzzy_sections=True, compat_sections=False, fuzzy_skills=True, dict_key=None,
-                 section_fallback=False, current_year=None) -> DataFrame:
+                 fuzzy_sections=True, compat_sections=False, fuzzy_skills=True, dictionary=None,
+                 section_fallback=False, current_year=None, tsr_threshold=90, cos_threshold=0.80, role_threshold=0.7) -> DataFrame:
     """``current_year``: date ranges that end later are ignored; the year of the run unless given."""
-    ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills, dict_key, section_fallback, current_year)
+    ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills, dictionary, section_fallback, current_year,
+                          tsr_threshold, cos_threshold, role_threshold)
     return score_pairs(ctx, pairs, resumes, layout_chars, layout_pages, files, fuzzy_sections, compat_sections)
 
 

@@ -33,3 +33,13 @@ def test_report_components_match_single_operators(spark):
         assert r.formatting_score == fmt[r.resume_id]
         assert r.file_format_score == ff[r.resume_id]
         assert r.total_score <= 100
+
+
+def test_role_threshold_reaches_the_experience_score(spark):
+    def scores(threshold):
+        rep = _report(spark, SF_SMALL, text_mode="raw", fuzzy_skills=False, fuzzy_sections=False, role_threshold=threshold)
+        return _by_pair(rep, "experience_score")
+
+    low, high = scores(-1.0), scores(2.0)
+    assert set(low) == set(high)
+    assert low != high
