@@ -35,13 +35,15 @@ class LineLimits:
     """Limits of the operator.
 
     A line is boilerplate in a host if more than ``min_documents`` documents of
-    the host and more than ``share`` of them hold it.  Lines of fewer than
+    the host hold it, and more than ``share`` of them or than ``enough``: that
+    number is enough by itself, however large the host is.  Lines of fewer than
     ``min_line_words`` words are left alone.  A document is depleted if lines
     are removed and less than ``min_rest`` of its words remain.  The base rules
     ask for ``min_words`` words and at most ``repeat_percent`` repeated ones."""
 
     min_documents: int = 20
     share: float = 0.05
+    enough: int = 20
     min_line_words: int = 3
     min_words: int = 20
     min_rest: float = 0.3
@@ -137,7 +139,8 @@ def boilerplate_lines(docs: DataFrame, lines: DataFrame, limits: LineLimits, tex
     sizes = docs.select(*_keyed(text, host)).distinct().groupBy("hk").agg(F.count("*").alias("host_documents"))
     counts = lines.groupBy("hk", "h1", "h2").agg(F.count("*").alias("n_documents"), F.min("k").alias("holder"))
     counts = counts.filter(F.col("n_documents") > limits.min_documents)
-    return (counts.join(sizes, "hk").filter(F.col("n_documents") > limits.share * F.col("host_documents"))
+    share = F.least(limits.share * F.col("host_documents"), F.lit(float(limits.enough)))
+    return (counts.join(sizes, "hk").filter(F.col("n_documents") > share)
             .select("hk", "h1", "h2", "n_documents", "holder"))
 
 

@@ -70,6 +70,21 @@ def test_boilerplate_lines(spark):
     assert [got[i].depleted for i in (100, 101, 102)].count(True) >= 2
 
 
+def _own(i, n=25):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_boilerplate_of_a_large_host(spark):
+    notice = "All rights reserved by the owner of this site and by nobody else"
+    rows = [(i, f"{_own(i)}\n{notice}" if i < 30 else _own(i), "large") for i in range(3000)]  # 1 % of the host
+    rows += [(9000 + i, f"{notice}\n{i}", "large") for i in range(2)]
+    rows += [(9100 + i, f"{_own(i)}\n{notice}", "small") for i in range(20)]
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert sum(notice in got[i].clean_text for i in got if i < 9100) == 1
+    assert sum(got[i].depleted for i in (9000, 9001)) >= 1 and all(got[i].kept for i in range(3000))
+    assert all(got[9100 + i].removed_words == 0 for i in range(20))  # not above the absolute limit
+
+
 # ---- sentencepiece ----------------------------------------------------------
 @pytest.fixture(scope="module")
 def model():
