@@ -36,15 +36,18 @@ class LineLimits:
 
     A line is boilerplate in a host if more than ``min_documents`` documents of
     the host hold it, and more than ``share`` of them or than ``enough``: that
-    number is enough by itself, however large the host is.  Lines of fewer than
-    ``min_line_words`` words are left alone.  A document is depleted if lines
+    number is enough by itself, however large the host is.  For short lines (fewer
+    than ``min_line_words`` words and ``min_line_chars`` characters), which
+    documents may share by chance, ``enough_short`` takes its place.  A document is depleted if lines
     are removed and less than ``min_rest`` of its words remain.  The base rules
     ask for ``min_words`` words and at most ``repeat_percent`` repeated ones."""
 
     min_documents: int = 20
     share: float = 0.05
     enough: int = 20
+    enough_short: int = 200
     min_line_words: int = 3
+    min_line_chars: int = 20
     min_words: int = 20
     min_rest: float = 0.3
     repeat_percent: int = 30
@@ -120,26 +123,29 @@ def _keyed(text: str, host: str) -> list[Column]:
 
 
 def document_lines(docs: DataFrame, limits: LineLimits, text: str = "text", host: str = "source") -> DataFrame:
-    """One row per document and distinct normalised line: hk, k, h1, h2 (128 bits of the line), removed
-    words if the line goes."""
+    """One row per document and distinct normalised line: hk, k, h1, h2 (128 bits of the line), whether it is
+    short, removed words if the line goes."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     every = docs.select(*_keyed(text, host), F.posexplode(lines).alias("pos", "line"))
     every = every.select("hk", "k", "pos", normalised_line(F.col("line")).alias("norm"))
     words = F.size(F.split("norm", " "))
-    every = every.filter((F.col("norm") != "") & (words >= limits.min_line_words))
+    every = every.filter(F.col("norm") != "")
+    short = (words < limits.min_line_words) & (F.length("norm") < limits.min_line_chars)
     every = every.select("hk", "k", "pos", line_hash(F.col("norm")).alias("h1"),
-                         F.xxhash64(F.lit("line"), "norm").alias("h2"), words.alias("n"))
+                         F.xxhash64(F.lit("line"), "norm").alias("h2"), words.alias("n"), short.alias("short"))
     # exact copies collapse on the map side, so a hot group of copies is small after it
-    once = every.groupBy("hk", "k", "pos").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("n").alias("n"))
-    return once.groupBy("hk", "k", "h1", "h2").agg(F.sum("n").alias("words"))
+    once = every.groupBy("hk", "k", "pos").agg(*[F.first(c).alias(c) for c in ("h1", "h2", "n", "short")])
+    return once.groupBy("hk", "k", "h1", "h2").agg(F.first("short").alias("short"), F.sum("n").alias("words"))
 
 
 def boilerplate_lines(docs: DataFrame, lines: DataFrame, limits: LineLimits, text: str = "text", host: str = "source") -> DataFrame:
     """hk, h1, h2 of each line above the limits, with its number of documents and its holder."""
     sizes = docs.select(*_keyed(text, host)).distinct().groupBy("hk").agg(F.count("*").alias("host_documents"))
-    counts = lines.groupBy("hk", "h1", "h2").agg(F.count("*").alias("n_documents"), F.min("k").alias("holder"))
+    counts = lines.groupBy("hk", "h1", "h2").agg(F.count("*").alias("n_documents"), F.min("k").alias("holder"),
+                                                   F.first("short").alias("short"))
     counts = counts.filter(F.col("n_documents") > limits.min_documents)
-    share = F.least(limits.share * F.col("host_documents"), F.lit(float(limits.enough)))
+    enough = F.when(F.col("short"), F.lit(float(limits.enough_short))).otherwise(float(limits.enough))
+    share = F.least(limits.share * F.col("host_documents"), enough)
     return (counts.join(sizes, "hk").filter(F.col("n_documents") > share)
             .select("hk", "h1", "h2", "n_documents", "holder"))
 

@@ -85,6 +85,19 @@ def test_boilerplate_of_a_large_host(spark):
     assert all(got[9100 + i].removed_words == 0 for i in range(20))  # not above the absolute limit
 
 
+def test_short_boilerplate_lines(spark):
+    menu = "\n".join(["Home", "About us", "Read more", "Cookie policy", *(f"Topic {i}" for i in range(21))])
+    rows = [(i, f"{menu}\n{i}", "menus") for i in range(40)]
+    rows += [(100 + i, "\n".join(f"全ての権利は所有者に帰属します第{k}項、無断転載を禁じます" for k in range(25)) + f"\n{i}", "scripts") for i in range(40)]
+    rows += [(1000 + i, f"{_own(i)}\nYes." if i < 30 else _own(i), "large") for i in range(1000)]  # short, below both limits
+    rows += [(5000 + i, f"{_own(i)}\nHome" if i < 250 else _own(i), "hot") for i in range(6000)]
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for first in (0, 100):
+        assert sum(got[first + i].depleted and not got[first + i].kept for i in range(40)) == 39  # all but the holder
+    assert sum("Yes." in got[1000 + i].clean_text for i in range(30)) == 30
+    assert sum("Home" in got[5000 + i].clean_text for i in range(250)) == 1 and all(got[i].kept for i in got if i >= 1000)
+
+
 # ---- sentencepiece ----------------------------------------------------------
 @pytest.fixture(scope="module")
 def model():
