@@ -1,9 +1,14 @@
 """HTML extraction by tag-path ratios.
 
 A page is read into text nodes, each with its root-to-leaf tag path, and blocks
-(text between block tags).  Parts that markup itself declares to be no article
-(navigation, footers, asides, forms, scripts, styles, advert, notice, share and
-comment containers) are left out.  Over the other nodes:
+(text between block tags).  Scripts, styles and the like are no text.  Parts that
+markup declares to be no article (navigation, footers, asides, forms, advert,
+notice, share and comment containers) are left out, but a declaration does not
+hold on a page where such parts together have most of the text and punctuation
+outside links (a form around the page, a site builder's widgets; an advert only
+if there is no article or main part), and an ambiguous name (legal, notice,
+widget, ...) not for prose inside the article.
+Over the other nodes:
 
 1. text length and punctuation are added up per tag path, and divided by the
    path's number of nodes (text ratio, punctuation ratio),
@@ -17,8 +22,9 @@ as a whole (headings, short items), except paths of mostly links.  Blocks keep
 page order.
 
 Defined cases: a null page is empty and gives an empty text; a page without
-markup is one block; unclosed and stray tags are closed or ignored; a page whose
-parts are all left out is empty; repeated rows return a row each; an empty table
+markup is one block; unclosed and stray tags are closed or ignored; if all parts
+are declared no article, those with most text stay, and a page of links is empty;
+repeated rows return a row each; an empty table
 returns no row; other columns are ignored.
 """
 
@@ -40,13 +46,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small
 span strike strong sub sup time tt u var wbr""".split())
-SKIPPED = frozenset("""head script style noscript template title iframe object svg math canvas audio video map nav footer aside form
-button select option textarea label fieldset menu dialog""".split())
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
-SKIPPED_NAMES = re.compile(
+SKIPPED = frozenset("head script style noscript template title iframe object svg math canvas audio video map".split())
+DECLARED = frozenset("nav footer aside form button select option textarea label fieldset menu dialog".split())
+DECLARED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+DECLARED_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|legal|menu|modal|"
     r"nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|sidebar|sidenav|social|sponsor\w*|"
     r"subscribe|toolbar|widgets?)(?:$|[\s_-])", re.IGNORECASE)
+#: Names that article parts bear as well.
+AMBIGUOUS = frozenset("legal menu notice notices related share sharing social widget widgets".split())
+#: Declarations that an article or main part beside them does not confirm.
+LOOSE = AMBIGUOUS | {"<form>", "<fieldset>"}
+#: Elements of running text: an ambiguous name on one of them does not make it a container.
+PROSE = frozenset("p blockquote pre li td dd h1 h2 h3 h4 h5 h6".split())
 #: A start tag on the left closes an open tag on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -62,11 +74,20 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 @dataclass(frozen=True)
 class PathRule:
-    """Width of the smoothing (in nodes), share of the strongest path that content reaches, and most link text."""
+    """Width of the smoothing (in nodes), share of the strongest path that content reaches, most link text, and
+    least text of a block (characters) that makes a part with an ambiguous name prose."""
 
     sigma: float = 1.0
     share: float = 0.02
     links: float = 0.6
+    prose: int = 60
+
+
+class Mark(NamedTuple):
+    """What declares an element to be no article (its tag, role or name), and whether it is article text if it is prose."""
+
+    what: str
+    prose: bool
 
 
 class Node(NamedTuple):
@@ -74,41 +95,61 @@ class Node(NamedTuple):
     text: str
     block: int
     linked: bool
+    marks: frozenset[Mark]
+    part: int
 
 
 class Open(NamedTuple):
-    """An open tag: whether it is left out, its path from the root, whether a link encloses it."""
+    """An open tag: whether it is no text, its path from the root, whether a link encloses it, what declares it no article."""
 
     name: str
     skipped: bool
     path: str
     linked: bool
+    marks: frozenset[Mark]
+    part: int  # number of the innermost element that is declared no article, 0 if there is none
 
 
-def _left_out(name: str, attrs: str, inside_article: bool) -> bool:
-    if name in SKIPPED or name == "header" and not inside_article:
+def _in_article(path: str) -> bool:
+    return "/article" in path or "/main" in path
+
+
+def _hidden(name: str, attrs: str) -> bool:
+    if name in SKIPPED:
         return True
     if not attrs.strip() or name in ("html", "body", "main", "article"):
         return False
+    return any(key.lower() == "hidden" or key.lower() == "aria-hidden" and (a or b or c).lower() == "true"
+               for key, a, b, c in ATTRIBUTE.findall(attrs))
+
+
+def _marks(name: str, attrs: str, inside_article: bool) -> set[Mark]:
+    """What declares an element to be no article."""
+    out = set()
+    if name in DECLARED or name == "header" and not inside_article:
+        out.add(Mark(f"<{name}>", False))
+    if not attrs.strip() or name in ("html", "body", "main", "article"):
+        return out
     for key, a, b, c in ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), a or b or c
-        if key in ("class", "id") and SKIPPED_NAMES.search(value) or key == "role" and value.lower() in SKIPPED_ROLES:
-            return True
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        key, value = key.lower(), (a or b or c).lower()
+        if key in ("class", "id") and DECLARED_NAMES.search(value):
+            names = (x for x in re.split(r"[\s_-]+", value) if DECLARED_NAMES.fullmatch(x))
+            out.update(Mark(x, x in AMBIGUOUS and (inside_article or name in PROSE)) for x in names)
+        if key == "role" and value in DECLARED_ROLES:
+            out.add(Mark(f"role {value}", False))
+    return out
 
 
 def nodes_of(page: str) -> list[Node]:
-    """Text nodes in page order, without the parts that are left out."""
+    """Text nodes in page order, without scripts and the like."""
     out: list[Node] = []
-    stack = [Open("", False, "", False)]
-    block, at, size = 0, 0, len(page)
+    stack = [Open("", False, "", False, frozenset(), 0)]
+    block, at, size, parts = 0, 0, len(page), 0
 
     def add(raw: str) -> None:
         top = stack[-1]
         if raw and not top.skipped:
-            out.append(Node(top.path, html.unescape(raw) if "&" in raw else raw, block, top.linked))
+            out.append(Node(top.path, html.unescape(raw) if "&" in raw else raw, block, top.linked, top.marks, top.part))
 
     def close(to: int) -> None:
         nonlocal block
@@ -148,8 +189,11 @@ def nodes_of(page: str) -> list[Node]:
                 add(" ")
             continue
         top = stack[-1]
-        skipped = top.skipped or _left_out(name, m["attrs"], "/article" in top.path or "/main" in top.path)
-        stack.append(Open(name, skipped, f"{top.path}/{name}", top.linked or name == "a"))
+        skipped = top.skipped or _hidden(name, m["attrs"])
+        marks = set() if skipped else _marks(name, m["attrs"], _in_article(top.path))
+        parts += bool(marks)
+        stack.append(Open(name, skipped, f"{top.path}/{name}", top.linked or name == "a", top.marks | marks if marks else top.marks,
+                          parts if marks else top.part))
         if name in RAW:  # its content is no markup
             end = re.compile(f"</{name}", re.IGNORECASE).search(page, at)
             stop = end.start() if end else size
@@ -159,6 +203,48 @@ def nodes_of(page: str) -> list[Node]:
     return out
 
 
+def declared_out(nodes: list[Node]) -> frozenset[Mark]:
+    """The declarations that hold on this page: those whose parts together do not have most of its text and punctuation.
+
+    Text of links does not count.  Beside an article or main part only the loose ones can fall.  If nothing would be
+    left, the declarations of the heaviest parts fall one after the other."""
+    seen: dict[tuple[frozenset[Mark], bool], np.ndarray] = {}
+    for n in nodes:
+        text = n.text.strip()
+        if text and not n.linked:
+            key = n.marks, _in_article(n.path)
+            seen[key] = seen.get(key, 0) + np.array([len(text), len(PUNCTUATION.findall(text))])
+    out = {m for n in nodes for m in n.marks}
+    if not seen:
+        return frozenset(out)
+    total = sum(seen.values())
+    mass = {m: sum((w for (marks, _), w in seen.items() if m in marks), np.zeros(2)) for m in out}
+    most = {m for m in out if 2 * mass[m][0] > total[0] and 2 * mass[m][1] >= total[1]}
+    out -= {m for m in most if m.what in LOOSE}
+    if not any(article and not marks & out for marks, article in seen):
+        out -= most
+    while all(marks & out for marks, _ in seen):
+        out.discard(max(out, key=lambda m: (*mass[m], m)))
+    return frozenset(out)
+
+
+def article_nodes(nodes: list[Node], rule: PathRule = PathRule()) -> list[Node]:
+    """The nodes without the parts that are declared no article."""
+    if not any(n.marks for n in nodes):
+        return nodes
+    out = declared_out(nodes)
+    blocks: dict[int, dict[int, int]] = {}  # text outside links of each part's blocks
+    whole: dict[int, int] = {}
+    for n in nodes:
+        if n.marks & out and all(m.prose for m in n.marks & out):
+            size = len(n.text.strip())
+            whole[n.part] = whole.get(n.part, 0) + size
+            of = blocks.setdefault(n.part, {})
+            of[n.block] = of.get(n.block, 0) + (0 if n.linked else size)
+    prose = {k for k, of in blocks.items() if 0 < whole[k] <= 2 * sum(x for x in of.values() if x >= rule.prose)}
+    return [n for n in nodes if not n.marks & out or n.part in prose and all(m.prose for m in n.marks & out)]
+
+
 def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -210,7 +296,7 @@ def _content_root(strongest: str) -> str:
 
 
 def main_text(page: str, rule: PathRule = PathRule()) -> str:
-    nodes = nodes_of(page)
+    nodes = article_nodes(nodes_of(page), rule)
     blocks: dict[int, list[str]] = {}
     for node, good in zip(nodes, content_nodes(nodes, rule)):
         if good:

@@ -111,6 +111,26 @@ def test_parts_left_out():
     assert html_paths.main_text(page) == "Title\n\nOne, a link and text. Good.\n\nTwo par;\n\nItem, one.\n\nTwo\n\nSub\n\nYes."
 
 
+SENTENCES = [f"Sentence {i} is a long one with many words, and it goes on: about harbours and stars." for i in range(6)]
+
+
+def _p(a, b):
+    return "".join(f"<p>{x}</p>" for x in SENTENCES[a:b])
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<form id=f><nav><a href=x>Home</a></nav><div>{_p(0, 6)}</div><div class=ad>Buy, now.</div><footer>(c) us.</footer></form>", SENTENCES),
+    ("".join(f'<div class="elementor-widget elementor-widget-text-editor">{_p(i, i + 1)}</div>' for i in range(6)) + "<footer>(c) us.</footer>", SENTENCES),
+    (f'<article><section>{_p(0, 3)}</section><section id="legal"><h2>Law</h2>{_p(3, 5)}</section><p class="notice">{SENTENCES[5]}</p>'
+     f'<div class="share">Share!</div><div class="ad">{SENTENCES[0]}</div></article>', [*SENTENCES[:3], "Law", *SENTENCES[3:]]),
+    (f"<div class=legal>{_p(0, 2)}</div><div class=footer>{_p(2, 3)}</div><div class=cookies>{_p(3, 4)}</div>", SENTENCES[:2]),
+    (f"<article>{_p(0, 2)}</article><div class=comments>{_p(2, 6)}</div>", SENTENCES[:2]),
+    (f"<form><article>{_p(0, 2)}</article><div class=comments>{_p(2, 6)}</div></form>", SENTENCES[:2]),
+    ("<nav><a href=x>Home, sweet home.</a></nav>", [])])
+def test_declared_parts_with_the_text(page, want):
+    assert html_paths.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(want)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=list("<>/ap=\"' b!-&;\n"), max_size=60))
 def test_any_markup_is_read(page):
