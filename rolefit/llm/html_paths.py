@@ -279,8 +279,10 @@ def content_nodes(nodes: list[Node], rule: PathRule = PathRule()) -> list[bool]:
     own_text = link_share <= rule.links
     good = (strong | below) & own_text
     for i in np.flatnonzero(~own_text):  # a link inside running text goes with the path that holds it
-        holder = number.get(names[i].partition("/a/")[0].removesuffix("/a"))
-        good[i] = holder is not None and good[holder]
+        holder = names[i].partition("/a/")[0].removesuffix("/a")
+        while holder not in number and holder.startswith(root + "/"):  # no text node of its own: what encloses it
+            holder = holder.rpartition("/")[0]
+        good[i] = good[number[holder]] if holder in number else holder == root
     return good[path].tolist()
 
 

@@ -131,6 +131,14 @@ def test_declared_parts_with_the_text(page, want):
     assert html_paths.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(want)
 
 
+def test_minified_links_of_the_article():
+    tags = ["<article>", "<h2>", "<a href=x>Title</a>", "</h2>", *(f"<p>{x}</p>" for x in SENTENCES), "<ul>", "<li>", "<a href=y>Source one</a>", "</li>",
+            "<li>", "<a href=z><b>Source two</b></a>", "</li>", "</ul>", "</article>", "<ul>", "<li>", "<a href=u>Elsewhere</a>", "</li>", "</ul>"]
+    want = "\n\n".join(["Title", *SENTENCES, "Source one", "Source two"])
+    for gap in ("", "\n  "):
+        assert html_paths.main_text(f"<html><body>{gap.join(tags)}</body></html>") == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=list("<>/ap=\"' b!-&;\n"), max_size=60))
 def test_any_markup_is_read(page):
