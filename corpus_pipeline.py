@@ -28,8 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no recognised language go; a missing language is filled in.  It learns from the labelled documents."""
+    """Documents of no recognised language go; a missing language is filled in.  It learns from the labelled documents.
+
+    If nothing could be learned (no labelled document outside the fold), documents with a letter stay as they are."""
     model = language_id.fitted(docs.filter(~fold("doc_id", 4, 2)))
+    if model.tables is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     out = docs.withColumn("found", language_id.predictor(model)(F.col("text")))
     out = out.filter((F.col("found.lang_pred") != "und") & (F.col("found.score") >= MIN_LANGUAGE_SCORE))
     return out.withColumn("lang", F.coalesce("lang", "found.lang_pred")).select(docs.columns)

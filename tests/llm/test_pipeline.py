@@ -1,5 +1,6 @@
 """The pipeline's stages: each keeps the documents' columns, its decisions take effect, clean documents stay."""
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rolefit.llm.catalog import fold
@@ -42,5 +43,13 @@ def test_run_equals_the_stages(spark, tmp_path):
     assert len({r.doc_id for r in out}) == 120 and not {300, 301, 302, 303, 304} & {r.doc_id for r in out}
 
 
+def test_language_without_labels(spark):
+    docs = _table(spark).withColumn("lang", F.lit(None).cast("string"))
+    out = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, "")
+    got = out.collect()
+    assert out.columns == docs.columns and all(r.lang is None for r in got)
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in got} == {301, 302, 303} and len(got) == docs.count() - 3
+
+
 def test_fold_of_a_null_id(spark):
     assert [r[0] for r in spark.createDataFrame([(None,), (1,)], "doc_id long").select(fold("doc_id", 4, 2)).collect()][0] is False
