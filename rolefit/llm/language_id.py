@@ -3,7 +3,7 @@
 A window of bytes goes through filters of several widths over one-hot bytes, the
 strongest answer of each filter over the window (max pooling, rectified), and a
 softmax layer.  It is trained in numpy with Adam, on the driver, on windows of a
-bounded sample of labelled rows (``Net.sample`` documents a language, two windows
+bounded sample of labelled texts (``Net.sample`` a language at most, two windows
 each).  A text's prediction is the mean of its windows' probabilities, all
 windows of the whole text counted; windows of many texts run as one batch.
 
@@ -11,8 +11,8 @@ Over one-hot bytes a filter is a sum of table rows, so the tables of neighbourin
 bytes are added once for all 65,536 pairs and a width of four costs two look-ups.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
-is every text if there is no labelled row; repeated rows count each in the
-sample; an empty table returns no row; other columns are ignored.
+is every text if there is no labelled row; repeated texts of a label count once
+in the sample; an empty table returns no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ class Net:
 
     window: int = 256
     filters: int = 16  # of each width 2, 3 and 4
-    sample: int = 1200  # documents a language that it learns from, about
+    sample: int = 1200  # distinct texts a language that it learns from, at most
     epochs: int = 5
     batch: int = 64
     rate: float = 0.01
@@ -182,19 +182,22 @@ def _text_probabilities(texts: list[str], t: Tables, size: int, most: int = 4096
 
 
 def labelled_windows(docs: DataFrame, label: str, text: str, net: Net) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of a sample of rows with label and text: about ``net.sample`` rows a label, chosen by a hash of the text."""
+    """Windows of a sample of the distinct texts of each label: ``net.sample`` of them, or all, chosen by a hash of the text."""
     rows = docs.select(F.col(label).alias("label"), F.col(text).alias("text")).filter("label is not null and text is not null")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    mark = F.xxhash64(F.lit("sample"), "text")
+    counts = {r["label"]: r["count"] for r in rows.select("label", mark.alias("mark")).distinct().groupBy("label").count().collect()}
     labels = sorted(counts)
     if not labels:
         return np.zeros((0, net.window), np.uint8), np.zeros(0, np.int64), labels
-    share = F.create_map(*[F.lit(v) for k in labels for v in (k, min(1.0, net.sample / counts[k]))])
-    mark = F.xxhash64(F.lit("sample"), "text")
-    chosen = rows.filter(F.pmod(mark, F.lit(1_000_000)) < F.element_at(share, F.col("label")) * 1_000_000)
+    # twice the number come as candidates, one row a text; the first of them by the hash are the sample
+    share = F.create_map(*[F.lit(v) for k in labels for v in (k, min(1.0, 2 * net.sample / counts[k]))])
+    place = F.pmod(mark, F.lit(1_000_000_000))
+    chosen = rows.filter(place < F.element_at(share, F.col("label")) * 1_000_000_000)
     room = F.greatest(F.length("text") - net.window, F.lit(1))
     cuts = [F.substr("text", F.pmod(F.xxhash64(F.lit(k), "text"), room).cast("int") + 1, F.lit(net.window)).alias(f"w{k}") for k in range(2)]
-    got = chosen.select("label", *cuts).collect()
-    got = sorted((labels.index(r["label"]), r[f"w{k}"]) for r in got for k in range(2) if has_letter(r[f"w{k}"]))
+    got = chosen.select("label", place.alias("place"), mark.alias("mark"), *cuts).dropDuplicates(["label", "place", "mark"]).collect()
+    by_label = {k: sorted((r for r in got if r["label"] == k), key=lambda r: (r["place"], r["mark"]))[:net.sample] for k in labels}
+    got = sorted((labels.index(k), r[f"w{j}"]) for k, rs in by_label.items() for r in rs for j in range(2) if has_letter(r[f"w{j}"]))
     x = np.concatenate([windows(t, net.window)[:1] for _, t in got]) if got else np.zeros((0, net.window), np.uint8)
     return x, np.array([c for c, _ in got], dtype=np.int64), labels
 

@@ -329,6 +329,16 @@ def test_language_id(spark, docs):
     assert {(r.lang_pred, r.score) for r in language_id.identified(docs, none, held).collect()} == {("und", 0.0)}
 
 
+def test_language_id_sample_of_copies(spark):
+    rows = [("copy of a text", "en")] * 3000 + [(f"text number {i}", "en") for i in range(300)] + [(f"wort {i}", "de") for i in range(40)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    for salt in range(3):  # whether the copies are chosen or not
+        some = table.withColumn("text", F.concat(F.lit(f"v{salt} "), "text"))
+        x, y, labels = language_id.labelled_windows(some, "lang", "text", language_id.Net(sample=50))
+        assert labels == ["de", "en"] and [(y == k).sum() for k in range(2)] == [2 * 40, 2 * 50]
+        assert collections.Counter(r.tobytes() for r in x).most_common(1)[0][1] == 2
+
+
 def test_language_id_reads_whole_texts():
     w = language_id.train(np.random.default_rng(0).integers(32, 127, (64, 64)).astype(np.uint8), np.arange(64) % 2, 2, language_id.Net(window=64, filters=4, epochs=1))
     t = language_id.tables(w)
