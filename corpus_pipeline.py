@@ -40,9 +40,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts one row stays, also of rows that repeat an id or have none."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return exact_dedup.exact_groups(docs, carry=rest).filter("kept").select(docs.columns)
+    return exact_dedup.exact_groups(docs, carry=rest).filter("kept").dropDuplicates(["text_sha256"]).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ the map side, so a group of any size sends one row per task.  Classes are joined
 back to the rows by the hash and the text's SHA-256; texts move once.
 
 Defined cases: a null text is empty; a null id loses against any other; an id
-names one document, so rows that repeat an id and a text share their verdict;
-an empty table returns no row; other columns are ignored.
+names one document, so rows that repeat an id and a text share their verdict, and
+so do the longest rows of a class whose ids are all null (the pipeline's stage
+lets one row of them stay); an empty table returns no row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -51,5 +51,15 @@ def test_language_without_labels(spark):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in got} == {301, 302, 303} and len(got) == docs.count() - 3
 
 
+def test_repeated_rows_and_null_ids(spark):
+    docs = _table(spark)
+    one, two = docs.filter("doc_id = 40"), docs.filter("doc_id = 41").withColumn("doc_id", F.lit(None).cast("long"))
+    some = one.unionByName(one).unionByName(one).unionByName(two).unionByName(two).unionByName(docs.filter("doc_id between 50 and 59"))
+    out = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, some, "")
+    got = out.collect()
+    assert out.columns == docs.columns and sorted(r.doc_id or -1 for r in got) == [-1, 40, *range(50, 60)]
+    assert {r.text for r in got} == {r.text for r in some.collect()}
+
+
 def test_fold_of_a_null_id(spark):
     assert [r[0] for r in spark.createDataFrame([(None,), (1,)], "doc_id long").select(fold("doc_id", 4, 2)).collect()][0] is False
