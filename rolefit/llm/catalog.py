@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.llm import (exact_dedup, html_paths, language_id, lm_backoff, packing, quality_rules, sentencepiece_unigram,
-                         simhash, url_rules, warc_zip)
+from rolefit.llm import (exact_dedup, html_paths, language_id, lexical_nra, lm_backoff, packing, quality_rules, sentencepiece_unigram,
+                         simhash, token_alignment, token_counts, url_rules, warc_zip)
 from rolefit.sources.tables import read_table
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -68,9 +68,22 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_paths.extracted(read_table(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), 4096)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_nra.searched(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_sentencepiece, op3_lm_scoring, op4_url_filters, op5_best_fit_packing, op6_simhash_near_dedup,
-    op7_exact_dedup, op8_warc_zip, op9_language_id, op10_html_extraction)}
+    op7_exact_dedup, op8_warc_zip, op9_language_id, op10_html_extraction, op11_token_counts, op12_lexical_search,
+    op13_token_alignment)}
 
 _WS = r"[\x20\x09-\x0D]"
 
@@ -129,4 +142,17 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f""",
+    "op12_lexical_search": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM t),
+n AS (SELECT r, doc_id, count(*) AS n FROM w GROUP BY r, doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+tf AS (SELECT r, term, count(*) AS tf FROM w GROUP BY r, term),
+df AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, c GROUP BY term, docs),
+q AS (SELECT i, item_id, unnest(list_distinct(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+      FROM (SELECT row_number() OVER () AS i, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark)),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms))))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN df USING (term) JOIN n USING (r), c GROUP BY i, item_id, r, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
