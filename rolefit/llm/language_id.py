@@ -230,7 +230,8 @@ def predictor(model: Model):
                     lang[i], score[i] = labels[best], min(1.0, float(prob))
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return F.pandas_udf(predict, "lang_pred string, score double")
+    # a filter on the result is then not pushed below the call, which would make it twice
+    return F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()
 
 
 def identified(docs: DataFrame, model: Model, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

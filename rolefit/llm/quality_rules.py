@@ -162,7 +162,8 @@ def judged(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: str = "do
     gone = (lines.join(heavy, ["hk", "h1", "h2"]).filter(F.col("k") != F.col("holder"))
             .groupBy("hk", "k").agg(F.sum("words").alias("gone_words"), F.collect_list("h1").alias("gone_lines")))
     t = F.coalesce(F.col(text), F.lit(""))
-    measure = F.pandas_udf(_measure, ", ".join(f"{c} long" for c in _MEASURES))
+    # a filter on the verdict is then not pushed below the call, which would make it twice
+    measure = F.pandas_udf(_measure, ", ".join(f"{c} long" for c in _MEASURES)).asNondeterministic()
     base = docs.select(F.struct(doc_id, *carry).alias("own"), t.alias("whole"), *_keyed(text, host),
                        measure(t).alias("m"))
     j = base.join(gone, ["hk", "k"], "left")

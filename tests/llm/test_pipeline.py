@@ -1,5 +1,6 @@
 """The pipeline's stages: each keeps the documents' columns, its decisions take effect, clean documents stay."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -63,3 +64,9 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_fold_of_a_null_id(spark):
     assert [r[0] for r in spark.createDataFrame([(None,), (1,)], "doc_id long").select(fold("doc_id", 4, 2)).collect()][0] is False
+
+
+@pytest.mark.parametrize("k", [0, 1])
+def test_a_filter_does_not_run_a_python_function_twice(spark, docs, k):
+    plan = corpus_pipeline.STAGES[k][1](spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
