@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolefit.llm.shared import written
+from rolefit.llm.textbytes import pieces
 from rolefit.llm.wordcache import encoder
 
 #: Weight of the residual of lengths below capacity / 4: short pieces left over fill gaps, long ones cost sequences.
@@ -51,10 +52,10 @@ def _piece_rows(tokenizer: str, end_id: int, capacity: int, schema: pa.Schema):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             at, rows = [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for i, ids in enumerate(encode.many([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 for k, (s, n) in enumerate(_cut(len(ids) // 4, capacity)):
                     at.append(i)
                     rows.append((k, s, n, zlib.crc32(ids[4 * s: 4 * (s + n)])))

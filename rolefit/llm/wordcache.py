@@ -1,12 +1,11 @@
 """Whole-text tokenising with remembered chunks.
 
 A byte-level BPE of this family splits a text into words before it merges, and a
-single space followed by a non-space always begins a new word.  So the chunks
-between such spaces are encoded one by one and remembered; a new chunk is split
-into words, and only new words reach the tokenizer's merges.  Chunks other than
-letters and marks are split by the tokenizer's own pre-tokenizer.
+single space followed by a non-space always begins a new word.  So a text is cut
+at such spaces, each distinct chunk of a list of texts is encoded once by one call
+of the library, and chunks are remembered up to a number that is a parameter.
 Texts in which a space meets other white space, or begins or ends the text, are
-split by it as a whole.
+encoded as a whole.
 """
 
 from __future__ import annotations
@@ -16,11 +15,9 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-#: Entries of a generation of a worker's memory, and the longest text that is remembered.
-CHUNKS, WORDS, LONGEST = 250_000, 250_000, 64
+#: Chunks that an encoder remembers, entries of a generation of a two-generation memory, and the longest text that is remembered.
+CHUNKS, LONGEST = 400_000, 64
 _MEETS = re.compile(r" \s")
-#: A space, letters (Latin ones only) and ASCII marks: always one word of letters and one of marks.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 class TwoGenerations(dict):
@@ -46,38 +43,47 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def word_chunks(text: str) -> list[str]:
+    """Parts of a text that are encoded alone as they are in the text, each with the space before it."""
+    if not text:
+        return []
+    if text[0] == " " or text[-1] == " " or "\0" in text or _MEETS.search(text):
+        return [text]
+    return text.replace(" ", "\0 ").split("\0")
+
+
+class Encoder:
+    """Ids of texts (little-endian unsigned 32-bit, as bytes).  No special tokens are parsed or added."""
+
+    def __init__(self, path: str, remembered: int = CHUNKS) -> None:
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("a tokenizer with a normalizer can't be used word by word")
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = True
+        self.remembered, self.known = remembered, {}
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text of a list."""
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        parts = [word_chunks(t) for t in texts]
+        new = list(set().union(*parts).difference(self.known))
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, found))
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        for c in new:
+            if len(c) > LONGEST:
+                del self.known[c]
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids (little-endian unsigned 32-bit, as bytes).  No special tokens are parsed or added."""
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    if tokenizer.normalizer is not None:
-        raise ValueError("a tokenizer with a normalizer can't be used word by word")
-    split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-    shown = byte_characters()
-
-    def word(w: str) -> bytes:
-        return array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(shown))]).tobytes()
-
-    words = TwoGenerations(word, WORDS)
-
-    def whole(text: str) -> bytes:
-        return b"".join([array("I", [t.id for t in merge(w)]).tobytes() for w, _ in split(text)])
-
-    def chunk(text: str) -> bytes:
-        plain = _PLAIN(text)
-        if plain is None:
-            return whole(text)
-        letters, marks = plain.groups()
-        return words[letters] + words[marks] if marks else words[letters]
-
-    chunks = TwoGenerations(chunk, CHUNKS)
-
-    def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0] == " " or text[-1] == " " or "\0" in text or _MEETS.search(text):
-            return whole(text)
-        return b"".join(map(chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
-
-    return encode
+def encoder(path: str, remembered: int = CHUNKS) -> Encoder:
+    """The encoder of a file, one in a Python worker."""
+    return Encoder(path, remembered)
