@@ -5,6 +5,9 @@ Each stage calls one operator of ``rolefit.llm`` on all that its predecessor kep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +21,25 @@ from rolefit.sources.tables import read_table
 MIN_LANGUAGE_SCORE = 0.35
 #: A language model's labels, a SQL oracle for a convolution or a tokenizer: SQL has none of these.
 ORACLE_SQL = None
+#: The columns of documents; a table may have more, whatever their names.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keeping_other_columns(stage: Stage) -> Stage:
+    """The stage on ``COLUMNS`` alone: other columns pass it inside a struct, so that their names can't clash with its own."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        other = [c for c in docs.columns if c not in COLUMNS]
+        if not other:
+            return stage(spark, docs, sf_dir)
+        own = docs.select(*[c for c in docs.columns if c in COLUMNS], F.struct(*other).alias("other_columns"))
+        out = stage(spark, own, sf_dir)
+        return out.select(*[F.col(c) if c in COLUMNS else F.col("other_columns")[c].alias(c) for c in docs.columns])
+    return run
 
 
+@keeping_other_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; boilerplate lines go from the texts that stay."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -27,6 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@keeping_other_columns
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no recognised language go; a missing language is filled in.  It learns from the labelled documents.
 
@@ -39,12 +60,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("lang", F.coalesce("lang", "found.lang_pred")).select(docs.columns)
 
 
+@keeping_other_columns
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, also of rows that repeat an id or have none."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
     return exact_dedup.exact_groups(docs, carry=rest).filter("kept").dropDuplicates(["text_sha256"]).select(docs.columns)
 
 
+@keeping_other_columns
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     groups = simhash.near_groups(docs)
@@ -54,6 +77,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of at most 1024 tokens."""
     return packing.packed(docs, public_tokenizers.path(TOKENIZER), END_ID, 1024)
 
 
