@@ -70,3 +70,13 @@ def test_fold_of_a_null_id(spark):
 def test_a_filter_does_not_run_a_python_function_twice(spark, docs, k):
     plan = corpus_pipeline.STAGES[k][1](spark, docs, "")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, docs):
+    own = docs.withColumns({c: F.lit("clash") for c in ("found", "extra", "other", "text_sha256", "gone_id", "text_key", "component_id", "clean_text")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, "")
+        assert out.columns == own.columns, name
+        assert all(r["found"] == r["gone_id"] == r["kept"] == "clash" for r in out.collect()), name
+        assert stage(spark, own.limit(0), "").collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, own.limit(0), "").collect() == []
