@@ -6,9 +6,10 @@ nearest to its middle, looked up by bisection of the other side's ends.  Both
 halves are treated alike; an interval without a common end inside is a group, and
 all tokens of its two sides are linked.
 
-A space between a character and a visible one always ends a token of both sides,
-so texts are first cut there.  Such a chunk is encoded and aligned once per Python
-worker's memory and a text's result is put together from its chunks.
+A space between a character and a visible one always begins a token of either
+side, so a text's first cuts are there.  Each distinct chunk between them is
+encoded and divided once in a Python worker's memory; the new chunks of a slice of
+texts recurse together, so that one call bisects for all intervals of a level.
 
 Corpus-wide counts without a hot key: the documents of a task form blocks of
 bounded size, and a block's distinct id pairs are one row each, with the number of
@@ -27,12 +28,10 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import accumulate
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -44,46 +43,77 @@ from pyspark.sql import types as T
 from rolefit.llm.sentencepiece_unigram import BYTE, MARK, read_pieces
 from rolefit.llm.shared import written
 from rolefit.llm.textbytes import pieces
-from rolefit.llm.wordcache import byte_characters
+from rolefit.llm.wordcache import byte_level_encode, byte_level_tokens
 
-#: Chunks that a Python worker remembers, and (document, pair) entries of a block (one document at least).
-REMEMBERED, BLOCK_ENTRIES = 300_000, 2_000_000
+#: Chunks that a Python worker remembers, bytes of text aligned together (one document at least), (document, pair) entries of
+#: a block (one document at least), and links of a group from which on its distinct ids are linked with their numbers of times.
+REMEMBERED, SLICE_BYTES, BLOCK_ENTRIES, LARGE_GROUP = 400_000, 2 << 20, 2_000_000, 4096
 
 
 # ---- cuts and groups ---------------------------------------------------------------
-class Interval(NamedTuple):
-    """Tokens a0 to a1 of one side and b0 to b1 of the other, over the same bytes."""
-
-    a0: int
-    a1: int
-    b0: int
-    b1: int
-
-
-def common_end(ends_a: list[int], ends_b: list[int], part: Interval) -> tuple[int, int] | None:
-    """The numbers of the tokens after the common end inside ``part`` that is nearest to its middle token; None without one."""
-    inner, last = part.a1 - 1 - part.a0, part.b1 - 1
-    middle = part.a0 + inner // 2
-    for step in range(inner):
-        # middle, one before it, one after it, two before it, ...: every inner end of A once
-        i = middle + (step + 1) // 2 * (-1 if step % 2 else 1)
-        k = bisect_left(ends_b, ends_a[i], part.b0, last)
-        if k < last and ends_b[k] == ends_a[i]:
-            return i + 1, k + 1
-    return None
-
-
-def groups(ends_a: list[int], ends_b: list[int]) -> list[Interval]:
-    """The finest intervals between common ends, in order.  Both sides cover the same bytes."""
-    out, todo = [], [Interval(0, len(ends_a), 0, len(ends_b))] if ends_a else []
-    while todo:
-        part = todo.pop()
-        cut = common_end(ends_a, ends_b, part) if part.a1 - part.a0 > 1 and part.b1 - part.b0 > 1 else None
-        if cut is None:
-            out.append(part)
-        else:
-            todo += [Interval(cut[0], part.a1, cut[1], part.b1), Interval(part.a0, cut[0], part.b0, cut[1])]
-    return out
+# An interval is a row (a0, a1, b0, b1): tokens a0 to a1 of one side and b0 to b1 of the other, over the same bytes.
+def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (``length`` of them) of every row, one after the other."""
+    return np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """(tokens of A, tokens of B) before the common end inside each interval that is nearest to A's middle token (the
+    former of two equally near); -1 where an interval has none.  Each has two tokens of A at least."""
+    inner = parts[:, 1] - 1 - parts[:, 0]
+    middle = parts[:, 0] + inner // 2
+
+    def met(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.searchsorted(ends_b, ends_a[i])
+        return ends_b[k] == ends_a[i], k
+
+    hit, k = met(middle)
+    cut = np.where(hit, [middle + 1, k + 1], -1).T
+    rest = np.flatnonzero(~hit & (inner > 1))
+    i = spans(parts[rest, 0], inner[rest])
+    owner = np.repeat(rest, inner[rest])
+    hit, k = met(i)
+    i, k, owner = i[hit], k[hit], owner[hit]
+    far = i - middle[owner]
+    order = np.lexsort((np.where(far < 0, -2 * far, 2 * far + 1), owner))
+    nearest = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+    cut[owner[nearest]] = np.stack([i[nearest] + 1, k[nearest] + 1], axis=1)
+    return cut
+
+
+def groups(ends_a: np.ndarray, ends_b: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The finest intervals between common ends of all ``parts``, in order.  Ends rise through all parts."""
+    done = [parts[:0]]
+    while len(parts):
+        divisible = (parts[:, 1] - parts[:, 0] > 1) & (parts[:, 3] - parts[:, 2] > 1)
+        done.append(parts[~divisible])
+        parts = parts[divisible]
+        cut = common_ends(ends_a, ends_b, parts)
+        found = cut[:, 0] >= 0
+        done.append(parts[~found])
+        parts, cut = parts[found], cut[found]
+        left, right = parts.copy(), parts.copy()
+        left[:, [1, 3]] = cut
+        right[:, [0, 2]] = cut
+        parts = np.concatenate([left, right])
+    out = np.concatenate(done)
+    return out[np.argsort(out[:, 0], kind="stable")]
+
+
+def links(ids_a: np.ndarray, ids_b: np.ndarray, found: np.ndarray, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, pair, times): every link of the groups ``found``; large groups by their distinct ids."""
+    a0, a1, b0, b1 = found.T
+    n = (a1 - a0) * (b1 - b0)
+    small = np.flatnonzero(n <= LARGE_GROUP)
+    group = np.repeat(small, n[small])
+    at = spans(np.zeros(len(small), np.int64), n[small])
+    width = (b1 - b0)[group]
+    pair = ids_a[a0[group] + at // width] * size_b + ids_b[b0[group] + at % width]
+    out = [(group, pair, np.ones(len(pair), np.int64))]
+    for g in np.flatnonzero(n > LARGE_GROUP):
+        (x, m), (y, k) = (np.unique(i, return_counts=True) for i in (ids_a[a0[g]: a1[g]], ids_b[b0[g]: b1[g]]))
+        out.append((np.full(len(x) * len(y), g), (x[:, None] * size_b + y).ravel(), (m[:, None] * k).ravel()))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 # ---- the two tokenizers -----------------------------------------------------------
@@ -96,17 +126,8 @@ class Side(NamedTuple):
 
 def byte_level_side(path: str) -> Side:
     """A byte-level ``tokenizers`` file; special tokens' strings are plain text."""
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    tokenizer.encode_special_tokens = True
-    byte = {c: b for b, c in byte_characters().items()}
-    entries = tokenizer.get_vocab(with_added_tokens=True)
-    token = [b""] * (max(entries.values()) + 1)
-    for s, i in entries.items():
-        token[i] = bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode()
-    return Side(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], token)
+    encode = byte_level_encode(path)
+    return Side(lambda texts: list(map(encode, texts)), byte_level_tokens(path))
 
 
 def piece_side(path: str) -> Side:
@@ -143,76 +164,114 @@ class Aligned(NamedTuple):
     times: np.ndarray
 
 
+class Tokens:
+    """Encodes chunks on one side and tells whether their tokens give back their bytes."""
+
+    def __init__(self, side: Side) -> None:
+        self.side = side
+        self.length = np.array([len(t) for t in side.token], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(side.token), np.uint8)
+
+    def of(self, texts: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all texts, number of ids of each, and whether they have the bytes ``raw``."""
+        found = self.side.encode(texts)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
+        owner = np.repeat(np.arange(len(n)), n)
+        want = np.fromiter(map(len, raw), np.int64, len(raw))
+        same = np.bincount(owner, weights=self.length[ids], minlength=len(n)).astype(np.int64) == want
+        own = ids[same[owner]]
+        blob = np.frombuffer(b"".join(raw if same.all() else [r for r, ok in zip(raw, same) if ok]), np.uint8)
+        wrong = self.bytes[spans(self.start[own], self.length[own])] != blob
+        if wrong.any():
+            same[np.repeat(np.flatnonzero(same), want[same])[wrong]] = False
+        return ids, n, same
+
+
 class Aligner:
     """Aligns texts chunk by chunk.  A pair is A's id times the size of B's vocabulary plus B's id."""
 
     def __init__(self, a: Side, b: Side) -> None:
-        self.a, self.b = a, b
-        self.length_a, self.length_b = list(map(len, a.token)), list(map(len, b.token))
+        self.a, self.b = Tokens(a), Tokens(b)
+        # what a token shows in the text of the groups, with what follows it: another one, the other side, another group
+        self.shown_a = {c: np.array([f"{i}{c}" for i in range(len(a.token))], object) for c in ",|"}
+        self.shown_b = {c: np.array([f"{i}{c}" for i in range(len(b.token))], object) for c in ",;"}
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.shown: list[str] = []
-        self.valid = array("b")
-        self.measures = array("q")  # four a chunk
+        self.valid = bytearray()
+        self.measures = array("q")  # n_a, n_b, n_groups, n_links of each chunk
         self.pairs, self.times, self.first = array("q"), array("q"), array("q", [0])
 
     def add(self, new: list[str]) -> None:
+        """Encode and divide new chunks."""
         spaced = [" " + c for c in new]
-        for chunk, whole, a, b in zip(new, spaced, self.a.encode(spaced), self.b.encode(new)):
-            raw = whole.encode()
-            valid = b"".join(map(self.a.token.__getitem__, a)) == raw == b"".join(map(self.b.token.__getitem__, b))
-            links: Counter[int] = Counter()
-            shown, measures = [], (0, 0, 0, 0)
-            if valid:
-                ends_a = list(accumulate(map(self.length_a.__getitem__, a)))
-                ends_b = list(accumulate(map(self.length_b.__getitem__, b)))
-                for g in groups(ends_a, ends_b):
-                    own_a, own_b = a[g.a0: g.a1], b[g.b0: g.b1]
-                    shown.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-                    times_b = Counter(own_b)
-                    for x, m in Counter(own_a).items():
-                        for y, n in times_b.items():
-                            links[x * len(self.b.token) + y] += m * n
-                measures = (len(a), len(b), len(shown), sum(links.values()))
-            self.number[chunk] = len(self.shown)
-            self.shown.append(";".join(shown))
-            self.valid.append(valid)
-            self.measures.extend(measures)
-            self.pairs.extend(links.keys())
-            self.times.extend(links.values())
-            self.first.append(len(self.pairs))
+        raw = [c.encode() for c in spaced]
+        (ids_a, n_a, same_a), (ids_b, n_b, same_b) = self.a.of(spaced, raw), self.b.of(new, raw)
+        valid = same_a & same_b
+        ids_a, ids_b = ids_a[np.repeat(valid, n_a)], ids_b[np.repeat(valid, n_b)]
+        n_a, n_b = n_a * valid, n_b * valid
+        whole = np.stack([np.cumsum(n_a) - n_a, np.cumsum(n_a), np.cumsum(n_b) - n_b, np.cumsum(n_b)], axis=1)
+        found = groups(np.cumsum(self.a.length[ids_a]), np.cumsum(self.b.length[ids_b]), whole[valid])
+        owner = np.searchsorted(whole[:, 1], found[:, 0], side="right")
+        group, pair, times = links(ids_a, ids_b, found, len(self.b.length))
+        order = np.argsort(group, kind="stable")
+        linked = owner[group[order]]
+        n_links = np.bincount(linked, weights=times[order], minlength=len(new)).astype(np.int64)
+        measures = np.stack([n_a, n_b, np.bincount(owner, minlength=len(new)), n_links], axis=1)
+        self.number.update(zip(new, range(len(self.shown), len(self.shown) + len(new))))
+        self.shown += self._shown(ids_a, ids_b, found, whole)
+        self.valid += valid.astype(np.uint8).tobytes()
+        self.first.frombytes((self.first[-1] + np.cumsum(np.bincount(linked, minlength=len(new)))).tobytes())
+        for kept, values in ((self.measures, measures), (self.pairs, pair[order]), (self.times, times[order])):
+            kept.frombytes(np.ascontiguousarray(values, np.int64).tobytes())
+
+    def _shown(self, ids_a: np.ndarray, ids_b: np.ndarray, found: np.ndarray, whole: np.ndarray) -> list[str]:
+        a0, a1, b0, b1 = found.T
+        shown = np.empty(len(ids_a) + len(ids_b), object)
+        place = np.arange(len(ids_a)) + np.repeat(b0, a1 - a0)
+        shown[place] = self.shown_a[","][ids_a]
+        shown[place[a1 - 1]] = self.shown_a["|"][ids_a[a1 - 1]]
+        place = np.arange(len(ids_b)) + np.repeat(a1, b1 - b0)
+        shown[place] = self.shown_b[","][ids_b]
+        shown[place[b1 - 1]] = self.shown_b[";"][ids_b[b1 - 1]]
+        tokens = shown.tolist()
+        first, last = whole[:, 0] + whole[:, 2], whole[:, 1] + whole[:, 3]
+        return ["".join(tokens[i:j])[:-1] for i, j in zip(first.tolist(), last.tolist())]
 
     def __call__(self, texts: list[str]) -> Aligned:
         if len(self.number) > REMEMBERED:
             self.forget()
         parts = [chunks(t) for t in texts]
-        self.add(list(set().union(*parts).difference(self.number)))
+        new = list(set().union(*parts).difference(self.number))
+        if new:
+            self.add(new)
         codes = [list(map(self.number.__getitem__, p)) for p in parts]
-        fine = [all(map(self.valid.__getitem__, set(c))) for c in codes]
-        codes = [c if ok else [] for c, ok in zip(codes, fine)]
-        digests = [sha256(";".join(map(self.shown.__getitem__, c)).encode()).hexdigest() if c else "" for c in codes]
-        # chunks of each document with their number of times, then their pairs
-        size = len(self.shown) + 1
-        document = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
-        code = np.fromiter((x for c in codes for x in c), np.int64, len(document))
-        key, often = np.unique(document * size + code, return_counts=True)
-        document, code = key // size, key % size
-        measures = np.frombuffer(self.measures, np.int64).reshape(-1, 4) if self.measures else np.zeros((1, 4), np.int64)
-        sums = np.zeros((len(texts), 4), np.int64)
-        np.add.at(sums, document, measures[code] * often[:, None])
-        first = np.frombuffer(self.first, np.int64)
+        size = np.fromiter(map(len, codes), np.int64, len(codes))
+        code = np.fromiter(chain.from_iterable(codes), np.int64, int(size.sum()))
+        document = np.repeat(np.arange(len(texts)), size)
+        whole = np.ones(len(texts), bool)
+        whole[document[np.frombuffer(bytes(self.valid), np.uint8)[code] == 0]] = False
+        digests = [sha256(";".join(map(self.shown.__getitem__, c)).encode()).hexdigest() if c and ok else ""
+                   for c, ok in zip(codes, whole.tolist())]
+        # distinct chunks of each document with their number of times, then their links
+        code, document = code[whole[document]], document[whole[document]]
+        key, often = np.unique(document * len(self.shown) + code, return_counts=True)
+        document, code = np.divmod(key, max(1, len(self.shown)))
+        measures = np.zeros((len(texts), 4), np.int64)
+        for k, of_chunk in enumerate(np.array(self.measures, np.int64).reshape(-1, 4).T):
+            measures[:, k] = np.bincount(document, weights=of_chunk[code] * often, minlength=len(texts))
+        first = np.array(self.first, np.int64)
         n = first[code + 1] - first[code]
-        at = np.repeat(first[code] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        pairs = np.frombuffer(self.pairs, np.int64) if self.pairs else np.zeros(0, np.int64)
-        times = np.frombuffer(self.times, np.int64) if self.pairs else pairs
-        document, pair, weight = np.repeat(document, n), pairs[at], times[at] * np.repeat(often, n)
-        order = np.lexsort((pair, document))
-        document, pair, weight = document[order], pair[order], weight[order]
-        new = np.flatnonzero(np.r_[True, (document[1:] != document[:-1]) | (pair[1:] != pair[:-1])][: len(pair)])
-        weight = np.add.reduceat(weight, new) if len(new) else weight
-        return Aligned(sums, digests, document[new], pair[new], weight)
+        at = spans(first[code], n)
+        pair, times = np.array(self.pairs, np.int64)[at], np.array(self.times, np.int64)[at] * np.repeat(often, n)
+        pairs = len(self.a.length) * len(self.b.length)
+        key, at = np.unique(np.repeat(document, n) * pairs + pair, return_inverse=True)
+        document, pair = np.divmod(key, pairs)
+        return Aligned(measures, digests, document, pair, np.bincount(at, weights=times, minlength=len(key)).astype(np.int64))
 
 
 @lru_cache(maxsize=1)
@@ -268,7 +327,7 @@ def block_rows(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
         align = aligner(byte_level, piece_model)
         held, entries, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SLICE_BYTES):
                 found = align([t or "" for t in part.column(1).to_pylist()])
                 held.append((part.column(0), found))
                 entries += len(found.pair)

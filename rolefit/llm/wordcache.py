@@ -2,14 +2,15 @@
 
 A byte-level BPE of this family splits a text into words before it merges, and a
 single space followed by a non-space always begins a new word.  So a text is cut
-at such spaces, each distinct chunk of a list of texts is encoded once by one call
-of the library, and chunks are remembered up to a number that is a parameter.
+at such spaces, each distinct chunk of a list of texts is encoded once, and chunks
+are remembered up to a number that is a parameter.
 Texts in which a space meets other white space, or begins or ends the text, are
 encoded as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Callable
@@ -19,6 +20,9 @@ from functools import lru_cache
 CHUNKS, LONGEST = 400_000, 64
 _MEETS = re.compile(r" \s")
 
+# --- fixed value: the words of a byte-level pre-tokenizer ---
+BYTE_LEVEL_WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 class TwoGenerations(dict):
     """A bounded memory: when it is full it becomes the old generation, and what is used again is carried over."""
@@ -52,18 +56,43 @@ def word_chunks(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0")
 
 
+def byte_level_tokens(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level ``tokenizers`` file."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    byte = {c: b for b, c in byte_characters().items()}
+    tokens = [b""] * (max(vocabulary.values()) + 1)
+    for s, i in vocabulary.items():
+        tokens[i] = bytes(byte[c] for c in s)
+    return tokens
+
+
+@lru_cache(maxsize=2)
+def byte_level_encode(path: str) -> Callable[[str], list[int]]:
+    """A text's ids by a byte-level ``tokenizers`` file; special tokens are neither parsed nor added.
+
+    The file's merges, if their products' ids rise with them, are the same as merging the pair whose
+    product has the lowest id, which ``tiktoken`` does in less time and returns as plain lists."""
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, words = spec["model"], spec["pre_tokenizer"] or {}
+    products = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [model["vocab"][p] for p in products]
+    rising = all(a < b for a, b in zip(ids, ids[1:])) and not (ids and ids[0] < 256)
+    plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
+    if spec["normalizer"] is not None or not plain or not rising or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        raise ValueError("this file's texts can't be encoded by merging the pair of the lowest id")
+    byte = {c: b for b, c in byte_characters().items()}
+    ranks = {bytes(byte[c] for c in s): model["vocab"][s] for s in (*byte, *products)}
+    return tiktoken.Encoding("byte level", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Encoder:
     """Ids of texts (little-endian unsigned 32-bit, as bytes).  No special tokens are parsed or added."""
 
     def __init__(self, path: str, remembered: int = CHUNKS) -> None:
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.normalizer is not None:
-            raise ValueError("a tokenizer with a normalizer can't be used word by word")
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
-        self.remembered, self.known = remembered, {}
+        self.encode, self.remembered, self.known = byte_level_encode(path), remembered, {}
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text of a list."""
@@ -71,8 +100,7 @@ class Encoder:
             self.known.clear()
         parts = [word_chunks(t) for t in texts]
         new = list(set().union(*parts).difference(self.known))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, found))
+        self.known.update((c, array("I", self.encode(c)).tobytes()) for c in new)
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         for c in new:
             if len(c) > LONGEST:

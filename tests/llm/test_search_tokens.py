@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rolefit.llm import catalog, lexical_nra, token_alignment, token_counts
-from rolefit.llm.token_alignment import Interval
+
+from rolefit.llm.wordcache import byte_level_encode
 
 from .conftest import CLASHES, PROSE, texts
 
@@ -177,35 +178,64 @@ def test_nra_stops_before_the_end_of_long_lists():
 
 # ---- alignment --------------------------------------------------------------------
 def linear_groups(ends_a, ends_b):
-    """Groups by one merge of the ends from left to right."""
-    both = sorted(set(ends_a) & set(ends_b))
+    """Groups (a0, a1, b0, b1) by one walk over the common ends from left to right."""
+    place_a, place_b = ({e: i + 1 for i, e in enumerate(ends)} for ends in (ends_a, ends_b))
     out, a0, b0 = [], 0, 0
-    for e in both:
-        a1, b1 = ends_a.index(e) + 1, ends_b.index(e) + 1
-        out.append(Interval(a0, a1, b0, b1))
-        a0, b0 = a1, b1
+    for e in ends_a:
+        if e in place_b:
+            out.append((a0, place_a[e], b0, place_b[e]))
+            a0, b0 = place_a[e], place_b[e]
     return out
 
 
+def divided(*texts):
+    """Groups of texts (ends of both sides), found together."""
+    ends, parts, a, b, byte = ([], []), [], 0, 0, 0
+    for ends_a, ends_b in texts:
+        ends[0].extend(byte + e for e in ends_a)
+        ends[1].extend(byte + e for e in ends_b)
+        parts.append((a, a + len(ends_a), b, b + len(ends_b)))
+        a, b, byte = a + len(ends_a), b + len(ends_b), byte + ends_a[-1]
+    return [tuple(g) for g in token_alignment.groups(np.array(ends[0]), np.array(ends[1]), np.array(parts)).tolist()]
+
+
 @settings(max_examples=500, deadline=None)
-@given(st.integers(1, 60), st.randoms(use_true_random=False), st.floats(0, 1), st.floats(0, 1))
-def test_divide_and_conquer_equals_a_merge(n, r, p, q):
-    ends_a = [i for i in range(1, n) if r.random() < p] + [n]
-    ends_b = [i for i in range(1, n) if r.random() < q] + [n]
-    assert token_alignment.groups(ends_a, ends_b) == linear_groups(ends_a, ends_b)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=4), st.randoms(use_true_random=False), st.floats(0, 1), st.floats(0, 1))
+def test_divide_and_conquer_equals_a_merge(sizes, r, p, q):
+    texts = [([i for i in range(1, n) if r.random() < p] + [n], [i for i in range(1, n) if r.random() < q] + [n]) for n in sizes]
+    want, a, b = [], 0, 0
+    for ends_a, ends_b in texts:
+        want += [(a + g[0], a + g[1], b + g[2], b + g[3]) for g in linear_groups(ends_a, ends_b)]
+        a, b = a + len(ends_a), b + len(ends_b)
+    assert divided(*texts) == want
 
 
 def test_the_cut_nearest_to_the_middle():
+    def cut(ends_a, ends_b):
+        return token_alignment.common_ends(np.array(ends_a), np.array(ends_b), np.array([[0, len(ends_a), 0, len(ends_b)]])).tolist()
+
     ends = list(range(1, 10))
-    assert token_alignment.common_end(ends, ends, Interval(0, 9, 0, 9)) == (5, 5)
-    assert token_alignment.common_end(ends, [2, 9], Interval(0, 9, 0, 2)) == (2, 1)
-    assert token_alignment.common_end([3, 9], [4, 9], Interval(0, 2, 0, 2)) is None
-    assert token_alignment.groups([], []) == []
+    assert cut(ends, ends) == [[5, 5]]
+    assert cut(ends, [2, 9]) == [[2, 1]]
+    assert cut(ends, [3, 6, 9]) == [[6, 2]]
+    assert cut(ends, [4, 6, 9]) == [[4, 1]]
+    assert cut([3, 9], [4, 9]) == [[-1, -1]]
 
 
 def test_cutless_long_interval_is_one_group():
     a, b = list(range(2, 20_001, 2)), [*range(3, 20_000, 2), 20_000]
-    assert token_alignment.groups(a, b) == [Interval(0, len(a), 0, len(b))]
+    assert divided((a, b)) == [(0, len(a), 0, len(b))]
+
+
+def test_large_groups_are_linked_by_distinct_ids(monkeypatch):
+    ids_a, ids_b, found = np.array([1, 2, 1, 3]), np.array([5, 5, 6, 7]), np.array([[0, 3, 0, 3], [3, 4, 3, 4]])
+    want = collections.Counter((g, a * 10 + b) for g, (a0, a1, b0, b1) in enumerate(found) for a in ids_a[a0:a1] for b in ids_b[b0:b1])
+    for limit in (4096, 2):
+        monkeypatch.setattr(token_alignment, "LARGE_GROUP", limit)
+        got = collections.Counter()
+        for g, p, n in zip(*token_alignment.links(ids_a, ids_b, found, 10)):
+            got[g, p] += n
+        assert got == want
 
 
 def brute_document(text, byte_bpe, pieces):
@@ -219,7 +249,7 @@ def brute_document(text, byte_bpe, pieces):
     if any(b"".join(s.token[i] for i in ids) != raw for s, ids in zip(side, (a, b))):
         return none
     ends = [list(np.cumsum([len(s.token[i]) for i in ids])) for s, ids in zip(side, (a, b))]
-    return [(a[g.a0: g.a1], b[g.b0: g.b1]) for g in linear_groups(*ends)]
+    return [(a[a0:a1], b[b0:b1]) for a0, a1, b0, b1 in linear_groups(*ends)]
 
 
 def brute_alignment(rows, byte_bpe, pieces):
@@ -244,12 +274,26 @@ def test_alignment_equals_brute_force(spark, docs, byte_bpe, pieces, monkeypatch
     assert sum(n for (_, n, *_), k in want.items()) > 500
     for entries in (token_alignment.BLOCK_ENTRIES, 20):
         monkeypatch.setattr(token_alignment, "BLOCK_ENTRIES", entries)
+        monkeypatch.setattr(token_alignment, "SLICE_BYTES", entries)
         monkeypatch.setattr(token_alignment, "REMEMBERED", entries)
         got = token_alignment.aligned(table.repartition(3), JSON, MODEL)
         assert collections.Counter(map(tuple, got.collect())) == want
     assert token_alignment.aligned(table.limit(0), JSON, MODEL).collect() == []
 
 
+@functools.cache
+def library():
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    return t
+
+
+@settings(max_examples=400, deadline=None)
+@given(STRANGE)
+def test_byte_level_ids_are_the_librarys(text):
+    assert byte_level_encode(JSON)(text) == library().encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(STRANGE)
 def test_chunks_are_encoded_alone_as_in_the_text(text):
