@@ -16,8 +16,8 @@ TOTAL_WEIGHTS = (("skill_match_score", 0.35), ("experience_score", 0.25), ("sect
 
 DEFAULT_JD_TITLE = "data scientist"
 
-# --- fixed values: month prefixes of the experience date pattern ---
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# --- fixed value: the experience date pattern (applied to lower-cased text) ---
+DATE_RANGE_RE = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)?\s*\d{1,2}[-/]\d{2,4}|\d{4}[-–]\d{4}"
 #: The digits of the scripts that Python's int() reads begin at these code points.
 DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xE50, 0xED0, 0xF20, 0x1040,
                0x17E0, 0x1810, 0xFF10)
@@ -45,9 +45,16 @@ MSG_SECTIONS_LABELED = "Ensure section headers (Skills, Experience, Education) a
 # --- fixed values: title words that stay in header/summary lines (line-gap annotation) ---
 TITLE_KEYWORDS = ("full stack", "software engineer")
 
-# --- fixed values: adjectives removed from job titles before prompting ---
-TITLE_ADJECTIVES = ("Dedicated", "Results-driven", "Broad-based", "Experienced", "Accomplished",
-                    "Skilled", "Proficient")
+# --- fixed value: adjectives removed from job titles before prompting (any case) ---
+TITLE_ADJECTIVES_RE = r"\b(Dedicated|Results-driven|Broad-based|Experienced|Accomplished|Skilled|Proficient)\b\s*"
+
+# --- fixed values: patterns of the entity extraction ---
+NAME_RE = r"^[A-Za-z\s]+(?=\n)"
+EMAIL_RE = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+PHONE_RE = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
+TITLE_AFTER_RE = r"(?:Professional Experience|Work Experience)[\s\S]*?(\w+\s+\w+)"
+YEARS_RE = r"(\d+)\s*(?:year|yrs|years)"
+SKILLS_AFTER_RE = r"(?:Skills|Technical Skills)[\s\S]*?((?:[A-Za-z\s,]+))"
 
 # --- fixed values: cover-letter styles ---
 LETTER_STYLES = ("Minimal", "Formal", "Modern")

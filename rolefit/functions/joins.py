@@ -1,54 +1,33 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Join helpers: broadcast only behind a size in bytes that the planner knows; tables written once."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound on rows of a side we are willing to ship to every executor.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+#: Bytes that a side may have, by the planner's statistics, to be shipped to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``: for a written table the bytes of its files; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
 
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Mark ``df`` (a written table, or an aggregate of one) for broadcast if its size is within the bound;
+    else leave it to a shuffle join (sort-merge, AQE skew splitting)."""
+    return F.broadcast(df) if planned_bytes(df) <= (BROADCAST_BYTES if max_bytes is None else max_bytes) else df
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when a count proves it small; else leave it to
-    a shuffle join (sort-merge, AQE skew splitting)."""
-    if getattr(df, "_size_checked", False):
-        return df
-    n = df.count()
-    out = F.broadcast(df) if n <= max_rows else df
-    out._size_checked = True
-    return out
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet into the shared folder named by ``spark.checkpoint.dir`` and read again.
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint into the shared folder named by
-    ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""
+    It cuts the lineage (a lost executor costs only tasks of later jobs), keeps
+    column pruning, and gives the planner the table's size."""
     from rolefit.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
-    """Give CPU-heavy per-document work enough tasks.
-
-    Text features cost far more CPU per byte than a scan, but AQE sizes
-    partitions by bytes and may leave a small document table in one
-    partition.  When ``df`` has fewer partitions than ``factor`` × the
-    cluster's default parallelism, it is hash-partitioned by ``key`` into
-    that many (a fixed count, which AQE keeps); large scans are left alone."""
-    target = factor * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key)
-
-
-def broadcast_by_bound(df: DataFrame, bound: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when ``bound`` — a table with at least as many rows
-    as ``df`` has (e.g. the JD table for a one-row-per-JD feature table) —
-    counts at most ``max_rows``.  Counting the cheap input instead of the
-    derived table avoids computing the derived table twice."""
-    if getattr(df, "_size_checked", False):
-        return df
-    out = F.broadcast(df) if bound.count() <= max_rows else df
-    out._size_checked = True
-    return out
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/rolefit-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from rolefit.constants import DIGIT_ZEROS
 
 U = "(?U)"
-WORD_RUN = U + r"\w+"
 # One token per word run or per single non-space, non-word character.
 WORD_OR_SYMBOL = U + r"\w+|[^\w\s]"
 # Two whitespace-separated words, else one word of four or more characters.
@@ -45,16 +44,6 @@ def blank_line_collapse(c) -> Column:
     return py_strip(F.regexp_replace(col(c), U + r"\n\s*\n+", "\n"))
 
 
-def regex_quote(c) -> Column:
-    """Literal-match regex for a string column (``re.escape`` equivalent)."""
-    return F.concat(F.lit(r"\Q"), F.replace(col(c), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-
-
-def word_bounded(c) -> Column:
-    r"""``\b`` + escaped text + ``\b`` as a Unicode-aware Java pattern."""
-    return F.concat(F.lit(U + r"\b"), regex_quote(c), F.lit(r"\b"))
-
-
 def py_round2(c) -> Column:
     """Python ``round(x, 2)`` (half-even on the exact binary value)."""
     return F.regexp_replace(F.format_number(col(c), 2), ",", "").cast("double")

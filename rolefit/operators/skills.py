@@ -1,12 +1,14 @@
 """Skill operators: dictionary extraction (G1), gap sets (G3/G4), synonym
 expansion (G5), fuzzy match (G6/G7) and the skill score (G8).
 
-Extraction is an *anchor join*: every surface form gets an anchor token (its
-longest word run, else its first symbol), every document its distinct tokens;
-an equi-join on the anchor yields candidates which a word-bounded regex then
-verifies.  A word run of a matching form is always a whole token of the text,
-so no match is lost, and no document is ever compared with the whole
-dictionary.
+Extraction is a *positional phrase join*.  A text becomes an index of its tokens
+(word runs and single symbols): one row per token and one per pair of neighbours,
+with the position and what stands at either side, and without the text.  A form
+of the dictionary is cut the same way; one of one or two tokens is a single key,
+a longer one is the chain of its pairs.  Index and forms meet in one equi-join,
+and a form is found where all pairs of its chain follow each other.  This equals
+the search for the word-bounded form, since a word run of a form that is found is
+always a whole token of the text.
 """
 
 from __future__ import annotations
@@ -14,18 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.functions.joins import broadcast_by_bound, broadcast_if_small
-from rolefit.functions.text import WORD_OR_SYMBOL, WORD_RUN, U, word_bounded, ws_normalise
+from rolefit.functions.joins import broadcast_if_small, materialize
+from rolefit.functions.text import U, ws_normalise
 
-# Anchor of forms without any non-space character; every non-empty text has it.
-ANY_TEXT = "\u0001"
+#: A word run or a single symbol, with the space before it.
+SPACED_TOKEN = U + r" ?(?:\w+|[^\w ])"
+_REST = 1 << 30
 
 
 def empty_str_array() -> Column:
     return F.array().cast("array<string>")
 
 
-
 def normalise_skill_db(skill_db: DataFrame) -> DataFrame:
     """Absent ``low_surface_forms`` / ``match_on_tokens`` default to [] / false."""
     return skill_db.select(
@@ -34,59 +36,106 @@ def normalise_skill_db(skill_db: DataFrame) -> DataFrame:
         F.coalesce("match_on_tokens", F.lit(False)).alias("match_on_tokens"))
 
 
+def _spaced_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(SPACED_TOKEN), 0)
+
+
+def _is_word(token: Column) -> Column:
+    """Whether a token (with or without its space) is a word run."""
+    return token.rlike(U + r"\w$")
+
+
 def surface_forms(skill_db: DataFrame) -> DataFrame:
-    """(skill_name, form, anchor, pattern): the lower-cased name plus the forms
-    as written (an upper-case form can never match the lower-cased text)."""
+    """The keys of every form: skill_name, form, n_keys (length of its chain), place (in the chain), key, and
+    what must stand before the first and after the last key (``w``: a word directly, ``w `` / `` w``: a
+    word and a space; null: anything).
+
+    Forms are the lower-cased name and the forms as written (an upper-case form can
+    never match the lower-cased text).  A form that no normalised text can hold
+    (two spaces in a row) has no row; one without a token has place and key null."""
     db = normalise_skill_db(skill_db)
-    forms = (db.select("skill_name", F.explode(F.concat(F.array(F.lower("skill_name")),
-                                                         "low_surface_forms")).alias("form"))
+    forms = (db.select("skill_name", F.explode(F.concat(F.array(F.lower("skill_name")), "low_surface_forms")).alias("form"))
              .filter(F.col("form").isNotNull()).distinct())
-    words = F.regexp_extract_all("form", F.lit(WORD_RUN), 0)
-    longest = F.aggregate(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    symbol = F.regexp_extract("form", U + r"[^\w\s]", 0)
-    anchor = (F.when(F.size(words) > 0, longest).when(symbol != "", symbol)
-              .otherwise(F.lit(ANY_TEXT)))
-    # a form that is one whole word run is proven by the anchor-token equality
-    # itself; only the other forms need the word-bounded regex
-    single = F.col("form") == anchor
-    return forms.select("skill_name", "form", anchor.alias("anchor"),
-                        F.when(single, F.lit(None)).otherwise(word_bounded("form")).alias("pattern"))
-
-
-def doc_anchor_tokens(norm: Column) -> Column:
-    return F.array_union(F.array(F.lit(ANY_TEXT)), F.regexp_extract_all(norm, F.lit(WORD_OR_SYMBOL), 0))
+    # a space at either end of a form only says what stands beside its tokens
+    forms = forms.withColumn("core", F.regexp_replace("form", "^ | $", "")).withColumn("t", _spaced_tokens(F.col("core")))
+    t, n = F.col("t"), F.size("t")
+    forms = forms.filter((F.array_join("t", "") == F.col("core")) & ~F.col("core").startswith(" "))
+    first, last = F.get(t, 0), F.get(t, n - 1)
+    forms = forms.select(
+        "skill_name", "form",
+        F.when(F.col("form").startswith(" "), "w ").when(~_is_word(first), "w").alias("before"),
+        F.when(F.col("form").endswith(" "), " w").when(~_is_word(last), "w").alias("after"),
+        F.when(n == 1, F.array(first)).when(n > 1, F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), F.slice(t, 2, _REST),
+                                                               lambda a, b: F.concat(F.ltrim(a), b))).alias("keys"))
+    rows = forms.select("skill_name", "form", "before", "after", F.coalesce(F.size("keys"), F.lit(0)).alias("n_keys"),
+                        F.posexplode_outer("keys").alias("place", "key"))
+    ends = F.col("place") == F.col("n_keys") - 1
+    return rows.select("skill_name", "form", "n_keys", "place", "key", F.when(F.col("place") == 0, F.col("before")).alias("before"),
+                       F.when(ends, F.col("after")).alias("after"))
+
+
+def token_index(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """The positional index: doc, pos, key (a token, or it and the next), and what stands at both sides as in :func:`surface_forms`."""
+    t = F.col("t")
+    d = docs.select(F.col(id_col).alias("doc"), _spaced_tokens(ws_normalise(text_col)).alias("t"))
+    shifted = F.arrays_zip(t.alias("now"), F.slice(F.concat(F.array(F.lit(None).cast("string")), t), 1, F.size(t)).alias("before"),
+                           F.slice(t, 2, _REST).alias("next"), F.slice(t, 3, _REST).alias("second"))
+    e = d.select("doc", F.posexplode(shifted).alias("pos", "x"))
+    now, before, nxt, second = (F.col("x")[c] for c in ("now", "before", "next", "second"))
+
+    def right(token: Column) -> Column:
+        return F.when(_is_word(token), F.when(token.startswith(" "), " w").otherwise("w"))
+
+    left = F.when(_is_word(before), F.when(now.startswith(" "), "w ").otherwise("w"))
+    alone = F.struct(F.ltrim(now).alias("key"), right(nxt).alias("after"))
+    pair = F.struct(F.concat(F.ltrim(now), nxt).alias("key"), right(second).alias("after"))
+    rows = e.select("doc", "pos", left.alias("before"), F.inline(F.array(alone, pair)))
+    return rows.filter(F.col("key").isNotNull())
+
+
+def found_skills(docs: DataFrame, id_col: str, forms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(id_col, skill_name), a skill once or more often; ``forms``: a table of :func:`surface_forms`."""
+    keys = forms.filter(F.col("key").isNotNull()).select(
+        "skill_name", "form", "n_keys", "place", "key", F.col("before").alias("need_before"), F.col("after").alias("need_after"))
+    sides = [F.col(f"need_{s}").isNull() | F.coalesce(F.col(f"need_{s}") == F.col(s), F.lit(False)) for s in ("before", "after")]
+    met = token_index(docs, id_col, text_col).join(broadcast_if_small(keys), "key").filter(sides[0] & sides[1])
+    chain = F.col("n_keys") > 1
+    starts = met.groupBy("doc", "skill_name", F.when(chain, F.col("form")).alias("form"),
+                         F.when(chain, F.col("pos") - F.col("place")).alias("start")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("n_keys").alias("n_keys"))
+    hits = starts.filter((F.col("n_keys") == 1) | (F.col("n") == F.col("n_keys"))).select(F.col("doc").alias(id_col), "skill_name")
+    # forms without a token: empty (a word boundary anywhere) or one space (between two words)
+    blank = forms.filter(F.col("key").isNull()).select("skill_name", F.col("form").alias("kind"))
+    norm = ws_normalise(text_col)
+    kinds = F.filter(F.array(F.when(norm.rlike(U + r"\w"), ""), F.when(norm.rlike(U + r"\w \w"), " ")), lambda x: x.isNotNull())
+    blanks = docs.select(F.col(id_col), F.explode(kinds).alias("kind")).join(broadcast_if_small(blank), "kind")
+    return hits.unionByName(blanks.select(id_col, "skill_name"))
 
 
 def extract_skills(docs: DataFrame, skill_db: DataFrame, id_col: str, text_col: str = "text",
                    forms: DataFrame | None = None) -> DataFrame:
     """G1: distinct (id_col, skill_name) found in whitespace-normalised lower-cased text."""
-    forms = forms if forms is not None else surface_forms(skill_db)
-    d = docs.select(F.col(id_col).alias("_doc"), ws_normalise(text_col).alias("_norm"))
-    t = d.select("_doc", "_norm", F.explode(doc_anchor_tokens(F.col("_norm"))).alias("anchor"))
-    hits = (t.join(broadcast_if_small(forms), "anchor")
-            .filter(F.col("pattern").isNull() | F.regexp_like(F.col("_norm"), F.col("pattern"))))
-    return hits.select(F.col("_doc").alias(id_col), "skill_name").distinct()
+    forms = forms if forms is not None else materialize(surface_forms(skill_db), "forms")
+    return found_skills(docs, id_col, forms, text_col).distinct()
 
 
 def skill_sets(docs: DataFrame, skill_db: DataFrame, id_col: str, out_col: str,
                text_col: str = "text", forms: DataFrame | None = None) -> DataFrame:
     """G4 per document: sorted (code-point order) array of found skill names."""
-    found = extract_skills(docs, skill_db, id_col, text_col, forms)
+    forms = forms if forms is not None else materialize(surface_forms(skill_db), "forms")
+    found = found_skills(docs, id_col, forms, text_col)
     return found.groupBy(id_col).agg(F.sort_array(F.collect_set("skill_name")).alias(out_col))
 
 
-def skill_gap_arrays(pairs: DataFrame, resume_sets: DataFrame, jd_sets: DataFrame,
-                     jd_bound: DataFrame | None = None) -> DataFrame:
+def skill_gap_arrays(pairs: DataFrame, resume_sets: DataFrame, jd_sets: DataFrame) -> DataFrame:
     """G3/G4 per pair: missing = JD − résumé, matched = résumé ∩ JD, all sorted.
 
     One row per document on each side, so the two joins are key lookups; the
     set algebra runs row-wise on hash sets (``array_except``/``array_intersect``
-    keep the sorted order of their first argument)."""
-    # one row per JD: broadcast when the JD table (``jd_bound``) proves it
-    # small, so pair rows that already carry the résumé arrays are not
-    # shuffled a second time; otherwise a shuffle join
-    js = broadcast_by_bound(jd_sets, jd_bound, 200_000) if jd_bound is not None else jd_sets
-    p = pairs.join(resume_sets, "resume_id", "left").join(js, "jd_id", "left")
+    keep the sorted order of their first argument).  The JD sets are written
+    first: their size decides whether pair rows that carry the résumé's arrays
+    meet them by broadcast or by a second shuffle."""
+    p = pairs.join(resume_sets, "resume_id", "left").join(broadcast_if_small(materialize(jd_sets, "jd-sets")), "jd_id", "left")
     r = F.coalesce("resume_skills", empty_str_array())
     j = F.coalesce("jd_skills", empty_str_array())
     return p.select("resume_id", "jd_id",

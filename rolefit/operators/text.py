@@ -40,23 +40,16 @@ def head_lines_col(text, n: int = 5) -> Column:
 
 
 # ------------------------------------------------------------------ P7
-NAME_RE = r"(?mdU)^[A-Za-z\s]+(?=\n)"
-EMAIL_RE = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PHONE_RE = r"(?U)\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
-TITLE_AFTER_RE = r"(?U)(?:Professional Experience|Work Experience)[\s\S]*?(\w+\s+\w+)"
-YEARS_RE = r"(?U)(\d+)\s*(?:year|yrs|years)"
-SKILLS_AFTER_RE = r"(?U)(?:Skills|Technical Skills)[\s\S]*?((?:[A-Za-z\s,]+))"
-
 
 def entity_cols(text) -> list[Column]:
     """Name, email, phone, job_title, experience_years, skills (first match each)."""
     t = col(text)
-    years = F.regexp_extract(t, YEARS_RE, 1)
-    skills = F.regexp_extract(t, SKILLS_AFTER_RE, 1)
-    return [py_strip(F.regexp_extract(t, NAME_RE, 0)).alias("name"),
-            F.regexp_extract(t, EMAIL_RE, 0).alias("email"),
-            F.regexp_extract(t, PHONE_RE, 0).alias("phone"),
-            py_strip(F.regexp_extract(t, TITLE_AFTER_RE, 1)).alias("job_title"),
+    years = F.regexp_extract(t, U + K.YEARS_RE, 1)
+    skills = F.regexp_extract(t, U + K.SKILLS_AFTER_RE, 1)
+    return [py_strip(F.regexp_extract(t, "(?mdU)" + K.NAME_RE, 0)).alias("name"),
+            F.regexp_extract(t, K.EMAIL_RE, 0).alias("email"),
+            F.regexp_extract(t, U + K.PHONE_RE, 0).alias("phone"),
+            py_strip(F.regexp_extract(t, U + K.TITLE_AFTER_RE, 1)).alias("job_title"),
             F.when(years == "", F.lit(0)).otherwise(years.try_cast("bigint")).alias("experience_years"),
             F.when(skills == "", F.array().cast("array<string>"))
             .otherwise(F.transform(F.split(skills, ",", -1), lambda s: py_strip(s))).alias("skills")]
@@ -64,8 +57,7 @@ def entity_cols(text) -> list[Column]:
 
 # ------------------------------------------------------------------ P8, P9
 def title_cleanup_col(title) -> Column:
-    rx = "(?iU)\\b(" + "|".join(K.TITLE_ADJECTIVES) + ")\\b\\s*"
-    return py_strip(F.regexp_replace(col(title), rx, ""))
+    return py_strip(F.regexp_replace(col(title), "(?iU)" + K.TITLE_ADJECTIVES_RE, ""))
 
 
 def summary_prompt_col(title, years, skills) -> Column:

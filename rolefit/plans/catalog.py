@@ -25,11 +25,25 @@ def query(name: str):
 
 
 # ----------------------------------------------------------------- skills
+_DICTIONARIES: dict = {}
+
+
+def _dictionary(spark, sf, fuzzy: bool):
+    """Tables of the fixture dictionary, built once per session and sf folder."""
+    from rolefit.plans.report import dictionary_tables
+    k = (spark.sparkContext.applicationId, sf.rstrip("/"), fuzzy)
+    if k not in _DICTIONARIES:
+        _DICTIONARIES[k] = dictionary_tables(fx.skill_fx(spark, sf), fuzzy)
+    return _DICTIONARIES[k]
+
+
+def _forms(spark, sf):
+    return _dictionary(spark, sf, False)[0]
+
+
 @query("skill_extract")
 def q_skill_extract(spark, sf):
-    from rolefit.functions.joins import broadcast_if_small
-    db = fx.skill_fx(spark, sf)
-    forms = broadcast_if_small(sk.surface_forms(db))
+    db, forms = fx.skill_fx(spark, sf), _forms(spark, sf)
     r = sk.extract_skills(fx.resume_fx(spark, sf), db, "resume_id", forms=forms)
     j = sk.extract_skills(fx.jd_fx(spark, sf), db, "jd_id", forms=forms)
     return (r.select(F.lit("resume").alias("side"), F.col("resume_id").alias("doc_id"), "skill_name")
@@ -38,19 +52,18 @@ def q_skill_extract(spark, sf):
 
 @query("skill_gap_arrays")
 def q_skill_gap_arrays(spark, sf):
-    from rolefit.functions.joins import broadcast_if_small
-    db = fx.skill_fx(spark, sf)
-    forms = broadcast_if_small(sk.surface_forms(db))
+    db, forms = fx.skill_fx(spark, sf), _forms(spark, sf)
     resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
     rs = sk.skill_sets(resumes, db, "resume_id", "resume_skills", forms=forms)
     js = sk.skill_sets(jds, db, "jd_id", "jd_skills", forms=forms)
-    return sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js, jd_bound=jds)
+    return sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js)
 
 
 # ----------------------------------------------------------------- report
 def _report(spark, sf, **kw):
     from rolefit.plans.report import build_report
     resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
+    kw.setdefault("dictionary", _dictionary(spark, sf, kw.get("fuzzy_skills", True)))
     return build_report(fx.pairs_fx(spark, sf, resumes, jds), resumes, jds, fx.skill_fx(spark, sf),
                         fx.layout_chars_fx(spark, sf), fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf), **kw)
 
@@ -67,12 +80,10 @@ from rolefit.plans import catalog_ops  # noqa: E402,F401  (registers the operato
 def _skill_pairs(spark, sf, fuzzy: bool):
     from rolefit.functions.joins import broadcast_if_small, materialize
     from rolefit.plans import report as rp
-    db = fx.skill_fx(spark, sf)
-    forms, syn = rp.dictionary_tables(db, fuzzy)
-    resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
-    rf = rp.doc_skill_features(resumes, "resume_id", "text", db, forms, syn)
-    jf = rp.doc_skill_features(jds, "jd_id", "text", db, forms, syn)
-    x = fx.pairs_fx(spark, sf, resumes, jds).join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left")
+    forms, syn = _dictionary(spark, sf, fuzzy)
+    rf = rp.doc_skill_features(fx.resume_fx(spark, sf), "resume_id", "text", forms, syn).drop("exp_hits")
+    jf = broadcast_if_small(materialize(rp.doc_skill_features(fx.jd_fx(spark, sf), "jd_id", "text", forms, syn), "jd-skills"))
+    x = fx.pairs_fx(spark, sf).join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left")
     return rp.add_skill_match(x).select("resume_id", "jd_id", "matched_skills", "missing_skills", "skill_match_score")
 
 
@@ -86,12 +97,9 @@ def q_skill_gap_long(spark, sf):
 
 @query("skill_expand")
 def q_skill_expand(spark, sf):
-    from rolefit.functions.joins import broadcast_if_small
     from rolefit.plans import report as rp
-    db = fx.skill_fx(spark, sf)
-    syn = broadcast_if_small(rp.synonym_table(db, fuzzy=False))
-    f = rp.doc_skill_features(fx.resume_fx(spark, sf), "resume_id", "text", db, sk.surface_forms(db), syn)
-    return f.select("resume_id", F.transform("exp", lambda x: x["s"]).alias("expanded"))
+    f = rp.doc_skill_features(fx.resume_fx(spark, sf), "resume_id", "text", *_dictionary(spark, sf, False))
+    return f.select("resume_id", F.col("exp").alias("expanded"))
 
 
 @query("skill_score")

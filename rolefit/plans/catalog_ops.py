@@ -268,10 +268,10 @@ def _pair_text_features(spark, sf):
     jf = jf.select("*", *ve.split_vector_cols(F.col("j_head_tf"), "jh"), *ve.split_vector_cols(F.col("title_tf"), "jt"))
     jk = kw.jd_keyword_profile(jds)
     jk = jk.select("*", *kw.split_profile_cols(F.col("kw")))
-    # JD-side rows are one per JD: broadcast them after a size check so the
-    # pair rows (already carrying résumé features) are not shuffled again
-    from rolefit.functions.joins import broadcast_by_bound
-    return pairs.join(rf, "resume_id").join(broadcast_by_bound(jf.join(jk, "jd_id", "left"), jds, 50_000), "jd_id")
+    # JD-side rows are one per JD: written first, and broadcast if their bytes allow it, so that
+    # the pair rows (already carrying résumé features) are not shuffled again
+    from rolefit.functions.joins import broadcast_if_small, materialize
+    return pairs.join(rf, "resume_id").join(broadcast_if_small(materialize(jf.join(jk, "jd_id", "left"), "jd-texts")), "jd_id")
 
 
 @query("keyword_density")
@@ -340,7 +340,7 @@ def q_cosine_pairs(spark, sf):
     e = read_table(spark, sf, "embeddings")
     from rolefit.functions.joins import broadcast_if_small
     c = ve.centroids(e, "label")
-    j = e.join(broadcast_if_small(c, 100_000), "label")
+    j = e.join(broadcast_if_small(c), "label")
     return j.select("vec_id", ve.dense_cosine_col(F.col("embedding"), F.col("centroid")).alias("cosine"))
 
 
@@ -376,20 +376,20 @@ def q_file_format_score(spark, sf):
 # ------------------------------------------------------------------ T5, T8, T9
 def _pair_section_inputs(spark, sf):
     from rolefit.operators import skills as sk
-    db = fx.skill_fx(spark, sf)
-    forms = sk.surface_forms(db)
+    from rolefit.plans.catalog import _forms
+    db, forms = fx.skill_fx(spark, sf), _forms(spark, sf)
     resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
     rs = sk.skill_sets(resumes, db, "resume_id", "resume_skills", forms=forms)
     js = sk.skill_sets(jds, db, "jd_id", "jd_skills", forms=forms)
-    gaps = sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js, jd_bound=jds)
+    gaps = sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js)
     from rolefit.operators.suggestions import with_page_lines
     r = resumes.select("resume_id", se.sections_col("text", K.RESUME_HEADERS).alias("sections"),
                        F.array_distinct(kw.phrases_col("text")).alias("phrase_set"))
     r = with_page_lines(r.withColumn("formatted", se.format_sections_col("sections")), "formatted")
     j = jds.select("jd_id", kw.phrases_col("text", normalise=False).alias("jd_phrases"))
     jk = kw.jd_keyword_profile(jds)
-    from rolefit.functions.joins import broadcast_by_bound
-    return gaps.join(r, "resume_id").join(broadcast_by_bound(j.join(jk, "jd_id", "left"), jds, 50_000), "jd_id")
+    from rolefit.functions.joins import broadcast_if_small, materialize
+    return gaps.join(r, "resume_id").join(broadcast_if_small(materialize(j.join(jk, "jd_id", "left"), "jd-phrases")), "jd_id")
 
 
 @query("section_summaries")

@@ -96,7 +96,7 @@ ORACLES["entity_extract"] = duck_ctes("resume_fx") + f"""SELECT resume_id,
 FROM resume_fx"""
 
 # ===================================================================== P8–P16
-_ADJ = "(?i)\\b(" + "|".join(K.TITLE_ADJECTIVES) + ")\\b\\s*"
+_ADJ = "(?i)" + K.TITLE_ADJECTIVES_RE
 
 
 def CLEAN_TITLE(x):
@@ -272,7 +272,7 @@ FROM secs WHERE section = 'experience'"""
 # ===================================================================== W1–W6, E1–E3, V1–V5
 PHRASE_RX = "\\b(?:\\w+\\s+\\w+|\\w{4,})\\b"
 TOKEN_RX = "\\w+|[^\\w\\s]"
-DATE_RX = "(?:" + "|".join(K.MONTHS) + ")?\\s*\\d{1,2}[-/]\\d{2,4}|\\d{4}[-–]\\d{4}"
+DATE_RX = K.DATE_RANGE_RE
 
 
 def TF(src_expr: str, idc: str, src: str, name: str) -> str:

@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit import constants as K
-from rolefit.functions.arrays import pin
 from rolefit.functions.fuzzy import partial_ratio_udf, token_sort_key_col
-from rolefit.functions.joins import broadcast_if_small, materialize, spread
+from rolefit.functions.joins import broadcast_if_small, materialize
 from rolefit.functions.text import WORD_OR_SYMBOL, blank_line_collapse, py_strip
 from rolefit.operators import experience as ex
 from rolefit.operators import keywords as kw
@@ -25,9 +24,6 @@ from rolefit.operators import skills as sk
 from rolefit.operators import text as tx
 from rolefit.operators import vectors as ve
 
-# Upper bound on JD feature rows shipped to every executor (a few KB each).
-JD_BROADCAST_ROWS = 50_000
-
 SCORE_COLS = ("total_score", "skill_match_score", "experience_score", "section_score", "formatting_score",
               "job_title_score", "keyword_density_score", "file_format_score")
 
@@ -35,13 +31,14 @@ SCORE_COLS = ("total_score", "skill_match_score", "experience_score", "section_s
 # ------------------------------------------------------------- dictionary side
 def synonym_table(skill_db: DataFrame, fuzzy: bool = True, tsr_threshold: int = 90,
                   cos_threshold: float = 0.80) -> DataFrame:
-    """G5 lookup: key (lowered name or form) → expansion structs
-    (s, k, n, near, cosp): every lowered form and name of every row the key
-    belongs to; ``k`` its token-sort key, ``n`` whether it is a lowered
-    dictionary name, ``near`` the other keys within the token-sort threshold,
-    ``cosp`` the strings within the cosine threshold when either side is a
-    name of a row without ``match_on_tokens``.  All of it is computed once on
-    the dictionary vocabulary, never per pair."""
+    """G5 and G6 on the dictionary: key (lowered name or form) → ``vals``, every
+    lowered form and name of every row the key belongs to, and ``hits``, every
+    dictionary string on the résumé side that one of ``vals`` on the JD side matches.
+
+    r matches j if their token-sort keys are equal or within the threshold and
+    one of them is a dictionary name, or if their cosine is above its threshold
+    and one is a name of a row without ``match_on_tokens``.  All of it depends on
+    the dictionary alone, so that a pair needs set algebra only."""
     db = sk.normalise_skill_db(skill_db)
     rows = db.select(F.lower(py_strip("skill_name")).alias("name_l"),
                      F.transform("low_surface_forms", lambda f: F.lower(py_strip(f))).alias("forms_l"),
@@ -49,29 +46,29 @@ def synonym_table(skill_db: DataFrame, fuzzy: bool = True, tsr_threshold: int =
     grp = rows.select(F.array_distinct(F.concat(F.array("name_l"), "forms_l")).alias("g"))
     names = rows.groupBy(F.col("name_l").alias("s")).agg(F.bool_or(~F.col("match_on_tokens")).alias("nonmot"))
     members = grp.select(F.explode("g").alias("key"), "g")
-    per_key = members.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("g"))).alias("vals"))
-    strings = (per_key.select(F.explode("vals").alias("s")).distinct()
-               .join(names, "s", "left")
-               .select("s", token_sort_key_col(F.col("s")).alias("k"), F.col("nonmot").isNotNull().alias("n"),
-                       F.coalesce("nonmot", F.lit(False)).alias("nonmot")))
-    empty = F.array().cast("array<string>")
+    per_key = materialize(members.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("g"))).alias("vals")), "synonyms")
+    strings = materialize(per_key.select(F.explode("vals").alias("s")).distinct().join(names, "s", "left")
+                          .select("s", token_sort_key_col(F.col("s")).alias("k"), F.col("nonmot").isNotNull().alias("n"),
+                                  F.coalesce("nonmot", F.lit(False)).alias("nonmot")), "strings")
+    # per token-sort key of a JD string: the résumé strings with that key or a near one, and the names among them
+    same = strings.select(F.col("k").alias("rk"), F.col("k").alias("jk")).distinct()
+    links = same.unionByName(sk.near_key_pairs(strings.select("k"), tsr_threshold).toDF("rk", "jk")) if fuzzy else same
+    of_key = strings.groupBy(F.col("k").alias("rk")).agg(F.collect_list("s").alias("every"),
+                                                          F.collect_list(F.when(F.col("n"), F.col("s"))).alias("names"))
+    of_key = links.join(of_key, "rk").groupBy(F.col("jk").alias("k")).agg(
+        F.flatten(F.collect_list("every")).alias("every"), F.flatten(F.collect_list("names")).alias("names"))
+    vals = per_key.select("key", F.explode("vals").alias("s")).join(strings, "s")
+    by_key = vals.groupBy("key", "k").agg(F.bool_or("n").alias("n")).join(of_key, "k")
+    hits = by_key.select("key", F.when(F.col("n"), F.col("every")).otherwise(F.col("names")).alias("h"))
     if fuzzy:
-        near = (sk.near_key_pairs(strings.select("k"), tsr_threshold)
-                .groupBy(F.col("a").alias("k")).agg(F.collect_set("b").alias("near")))
         cos = sk.cosine_string_pairs(strings.select("s"), cos_threshold)
         flags = strings.select("s", "nonmot")
         cos = (cos.join(flags.select(F.col("s").alias("x"), F.col("nonmot").alias("nx")), "x")
                .join(flags.select(F.col("s").alias("y"), F.col("nonmot").alias("ny")), "y")
-               .filter(F.col("nx") | F.col("ny"))
-               .groupBy(F.col("x").alias("s")).agg(F.collect_set("y").alias("cosp")))
-        strings = strings.join(near, "k", "left").join(cos, "s", "left")
-    else:
-        strings = strings.withColumn("near", F.lit(None).cast("array<string>")).withColumn(
-            "cosp", F.lit(None).cast("array<string>"))
-    st = strings.select("s", F.struct("s", "k", "n", F.coalesce("near", empty).alias("near"),
-                                      F.coalesce("cosp", empty).alias("cosp")).alias("e"))
-    vals = per_key.select("key", F.explode("vals").alias("s"))
-    return vals.join(st, "s").groupBy("key").agg(F.collect_list("e").alias("expansions"))
+               .filter(F.col("nx") | F.col("ny")).groupBy(F.col("y").alias("s")).agg(F.collect_set("x").alias("h")))
+        hits = hits.unionByName(vals.select("key", "s").join(cos, "s").select("key", "h"))
+    hits = hits.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("hits"))
+    return per_key.join(hits, "key", "left").select("key", "vals", F.coalesce("hits", sk.empty_str_array()).alias("hits"))
 
 
 # ------------------------------------------------------------- document side
@@ -83,25 +80,14 @@ def formatted_jd_text(raw) -> Column:
     return se.format_sections_col(se.sections_col(raw, K.JD_HEADERS))
 
 
-def doc_skill_features(docs: DataFrame, id_col: str, text_col: str, skill_db: DataFrame,
-                       forms: DataFrame, syn: DataFrame) -> DataFrame:
-    """Per document: found skill names (G1) and the expanded, flagged set."""
-    hits = sk.extract_skills(docs, skill_db, id_col, text_col, forms)
-    h = hits.withColumn("key", F.lower(py_strip("skill_name")))
-    j = h.join(broadcast_if_small(syn), "key", "left")
-    empty = F.array().cast("array<string>")
-    exp = F.coalesce("expansions", F.array(F.struct(F.col("key").alias("s"), token_sort_key_col(F.col("key")).alias("k"),
-                                                     F.lit(False).alias("n"), empty.alias("near"),
-                                                     empty.alias("cosp"))))
-    g = j.groupBy(id_col).agg(F.sort_array(F.collect_set("skill_name")).alias("skills"),
-                              F.array_sort(F.array_distinct(F.flatten(F.collect_list(exp)))).alias("exp"))
-    return g.select(id_col, "skills", "exp",
-                    F.transform("exp", lambda x: x["s"]).alias("exp_strings"),
-                    F.array_distinct(F.flatten(F.transform("exp", lambda x: x["near"]))).alias("exp_near_all"),
-                    F.array_distinct(F.flatten(F.transform("exp", lambda x: x["cosp"]))).alias("exp_cosp_all"),
-                    F.array_distinct(F.transform("exp", lambda x: x["k"])).alias("exp_keys"),
-                    F.array_distinct(F.transform(F.filter("exp", lambda x: x["n"]), lambda x: x["k"]))
-                    .alias("exp_name_keys"))
+def doc_skill_features(docs: DataFrame, id_col: str, text_col: str, forms: DataFrame, syn: DataFrame) -> DataFrame:
+    """Per document: found skill names (G1), the expanded set (G5), and the résumé strings that it matches (G6), all sorted."""
+    found = sk.found_skills(docs, id_col, forms, text_col).withColumn("key", F.lower(py_strip("skill_name")))
+    j = found.join(broadcast_if_small(syn), "key", "left")
+    g = j.groupBy(id_col).agg(F.collect_set("skill_name").alias("skills"),
+                              F.array_distinct(F.flatten(F.collect_set(F.coalesce("vals", F.array("key"))))).alias("exp"),
+                              F.array_distinct(F.flatten(F.collect_set(F.coalesce("hits", sk.empty_str_array())))).alias("exp_hits"))
+    return g.select(id_col, F.sort_array("skills").alias("skills"), F.sort_array("exp").alias("exp"), "exp_hits")
 
 
 def _chars_in(a: Column, b: Column) -> Column:
@@ -150,13 +136,13 @@ def fuzzy_section_hits(docs: DataFrame, id_col: str, text_col: str = "text", thr
     return j.groupBy(id_col).agg(*[F.min(F.when(hit[s], F.col("li") + 1)).alias("f_" + s) for s in names])
 
 
-def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataFrame, layout_pages: DataFrame,
+def resume_features(resumes: DataFrame, layout_chars: DataFrame, layout_pages: DataFrame,
                     files: DataFrame, forms: DataFrame, syn: DataFrame, text_mode: str = "formatted",
                     compat_sections: bool = False, fuzzy_sections: bool = True,
                     current_year: int | None = None) -> DataFrame:
     raw = F.col("text")
     used = formatted_resume_text(raw) if text_mode == "formatted" else raw
-    base = spread(resumes, "resume_id").select("resume_id", raw.alias("raw"), used.alias("t"))
+    base = resumes.select("resume_id", raw.alias("raw"), used.alias("t"))
     pres_src = "t" if compat_sections else "raw"
     # presence lines are read once per section check: stage them as a column
     base = base.withColumn("_plines", se.presence_lines(pres_src))
@@ -170,7 +156,7 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
         ve.tf_vector_col(tx.head_lines_col("t")).alias("head_tf"),
         se.first_hits_exact(F.col("_plines"), rules=compat_sections).alias("hits0"),
         F.col(pres_src).alias("pres_text"))
-    skills = doc_skill_features(base.select("resume_id", "t"), "resume_id", "t", skill_db, forms, syn)
+    skills = doc_skill_features(base.select("resume_id", "t"), "resume_id", "t", forms, syn).drop("exp_hits")
     f = f.join(skills, "resume_id", "left")
     if fuzzy_sections:
         fz = fuzzy_section_hits(base.select("resume_id", F.col(pres_src).alias("pt")), "resume_id", "pt")
@@ -190,7 +176,7 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
     f = f.select("*", *ve.split_vector_cols(F.col("head_tf"), "rh"))
     # layout and file facts only for the résumés being scored (a stream batch
     # must not re-aggregate the whole layout history)
-    ids = broadcast_if_small(resumes.select(F.col("resume_id").alias("doc_id")), 5_000_000)
+    ids = resumes.select(F.col("resume_id").alias("doc_id"))
     lc = layout_chars.join(ids, "doc_id", "left_semi")
     lp = layout_pages.join(ids, "doc_id", "left_semi")
     fl = files.join(ids, "doc_id", "left_semi")
@@ -199,12 +185,12 @@ def resume_features(resumes: DataFrame, skill_db: DataFrame, layout_chars: DataF
     return f.join(fmt, "resume_id", "left").join(ff, "resume_id", "left")
 
 
-def jd_features(jds: DataFrame, skill_db: DataFrame, forms: DataFrame, syn: DataFrame,
+def jd_features(jds: DataFrame, forms: DataFrame, syn: DataFrame,
                 text_mode: str = "formatted", section_fallback: bool = False,
                 current_year: int | None = None) -> DataFrame:
     raw = F.col("text")
     used = formatted_jd_text(raw) if text_mode == "formatted" else raw
-    base = spread(jds, "jd_id").select("jd_id", used.alias("t"), raw.alias("_raw"))
+    base = jds.select("jd_id", used.alias("t"), raw.alias("_raw"))
     title = (tx.jd_title_fallback_col("t", se.sections_col("_raw", K.JD_HEADERS)) if section_fallback
              else tx.jd_title_col("t"))
     f = base.select(
@@ -217,7 +203,7 @@ def jd_features(jds: DataFrame, skill_db: DataFrame, forms: DataFrame, syn: Data
     f = f.select("*", *ve.split_vector_cols(F.col("head_tf"), "jh"), *ve.split_vector_cols(F.col("title_tf"), "jt"))
     kwp = kw.jd_keyword_profile(base, "jd_id", "t")
     kwp = kwp.select("*", *kw.split_profile_cols(F.col("kw")))
-    skills = doc_skill_features(base, "jd_id", "t", skill_db, forms, syn)
+    skills = doc_skill_features(base, "jd_id", "t", forms, syn)
     return f.join(kwp, "jd_id", "left").join(skills, "jd_id", "left")
 
 
@@ -226,51 +212,15 @@ def _empty(t: str) -> Column:
     return F.array().cast(f"array<{t}>")
 
 
-EXP_T = "struct<s:string,k:string,n:boolean,near:array<string>,cosp:array<string>>"
-
-
 def add_skill_match(x: DataFrame, r: str = "r", j: str = "j") -> DataFrame:
-    """G6 / G7 / G8 per pair, row-wise on the two expanded sets; adds
-    ``matched_skills``, ``missing_skills`` and ``skill_match_score``.
-
-    A résumé string r matches when some JD string j has (a) the same
-    token-sort key, or (b) a key in r's ``near`` list, and r or j is a
-    dictionary name; or (c) j is in r's cosine partner list (already
-    restricted to rows without ``match_on_tokens``).  The per-pair key sets
-    are staged once per row, so the filter lambda does hash lookups only."""
-    R = F.coalesce(F.col(f"{r}.exp"), _empty(EXP_T))
-    J = F.coalesce(F.col(f"{j}.exp"), _empty(EXP_T))
-    staged = x.select(
-        "*", R.alias("_R"), F.coalesce(F.col(f"{j}.exp_strings"), _empty("string")).alias("_js"),
-        # one hash test per pair decides whether any fuzzy partner can match at all
-        F.coalesce(F.arrays_overlap(F.col(f"{r}.exp_near_all"), F.col(f"{j}.exp_keys")), F.lit(False)).alias("_np"),
-        F.coalesce(F.arrays_overlap(F.col(f"{r}.exp_cosp_all"), F.col(f"{j}.exp_strings")), F.lit(False)).alias("_cp"),
-        F.coalesce(F.col(f"{j}.exp_keys"), _empty("string")).alias("_jk"),
-        F.coalesce(F.col(f"{j}.exp_name_keys"), _empty("string")).alias("_jnk"),
-        F.array_intersect(F.coalesce(F.col(f"{r}.exp_keys"), _empty("string")),
-                          F.coalesce(F.col(f"{j}.exp_name_keys"), _empty("string"))).alias("_k1"),
-        F.array_intersect(F.coalesce(F.col(f"{r}.exp_name_keys"), _empty("string")),
-                          F.coalesce(F.col(f"{j}.exp_keys"), _empty("string"))).alias("_k2"))
-    k1, k2, jk, jnk, js = (F.col(c) for c in ("_k1", "_k2", "_jk", "_jnk", "_js"))
-
-    np_, cp_ = F.col("_np"), F.col("_cp")
-
-    def is_match(e):
-        near = np_ & (F.size(e["near"]) > 0) & ((e["n"] & F.arrays_overlap(e["near"], jk))
-                                                 | F.arrays_overlap(e["near"], jnk))
-        cos = cp_ & (F.size(e["cosp"]) > 0) & F.arrays_overlap(e["cosp"], js)
-        return (F.array_contains(k1, e["k"]) | (e["n"] & F.array_contains(k2, e["k"]))
-                | F.coalesce(near, F.lit(False)) | F.coalesce(cos, F.lit(False)))
-
-    none = (F.size(k1) == 0) & (F.size(k2) == 0) & ~np_ & ~cp_
-    matched = F.when(none, _empty("string")).otherwise(
-        pin(F.transform(F.filter("_R", is_match), lambda e: e["s"]), k1, k2, jk, jnk, js))
-    m = staged.withColumn("matched_skills", matched)
-    score = F.when(F.size("_js") == 0, F.lit(0.0)).otherwise(
-        F.least(F.size("matched_skills").cast("double") / F.size("_js") * 100.0, F.lit(100.0)))
-    return (m.withColumn("missing_skills", F.array_except("_js", "matched_skills"))
-            .withColumn("skill_match_score", score)
-            .drop("_R", "_js", "_np", "_cp", "_jk", "_jnk", "_k1", "_k2"))
+    """G6 / G7 / G8 per pair: the résumé strings that the JD matches, the JD
+    strings that are not among them, and the score; set algebra on the documents'
+    sets, whose links were followed once per document."""
+    own, wanted = (F.coalesce(F.col(f"{side}.exp"), _empty("string")) for side in (r, j))
+    m = x.withColumn("matched_skills", F.array_intersect(own, F.coalesce(F.col(f"{j}.exp_hits"), _empty("string"))))
+    score = F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(
+        F.least(F.size("matched_skills").cast("double") / F.size(wanted) * 100.0, F.lit(100.0)))
+    return m.withColumn("missing_skills", F.array_except(wanted, F.col("matched_skills"))).withColumn("skill_match_score", score)
 
 
 def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: float = 0.7) -> DataFrame:
@@ -334,9 +284,8 @@ def dictionary_tables(skill_db: DataFrame, fuzzy_skills: bool = True, tsr_thresh
     """(forms, syn): the surface-form anchors and the synonym/fuzzy link
     table.  Both depend on the dictionary and the thresholds alone; a caller
     with several reports over one dictionary builds them once and passes them on."""
-    forms = broadcast_if_small(materialize(sk.surface_forms(skill_db)))
-    syn = broadcast_if_small(materialize(synonym_table(skill_db, fuzzy_skills, tsr_threshold, cos_threshold)))
-    return forms, syn
+    return (materialize(sk.surface_forms(skill_db), "forms"),
+            materialize(synonym_table(skill_db, fuzzy_skills, tsr_threshold, cos_threshold), "links"))
 
 
 def prepare_context(skill_db: DataFrame, jds: DataFrame, text_mode: str = "formatted",
@@ -349,18 +298,17 @@ def prepare_context(skill_db: DataFrame, jds: DataFrame, text_mode: str = "forma
     ``dictionary``: tables of :func:`dictionary_tables`, which then fix the two
     skill thresholds."""
     forms, syn = dictionary or dictionary_tables(skill_db, fuzzy_skills, tsr_threshold, cos_threshold)
-    # One row per JD: broadcast to the pair join when a count proves it small,
-    # so the wide (pair + résumé feature) rows are never shuffled a second time.
-    jf = broadcast_if_small(materialize(jd_features(jds, skill_db, forms, syn, text_mode, section_fallback, current_year)),
-                            JD_BROADCAST_ROWS)
-    return {"skill_db": skill_db, "forms": forms, "syn": syn, "jf": jf, "text_mode": text_mode,
+    # One row per JD: broadcast to the pair join if its bytes allow it, so that
+    # the wide (pair + résumé feature) rows are not shuffled a second time.
+    jf = broadcast_if_small(materialize(jd_features(jds, forms, syn, text_mode, section_fallback, current_year), "jd-features"))
+    return {"forms": forms, "syn": syn, "jf": jf, "text_mode": text_mode,
             "current_year": current_year, "role_threshold": role_threshold}
 
 
 def score_pairs(ctx: dict, pairs: DataFrame, resumes: DataFrame, layout_chars: DataFrame,
                 layout_pages: DataFrame, files: DataFrame, fuzzy_sections: bool = True,
                 compat_sections: bool = False) -> DataFrame:
-    rf = resume_features(resumes, ctx["skill_db"], layout_chars, layout_pages, files, ctx["forms"], ctx["syn"],
+    rf = resume_features(resumes, layout_chars, layout_pages, files, ctx["forms"], ctx["syn"],
                          ctx["text_mode"], compat_sections, fuzzy_sections, ctx["current_year"])
     return ats_report(pairs, rf, ctx["jf"], ctx["role_threshold"])
 

@@ -15,9 +15,7 @@ from rolefit.sources.tables import read_table
 NL = "\n"
 
 # The fixture views stand in for input tables: each is built once per session
-# and sf folder, hash-partitioned by its key and checkpointed into the shared
-# checkpoint folder (the checkpoint keeps that partitioning, so later joins on
-# the key need no shuffle of this side).
+# and sf folder and written as Parquet into the shared folder.
 _VIEWS: dict = {}
 
 
@@ -25,7 +23,7 @@ def _view(spark: SparkSession, sf_dir: str, name: str, key: str, build) -> DataF
     k = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if k not in _VIEWS:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        _VIEWS[k] = materialize(build().repartition(n, key))
+        _VIEWS[k] = materialize(build().repartition(n, key), name)
     return _VIEWS[k]
 
 

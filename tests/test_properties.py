@@ -1,9 +1,13 @@
 """Property checks from the test strategy: section scores of chosen orders; set outputs partition their inputs."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from rolefit.constants import SECTION_WEIGHTS
 from rolefit.operators import sections as se
+from rolefit.operators import skills as sk
 from rolefit.plans.catalog import QUERIES
 from tests.conftest import SF_SMALL
 
@@ -28,3 +32,21 @@ def test_gap_sets_partition_jd_skills(spark):
         assert m | x == j and not (m & x)
         assert x <= set(r.all_resume_skills)
         assert list(r.missing_skills) == sorted(r.missing_skills)
+
+
+#: Pieces of forms and texts: words, symbols, spaces at odd places.
+PIECES = ["c", "c", "a", "ab", "net", "java", "é", "+", "+", "#", ".", "/", "-", " ", " ", " ", "  ", "\n", "_", "1"]
+
+
+def test_phrase_join_equals_the_word_bounded_search(spark):
+    rnd = random.Random(11)
+    forms = sorted({"".join(rnd.choices(PIECES, k=rnd.randint(0, 6))) for _ in range(250)} | {"", " ", "c++", "c#", ".net", "a b c", " a", "a ", "++"})
+    texts = ["".join(rnd.choices(PIECES, k=rnd.randint(0, 30))) for _ in range(120)] + ["", " ", "a b c", "a b a b c", "c++x", "asp.net"]
+    db = spark.createDataFrame([(str(i), f"Skill{i}", [f], False) for i, f in enumerate(forms)],
+                               "skill_id string, skill_name string, low_surface_forms array<string>, match_on_tokens boolean")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.skill_name) for r in sk.extract_skills(docs, db, "doc_id").collect()}
+    norm = [re.sub(r"\s+", " ", t.lower()).strip() for t in texts]
+    want = {(i, f"Skill{k}") for i, t in enumerate(norm) for k, f in enumerate(forms) if re.search(r"\b" + re.escape(f) + r"\b", t)}
+    assert len(want) > 500
+    assert got == want
