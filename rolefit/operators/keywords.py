@@ -43,11 +43,16 @@ def jd_keyword_profile(docs: DataFrame, id_col: str = "jd_id", text_col: str = "
     return g.select(id_col, "kw", F.transform("_rep", lambda x: x["phrase"]).alias("kw_rep"))
 
 
-def matched_count_col(kw: Column, phrase_set: Column) -> Column:
-    """Σ cnt over the JD phrases present in ``phrase_set``.
+def split_profile_cols(kw: Column) -> list[Column]:
+    """Per JD, for :func:`density_cols`: the phrases, and the repeated ones with their further occurrences."""
+    return [F.transform(kw, lambda x: x["phrase"]).alias("kw_phrases"),
+            F.transform(F.filter(kw, lambda x: x["cnt"] > 1),
+                        lambda x: F.struct(x["phrase"].alias("phrase"), (x["cnt"] - 1).alias("cnt"))).alias("kw_more")]
+
 
-    ``array_intersect`` (hash based) keeps the phrase order of ``kw``, so one
-    pointer walk over ``kw`` picks up the counts in linear time."""
+def _counted(kw: Column, phrase_set: Column) -> Column:
+    """Σ cnt over the phrases of ``kw`` present in ``phrase_set``: the intersection (hash based) keeps the
+    order of ``kw``, so one walk of a pointer picks up the counts in linear time."""
     common = F.array_intersect(F.transform(kw, lambda x: x["phrase"]), phrase_set)
     # `common` rides in the accumulator: evaluated once, not once per element
     acc0 = F.struct(common.alias("c"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("s"))
@@ -60,13 +65,19 @@ def matched_count_col(kw: Column, phrase_set: Column) -> Column:
     return F.aggregate(kw, acc0, step)["s"]
 
 
-def density_cols(kw: Column, phrase_set: Column, words: Column):
-    """(keyword_density, density_score)."""
-    num = matched_count_col(F.coalesce(kw, F.array().cast("array<struct<phrase:string,cnt:bigint>>")),
-                            phrase_set)
-    d = F.when(words > 0, num.cast("double") / words * 100.0).otherwise(F.lit(0.0))
-    score = F.when((d >= 0.5) & (d <= 1.5), 100.0).when(d < 0.5, 60.0).otherwise(30.0)
-    return d, score
+def density_cols(phrases: Column, more: Column, phrase_set: Column, words: Column):
+    """(keyword_density, density_score) on the columns of :func:`split_profile_cols`.
+
+    Every shared phrase counts once by the size of a hash intersection; only repeated phrases are walked."""
+    shared = F.size(F.array_intersect(F.coalesce(phrases, F.array().cast("array<string>")), phrase_set))
+    further = F.when(F.size(more) > 0, _counted(more, phrase_set)).otherwise(F.lit(0).cast("long"))
+    d = F.when(words > 0, (shared + further).cast("double") / words * 100.0).otherwise(F.lit(0.0))
+    return d, density_score_col(d)
+
+
+def density_score_col(d: Column) -> Column:
+    """W4."""
+    return F.when((d >= 0.5) & (d <= 1.5), 100.0).when(d < 0.5, 60.0).otherwise(30.0)
 
 
 def missing_keywords_col(kw_rep: Column, phrase_set: Column, k: int = 5) -> Column:
@@ -77,19 +88,3 @@ def missing_keywords_col(kw_rep: Column, phrase_set: Column, k: int = 5) -> Colu
 def matched_keywords_col(jd_set_sorted: Column, resume_set: Column, k: int = 10) -> Column:
     """Phrases of both lower-cased texts, first k in code-point order."""
     return F.slice(F.array_intersect(jd_set_sorted, resume_set), 1, k)
-
-
-def split_profile_cols(kw: Column) -> list[Column]:
-    """Per JD: phrases (sorted) and aligned counts, for :func:`split_density_cols`."""
-    return [F.transform(kw, lambda x: x["phrase"]).alias("kw_phrases"),
-            F.transform(kw, lambda x: x["cnt"]).alias("kw_cnts")]
-
-
-def split_density_cols(phrases: Column, cnts: Column, phrase_set: Column, words: Column):
-    """W3/W4 on the split JD profile: counts are looked up for shared phrases only."""
-    common = F.array_intersect(F.coalesce(phrases, F.array().cast("array<string>")), phrase_set)
-    num = F.aggregate(common, F.lit(0).cast("long"),
-                      lambda s, p: s + F.get(cnts, F.array_position(phrases, p) - 1))
-    d = F.when(words > 0, num.cast("double") / words * 100.0).otherwise(F.lit(0.0))
-    score = F.when((d >= 0.5) & (d <= 1.5), 100.0).when(d < 0.5, 60.0).otherwise(30.0)
-    return d, score

@@ -73,6 +73,27 @@ def q_ats_report(spark, sf):
     return _report(spark, sf)
 
 
+#: The report by rules that SQL can express: raw texts, equal token-sort keys, section names as substrings.
+EXACT = {"text_mode": "raw", "fuzzy_skills": False, "fuzzy_sections": False}
+
+
+@query("ats_report_exact")
+def q_ats_report_exact(spark, sf):
+    return _report(spark, sf, **EXACT)
+
+
+@query("total_score")
+def q_total_score(spark, sf):
+    """C3 before rounding, with its seven parts."""
+    from rolefit.plans.report import SCORE_COLS
+    return _report(spark, sf, **EXACT, rounded=False).select("resume_id", "jd_id", *SCORE_COLS)
+
+
+@query("recommendations")
+def q_recommendations(spark, sf):
+    return _report(spark, sf, **EXACT).select("resume_id", "jd_id", "recommendations")
+
+
 from rolefit.plans import catalog_ops  # noqa: E402,F401  (registers the operator queries)
 
 

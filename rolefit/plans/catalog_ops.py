@@ -258,11 +258,11 @@ def _pair_text_features(spark, sf):
     rf = resumes.select("resume_id", F.array_distinct(kw.phrases_col("text")).alias("phrase_set"),
                         kw.word_count_col("text").alias("words"),
                         F.array_distinct(kw.phrases_col("text", normalise=False)).alias("w6_set"),
-                        ex.year_ranges_col("text").alias("ranges"),
+                        ex.year_set_col(ex.year_ranges_col("text")).alias("years"),
                         ve.tf_vector_col(tx.head_lines_col("text")).alias("head_tf"))
     rf = rf.select("*", *ve.split_vector_cols(F.col("head_tf"), "rh"))
     jf = jds.select("jd_id", F.array_sort(F.array_distinct(kw.phrases_col("text", normalise=False))).alias("w6_sorted"),
-                    ex.year_ranges_col("text").alias("j_ranges"),
+                    ex.year_set_col(ex.year_ranges_col("text")).alias("j_years"),
                     ve.tf_vector_col(tx.head_lines_col("text")).alias("j_head_tf"),
                     ve.tf_vector_col(F.lower(tx.jd_title_col("text"))).alias("title_tf"))
     jf = jf.select("*", *ve.split_vector_cols(F.col("j_head_tf"), "jh"), *ve.split_vector_cols(F.col("title_tf"), "jt"))
@@ -277,11 +277,9 @@ def _pair_text_features(spark, sf):
 @query("keyword_density")
 def q_keyword_density(spark, sf):
     x = _pair_text_features(spark, sf)
-    d, _ = kw.split_density_cols(F.col("kw_phrases"), F.col("kw_cnts"), F.col("phrase_set"), F.col("words"))
+    d, _ = kw.density_cols(F.col("kw_phrases"), F.col("kw_more"), F.col("phrase_set"), F.col("words"))
     x = x.select("resume_id", "jd_id", d.alias("keyword_density"))
-    dd = F.col("keyword_density")
-    return x.select("*", F.when((dd >= 0.5) & (dd <= 1.5), 100.0).when(dd < 0.5, 60.0).otherwise(30.0)
-                    .alias("keyword_density_score"))
+    return x.select("*", kw.density_score_col(F.col("keyword_density")).alias("keyword_density_score"))
 
 
 @query("missing_keywords")
@@ -312,13 +310,13 @@ def q_year_ranges(spark, sf):
 @query("experience_overlap")
 def q_experience_overlap(spark, sf):
     x = _pair_text_features(spark, sf)
-    return x.select("resume_id", "jd_id", ex.overlap_col(F.col("ranges"), F.col("j_ranges")).alias("overlap"))
+    return x.select("resume_id", "jd_id", ex.overlap_col("years", "j_years").alias("overlap"))
 
 
 @query("experience_score")
 def q_experience_score(spark, sf):
     x = _pair_text_features(spark, sf)
-    x = x.select("resume_id", "jd_id", ex.overlap_col(F.col("ranges"), F.col("j_ranges")).alias("overlap"),
+    x = x.select("resume_id", "jd_id", ex.overlap_col("years", "j_years").alias("overlap"),
                  ve.split_cosine_col("rh", "jh").alias("role_similarity"))
     return x.select("*", ex.experience_score_col(F.col("overlap"), F.col("role_similarity")).alias("experience_score"))
 
@@ -382,10 +380,11 @@ def _pair_section_inputs(spark, sf):
     rs = sk.skill_sets(resumes, db, "resume_id", "resume_skills", forms=forms)
     js = sk.skill_sets(jds, db, "jd_id", "jd_skills", forms=forms)
     gaps = sk.skill_gap_arrays(fx.pairs_fx(spark, sf, resumes, jds), rs, js)
-    from rolefit.operators.suggestions import with_page_lines
     r = resumes.select("resume_id", se.sections_col("text", K.RESUME_HEADERS).alias("sections"),
                        F.array_distinct(kw.phrases_col("text")).alias("phrase_set"))
-    r = with_page_lines(r.withColumn("formatted", se.format_sections_col("sections")), "formatted")
+    # what depends on the résumé alone is computed per résumé, before the pairs
+    r = r.withColumn("facts", sg.section_facts_col("sections"))
+    r = sg.with_page_lines(r.withColumn("formatted", se.format_sections_col("sections")), "formatted")
     j = jds.select("jd_id", kw.phrases_col("text", normalise=False).alias("jd_phrases"))
     jk = kw.jd_keyword_profile(jds)
     from rolefit.functions.joins import broadcast_if_small, materialize
@@ -394,11 +393,8 @@ def _pair_section_inputs(spark, sf):
 
 @query("section_summaries")
 def q_section_summaries(spark, sf):
-    from rolefit.operators.suggestions import section_summaries_col
-    from rolefit.operators.suggestions import experience_text_col
-    x = _pair_section_inputs(spark, sf).withColumn("exp_text", experience_text_col("sections"))
-    s = section_summaries_col("sections", F.col("matched_skills"), F.col("all_jd_skills"), F.col("jd_phrases"),
-                              F.col("exp_text"))
+    x = _pair_section_inputs(spark, sf)
+    s = sg.section_summaries_col("facts", F.col("matched_skills"), F.col("all_jd_skills"), F.col("jd_phrases"))
     return x.select("resume_id", "jd_id", F.inline(s))
 
 
@@ -411,12 +407,12 @@ def q_resume_optimise(spark, sf):
 
 @query("line_gaps")
 def q_line_gaps(spark, sf):
-    from rolefit.operators.suggestions import line_gap_col, with_page_lines
     x = _pair_section_inputs(spark, sf)
     mk = kw.missing_keywords_col(F.col("kw_rep"), F.col("phrase_set"))
-    e = x.select("resume_id", "jd_id", "missing_skills", mk.alias("mk"), F.explode("page_lines").alias("r"))
+    x = x.select("resume_id", "jd_id", sg.gap_terms_col(F.col("missing_skills"), mk).alias("terms"), "page_lines")
+    e = x.select("resume_id", "jd_id", "terms", F.explode("page_lines").alias("r"))
     return e.select("resume_id", "jd_id", F.col("r.line_pos").alias("line_pos"), F.col("r.line").alias("line"),
-                    line_gap_col(F.col("r"), F.col("missing_skills"), F.col("mk")).alias("missing_terms"))
+                    sg.line_gap_col(F.col("r"), F.col("terms")).alias("missing_terms"))
 
 
 # ------------------------------------------------------------------ S1–S5

@@ -481,3 +481,133 @@ SELECT u.id, u.name, u.email, (u.id = f.first_id AND ex.email IS NULL) AS accept
 FROM users u JOIN f ON f.email = u.email LEFT JOIN ex ON ex.email = u.email"""
 ORACLES["jd_text_scan"] = duck_ctes("jd_fx") + "SELECT jd_id, text FROM jd_fx"
 ORACLES["skill_dict_load"] = duck_ctes("skill_fx") + "SELECT skill_id, skill_name, low_surface_forms, match_on_tokens FROM skill_fx"
+
+
+# ===================================================================== C3–C7 (exact rules, raw texts)
+# Every part is a query with its own oracle above; a pair whose résumé has no facts takes the defaults.
+_PARTS = ",\n".join(f"q_{n} AS ({ORACLES[n]})" for n in (
+    "skill_score", "experience_score", "job_title_score", "keyword_density", "missing_keywords", "matched_keywords",
+    "section_presence", "formatting_score", "file_format_score", "jd_title"))
+_SCORES = [n for n, _ in K.TOTAL_WEIGHTS]
+_MSG_SK = "concat('Add missing skills: ', array_to_string(missing_skills[1:5], ', '), '. Consider online courses.')"
+_MSG_SEC = (f"CASE WHEN len(missing_sections) > 0 THEN concat('Add missing sections: ', array_to_string(missing_sections, ', '), '.') "
+            f"ELSE {lit(K.MSG_SECTIONS_LABELED)} END")
+_MSG_TITLE = "concat('Include ''', jd_title, ''' in your summary or title.')"
+_MSG_KW = "concat('Optimize keywords: ', array_to_string(missing_keywords, ', '), ' to 0.5–1.5% density.')"
+
+
+def ONE(cond: str, msg: str) -> str:
+    return f"CASE WHEN {cond} THEN [{msg}] ELSE []::VARCHAR[] END"
+
+
+def CONCAT(*lists: str) -> str:
+    out = lists[0]
+    for x in lists[1:]:
+        out = f"list_concat({out}, {x})"
+    return out
+
+
+_ALL_RECOMMENDATIONS = CONCAT(
+    ONE("skill_match_score < 80", _MSG_SK), ONE("experience_score < 70", lit(K.MSG_EXPERIENCE)), ONE("section_score < 70", _MSG_SEC),
+    "formatting_issues", ONE("job_title_score < 70", _MSG_TITLE), ONE("keyword_density_score < 70", _MSG_KW), "file_format_issues")
+_TOTAL = " + ".join(f"CAST({w} AS DOUBLE) * {n}" for n, w in K.TOTAL_WEIGHTS)
+_LISTS = ("matched_keywords", "missing_keywords", "matched_skills", "missing_skills")
+REPORT = duck_ctes("resume_fx", "jd_fx") + f""", {_PARTS},
+parts AS (SELECT p.resume_id, p.jd_id, p.skill_match_score, p.matched_skills, p.missing_skills, e.experience_score, t.job_title_score,
+  k.keyword_density_score, mk.missing_keywords, wk.matched_keywords, coalesce(s.section_score, 0.0) AS section_score,
+  coalesce(s.missing_sections, ['skills', 'experience', 'education']) AS missing_sections,
+  coalesce(f.formatting_score, 0.0) AS formatting_score, coalesce(f.formatting_issues, [{lit(K.MSG_FORMAT_ERROR)}]) AS formatting_issues,
+  coalesce(ff.file_format_score, 0.0) AS file_format_score, coalesce(ff.file_format_issues, [{lit(K.MSG_FILE_ERROR)}]) AS file_format_issues,
+  jt.jd_title, {STRIP('r.text')} = '' OR {STRIP('j.text')} = '' AS blank
+  FROM q_skill_score p JOIN q_experience_score e USING (resume_id, jd_id) JOIN q_job_title_score t USING (resume_id, jd_id)
+  JOIN q_keyword_density k USING (resume_id, jd_id) JOIN q_missing_keywords mk USING (resume_id, jd_id)
+  JOIN q_matched_keywords wk USING (resume_id, jd_id) JOIN q_jd_title jt USING (jd_id)
+  JOIN resume_fx r USING (resume_id) JOIN jd_fx j USING (jd_id) LEFT JOIN q_section_presence s USING (resume_id)
+  LEFT JOIN q_formatting_score f ON f.doc_id = p.resume_id LEFT JOIN q_file_format_score ff ON ff.doc_id = p.resume_id),
+report AS (SELECT resume_id, jd_id, CASE WHEN blank THEN 0.0 ELSE least({_TOTAL}, 100.0) END AS total_score,
+  {", ".join(f"CASE WHEN blank THEN 0.0 ELSE {n} END AS {n}" for n in _SCORES)},
+  {", ".join(f"CASE WHEN blank THEN []::VARCHAR[] ELSE {n} END AS {n}" for n in _LISTS)},
+  CASE WHEN blank THEN [{lit(K.MSG_EMPTY_INPUT)}] ELSE {_ALL_RECOMMENDATIONS} END AS recommendations
+  FROM parts)
+"""
+ORACLES["total_score"] = REPORT + f"SELECT resume_id, jd_id, total_score, {', '.join(_SCORES)} FROM report"
+ORACLES["recommendations"] = REPORT + "SELECT resume_id, jd_id, recommendations FROM report"
+ORACLES["ats_report_exact"] = REPORT + f"""SELECT resume_id, jd_id,
+  {", ".join(f"CAST(printf('%.2f', {n}) AS DOUBLE) AS {n}" for n in ("total_score", *_SCORES))},
+  {", ".join(_LISTS)}, recommendations FROM report"""
+
+# ===================================================================== T5, T8, T9
+from rolefit.operators.suggestions import PAGE_SECTION_HEADERS, PAGE_TITLE_SECTIONS  # noqa: E402
+
+_RAW_PHRASES = f"regexp_extract_all(lower(text), {lit(PHRASE_RX)})"
+
+
+def _lines(name: str) -> str:
+    """Lines of a résumé's section; null without the section."""
+    return f"any_value(CASE WHEN section = {lit(name)} THEN lines END)"
+
+
+PAIR_SECTIONS = (duck_ctes("resume_fx", "jd_fx") + f", gaps AS ({ORACLES['skill_gap_arrays']}),\n"
+                 + f"kws AS ({ORACLES['missing_keywords']}),\n" + SECTIONS("resume_fx", "resume_id", K.RESUME_HEADERS))
+ORACLES["section_summaries"] = PAIR_SECTIONS + f""",
+rs AS (SELECT id AS resume_id, {_lines('skills')} AS skills, {_lines('experience')} AS experience, {_lines('education')} AS education,
+  {_lines('certifications')} AS certifications, bool_or(section = 'professional summary') AS professional FROM secs GROUP BY id),
+ty AS ({ORACLES["total_years"]}),
+x AS (SELECT g.*, rs.* EXCLUDE (resume_id), ty.total_years, CASE WHEN len(g.matched_skills) > 0 THEN g.matched_skills[1:5] ELSE rs.skills[1:5] END AS pick,
+  CASE WHEN len(g.matched_skills) > 0 THEN g.matched_skills[1:3] ELSE g.all_jd_skills[1:3] END AS prof,
+  j.phrases, lower(array_to_string(rs.experience, chr(10))) AS exp_text FROM gaps g JOIN rs USING (resume_id) LEFT JOIN ty USING (resume_id)
+  JOIN (SELECT jd_id, {_RAW_PHRASES} AS phrases FROM jd_fx) j USING (jd_id)),
+y AS (SELECT x.*, list_filter(x.phrases, lambda p: contains(exp_text, p))[1:2] AS roles FROM x)
+SELECT resume_id, jd_id, 'skills' AS section, CASE WHEN len(pick) > 0 THEN concat({lit(K.SUM_SKILLS[0])}, array_to_string(pick, ', '), {lit(K.SUM_SKILLS[1])})
+  ELSE {lit(K.SUM_NO_SKILLS)} END AS summary FROM y WHERE skills IS NOT NULL
+UNION ALL SELECT resume_id, jd_id, 'experience', concat(CAST(total_years AS VARCHAR), {lit(K.SUM_EXPERIENCE[0])},
+  CASE WHEN len(roles) > 0 THEN concat({lit(K.SUM_FOCUS)}, array_to_string(roles, ', ')) ELSE {lit(K.SUM_RELEVANT)} END, {lit(K.SUM_EXPERIENCE[1])})
+  FROM y WHERE experience IS NOT NULL
+UNION ALL SELECT resume_id, jd_id, 'education', CASE WHEN len(education) > 0 THEN concat({lit(K.SUM_EDUCATION[0])}, education[1], {lit(K.SUM_EDUCATION[1])})
+  ELSE {lit(K.SUM_NO_EDUCATION)} END FROM y WHERE education IS NOT NULL
+UNION ALL SELECT resume_id, jd_id, 'certifications', CASE WHEN len(certifications) > 0
+  THEN concat({lit(K.SUM_CERTS[0])}, array_to_string(certifications[1:2], ', '), {lit(K.SUM_CERTS[1])}) ELSE {lit(K.SUM_NO_CERTS)} END
+  FROM y WHERE certifications IS NOT NULL
+UNION ALL SELECT resume_id, jd_id, 'professional summary', concat({lit(K.SUM_PROFESSIONAL[0])}, array_to_string(prof, ', '), {lit(K.SUM_PROFESSIONAL[1])})
+  FROM y WHERE professional OR len(matched_skills) > 0 OR len(all_jd_skills) > 0"""
+
+_WRAP = f"CASE WHEN starts_with(l, '[SUGGESTED:') THEN concat({lit(K.SUGGESTION_SPAN[0])}, l, {lit(K.SUGGESTION_SPAN[1])}) ELSE l END"
+_BLOCK = ("concat(" + _TITLE + ", chr(10), repeat('-', length(section)), chr(10), chr(10), array_to_string(list_transform(ls, lambda l: "
+          + _WRAP + "), chr(10)), chr(10), chr(10))")
+
+
+def _suggest(terms: str, ends: tuple) -> str:
+    return f"concat({lit(ends[0])}, array_to_string({terms}[1:3], ', '), {lit(ends[1])})"
+
+
+_NEW_LINES = CONCAT("secs.lines", ONE("add_sk AND section = 'skills'", _suggest("ms", K.SUGGEST_SKILLS)),
+                    ONE("add_kw AND section = target", _suggest("mk", K.SUGGEST_KEYWORDS)))
+_KW_NOTE = (f"concat({_suggest('mk', K.SUGGEST_KEYWORDS_NOTE[:2])}, CASE target WHEN 'header' THEN 'Header' ELSE 'Professional Summary' END, "
+            f"{lit(K.SUGGEST_KEYWORDS_NOTE[2])})")
+ORACLES["resume_optimise"] = PAIR_SECTIONS + f""",
+ps AS (SELECT id, bool_or(section = 'skills') AS has_sk, bool_or(section = 'professional summary') AS has_ps, bool_or(section = 'header') AS has_hd FROM secs GROUP BY id),
+x AS (SELECT g.resume_id, g.jd_id, g.missing_skills AS ms, k.missing_keywords AS mk, has_sk AND len(g.missing_skills) > 0 AS add_sk,
+  (has_ps OR has_hd) AND len(k.missing_keywords) > 0 AS add_kw, CASE WHEN has_ps THEN 'professional summary' ELSE 'header' END AS target
+  FROM gaps g JOIN kws k USING (resume_id, jd_id) JOIN ps ON ps.id = g.resume_id),
+l AS (SELECT x.resume_id, x.jd_id, secs.section_pos, secs.section, {_NEW_LINES} AS ls FROM x JOIN secs ON secs.id = x.resume_id),
+o AS (SELECT resume_id, jd_id, {STRIP("string_agg(" + _BLOCK + ", chr(10) ORDER BY section_pos)")} AS optimized_text
+  FROM l WHERE len(ls) > 0 GROUP BY resume_id, jd_id)
+SELECT x.resume_id, x.jd_id, coalesce(o.optimized_text, '') AS optimized_text,
+  {CONCAT(ONE("add_sk", _suggest("ms", K.SUGGEST_SKILLS_NOTE)), ONE("add_kw", _KW_NOTE))} AS suggestions
+FROM x LEFT JOIN o ON o.resume_id = x.resume_id AND o.jd_id = x.jd_id"""
+
+_HEADERS, _TITLES = (", ".join(lit(h) for h in hs) for hs in (PAGE_SECTION_HEADERS, PAGE_TITLE_SECTIONS))
+_TITLE_WORDS = ", ".join(lit(t) for t in K.TITLE_KEYWORDS)
+ORACLES["line_gaps"] = duck_ctes("resume_fx", "jd_fx") + f""", gaps AS ({ORACLES['skill_gap_arrays']}),
+kws AS ({ORACLES['missing_keywords']}), fm AS ({ORACLES['format_sections']}),
+pl AS (SELECT resume_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line_pos, unnest(ls) AS line
+  FROM (SELECT resume_id, string_split(formatted, chr(10)) AS ls FROM fm)),
+lw AS (SELECT *, {STRIP("replace(lower(line), '  ', ' ')")} AS low FROM pl),
+cu AS (SELECT *, last_value(CASE WHEN low IN ({_HEADERS}) THEN low END IGNORE NULLS) OVER (PARTITION BY resume_id ORDER BY line_pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur FROM lw),
+x AS (SELECT g.resume_id, g.jd_id, g.missing_skills AS ms, k.missing_keywords AS mk FROM gaps g JOIN kws k USING (resume_id, jd_id))
+SELECT x.resume_id, x.jd_id, cu.line_pos, cu.line, CASE WHEN coalesce(cur IN ({_TITLES}), false)
+  THEN list_filter(mk, lambda k: lower(k) IN ({_TITLE_WORDS}) AND NOT contains(low, lower(k)))
+  ELSE list_concat(list_filter(ms, lambda s: NOT contains(low, lower(s))),
+                   list_filter(mk, lambda k: NOT (lower(k) IN ({_TITLE_WORDS})) AND NOT contains(low, lower(k)))) END AS missing_terms
+FROM x JOIN cu USING (resume_id) WHERE {STRIP('line')} <> ''"""

@@ -152,7 +152,7 @@ def resume_features(resumes: DataFrame, layout_chars: DataFrame, layout_pages: D
         F.array_distinct(kw.phrases_col("t")).alias("phrase_set"),
         kw.word_count_col("t").alias("words"),
         F.array_distinct(kw.phrases_col("t", normalise=False)).alias("w6_set"),
-        ex.year_ranges_col("t", current_year).alias("ranges"),
+        ex.year_set_col(ex.year_ranges_col("t", current_year)).alias("years"),
         ve.tf_vector_col(tx.head_lines_col("t")).alias("head_tf"),
         se.first_hits_exact(F.col("_plines"), rules=compat_sections).alias("hits0"),
         F.col(pres_src).alias("pres_text"))
@@ -197,7 +197,7 @@ def jd_features(jds: DataFrame, forms: DataFrame, syn: DataFrame,
         "jd_id", (py_strip("t") == "").alias("blank"),
         title.alias("jd_title"),
         F.array_sort(F.array_distinct(kw.phrases_col("t", normalise=False))).alias("w6_sorted"),
-        ex.year_ranges_col("t", current_year).alias("ranges"),
+        ex.year_set_col(ex.year_ranges_col("t", current_year)).alias("years"),
         ve.tf_vector_col(tx.head_lines_col("t")).alias("head_tf"))
     f = f.withColumn("title_tf", ve.tf_vector_col(F.lower("jd_title")))
     f = f.select("*", *ve.split_vector_cols(F.col("head_tf"), "jh"), *ve.split_vector_cols(F.col("title_tf"), "jt"))
@@ -223,22 +223,21 @@ def add_skill_match(x: DataFrame, r: str = "r", j: str = "j") -> DataFrame:
     return m.withColumn("missing_skills", F.array_except(wanted, F.col("matched_skills"))).withColumn("skill_match_score", score)
 
 
-def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: float = 0.7) -> DataFrame:
+def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: float = 0.7, rounded: bool = True) -> DataFrame:
     """Per pair, in stages so that every metric is computed once: raw metrics
     (set algebra, cosines, density, overlap) → component scores → total and
-    recommendations."""
+    recommendations.  Scores have two decimals unless ``rounded`` is false."""
     p = pairs.select("resume_id", "jd_id")
     x = add_skill_match(p.join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left"))
     es = _empty("string")
-    density, _ = kw.split_density_cols(F.col("j.kw_phrases"), F.col("j.kw_cnts"),
-                                       F.coalesce("r.phrase_set", es), F.coalesce("r.words", F.lit(0)))
+    density, _ = kw.density_cols(F.col("j.kw_phrases"), F.col("j.kw_more"), F.coalesce("r.phrase_set", es), F.coalesce("r.words", F.lit(0)))
     fmt_default, fmt_issue_default = sc.formatting_default()
     ff_default, ff_issue_default = sc.file_format_default()
     m = x.select(
         "resume_id", "jd_id", "skill_match_score", "matched_skills", "missing_skills",
         (F.coalesce("r.blank", F.lit(True)) | F.coalesce("j.blank", F.lit(True))).alias("blank"),
         F.coalesce("j.jd_title", F.lit(K.DEFAULT_JD_TITLE)).alias("jd_title"),
-        ex.overlap_col(F.col("r.ranges"), F.col("j.ranges")).alias("overlap"),
+        ex.overlap_col("r.years", "j.years").alias("overlap"),
         ve.split_cosine_col("r.rh", "j.jh").alias("role_sim"),
         ve.split_cosine_col("r.rh", "j.jt").alias("title_cos"),
         density.alias("density"),
@@ -251,12 +250,11 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
         F.coalesce("r.file_format_issues", ff_issue_default).alias("file_format_issues"),
         kw.missing_keywords_col(F.col("j.kw_rep"), F.coalesce("r.phrase_set", es)).alias("missing_keywords"),
         kw.matched_keywords_col(F.coalesce("j.w6_sorted", es), F.coalesce("r.w6_set", es)).alias("matched_keywords"))
-    d = F.col("density")
     y = m.select(
         "*",
         ex.experience_score_col(F.col("overlap"), F.col("role_sim"), role_threshold).alias("experience_score"),
         F.least(F.col("title_cos") * 100.0, F.lit(100.0)).alias("job_title_score"),
-        F.when((d >= 0.5) & (d <= 1.5), 100.0).when(d < 0.5, 60.0).otherwise(30.0).alias("keyword_density_score"))
+        kw.density_score_col(F.col("density")).alias("keyword_density_score"))
     total = sc.total_score_col({n: n for n in SCORE_COLS if n != "total_score"})
     recs = sc.recommendations_col(
         F.col("skill_match_score"), F.col("experience_score"), F.col("section_score"), F.col("job_title_score"),
@@ -276,7 +274,7 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
         z(F.col("matched_skills"), es).alias("matched_skills"),
         z(F.col("missing_skills"), es).alias("missing_skills"),
         z(recs, F.array(F.lit(K.MSG_EMPTY_INPUT))).alias("recommendations"))
-    return sc.round_scores(out, SCORE_COLS)
+    return sc.round_scores(out, SCORE_COLS) if rounded else out
 
 
 def dictionary_tables(skill_db: DataFrame, fuzzy_skills: bool = True, tsr_threshold: int = 90,
@@ -307,19 +305,20 @@ def prepare_context(skill_db: DataFrame, jds: DataFrame, text_mode: str = "forma
 
 def score_pairs(ctx: dict, pairs: DataFrame, resumes: DataFrame, layout_chars: DataFrame,
                 layout_pages: DataFrame, files: DataFrame, fuzzy_sections: bool = True,
-                compat_sections: bool = False) -> DataFrame:
+                compat_sections: bool = False, rounded: bool = True) -> DataFrame:
     rf = resume_features(resumes, layout_chars, layout_pages, files, ctx["forms"], ctx["syn"],
                          ctx["text_mode"], compat_sections, fuzzy_sections, ctx["current_year"])
-    return ats_report(pairs, rf, ctx["jf"], ctx["role_threshold"])
+    return ats_report(pairs, rf, ctx["jf"], ctx["role_threshold"], rounded)
 
 
 def build_report(pairs, resumes, jds, skill_db, layout_chars, layout_pages, files, text_mode="formatted",
                  fuzzy_sections=True, compat_sections=False, fuzzy_skills=True, dictionary=None,
-                 section_fallback=False, current_year=None, tsr_threshold=90, cos_threshold=0.80, role_threshold=0.7) -> DataFrame:
+                 section_fallback=False, current_year=None, tsr_threshold=90, cos_threshold=0.80, role_threshold=0.7,
+                 rounded=True) -> DataFrame:
     """``current_year``: date ranges that end later are ignored; the year of the run unless given."""
     ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills, dictionary, section_fallback, current_year,
                           tsr_threshold, cos_threshold, role_threshold)
-    return score_pairs(ctx, pairs, resumes, layout_chars, layout_pages, files, fuzzy_sections, compat_sections)
+    return score_pairs(ctx, pairs, resumes, layout_chars, layout_pages, files, fuzzy_sections, compat_sections, rounded)
 
 
 def write_report(report: DataFrame, path: str, partition_by: tuple = (), mode: str = "overwrite") -> None:

@@ -126,7 +126,7 @@ def test_keyword_density(spark):
     jp = kw.jd_keyword_profile(df.select(F.col("id").alias("jd_id"), F.col("j").alias("text")))
     x = df.select("id", F.array_distinct(kw.phrases_col("r")).alias("ps"), kw.word_count_col("r").alias("w")) \
         .join(jp.withColumnRenamed("jd_id", "id"), "id", "left")
-    d, s = kw.density_cols(F.col("kw"), F.col("ps"), F.col("w"))
+    d, s = kw.density_cols(*kw.split_profile_cols(F.col("kw")), F.col("ps"), F.col("w"))
     out = x.select("id", d.alias("d"), s.alias("s"), kw.missing_keywords_col(F.col("kw_rep"), F.col("ps")).alias("m")).collect()
     for r in out:
         want = DENSITIES[r.id]
