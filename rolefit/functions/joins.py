@@ -31,3 +31,33 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/rolefit-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one key that meet in one cell of :func:`cell_join` on either side.
+CELL = 4_096
+
+
+def cells(left: DataFrame, right: DataFrame, key: str, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cell (``_x``, ``_y``) in which their rows meet those of the other side.
+
+    A key with l and r rows has ceil(l / cell) x ceil(r / cell) cells: a left row belongs to one _x
+    and goes to all _y, a right row belongs to one _y and goes to all _x.  The sizes of keys
+    with more rows than a cell are few (rows / cell at most)."""
+    sizes = (left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key)
+             .filter((F.col("_l") > cell) | (F.col("_r") > cell)))
+    sizes = broadcast_if_small(materialize(sizes.select(key, *[F.ceil(F.col(c) / cell).cast("int").alias(c) for c in ("_l", "_r")]), "cells"))
+
+    def dealt(side: DataFrame, own: str, place: str, other: str, all_of: str) -> DataFrame:
+        rows = side.join(sizes, key, "left")
+        mine = F.pmod(F.xxhash64(*side.columns), F.coalesce(own, F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return rows.select(*side.columns, mine.alias(place), every.alias(all_of))
+
+    return dealt(left, "_l", "_x", "_r", "_y"), dealt(right, "_r", "_y", "_l", "_x")
+
+
+def cell_join(left: DataFrame, right: DataFrame, key: str, cell: int | None = None) -> DataFrame:
+    """Equi-join on ``key`` of sides with otherwise different columns; the rows of a frequent key meet in
+    many cells of bounded size instead of one task."""
+    a, b = cells(left, right, key, cell or CELL)
+    return a.join(b, [key, "_x", "_y"]).drop("_x", "_y")

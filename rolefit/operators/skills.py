@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.functions.joins import broadcast_if_small, materialize
+from rolefit.functions.joins import broadcast_if_small, cell_join, materialize
 from rolefit.functions.text import U, ws_normalise
 
 #: A word run or a single symbol, with the space before it.
@@ -162,7 +162,10 @@ def near_key_pairs(keys: DataFrame, threshold: int = 90, q: int = 2) -> DataFram
     Exact blocking: ratio > s implies indel distance k < (1-s)(|a|+|b|) and the
     length bound; strings within edit distance k share at least
     max(|a|,|b|) - q + 1 - k·q q-grams (occurrence-numbered), so with grams in
-    one global rarity order their prefixes of |G| - τ + 1 grams intersect.
+    one global rarity order their prefixes of |G| - τ + 1 grams intersect.  At the
+    first gram that two prefixes share, at places i and j, at most
+    1 + min(|G| - i, |H| - j) grams can be shared (position filter).  The rows of
+    a gram that many prefixes hold meet in cells of bounded size.
     Only candidates from the prefix join reach the exact ratio (pandas UDF)."""
     from rolefit.functions.fuzzy import ratio_udf
     if threshold < 80:
@@ -183,11 +186,14 @@ def near_key_pairs(keys: DataFrame, threshold: int = 90, q: int = 2) -> DataFram
     tau = F.aggregate(lens, F.lit(1 << 30), lambda acc, L: F.least(
         acc, F.greatest(n, L) - q + 1 - q * _kmax(n + L, sim)))
     pref = ranked.withColumn("p", F.when(tau <= 0, n).otherwise(n - q + 1 - tau + 1)).filter(F.col("rk") <= F.col("p"))
-    a = pref.select(F.col("s").alias("a"), "gid")
-    b = pref.select(F.col("s").alias("b"), "gid")
-    cand = a.join(b, "gid").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    pref = materialize(pref.select("s", "gid", "rk"), "grams")
+    a = pref.select(F.col("s").alias("a"), "gid", F.col("rk").alias("ra"))
+    b = pref.select(F.col("s").alias("b"), "gid", F.col("rk").alias("rb"))
     la, lb = F.length("a"), F.length("b")
-    cand = cand.filter(F.abs(la - lb) <= _kmax(la + lb, sim))
+    shared = F.greatest(la, lb) - q + 1 - q * _kmax(la + lb, sim)
+    room = 1 + F.least(la - q + 1 - F.col("ra"), lb - q + 1 - F.col("rb"))
+    once = (la < lb) | ((la == lb) & (F.col("a") < F.col("b")))
+    cand = cell_join(a, b, "gid").filter(once & (lb - la <= _kmax(la + lb, sim)) & (room >= shared)).select("a", "b").distinct()
     both = cand.unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return both.filter(ratio_udf(F.col("a"), F.col("b")) > threshold)
 
@@ -197,7 +203,8 @@ def cosine_string_pairs(strings: DataFrame, threshold: float = 0.80) -> DataFram
 
     Exact prefix filter: with tokens in ascending document frequency, a vector
     whose suffix norm is at most ``threshold`` shares a prefix token with every
-    partner above the threshold; prefix tokens are joined to all tokens."""
+    partner above the threshold; prefix tokens are joined to all tokens, those of
+    a frequent term in cells of bounded size."""
     from rolefit.operators.vectors import sparse_cosine_col, tf_vector_col
     v = strings.select("s", tf_vector_col(F.col("s")).alias("v")).filter(F.size("v") > 0)
     toks = v.select("s", F.explode("v").alias("e")).select("s", F.col("e.term").alias("term"), F.col("e.tf").alias("tf"))
@@ -212,7 +219,7 @@ def cosine_string_pairs(strings: DataFrame, threshold: float = 0.80) -> DataFram
     prev_suffix = F.col("suffix2") + F.col("tf") * F.col("tf")
     pref = t.filter(prev_suffix > threshold * threshold * F.col("norm2")).select(F.col("s").alias("x"), "term")
     allt = toks.select(F.col("s").alias("y"), "term")
-    cand = pref.join(allt, "term").filter(F.col("x") != F.col("y")).select("x", "y").distinct()
+    cand = cell_join(materialize(pref, "terms"), allt, "term").filter(F.col("x") != F.col("y")).select("x", "y").distinct()
     vx = v.select(F.col("s").alias("x"), F.col("v").alias("vx"))
     vy = v.select(F.col("s").alias("y"), F.col("v").alias("vy"))
     c = cand.join(vx, "x").join(vy, "y")

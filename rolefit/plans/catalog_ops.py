@@ -477,18 +477,23 @@ def q_skill_dict_load(spark, sf):
 
 
 # ------------------------------------------------------------------ S6
-@query("stream_intake")
-def q_stream_intake(spark, sf):
-    """Land the résumés as JSON-lines upload batches, run the intake stream
-    once (availableNow), return what it wrote."""
+def streamed_report(spark, sf, fuzzy: bool):
+    """Land the résumés as JSON-lines upload batches, run the intake stream once (availableNow), return what it wrote."""
     from rolefit.plans import report as rp
+    from rolefit.plans.catalog import _dictionary
     from rolefit.streaming.intake import start_intake
     base = _scratch(spark, "stream")
     resumes, jds = fx.resume_fx(spark, sf), fx.jd_fx(spark, sf)
     resumes.select("resume_id", "text").write.json(f"{base}/inbox")
-    ctx = rp.prepare_context(fx.skill_fx(spark, sf), jds)
+    ctx = rp.prepare_context(fx.skill_fx(spark, sf), jds, "formatted" if fuzzy else "raw", fuzzy, _dictionary(spark, sf, fuzzy))
     q = start_intake(spark, f"{base}/inbox", f"{base}/sink", f"{base}/checkpoint", ctx,
                      fx.pairs_fx(spark, sf, resumes, jds), fx.layout_chars_fx(spark, sf),
-                     fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf))
+                     fx.layout_pages_fx(spark, sf), fx.files_fx(spark, sf), fuzzy_sections=fuzzy)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/sink").drop("batch_id")
+
+
+@query("stream_intake")
+def q_stream_intake(spark, sf):
+    """By the exact rules, as ``ats_report_exact``."""
+    return streamed_report(spark, sf, fuzzy=False)

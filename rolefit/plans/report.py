@@ -327,3 +327,23 @@ def write_report(report: DataFrame, path: str, partition_by: tuple = (), mode: s
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def write_partitions(report: DataFrame, path: str, partition_by: tuple, batch: str) -> None:
+    """K1 for repeated batches: the report replaces just the partitions that it has rows for.
+
+    Which rows a batch committed is written to a manifest beside the table (one row per
+    partition, after its data): a batch without its manifest rows is to be repeated, and
+    repeating it replaces its own partitions and manifest rows."""
+    rows = materialize(report, "sink")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    done = rows.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("rows"))
+    done.withColumn("batch", F.lit(batch)).withColumn("committed", F.current_timestamp()).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path.rstrip('/')}/_manifest")
+
+
+def read_manifest(spark, path: str, partition_by: tuple) -> DataFrame:
+    """For each partition of the table its last commit: rows, batch, committed."""
+    m = spark.read.parquet(f"{path.rstrip('/')}/_manifest")
+    last = F.max_by(F.struct("rows", "batch", "committed"), "committed").alias("last")
+    return m.groupBy(*partition_by).agg(last).select(*partition_by, "last.*")
