@@ -100,13 +100,13 @@ dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM ln WHERE regexp_matches
 nl AS (SELECT DISTINCT source, md5(t) AS k, pos, nm FROM (
          SELECT source, t, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS nm FROM (
            SELECT source, t, list_transform(string_split(t, chr(10)), lambda x: lower(trim(regexp_replace(x, '{_WS}+', ' ', 'g')))) AS ls FROM d))
-       WHERE nm <> '' AND len(string_split(nm, ' ')) >= 3),
-cnt AS (SELECT source, nm, count(DISTINCT k) AS n, min(k) AS holder FROM nl GROUP BY source, nm),
+       WHERE nm <> ''),
+cnt AS (SELECT source, nm, len(string_split(nm, ' ')) < 3 AND length(nm) < 20 AS short, count(DISTINCT k) AS n, min(k) AS holder FROM nl GROUP BY source, nm),
 hosts AS (SELECT source, count(DISTINCT md5(t)) AS n FROM d GROUP BY source),
 gone AS (SELECT nl.source, nl.k, sum(len(string_split(nl.nm, ' '))) AS n
          FROM nl JOIN cnt ON nl.nm = cnt.nm AND nl.source IS NOT DISTINCT FROM cnt.source
          JOIN hosts ON nl.source IS NOT DISTINCT FROM hosts.source
-         WHERE cnt.n > 20 AND cnt.n > 0.05 * hosts.n AND nl.k <> cnt.holder GROUP BY nl.source, nl.k),
+         WHERE cnt.n > 20 AND (NOT short OR cnt.n > least(0.05 * hosts.n, 200)) AND nl.k <> cnt.holder GROUP BY nl.source, nl.k),
 m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,

@@ -35,17 +35,16 @@ class LineLimits:
     """Limits of the operator.
 
     A line is boilerplate in a host if more than ``min_documents`` documents of
-    the host hold it, and more than ``share`` of them or than ``enough``: that
-    number is enough by itself, however large the host is.  For short lines (fewer
-    than ``min_line_words`` words and ``min_line_chars`` characters), which
-    documents may share by chance, ``enough_short`` takes its place.  A document is depleted if lines
-    are removed and less than ``min_rest`` of its words remain.  The base rules
+    the host hold it, whatever the host's size.  A short line (fewer than
+    ``min_line_words`` words and ``min_line_chars`` characters), which documents may
+    share by chance, must also be in more than ``share`` of the host's
+    documents, or in more than ``short_enough`` of them.  A document is depleted if
+    lines are removed and less than ``min_rest`` of its words remain.  The base rules
     ask for ``min_words`` words and at most ``repeat_percent`` repeated ones."""
 
     min_documents: int = 20
     share: float = 0.05
-    enough: int = 20
-    enough_short: int = 200
+    short_enough: int = 200
     min_line_words: int = 3
     min_line_chars: int = 20
     min_words: int = 20
@@ -144,9 +143,8 @@ def boilerplate_lines(docs: DataFrame, lines: DataFrame, limits: LineLimits, tex
     counts = lines.groupBy("hk", "h1", "h2").agg(F.count("*").alias("n_documents"), F.min("k").alias("holder"),
                                                    F.first("short").alias("short"))
     counts = counts.filter(F.col("n_documents") > limits.min_documents)
-    enough = F.when(F.col("short"), F.lit(float(limits.enough_short))).otherwise(float(limits.enough))
-    share = F.least(limits.share * F.col("host_documents"), enough)
-    return (counts.join(sizes, "hk").filter(F.col("n_documents") > share)
+    share = F.least(limits.share * F.col("host_documents"), F.lit(float(limits.short_enough)))
+    return (counts.join(sizes, "hk").filter(~F.col("short") | (F.col("n_documents") > share))
             .select("hk", "h1", "h2", "n_documents", "holder"))
 
 

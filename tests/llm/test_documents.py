@@ -357,3 +357,29 @@ def test_empty_tables(docs):
     for df in (quality_rules.judged(none), lm_backoff.scored(none, held), packing.packed(none, path), simhash.near_groups(none),
                exact_dedup.exact_groups(none), language_id.identified(none, language_id.fitted(none), held)):
         assert df.count() == 0
+
+
+def test_quality_rules_equal_the_sql_on_large_hosts(spark, tmp_path):
+    """A host of 3,000 documents with short and long lines around each limit."""
+    import duckdb
+    rows = []
+    for i in range(3000):
+        lines = [_own(i, 22)]
+        lines += ["long boilerplate of the site here"] if i < 30 else []
+        lines += ["twenty holders only in this host"] if 100 <= i < 120 else []
+        lines += ["home page"] if i < 201 else []
+        lines += ["read more"] if i < 199 else []
+        lines += ["日本語の長い一行" * 3] if 40 <= i < 62 else []
+        rows.append((i, "\n".join(lines), "large"))
+    rows += [(5000 + i, f"read more\nhome page\n{_own(5000 + i, 21)}", "small") for i in range(25)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.op1_quality_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(catalog.ORACLES["op1_quality_rules"])
+    names = [d[0] for d in found.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
+    judged = {r.doc_id: r.removed_words for r in quality_rules.judged(table).collect()}
+    assert sum(judged[i] >= 6 for i in range(30)) == 29 and judged[110] == 4 and sum(judged[i] for i in range(150, 190)) == 4 * 40
+    assert sum(judged[5000 + i] for i in range(25)) == 4 * 24
