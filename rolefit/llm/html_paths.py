@@ -1,25 +1,30 @@
 """HTML extraction by tag-path ratios.
 
 A page is read into text nodes, each with its root-to-leaf tag path, and blocks
-(text between block tags).  Scripts, styles and the like are no text.  Parts that
-markup declares to be no article (navigation, footers, asides, forms, advert,
-notice, share and comment containers) are left out, but a declaration does not
-hold on a page where such parts together have most of the text and punctuation
-outside links (a form around the page, a site builder's widgets; an advert only
-if there is no article or main part), and an ambiguous name (legal, notice,
-widget, ...) not for prose inside the article.
-Over the other nodes:
+(text between block tags).  Scripts, styles and the like are no text.  Over all
+other nodes:
 
 1. text length and punctuation are added up per tag path, and divided by the
    path's number of nodes (text ratio, punctuation ratio),
 2. in page order, each ratio is smoothed over neighbouring nodes with a Gaussian,
    and the smoothed values are averaged per path again,
-3. the two are fused (product), and paths that reach a share of the strongest
-   path are content; paths of mostly link text are not.
-
-The article, main part or other element that holds the strongest path is content
-as a whole (headings, short items), except paths of mostly links.  Blocks keep
-page order.
+3. the two are fused (product).  Parts that markup declares to be no article
+   (navigation, footers, asides, forms, advert, notice, share and comment
+   containers) are paths of their own, whose fused value is multiplied by a small
+   factor; a declaration does not hold on a page where such parts together have
+   most of the text and punctuation outside links (a form around the page, a
+   site builder's widgets; an advert only if there is no article or main part),
+   and an ambiguous name (legal, notice, widget, ...) not for prose inside the
+   article,
+4. the paths are divided into strong and weak ones where the fused values
+   fall apart: the threshold has the greatest variance between the two classes of
+   nodes (of the logarithms, weighted by text).
+
+The element that holds most of the strong text (the article or main part around
+it, if there is one) is the content with its headings and short items, except
+declared parts and paths of mostly links; elsewhere strong paths alone are.
+Blocks keep page order.  Paths are numbered in a trie of tags, so that memory is
+linear in the page however deep it is.
 
 Defined cases: a null page is empty and gives an empty text; a page without
 markup is one block; unclosed and stray tags are closed or ignored; if all parts
@@ -74,10 +79,13 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 @dataclass(frozen=True)
 class PathRule:
-    """Width of the smoothing (in nodes), share of the strongest path that content reaches, most link text, and
-    least text of a block (characters) that makes a part with an ambiguous name prose."""
+    """Width of the smoothing (in nodes), factor of the fused value of declared parts, share of the strong text that the
+    content element holds, share of the strongest path that its neighbours reach if that element is the page's
+    body, most link text, and least text of a block (characters) that makes a part with an ambiguous name prose."""
 
     sigma: float = 1.0
+    factor: float = 0.001
+    core: float = 0.6
     share: float = 0.02
     links: float = 0.6
     prose: int = 60
@@ -91,27 +99,37 @@ class Mark(NamedTuple):
 
 
 class Node(NamedTuple):
-    path: str
+    """A text node: its element, the number of its tag path, and what :class:`Open` says of the innermost open tag."""
+
+    element: int
+    path: int
     text: str
     block: int
     linked: bool
     marks: frozenset[Mark]
     part: int
+    article: bool
+
+
+class Page(NamedTuple):
+    """Text nodes in page order, and of every element its tag and its parent (element 0 is the page itself)."""
+
+    nodes: list[Node]
+    tag: list[str]
+    parent: list[int]
 
 
 class Open(NamedTuple):
-    """An open tag: whether it is no text, its path from the root, whether a link encloses it, what declares it no article."""
+    """An open tag: whether it is no text, its element and path, whether a link encloses it, what declares it no article."""
 
     name: str
     skipped: bool
-    path: str
+    element: int
+    path: int
     linked: bool
     marks: frozenset[Mark]
     part: int  # number of the innermost element that is declared no article, 0 if there is none
-
-
-def _in_article(path: str) -> bool:
-    return "/article" in path or "/main" in path
+    article: bool  # inside an article or main part
 
 
 def _hidden(name: str, attrs: str) -> bool:
@@ -140,16 +158,19 @@ def _marks(name: str, attrs: str, inside_article: bool) -> set[Mark]:
     return out
 
 
-def nodes_of(page: str) -> list[Node]:
-    """Text nodes in page order, without scripts and the like."""
+def parsed(page: str) -> Page:
+    """Text nodes and elements of a page, without scripts and the like."""
     out: list[Node] = []
-    stack = [Open("", False, "", False, frozenset(), 0)]
+    tag, parent = [""], [-1]
+    paths: dict[tuple[int, str], int] = {}  # the trie: path and tag -> path
+    stack = [Open("", False, 0, 0, False, frozenset(), 0, False)]
     block, at, size, parts = 0, 0, len(page), 0
 
     def add(raw: str) -> None:
         top = stack[-1]
         if raw and not top.skipped:
-            out.append(Node(top.path, html.unescape(raw) if "&" in raw else raw, block, top.linked, top.marks, top.part))
+            text = html.unescape(raw) if "&" in raw else raw
+            out.append(Node(top.element, top.path, text, block, top.linked, top.marks, top.part, top.article))
 
     def close(to: int) -> None:
         nonlocal block
@@ -190,17 +211,20 @@ def nodes_of(page: str) -> list[Node]:
             continue
         top = stack[-1]
         skipped = top.skipped or _hidden(name, m["attrs"])
-        marks = set() if skipped else _marks(name, m["attrs"], _in_article(top.path))
+        marks = set() if skipped else _marks(name, m["attrs"], top.article)
         parts += bool(marks)
-        stack.append(Open(name, skipped, f"{top.path}/{name}", top.linked or name == "a", top.marks | marks if marks else top.marks,
-                          parts if marks else top.part))
+        tag.append(name)
+        parent.append(top.element)
+        stack.append(Open(name, skipped, len(tag) - 1, paths.setdefault((top.path, name), len(paths) + 1), top.linked or name == "a",
+                          top.marks | marks if marks else top.marks, parts if marks else top.part,
+                          top.article or name in ("article", "main")))
         if name in RAW:  # its content is no markup
             end = re.compile(f"</{name}", re.IGNORECASE).search(page, at)
             stop = end.start() if end else size
             add(page[at:stop])
             at = stop
     add(page[at:])
-    return out
+    return Page(out, tag, parent)
 
 
 def declared_out(nodes: list[Node]) -> frozenset[Mark]:
@@ -212,7 +236,7 @@ def declared_out(nodes: list[Node]) -> frozenset[Mark]:
     for n in nodes:
         text = n.text.strip()
         if text and not n.linked:
-            key = n.marks, _in_article(n.path)
+            key = n.marks, n.article
             seen[key] = seen.get(key, 0) + np.array([len(text), len(PUNCTUATION.findall(text))])
     out = {m for n in nodes for m in n.marks}
     if not seen:
@@ -228,10 +252,10 @@ def declared_out(nodes: list[Node]) -> frozenset[Mark]:
     return frozenset(out)
 
 
-def article_nodes(nodes: list[Node], rule: PathRule = PathRule()) -> list[Node]:
-    """The nodes without the parts that are declared no article."""
+def declared(nodes: list[Node], rule: PathRule) -> np.ndarray:
+    """Which nodes lie in parts that are declared no article, by declarations that hold."""
     if not any(n.marks for n in nodes):
-        return nodes
+        return np.zeros(len(nodes), bool)
     out = declared_out(nodes)
     blocks: dict[int, dict[int, int]] = {}  # text outside links of each part's blocks
     whole: dict[int, int] = {}
@@ -242,7 +266,7 @@ def article_nodes(nodes: list[Node], rule: PathRule = PathRule()) -> list[Node]:
             of = blocks.setdefault(n.part, {})
             of[n.block] = of.get(n.block, 0) + (0 if n.linked else size)
     prose = {k for k, of in blocks.items() if 0 < whole[k] <= 2 * sum(x for x in of.values() if x >= rule.prose)}
-    return [n for n in nodes if not n.marks & out or n.part in prose and all(m.prose for m in n.marks & out)]
+    return np.array([bool(n.marks & out) and not (n.part in prose and all(m.prose for m in n.marks & out)) for n in nodes])
 
 
 def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -252,55 +276,93 @@ def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, kernel, mode="full")[reach: reach + len(x)] / norm
 
 
-def content_nodes(nodes: list[Node], rule: PathRule = PathRule()) -> list[bool]:
-    """Which nodes lie on content paths."""
+def fused_ratios(path: np.ndarray, length: np.ndarray, points: np.ndarray, sigma: float) -> np.ndarray:
+    """The fused ratio of each path: text and punctuation a node, smoothed over the nodes in page order."""
+    filled = length > 0
+    count = np.maximum(np.bincount(path, weights=filled), 1)
+    ratios = (np.bincount(path, weights=length) / count, (np.bincount(path, weights=points) + 1) / count)
+    per = path[filled]
+    if not len(per):
+        return np.zeros(len(count))
+    smooth = [np.bincount(per, weights=_smooth(r[per], sigma), minlength=len(count)) / count for r in ratios]
+    return smooth[0] * smooth[1]
+
+
+def threshold(values: np.ndarray, weights: np.ndarray) -> float:
+    """The least of the upper values where their division in two has the greatest variance between the classes."""
+    order = np.argsort(values, kind="stable")
+    x, w = values[order], weights[order]
+    low = np.cumsum(w)
+    mass = np.cumsum(w * x)
+    cut = np.flatnonzero(x[1:] > x[:-1])
+    if not len(cut):
+        return float(x[0]) if len(x) else 0.0
+    a, b = low[cut], low[-1] - low[cut]
+    between = a * b * ((mass[-1] - mass[cut]) / b - mass[cut] / a) ** 2
+    return float(x[cut[np.argmax(between)] + 1])
+
+
+def content_element(page: Page, strong_text: np.ndarray, rule: PathRule) -> int:
+    """The lowest element that holds ``rule.core`` of the strong text; the article or main part around it; no running text itself."""
+    mass = np.zeros(len(page.tag))
+    np.add.at(mass, [n.element for n in page.nodes], strong_text)
+    for i in range(len(mass) - 1, 0, -1):  # parents come before their children
+        mass[page.parent[i]] += mass[i]
+    root = int(np.flatnonzero(mass >= rule.core * mass[0])[-1])
+    at = root
+    while at > 0:
+        if page.tag[at] in ("article", "main"):
+            return at
+        at = page.parent[at]
+    while root > 0 and (page.tag[root] in INLINE or page.tag[root] in PROSE):
+        root = page.parent[root]
+    return root
+
+
+def content_nodes(page: Page, rule: PathRule = PathRule()) -> list[bool]:
+    """Which nodes are content."""
+    nodes = page.nodes
     if not nodes:
         return []
     length = np.array([len(n.text.strip()) for n in nodes], float)
     points = np.array([len(PUNCTUATION.findall(n.text)) for n in nodes], float)
     linked = np.array([n.linked for n in nodes])
-    path = pd.factorize(np.array([n.path for n in nodes], dtype=object))[0]
-    filled = length > 0
-    count = np.maximum(np.bincount(path, weights=filled), 1)
-    text_ratio = np.bincount(path, weights=length) / count
-    point_ratio = (np.bincount(path, weights=points) + 1) / count
-    rows = np.flatnonzero(filled)
-    fused = np.zeros(len(count))
-    if len(rows):
-        per = path[rows]
-        smooth = [np.bincount(per, weights=_smooth(r[per], rule.sigma), minlength=len(count)) / count for r in (text_ratio, point_ratio)]
-        fused = smooth[0] * smooth[1]
+    out = declared(nodes, rule)
+    path = np.unique(np.array([n.path for n in nodes]) * 2 + out, return_inverse=True)[1]
+    fused = fused_ratios(path, length, points, rule.sigma) * np.where(np.bincount(path, weights=out) > 0, rule.factor, 1.0)
     link_share = np.bincount(path, weights=length * linked) / np.maximum(np.bincount(path, weights=length), 1)
-    names = list(dict.fromkeys(n.path for n in nodes))
-    number = {p: i for i, p in enumerate(names)}
-    root = _content_root(names[int(fused.argmax())])
-    strong = fused >= rule.share * fused.max()
-    below = np.array([p == root or p.startswith(root + "/") for p in names])
-    own_text = link_share <= rule.links
-    good = (strong | below) & own_text
-    for i in np.flatnonzero(~own_text):  # a link inside running text goes with the path that holds it
-        holder = names[i].partition("/a/")[0].removesuffix("/a")
-        while holder not in number and holder.startswith(root + "/"):  # no text node of its own: what encloses it
-            holder = holder.rpartition("/")[0]
-        good[i] = good[number[holder]] if holder in number else holder == root
-    return good[path].tolist()
-
-
-def _content_root(strongest: str) -> str:
-    """The part of the page that belongs to its strongest path: the enclosing article or main part, else its parent."""
-    steps = strongest.split("/")
-    for name in ("article", "main"):
-        if name in steps:
-            return "/".join(steps[: steps.index(name) + 1])
-    while len(steps) > 1 and steps[-1] in INLINE:
-        steps.pop()
-    return "/".join(steps[:-1]) if len(steps) > 3 else strongest
+    own_text = (link_share <= rule.links)[path]
+    value = fused[path]
+    counted = (length > 0) & own_text
+    strong = counted & (value >= np.expm1(threshold(np.log1p(value[counted]), length[counted])) * (1 - 1e-9))
+    if not strong.any():
+        return [False] * len(nodes)
+    root = content_element(page, length * strong, rule)
+    inside = np.zeros(len(page.tag), bool)
+    inside[root] = True
+    for i in range(root + 1, len(inside)):
+        inside[i] = inside[page.parent[i]]
+    within = inside[[n.element for n in nodes]]
+    if page.tag[root] in ("", "html", "body"):  # no part of the page: neighbours of the strong paths must be near them
+        within &= value >= rule.share * value[strong].max()
+    good = strong | (within & ~out & own_text)
+    # a link inside running text goes with the nearest element around it that has text
+    taken: dict[int, bool] = {}
+    for n, ok, own in zip(nodes, good.tolist(), own_text.tolist()):
+        if own and n.text.strip():
+            taken[n.element] = taken.get(n.element, False) or ok
+    for i in np.flatnonzero(~own_text & ~out):
+        at = nodes[i].element
+        while at > 0 and at not in taken and at != root:
+            at = page.parent[at]
+        good[i] = taken.get(at, at == root and page.tag[root] not in ("", "html", "body"))
+    return good.tolist()
 
 
 def main_text(page: str, rule: PathRule = PathRule()) -> str:
-    nodes = article_nodes(nodes_of(page), rule)
+    read = parsed(page)
     blocks: dict[int, list[str]] = {}
-    for node, good in zip(nodes, content_nodes(nodes, rule)):
+    for node, good in zip(read.nodes, content_nodes(read, rule)):
         if good:
             blocks.setdefault(node.block, []).append(node.text)
     return "\n\n".join(t for t in (" ".join("".join(b).split()) for b in blocks.values()) if t)

@@ -5,8 +5,10 @@ import hashlib
 import io
 import re
 import struct
+import tracemalloc
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,3 +145,46 @@ def test_minified_links_of_the_article():
 @given(st.text(alphabet=list("<>/ap=\"' b!-&;\n"), max_size=60))
 def test_any_markup_is_read(page):
     assert isinstance(html_paths.main_text(page), str)
+
+
+def _renamed(page):
+    """The page without telling names: every sectioning element is a div, no class or id."""
+    page = re.sub(r"<(/?)(nav|footer|article|aside|header|main)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"""\s(?:class|id|role)=("[^"]*"|'[^']*')""", "", page)
+
+
+def test_ratios_alone_find_the_article(spark):
+    """Of pages without telling names the ratios find what the names show; without ratios (all text) they would not."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r.html]
+    both = missed = wrong = everything = 0
+    for page in pages:
+        want = collections.Counter(html_paths.main_text(page).split())
+        got = collections.Counter(html_paths.main_text(_renamed(page)).split())
+        both += (shared := sum((want & got).values()))
+        missed += sum(want.values()) - shared
+        wrong += sum(got.values()) - shared
+        everything += " ".join(n.text for n in html_paths.parsed(_renamed(page)).nodes).split() == list(got.elements())
+    assert len(pages) > 200 and both / (both + wrong) > 0.98 and both / (both + missed) > 0.98 and everything < len(pages) / 100
+
+
+def test_names_are_a_factor_only():
+    body = "".join(f"<p>A long sentence, number {k}, of the text; it goes on, and on, with words. And on.</p>" for k in range(4))
+    page = f"<html><body><div><h1>Head</h1>{body}</div><div class='related'>See also: this, that.</div></body></html>"
+    names = html_paths.main_text(page)
+    assert names.startswith("Head\n\nA long") and "See also" not in names
+    assert html_paths.main_text(page, html_paths.PathRule(factor=1.0)) == names  # the ratios leave it out as well
+
+
+@pytest.mark.parametrize("values,weights,want", [([1, 1, 9, 9], [1, 1, 1, 1], 9), ([5], [2], 5), ([], [], 0), ([3, 3], [1, 4], 3),
+                                                 ([1, 2, 8, 9], [1, 1, 1, 1], 8), ([9, 1, 8, 2], [1, 1, 1, 1], 8)])
+def test_threshold(values, weights, want):
+    assert html_paths.threshold(np.array(values, float), np.array(weights, float)) == want
+
+
+def test_deep_pages_need_linear_memory():
+    page = "<div>" * 30_000 + "Text, here." + "</div>" * 30_000
+    tracemalloc.start()
+    assert html_paths.main_text(page) == "Text, here."
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
