@@ -469,13 +469,22 @@ def q_jd_text_scan(spark, sf):
 
 @query("skill_dict_load")
 def q_skill_dict_load(spark, sf):
-    """Write the dictionary as JSON objects keyed by id, load it back."""
+    """Write the dictionary as JSON objects keyed by id, an entry a line, load it back."""
     from rolefit.sources.intake import skill_dict_load, write_skill_dict
     path = _scratch(spark, "skill-db")
-    write_skill_dict(fx.skill_fx(spark, sf), path, files=4)
+    write_skill_dict(fx.skill_fx(spark, sf), path)
     return skill_dict_load(spark, path)
 
 
+@query("skill_object_load")
+def q_skill_object_load(spark, sf):
+    """Write the dictionary as one JSON object, load it back by ranges (small ones, so that there are several)."""
+    from rolefit.sources.intake import skill_object_load, write_skill_object
+    path = _scratch(spark, "skill-object")
+    write_skill_object(fx.skill_fx(spark, sf), path)
+    return skill_object_load(spark, path, range_bytes=1024)
+
+
 # ------------------------------------------------------------------ S6
 def streamed_report(spark, sf, fuzzy: bool):
     """Land the résumés as JSON-lines upload batches, run the intake stream once (availableNow), return what it wrote."""

@@ -535,6 +535,7 @@ ORACLES["recommendations"] = REPORT + "SELECT resume_id, jd_id, recommendations
 ORACLES["ats_report_exact"] = REPORT + f"""SELECT resume_id, jd_id,
   {", ".join(f"CAST(printf('%.2f', {n}) AS DOUBLE) AS {n}" for n in ("total_score", *_SCORES))},
   {", ".join(_LISTS)}, recommendations FROM report"""
+ORACLES["skill_object_load"] = ORACLES["skill_dict_load"]
 ORACLES["stream_intake"] = ORACLES["ats_report_exact"]  # the stream scores what a batch would
 
 # ===================================================================== T5, T8, T9

@@ -82,25 +82,45 @@ SKILL_ENTRY = T.StructType([T.StructField("skill_name", T.StringType()),
                             T.StructField("match_on_tokens", T.BooleanType())])
 
 
-def skill_dict_load(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object keyed by skill id → skill_db rows.
-
-    The file is one JSON document, so each file is parsed by one task; a large
-    dictionary should be split into several such files (or JSON lines)."""
-    raw = spark.read.text(path, wholetext=True)
-    m = raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), SKILL_ENTRY))).alias("skill_id", "e"))
+def _skill_rows(m: DataFrame) -> DataFrame:
+    """skill_db rows of (skill_id, e); absent lists and flags take their defaults."""
     return m.select("skill_id", F.col("e.skill_name").alias("skill_name"),
                     F.coalesce(F.col("e.low_surface_forms"), F.array().cast("array<string>")).alias("low_surface_forms"),
                     F.coalesce(F.col("e.match_on_tokens"), F.lit(False)).alias("match_on_tokens"))
 
 
-def write_skill_dict(skill_db: DataFrame, path: str, files: int = 1) -> None:
-    """Write skill_db as JSON objects keyed by id, ``files`` objects in all
-    (rows are spread over the files by a hash of the id)."""
-    e = skill_db.select(F.pmod(F.xxhash64("skill_id"), F.lit(files)).alias("f"), "skill_id",
-                        F.struct("skill_name", "low_surface_forms", "match_on_tokens").alias("e"))
-    doc = e.groupBy("f").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("skill_id", "e")))).alias("value"))
-    doc.select("value").repartition(files).write.mode("overwrite").text(path)
+def skill_dict_load(spark: SparkSession, path: str) -> DataFrame:
+    """Files of :func:`write_skill_dict` → skill_db rows.  A line is a JSON object keyed by id, so a file is read
+    by as many tasks as it has splits."""
+    lines = spark.read.text(path)
+    return _skill_rows(lines.select(F.explode(F.from_json("value", T.MapType(T.StringType(), SKILL_ENTRY))).alias("skill_id", "e")))
+
+
+def skill_object_load(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """Files that are one JSON object keyed by id each, however large and however laid out → skill_db rows."""
+    from rolefit.sources.json_object import RANGE_BYTES, json_object_members
+    m = json_object_members(spark, path, range_bytes or RANGE_BYTES)
+    return _skill_rows(m.select(F.col("key").alias("skill_id"), F.from_json("value", SKILL_ENTRY).alias("e")))
+
+
+def _entries(skill_db: DataFrame) -> DataFrame:
+    return skill_db.select("skill_id", F.struct("skill_name", "low_surface_forms", "match_on_tokens").alias("e"))
+
+
+def write_skill_dict(skill_db: DataFrame, path: str) -> None:
+    """skill_db as JSON objects keyed by id, an entry a line, a file a task."""
+    _entries(skill_db).select(F.to_json(F.create_map("skill_id", "e")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_skill_object(skill_db: DataFrame, path: str) -> None:
+    """skill_db as one JSON object in one file: an entry a line, written by one task as the rows pass."""
+    line = F.regexp_replace(F.to_json(F.create_map("skill_id", "e")), r"^\{|\}$", "")
+    rows = _entries(skill_db).select(F.lit(1).alias("part"), "skill_id", line.alias("line"))
+    ends = skill_db.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, skill_id string, line string")
+    first = rows.agg(F.min("skill_id").alias("first"))
+    rows = rows.join(first, F.col("skill_id") == F.col("first"), "left")
+    rows = rows.select("part", "skill_id", F.when(F.col("first").isNull(), F.concat(F.lit(","), "line")).otherwise(F.col("line")).alias("line"))
+    rows.unionByName(ends).orderBy("part", "skill_id").coalesce(1).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def unique_key_append(batch: DataFrame, existing: DataFrame, key: str = "email",
