@@ -1,11 +1,12 @@
 """Vector operators (V1–V5).
 
 No language model ships with this repository, so the default text encoder is
-a sparse term-frequency vector over the first 512 tokens (lower-cased word
+a sparse term-frequency vector over the tokens of the whole text (lower-cased word
 runs and single symbols, as a BERT basic tokenizer splits them).  This is a
 deliberate deviation: cosine values are lower than with mean-pooled model
 vectors, which is why every threshold is a parameter.  Callers holding real
-embeddings pass dense vectors to :func:`dense_cosine_col`.
+embeddings hand them to the report, whose two similarities are then those of
+:func:`pair_cosines`: Arrow batches of pairs as matrices.
 
 Sparse vectors are ``ARRAY<STRUCT<term STRING, tf BIGINT>>`` sorted by term;
 dot products use integer arithmetic, so the cosine is exact and
@@ -14,10 +15,15 @@ order-independent: ``dot / sqrt(|a|² · |b|²)``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.functions.arrays import run_lengths
+from rolefit.functions.joins import broadcast_if_small
 from rolefit.functions.text import WORD_OR_SYMBOL, col
 
 def tokens_col(text, max_tokens: int | None = None) -> Column:
@@ -68,6 +74,40 @@ def dense_cosine_col(a: Column, b: Column) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / (F.sqrt(na) * F.sqrt(nb)))
 
 
+def cosine_rows(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """V3 of two Arrow list columns, row by row; 0 for a missing or zero vector, and for vectors of different lengths."""
+    out = np.zeros(len(a))
+    n, m = (np.where(x.is_valid(), np.diff(x.offsets.to_numpy()), -1) for x in (a, b))
+    for size in np.unique(n[(n == m) & (n > 0)]).tolist():  # one size as a rule: two matrices
+        rows = np.flatnonzero((n == size) & (m == size))
+        x, y = (c.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size) for c in (a, b))
+        norm = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+        out[rows] = np.divide((x * y).sum(axis=1), norm, out=np.zeros(len(rows)), where=norm > 0)
+    return out
+
+
+def pair_cosines(pairs: DataFrame, resume_vectors: DataFrame, jd_vectors: DataFrame) -> DataFrame:
+    """V4 and V5 on given vectors: (resume_id, jd_id, role_sim, title_cos).
+
+    resume_vectors: resume_id, head; jd_vectors: jd_id, head, title (arrays of numbers).  The pairs move once, with the
+    résumé's vector; the JD side is broadcast if its bytes allow it.  A missing vector gives 0."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrays = "array<float>"
+    r = resume_vectors.select("resume_id", F.col("head").cast(arrays).alias("r_head"))
+    j = jd_vectors.select("jd_id", F.col("head").cast(arrays).alias("j_head"), F.col("title").cast(arrays).alias("j_title"))
+    x = pairs.select("resume_id", "jd_id").join(r, "resume_id", "left").join(broadcast_if_small(j), "jd_id", "left")
+    x = x.select("resume_id", "jd_id", "r_head", "j_head", "j_title")
+    out = x.select("resume_id", "jd_id", F.lit(0.0).alias("role_sim"), F.lit(0.0).alias("title_cos")).schema
+    arrow = to_arrow_schema(out)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head, role, title = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cosine_rows(head, role)), pa.array(cosine_rows(head, title))], schema=arrow)
+
+    return x.mapInArrow(of, out)
+
+
 def centroids(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     """V2: element-wise mean of the vectors of each key (grouped aggregate over
     (key, position); no vector set is collected in one place)."""

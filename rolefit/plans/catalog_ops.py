@@ -342,6 +342,30 @@ def q_cosine_pairs(spark, sf):
     return j.select("vec_id", ve.dense_cosine_col(F.col("embedding"), F.col("centroid")).alias("cosine"))
 
 
+def fixture_vectors(spark, sf):
+    """Vectors of the résumés and JDs, taken from the embeddings by remainder."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = F.lit(e.count())
+
+    def vectors(docs, key, **cols):
+        out = docs.select(key)
+        for name, place in cols.items():
+            own = e.select(F.col("vec_id").alias("_at"), F.col("embedding").alias(name))
+            out = out.withColumn("_at", place % n).join(own, "_at", "left").drop("_at")
+        return out
+
+    return (vectors(fx.resume_fx(spark, sf), "resume_id", head=F.col("resume_id")),
+            vectors(fx.jd_fx(spark, sf), "jd_id", head=F.col("jd_id"), title=F.col("jd_id") * 7 + 1))
+
+
+@query("dense_similarity")
+def q_dense_similarity(spark, sf):
+    """V4 and V5 on given vectors, to nine digits (sums of other orders differ in the last ones)."""
+    c = ve.pair_cosines(fx.pairs_fx(spark, sf), *fixture_vectors(spark, sf))
+    return c.select("resume_id", "jd_id", F.round("role_sim", 9).alias("role_similarity"),
+                    F.round(F.least(F.col("title_cos") * 100.0, F.lit(100.0)), 7).alias("job_title_score"))
+
+
 @query("role_similarity")
 def q_role_similarity(spark, sf):
     x = _pair_text_features(spark, sf)

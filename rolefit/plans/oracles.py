@@ -374,6 +374,21 @@ FROM (SELECT e.vec_id,
   FROM embeddings e JOIN ce c ON c.label = e.label) e"""
 
 
+
+def DENSE(a: str, b: str) -> str:
+    dot, na, nb = (f"list_sum(list_transform(list_zip({x}, {y}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))" for x, y in ((a, b), (a, a), (b, b)))
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL OR {na} = 0 OR {nb} = 0 THEN 0.0 ELSE {dot} / (sqrt({na}) * sqrt({nb})) END"
+
+
+ORACLES["dense_similarity"] = duck_ctes("resume_fx", "jd_fx", "pairs_fx") + f""", n AS (SELECT count(*) AS n FROM embeddings),
+r AS (SELECT resume_id, embedding AS head FROM resume_fx, n LEFT JOIN embeddings ON vec_id = resume_id % n),
+j AS (SELECT jd_id, h.embedding AS head, t.embedding AS title FROM jd_fx, n LEFT JOIN embeddings h ON h.vec_id = jd_id % n
+  LEFT JOIN embeddings t ON t.vec_id = (jd_id * 7 + 1) % n)
+SELECT resume_id, jd_id, round({DENSE('r.head', 'j.head')}, 9) AS role_similarity,
+  round(least({DENSE('r.head', 'j.title')} * 100.0, 100.0), 7) AS job_title_score
+FROM pairs_fx LEFT JOIN r USING (resume_id) LEFT JOIN j USING (jd_id)"""
+
+
 # ===================================================================== C1, C2
 _FONTS = ", ".join(lit(f) for f in K.ATS_FONTS)
 ORACLES["formatting_score"] = duck_ctes("layout_chars", "layout_pages", "files") + f""",

@@ -223,11 +223,17 @@ def add_skill_match(x: DataFrame, r: str = "r", j: str = "j") -> DataFrame:
     return m.withColumn("missing_skills", F.array_except(wanted, F.col("matched_skills"))).withColumn("skill_match_score", score)
 
 
-def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: float = 0.7, rounded: bool = True) -> DataFrame:
+def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: float = 0.7, rounded: bool = True,
+               cosines: DataFrame | None = None) -> DataFrame:
     """Per pair, in stages so that every metric is computed once: raw metrics
     (set algebra, cosines, density, overlap) → component scores → total and
-    recommendations.  Scores have two decimals unless ``rounded`` is false."""
+    recommendations.  Scores have two decimals unless ``rounded`` is false.
+    ``cosines`` (of :func:`rolefit.operators.vectors.pair_cosines`) take the place of those of term frequencies."""
     p = pairs.select("resume_id", "jd_id")
+    role_sim, title_cos = ve.split_cosine_col("r.rh", "j.jh"), ve.split_cosine_col("r.rh", "j.jt")
+    if cosines is not None:
+        p = p.join(cosines, ["resume_id", "jd_id"], "left")
+        role_sim, title_cos = (F.coalesce(c, F.lit(0.0)) for c in ("role_sim", "title_cos"))
     x = add_skill_match(p.join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left"))
     es = _empty("string")
     density, _ = kw.density_cols(F.col("j.kw_phrases"), F.col("j.kw_more"), F.coalesce("r.phrase_set", es), F.coalesce("r.words", F.lit(0)))
@@ -238,8 +244,7 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
         (F.coalesce("r.blank", F.lit(True)) | F.coalesce("j.blank", F.lit(True))).alias("blank"),
         F.coalesce("j.jd_title", F.lit(K.DEFAULT_JD_TITLE)).alias("jd_title"),
         ex.overlap_col("r.years", "j.years").alias("overlap"),
-        ve.split_cosine_col("r.rh", "j.jh").alias("role_sim"),
-        ve.split_cosine_col("r.rh", "j.jt").alias("title_cos"),
+        role_sim.alias("role_sim"), title_cos.alias("title_cos"),
         density.alias("density"),
         F.coalesce("r.section_score", se.section_score_cols(F.struct(*[F.lit(0).alias(n) for n, _ in K.SECTION_WEIGHTS]))[0])
         .alias("section_score"),
@@ -305,20 +310,24 @@ def prepare_context(skill_db: DataFrame, jds: DataFrame, text_mode: str = "forma
 
 def score_pairs(ctx: dict, pairs: DataFrame, resumes: DataFrame, layout_chars: DataFrame,
                 layout_pages: DataFrame, files: DataFrame, fuzzy_sections: bool = True,
-                compat_sections: bool = False, rounded: bool = True) -> DataFrame:
+                compat_sections: bool = False, rounded: bool = True,
+                vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``vectors``: résumé and JD vectors of the caller, as :func:`rolefit.operators.vectors.pair_cosines` takes them."""
     rf = resume_features(resumes, layout_chars, layout_pages, files, ctx["forms"], ctx["syn"],
                          ctx["text_mode"], compat_sections, fuzzy_sections, ctx["current_year"])
-    return ats_report(pairs, rf, ctx["jf"], ctx["role_threshold"], rounded)
+    cosines = ve.pair_cosines(pairs, *vectors) if vectors else None
+    return ats_report(pairs, rf, ctx["jf"], ctx["role_threshold"], rounded, cosines)
 
 
 def build_report(pairs, resumes, jds, skill_db, layout_chars, layout_pages, files, text_mode="formatted",
                  fuzzy_sections=True, compat_sections=False, fuzzy_skills=True, dictionary=None,
                  section_fallback=False, current_year=None, tsr_threshold=90, cos_threshold=0.80, role_threshold=0.7,
-                 rounded=True) -> DataFrame:
-    """``current_year``: date ranges that end later are ignored; the year of the run unless given."""
+                 rounded=True, vectors=None) -> DataFrame:
+    """``current_year``: date ranges that end later are ignored; the year of the run unless given.
+    ``vectors``: see :func:`score_pairs`."""
     ctx = prepare_context(skill_db, jds, text_mode, fuzzy_skills, dictionary, section_fallback, current_year,
                           tsr_threshold, cos_threshold, role_threshold)
-    return score_pairs(ctx, pairs, resumes, layout_chars, layout_pages, files, fuzzy_sections, compat_sections, rounded)
+    return score_pairs(ctx, pairs, resumes, layout_chars, layout_pages, files, fuzzy_sections, compat_sections, rounded, vectors)
 
 
 def write_report(report: DataFrame, path: str, partition_by: tuple = (), mode: str = "overwrite") -> None:
