@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that a side may have, by the planner's statistics, to be shipped to every executor.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -22,6 +22,14 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     return F.broadcast(df) if planned_bytes(df) <= (BROADCAST_BYTES if max_bytes is None else max_bytes) else df
 
 
+def broadcast_with(df: DataFrame, texts: DataFrame, text: str = "text", max_bytes: int | None = None) -> DataFrame:
+    """Mark ``df``, features of the documents ``texts`` (a row a document, in proportion to its text), for broadcast if
+    the texts have at most ``max_bytes`` (a quarter of the bound unless given), which one scan of their lengths measures."""
+    most = (BROADCAST_BYTES if max_bytes is None else max_bytes) // 4
+    held = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet into the shared folder named by ``spark.checkpoint.dir`` and read again.
 

@@ -268,10 +268,10 @@ def _pair_text_features(spark, sf):
     jf = jf.select("*", *ve.split_vector_cols(F.col("j_head_tf"), "jh"), *ve.split_vector_cols(F.col("title_tf"), "jt"))
     jk = kw.jd_keyword_profile(jds)
     jk = jk.select("*", *kw.split_profile_cols(F.col("kw")))
-    # JD-side rows are one per JD: written first, and broadcast if their bytes allow it, so that
-    # the pair rows (already carrying résumé features) are not shuffled again
-    from rolefit.functions.joins import broadcast_if_small, materialize
-    return pairs.join(rf, "resume_id").join(broadcast_if_small(materialize(jf.join(jk, "jd_id", "left"), "jd-texts")), "jd_id")
+    # JD-side rows are one per JD: broadcast if the JDs' bytes allow it, so that the pair rows (already
+    # carrying résumé features) are not shuffled again; a query computes the columns it needs only
+    from rolefit.functions.joins import broadcast_with
+    return pairs.join(rf, "resume_id").join(broadcast_with(jf.join(jk, "jd_id", "left"), jds), "jd_id")
 
 
 @query("keyword_density")
@@ -411,8 +411,8 @@ def _pair_section_inputs(spark, sf):
     r = sg.with_page_lines(r.withColumn("formatted", se.format_sections_col("sections")), "formatted")
     j = jds.select("jd_id", kw.phrases_col("text", normalise=False).alias("jd_phrases"))
     jk = kw.jd_keyword_profile(jds)
-    from rolefit.functions.joins import broadcast_if_small, materialize
-    return gaps.join(r, "resume_id").join(broadcast_if_small(materialize(j.join(jk, "jd_id", "left"), "jd-phrases")), "jd_id")
+    from rolefit.functions.joins import broadcast_with
+    return gaps.join(r, "resume_id").join(broadcast_with(j.join(jk, "jd_id", "left"), jds), "jd_id")
 
 
 @query("section_summaries")
@@ -434,9 +434,7 @@ def q_line_gaps(spark, sf):
     x = _pair_section_inputs(spark, sf)
     mk = kw.missing_keywords_col(F.col("kw_rep"), F.col("phrase_set"))
     x = x.select("resume_id", "jd_id", sg.gap_terms_col(F.col("missing_skills"), mk).alias("terms"), "page_lines")
-    e = x.select("resume_id", "jd_id", "terms", F.explode("page_lines").alias("r"))
-    return e.select("resume_id", "jd_id", F.col("r.line_pos").alias("line_pos"), F.col("r.line").alias("line"),
-                    sg.line_gap_col(F.col("r"), F.col("terms")).alias("missing_terms"))
+    return x.select("resume_id", "jd_id", F.inline(sg.line_gaps_col("page_lines", "terms")))
 
 
 # ------------------------------------------------------------------ S1–S5
