@@ -10,7 +10,7 @@ keeps CollapseProject from inlining them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,29 @@ def pin(expr: Column, *staged: Column) -> Column:
     return F.when(cond, expr) if cond is not None else expr
 
 
+def inline_rows(df: DataFrame, keys: list[str], rows: str | Column, not_null: str) -> DataFrame:
+    """The structs of an array that is costly to compute, a row each; ``not_null`` is a field that no row lacks.
+
+    Below a plain ``inline`` or ``explode`` Catalyst infers a filter on the array's size and pushes it down, where the whole
+    expression is computed once more, without its staged columns.  The outer form infers nothing."""
+    return df.select(*keys, F.inline_outer(rows)).filter(F.col(not_null).isNotNull())
+
+
+def sum_shared(items: Column, keys: Column, key: str, value: str) -> Column:
+    """Σ ``value`` over the structs of ``items`` (distinct by ``key``) whose key is in ``keys``: the intersection
+    (hash based) keeps the order of ``items``, so one walk of a pointer picks up the values in linear time."""
+    common = F.array_intersect(F.transform(items, lambda x: x[key]), keys)
+    # `common` rides in the accumulator: evaluated once, not once per element
+    acc0 = F.struct(common.alias("c"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("s"))
+
+    def step(acc, x):
+        hit = (acc["i"] < F.size(acc["c"])) & (F.get(acc["c"], acc["i"]) == x[key])
+        return F.when(hit, F.struct(acc["c"].alias("c"), (acc["i"] + 1).alias("i"),
+                                    (acc["s"] + x[value]).alias("s"))).otherwise(acc)
+
+    return F.when(F.size(items) > 0, F.aggregate(items, acc0, step)["s"]).otherwise(F.lit(0).cast("long"))
+
+
 def run_lengths(sorted_arr: Column, key: str = "term", count: str = "tf") -> Column:
     """Sorted array → ARRAY<STRUCT<key, count>> of its distinct values and
     their multiplicities, in O(n): boundaries come from a zip with the array

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolefit.functions.arrays import sum_shared
 from rolefit.functions.text import PHRASE, col, ws_normalise
 
 
@@ -50,31 +51,25 @@ def split_profile_cols(kw: Column) -> list[Column]:
                         lambda x: F.struct(x["phrase"].alias("phrase"), (x["cnt"] - 1).alias("cnt"))).alias("kw_more")]
 
 
-def _counted(kw: Column, phrase_set: Column) -> Column:
-    """Σ cnt over the phrases of ``kw`` present in ``phrase_set``: the intersection (hash based) keeps the
-    order of ``kw``, so one walk of a pointer picks up the counts in linear time."""
-    common = F.array_intersect(F.transform(kw, lambda x: x["phrase"]), phrase_set)
-    # `common` rides in the accumulator: evaluated once, not once per element
-    acc0 = F.struct(common.alias("c"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("s"))
-
-    def step(acc, x):
-        hit = (acc["i"] < F.size(acc["c"])) & (F.get(acc["c"], acc["i"]) == x["phrase"])
-        return F.when(hit, F.struct(acc["c"].alias("c"), (acc["i"] + 1).alias("i"),
-                                    (acc["s"] + x["cnt"]).alias("s"))).otherwise(acc)
-
-    return F.aggregate(kw, acc0, step)["s"]
+def shared_phrases_col(phrases: Column, phrase_set: Column) -> Column:
+    """The JD's phrases that the résumé holds."""
+    return F.array_intersect(F.coalesce(phrases, F.array().cast("array<string>")), phrase_set)
 
 
 def density_cols(phrases: Column, more: Column, phrase_set: Column, words: Column):
     """(keyword_density, density_score) on the columns of :func:`split_profile_cols`.
 
     Every shared phrase counts once by the size of a hash intersection; only repeated phrases are walked."""
-    shared = F.size(F.array_intersect(F.coalesce(phrases, F.array().cast("array<string>")), phrase_set))
-    further = F.when(F.size(more) > 0, _counted(more, phrase_set)).otherwise(F.lit(0).cast("long"))
-    d = F.when(words > 0, (shared + further).cast("double") / words * 100.0).otherwise(F.lit(0.0))
+    d = density_of(F.size(shared_phrases_col(phrases, phrase_set)), more, phrase_set, words)
     return d, density_score_col(d)
 
 
+def density_of(shared: Column, more: Column, held: Column, words: Column) -> Column:
+    """W3 from the number of shared phrases; ``held``: the résumé's phrases, or a staged column of the shared ones."""
+    total = shared + sum_shared(more, held, "phrase", "cnt")
+    return F.when(words > 0, total.cast("double") / words * 100.0).otherwise(F.lit(0.0))
+
+
 def density_score_col(d: Column) -> Column:
     """W4."""
     return F.when((d >= 0.5) & (d <= 1.5), 100.0).when(d < 0.5, 60.0).otherwise(30.0)

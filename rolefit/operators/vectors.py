@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolefit.functions.arrays import run_lengths
+from rolefit.functions.arrays import run_lengths, sum_shared
 from rolefit.functions.joins import broadcast_if_small
 from rolefit.functions.text import WORD_OR_SYMBOL, col
 
@@ -118,24 +118,25 @@ def centroids(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame
 
 
 # ---------------------------------------------------------------------------
-# Split layout for pair work: per document, sorted terms, aligned counts and
-# the squared norm are stored once; per pair only a hash intersection runs,
-# and counts are looked up for the shared terms alone.
+# Split layout for pair work: per document, the terms, the repeated ones with
+# their further occurrences, and the squared norm are stored once; per pair a
+# hash intersection counts the shared terms, and only repeated terms are walked.
 # ---------------------------------------------------------------------------
 def split_vector_cols(vec: Column, prefix: str) -> list[Column]:
     return [F.transform(vec, lambda x: x["term"]).alias(prefix + "_terms"),
-            F.transform(vec, lambda x: x["tf"]).alias(prefix + "_tfs"),
+            F.transform(F.filter(vec, lambda x: x["tf"] > 1), lambda x: F.struct(x["term"].alias("term"), (x["tf"] - 1).alias("tf")))
+            .alias(prefix + "_more"),
             _norm2(vec).alias(prefix + "_n2")]
 
 
 def split_cosine_col(a: str, b: str) -> Column:
-    """Cosine of two split vectors (columns ``{a,b}_terms/_tfs/_n2``); equal to
-    :func:`sparse_cosine_col` on the same vectors."""
-    at, af, an = F.col(a + "_terms"), F.col(a + "_tfs"), F.col(a + "_n2")
-    bt, bf, bn = F.col(b + "_terms"), F.col(b + "_tfs"), F.col(b + "_n2")
-    common = F.array_intersect(at, bt)
-    dot = F.aggregate(common, F.lit(0).cast("long"), lambda s, t: s + F.get(af, F.array_position(at, t) - 1)
-                      * F.get(bf, F.array_position(bt, t) - 1))
+    """Cosine of two split vectors (columns ``{a,b}_terms/_more/_n2``); equal to
+    :func:`sparse_cosine_col` on the same vectors.
+
+    With counts 1 + x and 1 + y, the products of the shared terms add up to their number, the x, the y and the xy."""
+    at, am, an = F.col(a + "_terms"), F.col(a + "_more"), F.col(a + "_n2")
+    bt, bm, bn = F.col(b + "_terms"), F.col(b + "_more"), F.col(b + "_n2")
+    both = F.when((F.size(am) > 0) & (F.size(bm) > 0), sparse_dot_col(am, bm)).otherwise(F.lit(0).cast("long"))
+    dot = F.size(F.array_intersect(at, bt)) + sum_shared(am, bt, "term", "tf") + sum_shared(bm, at, "term", "tf") + both
     zero = F.coalesce(an, F.lit(0)) * F.coalesce(bn, F.lit(0)) == 0
-    return (F.when(zero, F.lit(0.0)).when(~F.arrays_overlap(at, bt), F.lit(0.0))
-            .otherwise(dot.cast("double") / F.sqrt((an * bn).cast("double"))))
+    return (F.when(zero, F.lit(0.0)).otherwise(dot.cast("double") / F.sqrt((an * bn).cast("double"))))

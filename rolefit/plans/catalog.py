@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolefit.functions.arrays import inline_rows
 from rolefit.operators import skills as sk
 from rolefit.sources import fixtures as fx
 
@@ -111,9 +112,10 @@ def _skill_pairs(spark, sf, fuzzy: bool):
 @query("skill_gap_long")
 def q_skill_gap_long(spark, sf):
     g = q_skill_gap_arrays(spark, sf)
-    m = g.select("resume_id", "jd_id", F.explode("missing_skills").alias("skill_name"), F.lit("missing").alias("status"))
-    t = g.select("resume_id", "jd_id", F.explode("matched_skills").alias("skill_name"), F.lit("matched").alias("status"))
-    return m.unionByName(t)
+    # both lists of a pair in one pass over the pairs
+    rows = F.concat(*[F.transform(c, lambda x: F.struct(x.alias("skill_name"), F.lit(status).alias("status")))
+                      for c, status in (("missing_skills", "missing"), ("matched_skills", "matched"))])
+    return inline_rows(g, ["resume_id", "jd_id"], rows, "skill_name")
 
 
 @query("skill_expand")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolefit import constants as K
+from rolefit.functions.arrays import inline_rows
 from rolefit.functions.text import blank_line_collapse, ws_normalise
 from rolefit.operators import experience as ex
 from rolefit.operators import keywords as kw
@@ -419,7 +420,7 @@ def _pair_section_inputs(spark, sf):
 def q_section_summaries(spark, sf):
     x = _pair_section_inputs(spark, sf)
     s = sg.section_summaries_col("facts", F.col("matched_skills"), F.col("all_jd_skills"), F.col("jd_phrases"))
-    return x.select("resume_id", "jd_id", F.inline(s))
+    return inline_rows(x, ["resume_id", "jd_id"], s, "section")
 
 
 @query("resume_optimise")
@@ -433,8 +434,11 @@ def q_resume_optimise(spark, sf):
 def q_line_gaps(spark, sf):
     x = _pair_section_inputs(spark, sf)
     mk = kw.missing_keywords_col(F.col("kw_rep"), F.col("phrase_set"))
-    x = x.select("resume_id", "jd_id", sg.gap_terms_col(F.col("missing_skills"), mk).alias("terms"), "page_lines")
-    return x.select("resume_id", "jd_id", F.inline(sg.line_gaps_col("page_lines", "terms")))
+    # staged: the terms' lambda must not search for the missing keywords or join the lines once an element
+    x = x.select("resume_id", "jd_id", "missing_skills", mk.alias("mk"), "page_lines", "page_lines_low")
+    terms = sg.gap_terms_cols(F.col("missing_skills"), F.col("mk"), F.col("page_lines_low"))
+    x = sg.with_line_gaps(x.select("resume_id", "jd_id", "page_lines", *terms), "page_lines")
+    return inline_rows(x, ["resume_id", "jd_id"], "gaps", "line_pos")
 
 
 # ------------------------------------------------------------------ S1–S5

@@ -236,7 +236,9 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
         role_sim, title_cos = (F.coalesce(c, F.lit(0.0)) for c in ("role_sim", "title_cos"))
     x = add_skill_match(p.join(rf.alias("r"), "resume_id", "left").join(jf.alias("j"), "jd_id", "left"))
     es = _empty("string")
-    density, _ = kw.density_cols(F.col("j.kw_phrases"), F.col("j.kw_more"), F.coalesce("r.phrase_set", es), F.coalesce("r.words", F.lit(0)))
+    # the résumé's phrase set is hashed once a pair: density and missing keywords go by the shared phrases
+    x = x.withColumn("shared_phrases", kw.shared_phrases_col(F.col("j.kw_phrases"), F.coalesce("r.phrase_set", es)))
+    density = kw.density_of(F.size("shared_phrases"), F.col("j.kw_more"), F.col("shared_phrases"), F.coalesce("r.words", F.lit(0)))
     fmt_default, fmt_issue_default = sc.formatting_default()
     ff_default, ff_issue_default = sc.file_format_default()
     m = x.select(
@@ -253,7 +255,7 @@ def ats_report(pairs: DataFrame, rf: DataFrame, jf: DataFrame, role_threshold: f
         F.coalesce("r.formatting_issues", fmt_issue_default).alias("formatting_issues"),
         F.coalesce("r.file_format_score", ff_default).alias("file_format_score"),
         F.coalesce("r.file_format_issues", ff_issue_default).alias("file_format_issues"),
-        kw.missing_keywords_col(F.col("j.kw_rep"), F.coalesce("r.phrase_set", es)).alias("missing_keywords"),
+        kw.missing_keywords_col(F.col("j.kw_rep"), F.col("shared_phrases")).alias("missing_keywords"),
         kw.matched_keywords_col(F.coalesce("j.w6_sorted", es), F.coalesce("r.w6_set", es)).alias("matched_keywords"))
     y = m.select(
         "*",
