@@ -60,3 +60,33 @@ def test_split_cosine_walks_repeated_terms(spark):
     got = [r.c for r in s.select(ve.split_cosine_col("p", "q").alias("c")).collect()]
     want = [4 / 5, 2 / (5 * 2) ** 0.5, 2 / (2 * 4) ** 0.5, 0.0, 0.0, 0.0]
     assert got == pytest.approx(want)
+
+
+def test_no_join_is_left_to_the_planners_sizes(spark, tmp_path, monkeypatch):
+    """Beyond the measured bound nothing is shipped, however small the files or the shuffle blocks."""
+    from rolefit.operators import scoring as sc
+    from rolefit.plans import report as rp
+    from rolefit.sources import fixtures as fx
+    day = "timestamp'1995-03-01'"
+    rows = {"customer": "1L c_custkey, 2 c_nationkey, 'C' c_name, 'AUTO' c_mktsegment",
+            "orders": f"id o_orderkey, 1L o_custkey, {day} o_orderdate", "supplier": "3L s_suppkey, 4 s_nationkey",
+            "part": "id p_partkey, 'red ' || id p_name, 'TIN' p_type", "lineitem": "id l_orderkey, id l_partkey, 3L l_suppkey"}
+    for name, row in rows.items():
+        n = 1 if name == "supplier" else 2 if name == "customer" else 50
+        spark.range(n).selectExpr(*row.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = [sorted(map(str, f(spark, str(tmp_path)).collect())) for f in (fx._resume_fx, fx._jd_fx, fx._pairs)]
+    assert [len(w) for w in want] == [1, 1, 1]
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    plans = [f(spark, str(tmp_path)) for f in (fx._resume_fx, fx._jd_fx, fx._pairs)]
+    assert [sorted(map(str, p.collect())) for p in plans] == want
+    chars = spark.createDataFrame([(1, "arial", 11.0)], "doc_id long, fontname string, size double")
+    pages = spark.createDataFrame([(1, 1, 72.0, 0, 0, "x")], "doc_id long, page_no int, width double, n_tables int, n_images int, text string")
+    files = spark.createDataFrame([(1, "a.pdf", "1.4", "UTF-8"), (2, "b.docx", None, None)], "doc_id long, path string, pdf_version string, encoding string")
+    plans.append(sc.formatting_scores(chars, pages, files))
+    docs = spark.createDataFrame([(1, "Skills\nred bolt")], "resume_id long, text string")
+    forms, syn = rp.dictionary_tables(spark.createDataFrame([("s", "red bolt", ["bolt red"], False)], "skill_id string, skill_name string, low_surface_forms array<string>, match_on_tokens boolean"), False)
+    plans.append(rp.resume_features(docs, chars, pages, files, forms, syn, "raw", fuzzy_sections=False))
+    plans.append(rp.jd_features(docs.withColumnRenamed("resume_id", "jd_id"), forms, syn, "raw"))
+    for df in plans:
+        df.collect()
+        assert "Broadcast" not in _plan(df)
