@@ -90,3 +90,27 @@ def test_no_join_is_left_to_the_planners_sizes(spark, tmp_path, monkeypatch):
     for df in plans:
         df.collect()
         assert "Broadcast" not in _plan(df)
+
+
+def test_packed_arrays_come_back(spark):
+    from rolefit.functions.arrays import packed, unpacked
+    rows = [(1, ["a b", "c"]), (2, []), (3, None), (4, [""]), (5, ["a", ""]), (6, ["a\u0000b", "c"]), (7, [None, "a"]), (8, ["é\n"]), (9, ["", ""])]
+    df = spark.createDataFrame(rows, "id int, a array<string>").select("id", packed("a").alias("p"))
+    got = {r.id: (r.a, r.packed) for r in df.select("id", unpacked("p").alias("a"), F.col("p.raw").isNull().alias("packed")).collect()}
+    assert {i: a for i, (a, _) in got.items()} == dict(rows)
+    assert [i for i, (_, p) in got.items() if p] == [1, 2, 3, 8]
+
+
+def test_pair_queries_move_texts_instead_of_arrays(spark, monkeypatch):
+    """What goes through the last exchange with every pair has no array of strings of the JD."""
+    from rolefit.plans import catalog
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    for name, column in (("matched_keywords", "w6_sorted"), ("skill_score", "wanted"), ("skill_missing_fuzzy", "hits")):
+        p = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        joins_of = [n for n in p.toString().splitlines() if "Join" in n]
+        assert joins_of and "raw" in p.toString()
+        outer = p
+        while "Join" not in outer.nodeName():
+            outer = outer.children().head()
+        types = {a.name(): a.dataType().simpleString() for a in (outer.output().apply(i) for i in range(outer.output().size()))}
+        assert types[column] == "struct<text:string,raw:array<string>>"
