@@ -114,3 +114,33 @@ def test_pair_queries_move_texts_instead_of_arrays(spark, monkeypatch):
             outer = outer.children().head()
         types = {a.name(): a.dataType().simpleString() for a in (outer.output().apply(i) for i in range(outer.output().size()))}
         assert types[column] == "struct<text:string,raw:array<string>>"
+
+
+def test_no_join_of_the_dictionary_is_left_to_the_planners_sizes(spark, monkeypatch):
+    """The tables that the fuzzy links are made of grow with the dictionary: beyond the measured bound none is shipped."""
+    from rolefit.operators import skills as sk
+    from rolefit.plans import report as rp
+    rows = [(n, n, [n.replace(" ", "-")], m) for n, m in (("machine learning ops", False), ("machine learnin ops", False), ("red bolt", True), ("bolt red", False))]
+    db = spark.createDataFrame(rows, "skill_id string, skill_name string, low_surface_forms array<string>, match_on_tokens boolean")
+
+    def links():
+        return sorted((r.key, sorted(r.vals), sorted(r.hits)) for r in rp.synonym_table(db).collect())
+
+    want, plans = links(), []
+    assert ("machine learnin ops", ["machine learnin ops", "machine-learnin-ops"],
+            ["machine learnin ops", "machine learning ops", "machine-learnin-ops", "machine-learning-ops"]) in want
+
+    def written(df, name="table"):
+        df.collect()
+        plans.append(_plan(df))
+        return materialize(df, name)
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    for module in (joins, sk, rp):
+        monkeypatch.setattr(module, "materialize", written)
+    assert links() == want
+    last = rp.synonym_table(db)
+    last.collect()
+    assert len(plans) >= 5
+    for p in [*plans, _plan(last)]:
+        assert "Broadcast" not in p
