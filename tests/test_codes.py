@@ -64,3 +64,21 @@ def test_pairs_move_codes(spark, monkeypatch, name):
     assert not any("array<string>" in t or "term:string" in t or "phrase:string" in t for t in moved.values())
     a, b = (df.select(F.xxhash64(*df.columns).alias("h")).groupBy().agg(F.count("h"), F.sum(F.col("h").cast("decimal(38)"))).first() for df in (want, got))
     assert a == b and a[0] > 0
+
+
+def test_line_gaps_make_no_list_of_rows_a_pair(spark):
+    """The rows come out of the lines; a pair has lists a line only if a term is somewhere in its résumé."""
+    from rolefit.operators import suggestions as sg
+    line = "struct<line_pos:int,line:string,low:string,title_sec:boolean>"
+    rows = [(1, [(0, "Red Bolt", "red bolt", True), (2, "x", "x", False)], ["red bolt", "Blue"], ["python"]), (2, [(0, "x", "x", False)], ["Blue"], []),
+            (3, [], ["Blue"], []), (4, None, ["Blue"], []), (5, [(1, "a", "a", True), (3, "b", "b", False)], ["q"], ["job title"])]
+    df = spark.createDataFrame(rows, f"id int, lines array<{line}>, ms array<string>, mk array<string>")
+    df = df.withColumn("low", F.array_join(F.transform("lines", lambda r: r["low"]), "\n"))
+    terms = sg.gap_terms_cols(F.col("ms"), F.col("mk"), F.col("low"))
+    out = sg.with_line_gaps(df.select("id", "lines", *terms), "lines", ["id"])
+    got = {(r.id, r.line_pos, r.line): r.missing_terms for r in out.collect()}
+    other = sg.K.TITLE_KEYWORDS
+    assert "job title" not in other and "python" not in other
+    assert got == {(1, 0, "Red Bolt"): [], (1, 2, "x"): ["red bolt", "Blue", "python"], (2, 0, "x"): ["Blue"],
+                   (5, 1, "a"): [], (5, 3, "b"): ["q", "job title"]}
+    assert "Generate posexplode" in out._jdf.queryExecution().optimizedPlan().toString()
